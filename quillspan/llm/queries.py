@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, exact_dedup, mixing, simhash, url_filter
+from quillspan.llm import bpe, exact_dedup, html_text, langid, lm, mixing, simhash, toxicity, url_filter, vptree
 from quillspan.sources.tables import table
 
 #: The rules of op4: host, path, verdict.
@@ -16,6 +16,19 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5, factor=1.1)
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), rules)
@@ -46,6 +59,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -106,7 +127,7 @@ SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM ranke
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filters, op5_mixing, op6_simhash, op7_exact_dedup, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_nearest_neighbours, op3_lm_scoring, op4_url_filters, op5_mixing, op6_simhash, op7_exact_dedup, op8_byte_bpe, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
