@@ -114,16 +114,19 @@ def blocks(page: str) -> list[Block]:
             elif closing and stack and stack[-1][0] == name:
                 close()
                 _, skipped, article = stack.pop()
-            tags.append(name)
+            if not skipped:
+                tags.append(name)
             continue
         close()
         link = 0 if name != "br" else link
-        tags.append(name)
         if name in RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
             at = n if end is None else page.find(">", end.start()) + 1 or n
             continue
+        before = skipped
         if name in VOID or name == "p" or attributes.endswith("/"):
+            if not skipped:
+                tags.append(name)
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -131,12 +134,16 @@ def blocks(page: str) -> list[Block]:
                     _, skipped, article = stack[i]
                     del stack[i:]
                     break
+            if not before:  # boilerplate, its start and its end don't count for what follows
+                tags.append(name)
             continue
         stack.append((name, skipped, article))
         if not article and (name in ARTICLE or re.search(r"role\s*=\s*[\"']?main\b", attributes)):
             articles += 1
             article = articles
         skipped = skipped or _skips(name, attributes, bool(article))
+        if not skipped:
+            tags.append(name)
     close()
     return found
 
