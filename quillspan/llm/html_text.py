@@ -185,7 +185,7 @@ def weigh(counts: Counter) -> Weights:
         return math.log((counts[kind, True] + 1) / (counts[kind, False] + 1))
 
     tags = {k[4:]: min(-0.1, odds(k)) for k, _ in counts if k.startswith("tag:")}
-    return Weights(max(0.1, odds("word")), min(-0.1, odds("linked")), tags, min(tags.values(), default=-1.5))
+    return Weights(max(0.1, odds("word")), min(-0.1, odds("linked")), tags, -0.5)
 
 
 def region(scores: list[float]) -> tuple[int, int]:
