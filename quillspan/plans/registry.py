@@ -30,12 +30,12 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def duck(text: str) -> str:
     """A text with tables as {name} for DuckDB."""
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{([a-z]\w*)\}", r"\1", text)
 
 
 def rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The rows of a plain SQL text, which both engines understand, over tables as {name}."""
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", text))})
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{([a-z]\w*)\}", text))})
 
 
 def _load() -> None:
