@@ -26,8 +26,9 @@ WINDOWS, WINDOW = 1000, 120
 BITS = 16
 LEXICON = 200  # words a language
 UNKNOWN = "und"
-REMEMBERED = 400_000
-CELLS = 400_000  # words of texts, padded, that one pass holds
+REMEMBERED = 200_000
+PART = 400_000  # characters of texts that one pass takes on
+CELLS = 200_000  # words of texts, padded, that it holds
 STRIP = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
@@ -114,10 +115,10 @@ class Crf:
         return found
 
 
-def forward_backward(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+def forward_backward(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray, paired: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
     """From the last position back: (position, rows alive, label probabilities, pair weights with the next position).
 
-    ``emissions``: position, row, label; rows by falling ``sizes``.
+    ``emissions``: position, row, label; rows by falling ``sizes``. Pair weights only if ``paired``.
     """
     most, _, labels = emissions.shape
     alive = np.searchsorted(-sizes, -np.arange(1, most + 1), side="right")
@@ -134,8 +135,9 @@ def forward_backward(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray
         pairs = None
         if later:
             came = e[t + 1, :later] * back[:later]
-            pairs = ahead[t, :later, :, None] * m * came[:, None, :]
-            pairs /= pairs.sum((1, 2), keepdims=True)
+            if paired:
+                pairs = ahead[t, :later, :, None] * m * came[:, None, :]
+                pairs /= pairs.sum((1, 2), keepdims=True)
             came = came @ m.T
             back[:later] = came / came.sum(1, keepdims=True)
         p = ahead[t, :b] * back[:b]
@@ -145,7 +147,7 @@ def forward_backward(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray
 def posterior_sums(emissions: np.ndarray, lettered: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of label probabilities over the lettered words of each row, and how many these are."""
     total = np.zeros((len(sizes), emissions.shape[2]))
-    for t, b, p, _ in forward_backward(emissions, sizes, moves):
+    for t, b, p, _ in forward_backward(emissions, sizes, moves, paired=False):
         total[:b] += p * lettered[t, :b, None]
     return total, lettered.sum(0)
 
@@ -254,11 +256,22 @@ def learn(docs: DataFrame, windows: int = WINDOWS) -> Crf:
     return train(sorted((r.lang, bytes(r.words).split()) for r in rows if r.words))
 
 
+def _judged(crf: Crf, batch: pa.RecordBatch) -> list[tuple[str, float]]:
+    """Predictions of a batch's texts, a bounded part at a time."""
+    found, part, size = [], [], 0
+    for text in batch.column("text"):
+        part.append(text.as_py())
+        size += len(part[-1] or "")
+        if size >= PART:
+            found += crf.predict(part)
+            part, size = [], 0
+    return found + crf.predict(part) if part else found
+
+
 def _predict(crf: Crf, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [p for at in range(0, len(texts), 1000) for p in crf.predict(texts[at : at + 1000])]
+            found = _judged(crf, batch)
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.float64())], names=[*columns, "lang_pred", "score"])
 
     return run
@@ -283,8 +296,7 @@ def keep_known(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [p for at in range(0, len(texts), 1000) for p in crf.predict(texts[at : at + 1000])]
+            found = _judged(crf, batch)
             yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

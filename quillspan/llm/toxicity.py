@@ -26,7 +26,7 @@ POSITIVE, UNLABELLED, BITS, FEATURES = 3000, 6000, 20, 1024
 BEGINNINGS = (4, 5, 6, 7)
 SHARE = 0.4  # of toxic texts among those with a feature, at least
 STRIP = bytes(c for c in range(128) if not chr(c).isalpha())
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def keys_of(word: bytes) -> list[int]:
@@ -139,7 +139,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t) for t in batch.column("text").to_pylist()]
+            scores = [model.score(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
