@@ -1 +1,145 @@
+"""Queries of comparison operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillspan.operators import compare as c
+from quillspan.plans.registry import query, rows
+
+OBS = """SELECT concat(o_orderpriority, '/', o_orderstatus) AS series, CAST(year(o_orderdate) AS INT) AS ord, 'revenue' AS metric_id, CASE WHEN year(o_orderdate) >= 1999 AND o_orderstatus = 'O' THEN 'new' ELSE 'all' END AS population, '' AS filters,
+  'h1' AS spec_hash, 'JP' AS geography, 'nominal' AS value_basis, CASE WHEN year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' THEN 'estimated' ELSE 'observed' END AS origin, o_orderstatus AS dims, CAST(year(o_orderdate) AS STRING) AS period,
+  CASE WHEN year(o_orderdate) = 1996 AND o_orderstatus = 'P' THEN NULL WHEN year(o_orderdate) = 1995 AND o_orderstatus = 'F' THEN 0 ELSE CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value, CASE WHEN year(o_orderdate) < 1998 THEN 's1' ELSE 's2' END AS source, o_orderpriority = '5-LOW' AS flagged
+FROM {orders} GROUP BY o_orderpriority, o_orderstatus, year(o_orderdate)"""
+PAIRED = f"WITH o AS ({OBS}), w AS (SELECT series, ord, " + ", ".join(f"{f}, lag({f}) OVER w AS p_{f}" for f in "metric_id population filters spec_hash geography value_basis origin dims period value source flagged".split()) + """, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY series ORDER BY ord)),
+j AS (SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN {f} IS DISTINCT FROM p_{f} THEN '{code}' END" for f, code in c.INCOMPATIBLE) + """, CASE WHEN p_period >= period THEN 'PERIOD_ORDER' END, CASE WHEN value IS NULL OR p_value IS NULL THEN 'MISSING_VALUE' END) AS warnings FROM w WHERE k > 1)
+"""
+COMPARED = PAIRED + """SELECT series, ord, CASE WHEN warnings = '' THEN round(value - p_value, 4) END AS absolute, CASE WHEN warnings = '' THEN round((value - p_value) / nullif(abs(p_value), 0), 9) END AS relative,
+  CASE WHEN warnings = '' THEN CASE WHEN value > p_value THEN 'UP' WHEN value < p_value THEN 'DOWN' ELSE 'FLAT' END END AS direction, warnings,
+  CASE WHEN warnings = '' THEN concat_ws(',', CASE WHEN p_value = 0 THEN 'ZERO_BASELINE' END, CASE WHEN source IS DISTINCT FROM p_source THEN 'SOURCE_CHANGED' END, CASE WHEN flagged OR p_flagged THEN 'QUALITY_FLAGS_PRESENT' END) ELSE '' END AS review FROM j"""
+FIELDS = [f for f, _ in c.INCOMPATIBLE] + ["period", "value", "source", "flagged"]
+
+
+@query("compare_observations", COMPARED)
+def compare_observations(spark, sf_dir):
+    obs = rows(spark, sf_dir, OBS)
+    own = obs.select("series", "ord", F.struct(*FIELDS).alias("cur"))
+    steps = obs.select("series", "ord").distinct()
+    prev = steps.withColumn("prev_ord", F.lag("ord").over(Window.partitionBy("series").orderBy("ord"))).filter("prev_ord is not null")
+    pairs = prev.join(own, ["series", "ord"]).join(own.select("series", F.col("ord").alias("prev_ord"), F.col("cur").alias("prev")), ["series", "prev_ord"])
+    return c.compare_pairs(pairs).select("series", "ord", "absolute", "relative", "direction", "warnings", "review")
+
+
+@query("compare_series", COMPARED)
+def compare_series(spark, sf_dir):
+    return c.compare_series(rows(spark, sf_dir, OBS), "series", "ord").select("series", "ord", "absolute", "relative", "direction", "warnings", "review")
+
+
+DOCS = "SELECT doc_id AS id, 'x' AS source, text AS content, lang AS metadata FROM {documents}"
+
+
+@query("collapse_copies", f"SELECT id, min(id) OVER w AS kept_id, count(*) OVER w AS copies, id = min(id) OVER w AS kept FROM ({DOCS}) WINDOW w AS (PARTITION BY source, content, metadata)")
+def collapse_copies(spark, sf_dir):
+    return c.collapse_copies(rows(spark, sf_dir, DOCS))
+
+
+COUNTED = "SELECT doc_id AS id, text AS content, CASE WHEN doc_id % 7 = 0 THEN 'many' WHEN doc_id % 11 = 0 THEN '-4' ELSE CAST(n_chars AS STRING) END AS record_count FROM {documents}"
+
+
+@query("dataset_observations", f"SELECT id, CASE WHEN ok THEN CAST(record_count AS BIGINT) END AS value, CASE WHEN ok THEN regexp_extract(content, '(?s)^(.*?[.])', 1) END AS quote, CASE WHEN NOT ok THEN 'BAD_RECORD_COUNT' END AS note FROM (SELECT *, regexp_full_match(record_count, '[0-9]+') AS ok FROM ({COUNTED}))")
+def dataset_observations(spark, sf_dir):
+    return c.dataset_observations(rows(spark, sf_dir, COUNTED))
+
+
+POINTS = "SELECT event_type AS series, CAST(CAST(ts AS DATE) AS STRING) AS period, CAST(count(*) AS BIGINT) AS value FROM {events} GROUP BY 1, 2 UNION ALL SELECT 'error', '2024-01-05', 1"
+COMPARISONS = f"WITH p AS ({POINTS}), d AS (SELECT DISTINCT series FROM p GROUP BY series, period HAVING count(*) > 1), g AS (SELECT * FROM p ANTI JOIN d USING (series))\n"
+
+
+@query("dataset_comparisons", COMPARISONS + """SELECT series, period, value, value - lag(value) OVER w AS delta, round((value - lag(value) OVER w) / nullif(lag(value) OVER w, 0), 9) AS rate, value - first_value(value) OVER w AS from_baseline,
+  round(value / sum(value) OVER (PARTITION BY series), 9) AS share, CAST(NULL AS VARCHAR) AS note FROM g WINDOW w AS (PARTITION BY series ORDER BY period) UNION ALL SELECT series, NULL, NULL, NULL, NULL, NULL, NULL, 'DUPLICATE_PERIOD' FROM d""")
+def dataset_comparisons(spark, sf_dir):
+    return c.dataset_comparisons(rows(spark, sf_dir, POINTS))
+
+
+STEPS = "SELECT series, period, lag(period) OVER (PARTITION BY series ORDER BY period) AS prev_period, value - lag(value) OVER (PARTITION BY series ORDER BY period) AS delta FROM (SELECT event_type AS series, CAST(CAST(ts AS DATE) AS STRING) AS period, CAST(count(*) AS BIGINT) AS value FROM {events} GROUP BY 1, 2)"
+NAMED = "SELECT event_type AS series, CAST(CAST(ts AS DATE) AS STRING) AS period, min(event_id) AS id FROM {events} GROUP BY 1, 2"
+
+
+@query("comparison_patterns", f"WITH s AS ({STEPS}), o AS ({NAMED}) SELECT s.series, s.period, a.id AS from_id, b.id AS to_id, s.series || ' changed by ' || s.delta || ' from ' || s.prev_period || ' to ' || s.period AS text FROM s JOIN o a ON a.series = s.series AND a.period = s.prev_period JOIN o b ON b.series = s.series AND b.period = s.period")
+def comparison_patterns(spark, sf_dir):
+    return c.comparison_patterns(rows(spark, sf_dir, STEPS).filter("prev_period is not null"), rows(spark, sf_dir, NAMED))
+
+
+MANIFESTS = "SELECT p_brand AS project, p_partkey AS dataset_id, CASE p_partkey % 3 WHEN 0 THEN 'piece' WHEN 1 THEN '' ELSE 'kg' END AS unit, p_type AS population, CASE WHEN p_size > 25 THEN 'month' ELSE 'year' END AS granularity, CAST(NULL AS STRING) AS schema_version FROM {part} WHERE p_partkey < 500"
+
+
+@query("manifest_compatibility", f"WITH m AS ({MANIFESTS}) SELECT x.project, x.dataset_id AS a, y.dataset_id AS b, concat_ws(',', CASE WHEN x.unit <> '' AND y.unit <> '' AND x.unit <> y.unit THEN 'UNIT_MISMATCH' END, CASE WHEN x.population <> y.population THEN 'POPULATION_MISMATCH' END, CASE WHEN x.granularity <> y.granularity THEN 'GRANULARITY_MISMATCH' END) AS warnings FROM m x JOIN m y ON x.project = y.project AND x.dataset_id < y.dataset_id")
+def manifest_compatibility(spark, sf_dir):
+    return c.manifest_compatibility(rows(spark, sf_dir, MANIFESTS))
+
+
+FILES = "SELECT c_custkey AS dataset_id, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS source_name, CASE c_custkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'download' WHEN 2 THEN 'guess' ELSE NULL END AS method, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '2024-01-01' END AS retrieved_at, CASE WHEN c_custkey % 7 = 0 THEN 'Api_Key' ELSE 'year' END AS k, CASE WHEN c_custkey % 11 = 0 THEN 'http://x/y?a=1&accessToken=z' ELSE 'http://x/token?year=1' END AS url FROM {customer}"
+
+
+@query("manifest_validate", f"WITH m AS ({FILES}) SELECT dataset_id, 'SOURCE_NAME_REQUIRED' AS code FROM m WHERE trim(source_name) = '' UNION ALL SELECT dataset_id, 'RETRIEVED_AT_REQUIRED' FROM m WHERE retrieved_at = '' UNION ALL SELECT dataset_id, 'UNKNOWN_METHOD' FROM m WHERE coalesce(method, '') NOT IN ('api', 'download', 'manual', 'scrape') UNION ALL SELECT dataset_id, 'CREDENTIAL_PARAMETER' FROM m WHERE k = 'Api_Key' UNION ALL SELECT dataset_id, 'CREDENTIAL_IN_URL' FROM m WHERE url LIKE '%accessToken=%'")
+def manifest_validate(spark, sf_dir):
+    return c.manifest_validate(rows(spark, sf_dir, FILES).withColumn("parameters", F.create_map("k", F.lit("v"))))
+
+
+LABELLED = "SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag AS pa, CASE WHEN l_linenumber = 2 THEN NULL WHEN l_linenumber = 3 THEN 'N' ELSE l_returnflag END AS pb, 'observed' AS ma, CASE WHEN l_linestatus = 'O' THEN 'observed' ELSE 'harmonized' END AS mb FROM {lineitem}"
+
+
+@query("comparability_label", f"SELECT id, line, CASE WHEN pa = pb AND mb = 'observed' THEN 'COMPARABLE' WHEN pa = pb THEN 'HARMONIZED_REFERENCE' ELSE 'NOT_COMPARABLE' END AS label FROM ({LABELLED})")
+def comparability_label(spark, sf_dir):
+    return rows(spark, sf_dir, LABELLED).select("id", "line", c.comparability_label(F.col("pa"), F.col("pb"), F.col("ma"), F.col("mb")).alias("label"))
+
+
+RECORDS = "SELECT o_orderpriority AS metric_id, CAST(year(o_orderdate) AS STRING) AS period, o_orderstatus AS geography, CAST(count(*) AS DECIMAL(18,0)) AS value FROM {orders} GROUP BY 1, 2, 3 UNION ALL SELECT '5-LOW', '1996', 'F', CAST(1 AS DECIMAL(18,0))"
+
+
+@query("pct_change_report", f"SELECT metric_id, geography, CASE WHEN ok THEN CAST(a - b AS DOUBLE) END AS delta, CASE WHEN ok THEN sign(a - b) * ((2000 * abs(CAST(a - b AS BIGINT)) + CAST(b AS BIGINT)) // (2 * CAST(b AS BIGINT))) / 10.0::DOUBLE END AS percent, CASE WHEN NOT ok THEN 'NOT_EXACTLY_ONE_RECORD' END AS error FROM (SELECT metric_id, geography, count(*) FILTER (period = '1996') = 1 AND count(*) FILTER (period = '1997') = 1 AS ok, max(value) FILTER (period = '1996') AS b, max(value) FILTER (period = '1997') AS a FROM ({RECORDS}) GROUP BY 1, 2)")
+def pct_change_report(spark, sf_dir):
+    return c.pct_change_report(rows(spark, sf_dir, RECORDS), "1996", "1997")
+
+
+CLAIMS = f"SELECT id AS claim_id, CASE WHEN id % 2 = 0 THEN 'COMPARABLE' ELSE 'NOT_COMPARABLE' END AS stated, CASE WHEN pa = pb AND mb = 'observed' THEN 'COMPARABLE' WHEN pa = pb THEN 'HARMONIZED_REFERENCE' ELSE 'NOT_COMPARABLE' END AS label FROM ({LABELLED})"
+
+
+@query("weakest_comparability", f"SELECT claim_id, weakest, stated, weakest <> stated AS violation FROM (SELECT claim_id, min(stated) AS stated, CASE WHEN bool_or(label = 'NOT_COMPARABLE') THEN 'NOT_COMPARABLE' WHEN bool_or(label = 'HARMONIZED_REFERENCE') THEN 'HARMONIZED_REFERENCE' ELSE 'COMPARABLE' END AS weakest FROM ({CLAIMS}) GROUP BY 1)")
+def weakest_comparability(spark, sf_dir):
+    return c.weakest_comparability(rows(spark, sf_dir, CLAIMS))
+
+
+PARTS = "SELECT c_mktsegment AS part, CAST(year(o_orderdate) AS STRING) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2"
+WHOLES = "SELECT CAST(year(o_orderdate) AS STRING) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} GROUP BY 1"
+
+
+@query("concentration_share", f"SELECT part, round(max(s) FILTER (period = '1996'), 1) AS share_before, round(max(s) FILTER (period = '2000'), 1) AS share_after, round(max(s) FILTER (period = '2000') - max(s) FILTER (period = '1996'), 1) AS points FROM (SELECT part, period, p.value * 100 / w.value AS s FROM ({PARTS}) p JOIN ({WHOLES}) w USING (period)) GROUP BY 1")
+def concentration_share(spark, sf_dir):
+    return c.concentration_share(rows(spark, sf_dir, PARTS), rows(spark, sf_dir, WHOLES), "1996", "2000")
+
+
+DIFFERENCES = "SELECT c_custkey AS id, CAST(count(*) AS BIGINT) AS naive, CAST(count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS excluded FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY 1"
+
+
+@query("gap_decomposition", f"SELECT id, naive, excluded, naive - excluded AS within_scope, round(excluded / naive, 6) AS excluded_share, round((naive - excluded) / naive, 6) AS within_share FROM ({DIFFERENCES})")
+def gap_decomposition(spark, sf_dir):
+    return c.gap_decomposition(rows(spark, sf_dir, DIFFERENCES))
+
+
+LATEST = "SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS series, substring(CAST(o_orderdate AS STRING), 1, 4) AS period_end, o_totalprice AS value FROM {orders}"
+
+
+@query("latest_by_series", f"SELECT series, id, period_end, value FROM ({LATEST}) QUALIFY row_number() OVER (PARTITION BY series ORDER BY period_end DESC, id DESC) = 1")
+def latest_by_series(spark, sf_dir):
+    return c.latest_by_series(rows(spark, sf_dir, LATEST))
+
+
+RUNS = "SELECT CAST(o_orderkey % 4 AS INT) AS run, CAST(o_custkey % 300 AS STRING) AS series, CASE WHEN o_orderkey % 4 = 3 AND o_custkey % 5 = 0 THEN 'v2' ELSE 'v1' END AS definition, substring(CAST(o_orderdate AS STRING), 1, 4) AS period_end, o_totalprice AS value, o_orderkey AS id FROM {orders}"
+
+
+@query("run_observation_deltas", f"""WITH l AS (SELECT * FROM ({RUNS}) QUALIFY row_number() OVER (PARTITION BY run, series ORDER BY period_end DESC, id DESC) = 1), p AS (SELECT *, lag(id) OVER w AS pid, lag(definition) OVER w AS pd, lag(period_end) OVER w AS pp, lag(value) OVER w AS pv FROM l WINDOW w AS (PARTITION BY series ORDER BY run))
+SELECT run, series, CASE WHEN definition <> pd THEN 'DEFINITION_CHANGED' WHEN period_end = pp AND value <> pv THEN 'RESTATED' WHEN period_end = pp THEN 'SAME' ELSE 'DELTA' END AS kind, CASE WHEN definition = pd THEN round(value - pv, 4) END AS delta FROM p WHERE pid IS NOT NULL""")
+def run_observation_deltas(spark, sf_dir):
+    return c.run_observation_deltas(rows(spark, sf_dir, RUNS))
