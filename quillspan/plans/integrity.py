@@ -1 +1,86 @@
+"""Queries of artifact checks and data-quality jobs."""
 
+from __future__ import annotations
+
+from quillspan.operators import integrity as g
+from quillspan.plans.registry import query, rows
+
+ARTIFACTS = "SELECT c_custkey AS artifact_id, CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE c_name END AS producer, CASE WHEN c_custkey % 7 = 0 THEN 'xyz' ELSE sha2(c_name, 256) END AS artifact_hash, '1995-01' AS period_start, CASE WHEN c_custkey % 11 = 0 THEN '1994-12' ELSE '2001-12' END AS period_end FROM {customer}"
+METRICS = "SELECT o_custkey AS artifact_id, o_orderpriority AS metric_id FROM {orders} WHERE o_orderkey % 3 = 0"
+RESULTS = "SELECT o_custkey AS artifact_id, o_orderpriority AS metric_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS value, o_orderkey % 26 = 0 AS missing FROM {orders} WHERE o_orderkey % 5 < 3"
+DATASETS = "SELECT o_custkey AS artifact_id, o_orderstatus AS dataset_id FROM {orders} WHERE o_orderkey % 7 < 4"
+PROVENANCE = "SELECT o_custkey AS artifact_id, o_orderstatus AS dataset_id FROM {orders} WHERE o_orderkey % 7 > 2"
+DUCK = {n: t.replace("sha2(c_name, 256)", "sha256(c_name)") for n, t in (("a", ARTIFACTS), ("m", METRICS), ("r", RESULTS), ("d", DATASETS), ("p", PROVENANCE))}
+REFERENCES = """SELECT DISTINCT artifact_id, 'UNKNOWN_DATASET' AS code FROM p ANTI JOIN d USING (artifact_id, dataset_id) UNION ALL SELECT DISTINCT artifact_id, 'DATASET_WITHOUT_PROVENANCE' FROM d ANTI JOIN p USING (artifact_id, dataset_id)"""
+
+
+@query("validate_artifacts", "WITH " + ", ".join(f"{n} AS ({t})" for n, t in DUCK.items()) + f""" SELECT artifact_id, 'PRODUCER_REQUIRED' AS code FROM a WHERE trim(producer) = '' UNION ALL SELECT artifact_id, 'BAD_HASH' FROM a WHERE artifact_hash = 'xyz' UNION ALL SELECT artifact_id, 'BAD_PERIOD' FROM a WHERE period_start > period_end
+UNION ALL SELECT artifact_id, 'DUPLICATE_METRIC' FROM (SELECT artifact_id, metric_id FROM m GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT DISTINCT artifact_id, 'UNKNOWN_METRIC' FROM r ANTI JOIN m USING (artifact_id, metric_id)
+UNION ALL SELECT DISTINCT artifact_id, 'MISSING_MISMATCH' FROM r WHERE missing = (value IS NOT NULL) UNION ALL {REFERENCES}""")
+def validate_artifacts(spark, sf_dir):
+    return g.validate_artifacts(*(rows(spark, sf_dir, t) for t in (ARTIFACTS, METRICS, RESULTS, DATASETS, PROVENANCE)))
+
+
+@query("validate_provenance", f"WITH d AS ({DATASETS}), p AS ({PROVENANCE}) {REFERENCES}")
+def validate_provenance(spark, sf_dir):
+    none = rows(spark, sf_dir, ARTIFACTS).limit(0)
+    d, p = rows(spark, sf_dir, DATASETS), rows(spark, sf_dir, PROVENANCE)
+    return g.validate_artifacts(none, rows(spark, sf_dir, METRICS).limit(0), rows(spark, sf_dir, RESULTS).limit(0), d, p)
+
+
+TEMPORAL = "SELECT o_custkey AS artifact_id, o_orderkey AS idx, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '2024-01-01' END AS observed_at, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'JP' END AS geography, CASE WHEN o_orderkey % 11 = 0 THEN 'guessed' ELSE 'observed' END AS origin, substring(CAST(o_orderdate AS STRING), 1, CASE WHEN o_orderkey % 13 = 0 THEN 10 ELSE 7 END) AS period FROM {orders}"
+HEADERS = "SELECT c_custkey AS artifact_id, '1996-01' AS low, '2000-12' AS high FROM {customer}"
+
+
+@query("validate_temporal", f"WITH t AS (SELECT * FROM ({TEMPORAL}) JOIN ({HEADERS}) USING (artifact_id)) SELECT artifact_id, idx, 'OBSERVED_AT_REQUIRED' AS code FROM t WHERE observed_at = '' UNION ALL SELECT artifact_id, idx, 'GEOGRAPHY_REQUIRED' FROM t WHERE geography IS NULL UNION ALL SELECT artifact_id, idx, 'UNKNOWN_ORIGIN' FROM t WHERE origin = 'guessed' UNION ALL SELECT artifact_id, idx, 'BAD_LABEL' FROM t WHERE length(period) <> 7 UNION ALL SELECT artifact_id, idx, 'OUTSIDE_WINDOW' FROM t WHERE period < low OR period > high")
+def validate_temporal(spark, sf_dir):
+    return g.validate_temporal(rows(spark, sf_dir, TEMPORAL), rows(spark, sf_dir, HEADERS))
+
+
+VERSIONS = "SELECT o_custkey AS artifact_id, CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN 'AB' ELSE 'ab' END AS artifact_hash FROM {orders}"
+
+
+@query("artifact_conflicts", f"SELECT artifact_id, count(*) AS n, CASE WHEN count(DISTINCT lower(artifact_hash)) > 1 THEN 'CONFLICT' ELSE 'DUPLICATE' END AS kind FROM ({VERSIONS}) GROUP BY 1 HAVING count(*) > 1")
+def artifact_conflicts(spark, sf_dir):
+    return g.artifact_conflicts(rows(spark, sf_dir, VERSIONS))
+
+
+PARTS = "SELECT o_custkey AS artifact_id, o_orderstatus AS kind, CAST(o_orderkey AS STRING) AS value FROM {orders}"
+
+
+@query("reproducibility_key", f"SELECT artifact_id, sha256(string_agg(kind || '=' || value, chr(31) ORDER BY kind || '=' || value)) AS key FROM ({PARTS}) GROUP BY 1")
+def reproducibility_key(spark, sf_dir):
+    return g.reproducibility_key(rows(spark, sf_dir, PARTS))
+
+
+FACTS = "SELECT o_orderpriority AS metric_id, substring(CAST(o_orderdate AS STRING), 1, 7) AS period, o_orderstatus AS dims, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE sum(CAST(o_totalprice AS DECIMAL(18,2))) END AS value FROM {orders} GROUP BY 1, 2, 3"
+NAMES = "SELECT DISTINCT o_orderpriority AS metric_id, lower(o_orderpriority) AS name, 'USD' AS unit FROM {orders}"
+STATED = f"WITH s AS (SELECT sha256(concat_ws('|', 'run-1', metric_id, period, dims)) AS statement_id, metric_id, period, dims, name || ' = ' || coalesce(CAST(CAST(value AS DECIMAL(30,2)) AS VARCHAR), 'unknown') || ' ' || unit || ' for ' || period || ' (' || dims || ')' AS statement FROM ({FACTS}) JOIN ({NAMES}) USING (metric_id))\n"
+
+
+@query("result_statements", STATED + "SELECT * FROM s")
+def result_statements(spark, sf_dir):
+    return g.result_statements(rows(spark, sf_dir, FACTS), rows(spark, sf_dir, NAMES), "run-1")
+
+
+@query("artifact_document", STATED + "SELECT metric_id, string_agg(statement, chr(10) ORDER BY period, dims) AS content, count(*) AS lines FROM s GROUP BY 1")
+def artifact_document(spark, sf_dir):
+    return g.artifact_document(result_statements(spark, sf_dir))
+
+
+CASES = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'VALIDATED' WHEN 1 THEN 'INCONCLUSIVE' ELSE 'REJECTED' END AS verdict, CASE WHEN o_orderkey % 4 = 0 THEN 'POST_HOC' ELSE 'PRIOR' END AS basis, o_custkey % 5 AS generation, o_orderkey % 5 AS validation, o_orderstatus AS label, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS derived, o_totalprice AS delta, CASE WHEN o_orderkey % 8 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS recomputed, o_orderkey % 6 = 0 AS causal, o_orderkey % 12 = 0 AS identified, o_orderkey % 7 AS counter, o_custkey % 4 AS gaps, CASE WHEN o_orderkey % 2 = 0 THEN 'PRIMARY' ELSE 'CONTEXT' END AS role, CASE WHEN o_custkey % 3 = 0 THEN 'external' ELSE 'own' END AS source FROM {orders}"
+RULES = {"post_hoc_stays_post_hoc": "basis = 'POST_HOC' AND verdict = 'VALIDATED'", "generation_not_reused": "generation = validation", "label_from_metadata": "label IS DISTINCT FROM derived", "delta_recomputed": "abs(delta - recomputed) > 0.000000001", "no_causal_overclaim": "causal AND NOT identified", "counter_evidence_present": "counter = 0", "gaps_visible": "verdict = 'INCONCLUSIVE' AND gaps = 0", "external_not_primary": "source = 'external' AND role = 'PRIMARY'"}
+
+
+@query("case_invariants", f"WITH c AS ({CASES}) " + " UNION ALL ".join(f"SELECT id, '{k}' AS rule, CASE WHEN {v} THEN '{'WARN' if k.startswith('counter') else 'FAIL'}' ELSE 'PASS' END AS outcome FROM c" for k, v in RULES.items()))
+def case_invariants(spark, sf_dir):
+    return g.case_invariants(rows(spark, sf_dir, CASES))
+
+
+REPORTS = "SELECT doc_id AS id, lang AS case_id, text FROM {documents}"
+PHRASES = "SELECT DISTINCT lang AS case_id, substring(text, 1, 12) AS phrase FROM {documents} WHERE doc_id % 40 = 0 AND length(text) > 12"
+
+
+@query("forbidden_phrases", f"SELECT id, phrase FROM ({REPORTS}) JOIN ({PHRASES}) USING (case_id) WHERE contains(text, phrase)")
+def forbidden_phrases(spark, sf_dir):
+    return g.forbidden_phrases(rows(spark, sf_dir, REPORTS), rows(spark, sf_dir, PHRASES))

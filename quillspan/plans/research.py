@@ -1 +1,304 @@
+"""Queries of gaps, hypotheses, claims and scenarios; their tables are derived from orders by rules."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspan.operators import research as r
+from quillspan.plans.registry import query, rows
+
+NEED = """CASE o_orderkey % 9 WHEN 0 THEN 'A Control  Group' WHEN 1 THEN 'a control group' WHEN 2 THEN 'policy date' WHEN 3 THEN 'Population by region' WHEN 4 THEN 'definition of sales' WHEN 5 THEN 'provenance' WHEN 6 THEN 'macro data' WHEN 7 THEN 'baseline trend' ELSE 'something' END"""
+GAPS = f"SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, o_orderkey AS gap_id, {NEED} AS need, CAST(o_orderkey % 6 AS STRING) AS hypothesis, o_orderkey % 4 <> 0 AS resolvable, o_orderkey % 3 = 0 AS resolved FROM {{orders}}"
+CATEGORY = "CASE need WHEN 'A Control  Group' THEN 'OTHER' WHEN 'a control group' THEN 'COMPARISON' WHEN 'policy date' THEN 'TIMING' WHEN 'Population by region' THEN 'CONFOUNDER' WHEN 'definition of sales' THEN 'MEASUREMENT' WHEN 'provenance' THEN 'SOURCE_QUALITY' WHEN 'macro data' THEN 'EXTERNAL_CONTEXT' WHEN 'baseline trend' THEN 'PRE_PERIOD' ELSE 'OTHER' END"
+FEW = GAPS + " WHERE o_orderkey % 50 < 7"
+STATUS = "CASE (o_orderkey + o_custkey) % 6 WHEN 0 THEN 'CONTRADICTED' WHEN 1 THEN 'INSUFFICIENT_EVIDENCE' WHEN 2 THEN 'UNTESTED' WHEN 3 THEN 'PARTIALLY_SUPPORTED' WHEN 4 THEN 'PLAUSIBLE' ELSE 'SUPPORTED' END"
+STATES = f"SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, concat(CASE WHEN o_orderkey % 2 = 0 THEN 'Hyp  ' ELSE 'hyp ' END, CAST(o_custkey % 7 AS STRING)) AS title, {STATUS} AS status FROM {{orders}}"
+RANK = "CASE status WHEN 'CONTRADICTED' THEN 0 WHEN 'INSUFFICIENT_EVIDENCE' THEN 1 WHEN 'UNTESTED' THEN 1 WHEN 'PARTIALLY_SUPPORTED' THEN 2 WHEN 'PLAUSIBLE' THEN 3 ELSE 4 END"
+BY_RUN = f"SELECT o_custkey % 40 AS run, CAST(o_orderkey % 6 AS STRING) AS hypothesis, bool_or(o_orderstatus = 'F') AS identified, min({STATUS}) AS validation FROM {{orders}} GROUP BY 1, 2"
+
+
+@query("classify_gaps", f"SELECT gap_id, need, {CATEGORY} AS category FROM ({GAPS})")
+def classify_gaps(spark, sf_dir):
+    return r.classify_gaps(rows(spark, sf_dir, GAPS)).select("gap_id", "need", "category")
+
+
+@query("collect_gaps", f"SELECT run, seq, trim(regexp_replace(lower(need), '\\s+', ' ', 'g')) AS need_key, string_agg(DISTINCT hypothesis, ',' ORDER BY hypothesis) AS hypotheses, count(DISTINCT hypothesis) AS n_hypotheses FROM ({GAPS}) GROUP BY 1, 2, 3")
+def collect_gaps(spark, sf_dir):
+    return r.collect_gaps(rows(spark, sf_dir, GAPS))
+
+
+@query("plan_requirements", f"SELECT gap_id, need, category, dimensions, period, source_category FROM (SELECT gap_id, need, {CATEGORY} AS category FROM ({GAPS})) JOIN (VALUES {', '.join(map(str, r.REQUIREMENTS))}) t(category, dimensions, period, source_category) USING (category)")
+def plan_requirements(spark, sf_dir):
+    return r.plan_requirements(rows(spark, sf_dir, GAPS))
+
+
+@query("gap_dependencies", f"WITH g AS (SELECT *, {CATEGORY} AS category FROM ({FEW})) SELECT a.run, a.gap_id, string_agg(DISTINCT lpad(CAST(b.gap_id AS VARCHAR), 8, '0'), ',' ORDER BY lpad(CAST(b.gap_id AS VARCHAR), 8, '0')) AS depends_on FROM g a JOIN g b ON a.run = b.run AND a.hypothesis = b.hypothesis AND a.gap_id <> b.gap_id WHERE a.category IN ('COMPARISON', 'PRE_PERIOD', 'CONFOUNDER', 'EXTERNAL_CONTEXT') AND b.category IN ('MEASUREMENT', 'SOURCE_QUALITY') AND NOT b.resolved GROUP BY 1, 2")
+def gap_dependencies(spark, sf_dir):
+    return r.gap_dependencies(r.classify_gaps(rows(spark, sf_dir, FEW)))
+
+
+@query("rank_requirements", f"""WITH g AS (SELECT *, {CATEGORY} AS category FROM ({GAPS})), f AS (SELECT g.run, gap_id, need, category, resolvable, count(DISTINCT g.hypothesis) AS h, bool_or(NOT identified) AS un, bool_or(validation IN ('UNTESTED', 'INSUFFICIENT_EVIDENCE')) AS ut FROM g LEFT JOIN ({BY_RUN}) s ON s.run = g.run AND s.hypothesis = g.hypothesis GROUP BY ALL),
+p AS (SELECT *, CASE WHEN category IN ('COMPARISON', 'PRE_PERIOD', 'CONFOUNDER') THEN 3 WHEN category IN ('TIMING', 'MEASUREMENT') THEN 2 ELSE 1 END AS power, CASE WHEN NOT resolvable THEN 4 WHEN category IN ('TIMING', 'MEASUREMENT', 'SOURCE_QUALITY') THEN 0 WHEN category IN ('PRE_PERIOD', 'CONFOUNDER', 'EXTERNAL_CONTEXT') THEN 1 WHEN category = 'COMPARISON' THEN 2 ELSE 3 END AS difficulty FROM f),
+u AS (SELECT *, CASE WHEN power = 3 AND un THEN 3 WHEN power = 2 OR ut THEN 2 ELSE 1 END AS urgency FROM p)
+SELECT run, gap_id, power, urgency, difficulty, h >= 2 AS can_distinguish, h >= 1 AND category <> 'OTHER' AS can_falsify, CAST(row_number() OVER (PARTITION BY run ORDER BY power DESC, urgency DESC, difficulty, need, gap_id) AS INT) AS rank FROM u""")
+def rank_requirements(spark, sf_dir):
+    return r.rank_requirements(r.classify_gaps(rows(spark, sf_dir, GAPS)), rows(spark, sf_dir, BY_RUN))
+
+
+SEEN = f"SELECT DISTINCT run, seq, lower(need) AS need_key FROM ({GAPS}) WHERE gap_id % 5 = run % 5"
+ITERATIONS = "SELECT DISTINCT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders}"
+FOUND = f"SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, CASE WHEN year(o_orderdate) % 2 = 0 THEN lower({NEED}) END AS need_key FROM {{orders}} WHERE o_orderkey % 23 = 0"
+CARRIED = f"""WITH seen AS ({SEEN}), it AS ({ITERATIONS}), ev AS ({FOUND}), f AS (SELECT run, need_key, min(seq) AS first FROM seen GROUP BY 1, 2), e AS (SELECT f.run, f.need_key, it.seq FROM f JOIN it ON it.run = f.run AND it.seq >= f.first),
+loose AS (SELECT run, seq, count(need_key) = 0 AS loose FROM ev GROUP BY 1, 2),
+m AS (SELECT e.*, s.run IS NOT NULL AS here, CASE WHEN s.run IS NOT NULL THEN 'OPEN' WHEN coalesce(CASE WHEN a.run IS NOT NULL THEN true END, l.loose, false) THEN 'RESOLVED' END AS event FROM e LEFT JOIN seen s USING (run, need_key, seq) LEFT JOIN (SELECT DISTINCT run, need_key, seq FROM ev WHERE need_key IS NOT NULL) a USING (run, need_key, seq) LEFT JOIN loose l ON l.run = e.run AND l.seq = e.seq),
+st AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY run, need_key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM m),
+carried AS (SELECT run, need_key, seq, CASE WHEN s = 'OPEN' AND NOT here THEN 'CARRIED' ELSE s END AS state FROM st)
+"""
+
+
+def _carried(spark, sf_dir):
+    return r.carry_forward_gaps(rows(spark, sf_dir, SEEN), rows(spark, sf_dir, ITERATIONS), rows(spark, sf_dir, FOUND))
+
+
+@query("carry_forward_gaps", CARRIED + "SELECT * FROM carried")
+def carry_forward_gaps(spark, sf_dir):
+    return _carried(spark, sf_dir)
+
+
+ONE = f"SELECT run, seq, title, status FROM ({STATES}) QUALIFY row_number() OVER (PARTITION BY run, seq, lower(title) ORDER BY status) = 1"
+EVOLVED = f""", hs AS ({STATES}), hk AS (SELECT run, seq, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS key, max({RANK}) AS k FROM hs GROUP BY 1, 2, 3), hb AS (SELECT hk.run, hk.key, hk.seq, hk.k, p.k AS pk FROM hk LEFT JOIN hk p ON p.run = hk.run AND p.key = hk.key AND p.seq = hk.seq - 1),
+changed AS (SELECT run, key, seq, k, CASE WHEN pk IS NULL THEN 'CREATED' WHEN k = 0 AND pk <> 0 THEN 'CONTRADICTED' WHEN k > pk THEN 'STRENGTHENED' WHEN k < pk THEN 'WEAKENED' ELSE 'UNCHANGED' END AS change FROM hb)
+"""
+
+
+@query("hypothesis_evolution", "WITH x AS (SELECT 1)" + EVOLVED + "SELECT run, key, seq, change FROM changed")
+def hypothesis_evolution(spark, sf_dir):
+    return r.hypothesis_evolution(rows(spark, sf_dir, STATES)).select("run", "key", "seq", "change")
+
+
+LISTS = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, o_orderstatus AS kind, o_orderpriority AS member FROM {orders} WHERE o_orderkey % 4 = 0"
+
+
+@query("iteration_delta", f"WITH l AS (SELECT run, seq, kind, list(DISTINCT member) AS now FROM ({LISTS}) GROUP BY 1, 2, 3) SELECT a.run, a.kind, a.seq, coalesce(array_to_string(list_sort(list_filter(a.now, lambda m: NOT list_contains(b.now, m))), ','), '') AS added, coalesce(array_to_string(list_sort(list_filter(b.now, lambda m: NOT list_contains(a.now, m))), ','), '') AS removed FROM l a JOIN l b ON b.run = a.run AND b.kind = a.kind AND b.seq = a.seq - 1")
+def iteration_delta(spark, sf_dir):
+    return r.iteration_delta(rows(spark, sf_dir, LISTS))
+
+
+SUMMARY = f"SELECT run, seq, count(*) FILTER (status <> 'CONTRADICTED') AS surviving, count(*) FILTER (status IN ('PARTIALLY_SUPPORTED', 'PLAUSIBLE', 'SUPPORTED')) AS supported, count(*) FILTER (status IN ('PLAUSIBLE', 'SUPPORTED')) AS strong, count(*) FILTER (status = 'CONTRADICTED') AS contradicted, split_part(min(CAST(9 - {RANK} AS VARCHAR) || '~' || title), '~', 2) AS strongest FROM ({STATES}) GROUP BY 1, 2"
+
+
+@query("hypothesis_summary", SUMMARY)
+def hypothesis_summary(spark, sf_dir):
+    return r.hypothesis_summary(rows(spark, sf_dir, STATES))
+
+
+FACTS = "SELECT c_custkey AS run, CAST(c_custkey % 4 AS INT) AS iterations, CAST(c_custkey % 3 AS INT) AS hypotheses, CAST(c_custkey % 5 AS INT) AS open_gaps, CAST(c_custkey % 2 AS INT) AS resolvable_gaps, CAST(floor(c_custkey / 5) % 3 AS INT) AS supported, CAST(floor(c_custkey / 7) % 2 AS INT) AS strong, CAST(floor(c_custkey / 11) % 3 AS INT) AS evidence, CAST(floor(c_custkey / 13) % 2 AS INT) AS high_open, c_acctbal > 5000 AS moved, c_acctbal > 2000 AS unidentified FROM {customer}"
+READY = f"SELECT *, CASE WHEN iterations = 0 OR hypotheses = 0 THEN 'EVIDENCE_INSUFFICIENT' WHEN open_gaps > 0 AND resolvable_gaps = 0 THEN 'BLOCKED' WHEN supported = 0 THEN 'EVIDENCE_INSUFFICIENT' WHEN iterations = 1 OR evidence = 0 THEN 'EXPLORATORY_ONLY' WHEN high_open > 0 THEN CASE WHEN supported = 1 AND strong = 1 THEN 'EVIDENCE_CONVERGING' ELSE 'VALIDATION_REQUIRED' END WHEN supported = 1 AND strong = 1 THEN 'DECISION_READY_WITH_LIMITATIONS' WHEN supported = 1 THEN 'EVIDENCE_CONVERGING' WHEN NOT moved THEN 'INCONCLUSIVE' ELSE 'EVIDENCE_CONVERGING' END AS state FROM ({FACTS})"
+
+
+@query("decision_readiness", f"SELECT run, state FROM ({READY})")
+def decision_readiness(spark, sf_dir):
+    return r.decision_readiness(rows(spark, sf_dir, FACTS)).select("run", "state")
+
+
+@query("stop_reason", f"SELECT run, CASE WHEN state = 'DECISION_READY_WITH_LIMITATIONS' THEN 'HYPOTHESES_DISTINGUISHED' WHEN state = 'BLOCKED' THEN 'NO_FEASIBLE_DATA_SOURCE' WHEN state = 'INCONCLUSIVE' AND open_gaps = 0 AND unidentified THEN 'IDENTIFICATION_UNRESOLVED' WHEN state = 'INCONCLUSIVE' THEN 'CONFLICTING_EVIDENCE_REMAINS' END AS reason FROM ({READY})")
+def stop_reason(spark, sf_dir):
+    return r.stop_reason(r.decision_readiness(rows(spark, sf_dir, FACTS)))
+
+
+@query("open_gap_handoff", CARRIED[:-1] + EVOLVED + """, la AS (SELECT run, max(seq) AS seq FROM carried GROUP BY 1) SELECT la.run, la.seq, (SELECT count(*) FROM carried c WHERE c.run = la.run AND c.seq = la.seq AND state <> 'RESOLVED') AS open_gaps,
+  coalesce((SELECT string_agg(DISTINCT key, ',' ORDER BY key) FROM changed c WHERE c.run = la.run AND c.seq = la.seq AND change IN ('WEAKENED', 'CONTRADICTED')), '') AS weakened, (SELECT count(*) FROM ev WHERE ev.run = la.run) AS evidence_added FROM la""")
+def open_gap_handoff(spark, sf_dir):
+    return r.open_gap_handoff(_carried(spark, sf_dir), r.hypothesis_evolution(rows(spark, sf_dir, STATES)), rows(spark, sf_dir, FOUND))
+
+
+REFS = "SELECT conv_id AS claim_id, CASE WHEN turn % 4 = 0 THEN CAST(conv_id * 7 AS STRING) WHEN turn % 4 = 1 THEN concat('ext', CAST(conv_id % 30 AS STRING)) WHEN turn % 4 = 2 THEN 'none' ELSE CAST(conv_id + 100000 AS STRING) END AS ref FROM {conversations}"
+OBSERVED = "SELECT event_id + 100000 AS id FROM {events} WHERE event_id % 3 = 0"
+EXT = "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN concat('ext', CAST(doc_id % 40 AS STRING)) END AS ext FROM {documents}"
+CITES = f"""WITH refs AS ({REFS}), obs AS ({OBSERVED}), ext AS ({EXT}), fx AS (SELECT ext AS ref, min(id) AS e FROM ext WHERE ext IS NOT NULL GROUP BY 1),
+cites AS (SELECT claim_id, ref, CASE WHEN o.id IS NOT NULL THEN 'OBSERVATION' WHEN coalesce(d.id, e) IS NOT NULL THEN 'DOCUMENT' ELSE 'NOT_FOUND' END AS kind, CASE WHEN o.id IS NULL THEN coalesce(d.id, e) END AS doc_id FROM refs LEFT JOIN obs o ON CAST(o.id AS VARCHAR) = ref LEFT JOIN ext d ON CAST(d.id AS VARCHAR) = ref LEFT JOIN fx USING (ref))
+"""
+
+
+def _cites(spark, sf_dir):
+    return r.claim_citations(rows(spark, sf_dir, REFS), rows(spark, sf_dir, OBSERVED), rows(spark, sf_dir, EXT))
+
+
+@query("claim_citations", CITES + "SELECT * FROM cites")
+def claim_citations(spark, sf_dir):
+    return _cites(spark, sf_dir)
+
+
+CLAIMS = "SELECT conv_id AS claim_id, CASE conv_id % 5 WHEN 0 THEN 'Prices rose because of taxes' WHEN 1 THEN 'It always happens' WHEN 2 THEN 'Sales led to growth for everyone' WHEN 3 THEN '  Sales  LED to growth for everyone' ELSE 'Plain' END AS statement, conv_id % 2 = 0 AS identified FROM {conversations} WHERE turn = 0"
+NAMED = "SELECT conv_id AS claim_id, CAST(conv_id % 9 AS STRING) AS hypothesis FROM {conversations} WHERE turn = 0 AND conv_id % 3 = 0"
+EVIDENCE = "SELECT CAST(doc_id % 9 AS STRING) AS hypothesis, doc_id, CASE doc_id % 4 WHEN 0 THEN 'counter' WHEN 1 THEN 'neutral' ELSE 'support' END AS type FROM {documents}"
+BASIS = CITES[:-1] + f""", cl AS ({CLAIMS}), nm AS ({NAMED}), ev AS ({EVIDENCE}), bc AS (SELECT DISTINCT claim_id, hypothesis FROM cites JOIN ev USING (doc_id)), ba AS (SELECT DISTINCT claim_id, hypothesis FROM nm UNION ALL SELECT * FROM bc WHERE claim_id IN (SELECT claim_id FROM cl) AND claim_id NOT IN (SELECT claim_id FROM nm)),
+basis AS (SELECT *, 'BASIS' AS role FROM ba UNION ALL SELECT *, 'COMPETING' FROM (SELECT * FROM bc EXCEPT SELECT * FROM ba))
+"""
+
+
+def _basis(spark, sf_dir):
+    return r.claim_basis(rows(spark, sf_dir, CLAIMS), rows(spark, sf_dir, NAMED), _cites(spark, sf_dir), rows(spark, sf_dir, EVIDENCE))
+
+
+@query("claim_basis", BASIS + "SELECT * FROM basis")
+def claim_basis(spark, sf_dir):
+    return _basis(spark, sf_dir)
+
+
+@query("claim_evidence", BASIS + "SELECT b.claim_id, count(*) FILTER (type = 'support') AS support, count(*) FILTER (type = 'counter') AS counter, count(*) FILTER (type = 'neutral') AS neutral FROM basis b JOIN ev USING (hypothesis) WHERE role = 'BASIS' AND EXISTS (SELECT 1 FROM cites c WHERE c.claim_id = b.claim_id AND c.doc_id = ev.doc_id) GROUP BY 1")
+def claim_evidence(spark, sf_dir):
+    return r.claim_evidence(_basis(spark, sf_dir), _cites(spark, sf_dir), rows(spark, sf_dir, EVIDENCE))
+
+
+@query("claim_flags", CITES[:-1] + f", n AS (SELECT claim_id, count(*) FILTER (kind = 'NOT_FOUND') AS lost FROM cites GROUP BY 1) SELECT claim_id, concat_ws(',', CASE WHEN n.claim_id IS NULL THEN 'NO_CITATION' END, CASE WHEN lost > 0 THEN 'CITATION_NOT_FOUND' END, CASE WHEN claim_id % 5 IN (0, 2, 3) AND NOT identified THEN 'CAUSAL_WITHOUT_IDENTIFICATION' END, CASE WHEN claim_id % 5 IN (1, 2, 3) THEN 'UNIVERSAL_WORDING' END) AS flags FROM ({CLAIMS}) LEFT JOIN n USING (claim_id)")
+def claim_flags(spark, sf_dir):
+    return r.claim_flags(rows(spark, sf_dir, CLAIMS), _cites(spark, sf_dir))
+
+
+HYP = "SELECT CAST(n_nationkey AS STRING) AS hypothesis, CASE n_nationkey % 4 WHEN 0 THEN 'CONTRADICTED' WHEN 1 THEN 'PLAUSIBLE' WHEN 2 THEN 'SUPPORTED' ELSE 'UNTESTED' END AS status FROM {nation} WHERE n_nationkey < 8"
+
+
+@query("claim_status", BASIS[:-1] + f", f AS (SELECT claim_id, count(*) FILTER (role = 'BASIS' AND status IN ('PLAUSIBLE', 'SUPPORTED')) AS strong, count(*) FILTER (role = 'BASIS' AND status = 'CONTRADICTED') AS against, count(status) FILTER (role = 'BASIS') AS known, count(*) FILTER (role <> 'BASIS' AND status IN ('PLAUSIBLE', 'SUPPORTED')) AS rivals FROM basis LEFT JOIN ({HYP}) h USING (hypothesis) GROUP BY 1) SELECT claim_id, CASE WHEN known = 0 THEN 'UNKNOWN' WHEN against > 0 THEN 'CONTRADICTED' WHEN strong = known AND rivals = 0 THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status FROM f")
+def claim_status(spark, sf_dir):
+    return r.claim_status(_basis(spark, sf_dir), rows(spark, sf_dir, HYP))
+
+
+REPEATED = CLAIMS.replace("SELECT conv_id AS claim_id", "SELECT conv_id % 60 AS claim_id")
+
+
+@query("claim_duplicates", f"WITH k AS (SELECT DISTINCT claim_id, sha256(trim(regexp_replace(lower(statement), '\\s+', ' ', 'g'))) AS hash FROM ({REPEATED})) SELECT claim_id, hash, nullif(min(claim_id) OVER (PARTITION BY hash), claim_id) AS duplicate_of, CASE WHEN count(*) OVER (PARTITION BY claim_id) > 1 THEN 'CONFLICTING_CONTENT' END AS error FROM k")
+def claim_duplicates(spark, sf_dir):
+    return r.claim_duplicates(rows(spark, sf_dir, REPEATED))
+
+
+EXPECTED = "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'PRIOR' WHEN 1 THEN 'POST_HOC' WHEN 2 THEN 'PRIOR' ELSE 'odd' END AS basis, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate END AS frozen_at, CASE WHEN o_orderkey % 10 = 2 THEN o_orderdate ELSE o_orderdate + INTERVAL 3 DAY END AS observed_at, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'x' END AS text FROM {orders}"
+
+
+@query("expectation_checks", f"WITH e AS ({EXPECTED}) SELECT id, 'TEXT_REQUIRED' AS code FROM e WHERE trim(text) = '' UNION ALL SELECT id, 'UNKNOWN_BASIS' FROM e WHERE basis = 'odd' UNION ALL SELECT id, 'PRIOR_NOT_FROZEN' FROM e WHERE basis = 'PRIOR' AND frozen_at IS NULL UNION ALL SELECT id, 'POST_HOC_AS_PRIOR' FROM e WHERE basis = 'PRIOR' AND frozen_at >= observed_at")
+def expectation_checks(spark, sf_dir):
+    return r.expectation_checks(rows(spark, sf_dir, EXPECTED))
+
+
+SCENARIOS = "SELECT c_custkey AS scenario_id, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END AS title, DATE '1998-06-01' AS frozen_at, c_custkey % 40 AS run, CAST(c_custkey % 6 AS STRING) AS hypothesis, c_custkey AS doc_id FROM {customer}"
+WINDOWS = "SELECT o_orderkey AS expectation_id, o_custkey AS scenario_id, CAST(o_orderdate AS DATE) AS window_start, CAST(o_orderdate + CASE WHEN o_orderkey % 12 = 0 THEN INTERVAL -5 DAY ELSE INTERVAL 60 DAY END AS DATE) AS window_end, DATE '1996-06-01' AS frozen_at FROM {orders}"
+WINDOWS = WINDOWS.replace("INTERVAL -5 DAY", "INTERVAL '-5' DAY").replace("INTERVAL 60 DAY", "INTERVAL '60' DAY")
+SIGNALS = "SELECT l_orderkey AS expectation_id, CASE l_returnflag WHEN 'A' THEN 'CONSISTENT' WHEN 'R' THEN 'CONTRADICTS' ELSE 'UNCLEAR' END AS outcome, CAST(l_shipdate AS DATE) AS observed_at FROM {lineitem} WHERE l_linenumber = 1 AND l_partkey % 4 > 0"
+CHECKS = "SELECT o_custkey AS scenario_id, CASE WHEN o_orderstatus = 'P' THEN 'FAILED' ELSE 'HELD' END AS result, o_orderkey AS n FROM {orders}"
+STATUSES = f"""WITH x AS ({WINDOWS}), o AS ({SIGNALS}), k AS (SELECT scenario_id, arg_max(result, n) AS c FROM ({CHECKS}) GROUP BY 1), f AS (SELECT scenario_id, count(*) FILTER (inside AND outcome = 'CONTRADICTS') AS against, count(*) FILTER (inside AND outcome = 'CONSISTENT') AS fits, count(outcome) AS n FROM (SELECT scenario_id, outcome, observed_at >= window_start AND observed_at <= window_end AND observed_at >= frozen_at AS inside FROM x LEFT JOIN o USING (expectation_id)) GROUP BY 1),
+st AS (SELECT scenario_id, CASE WHEN against > 0 THEN 'CONTRADICTED' WHEN c = 'FAILED' THEN 'WEAKENED' WHEN fits > 0 THEN 'CONSISTENT' WHEN n > 0 THEN 'INCONCLUSIVE' ELSE 'UNTESTED' END AS status FROM f LEFT JOIN k USING (scenario_id))
+"""
+
+
+def _statuses(spark, sf_dir):
+    return r.scenario_status(rows(spark, sf_dir, WINDOWS), rows(spark, sf_dir, SIGNALS), rows(spark, sf_dir, CHECKS))
+
+
+@query("scenario_validate", f"WITH s AS ({SCENARIOS}), x AS ({WINDOWS}) SELECT scenario_id, 'TITLE_REQUIRED' AS code FROM s WHERE title = '' UNION ALL SELECT DISTINCT scenario_id, 'BAD_WINDOW' FROM x WHERE window_end < window_start UNION ALL SELECT scenario_id, 'NO_FUTURE_EXPECTATION' FROM s WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.scenario_id = s.scenario_id AND x.window_end > s.frozen_at)")
+def scenario_validate(spark, sf_dir):
+    return r.scenario_validate(rows(spark, sf_dir, SCENARIOS), rows(spark, sf_dir, WINDOWS).drop("frozen_at"))
+
+
+CRITERIA = "SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'CONTRADICTED' ELSE 'PLAUSIBLE' END AS status, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE array(p_brand, p_type) END AS criteria FROM {part}"
+
+
+@query("scenario_scaffold", f"WITH c AS (SELECT *, CASE WHEN status = 'CONTRADICTED' THEN 'CONTRADICTED' WHEN criteria IS NULL THEN 'NO_CRITERIA' END AS skipped FROM ({CRITERIA.replace('array(', 'list_value(')})) SELECT id, CAST(generate_subscripts(criteria, 1) - 1 AS INT) AS pos, unnest(criteria) AS criterion, skipped FROM c WHERE skipped IS NULL UNION ALL SELECT id, NULL, NULL, skipped FROM c WHERE skipped IS NOT NULL")
+def scenario_scaffold(spark, sf_dir):
+    return r.scenario_scaffold(rows(spark, sf_dir, CRITERIA))
+
+
+@query("scenario_status", STATUSES + "SELECT * FROM st")
+def scenario_status(spark, sf_dir):
+    return _statuses(spark, sf_dir)
+
+
+@query("scenario_requirements", f"SELECT scenario_id, expectation_id FROM ({WINDOWS}) WHERE expectation_id NOT IN (SELECT expectation_id FROM ({SIGNALS}) WHERE outcome <> 'UNCLEAR')")
+def scenario_requirements(spark, sf_dir):
+    return r.scenario_requirements(rows(spark, sf_dir, WINDOWS), rows(spark, sf_dir, SIGNALS))
+
+
+EVALS = "SELECT o_custkey AS scenario_id, o_orderkey AS eval, CASE o_orderstatus WHEN 'O' THEN 'CONSISTENT' WHEN 'F' THEN 'CONTRADICTED' ELSE 'WEAKENED' END AS status FROM {orders}"
+
+
+@query("scenario_delta", f"SELECT scenario_id, eval, before, status, status = 'CONTRADICTED' AS fired FROM (SELECT *, lag(status) OVER (PARTITION BY scenario_id ORDER BY eval) AS before FROM ({EVALS})) WHERE before <> status")
+def scenario_delta(spark, sf_dir):
+    return r.scenario_delta(rows(spark, sf_dir, EVALS))
+
+
+AS_OF = "SELECT o_custkey AS run, o_orderkey AS seq, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS as_of FROM {orders}"
+
+
+@query("as_of_monotonic", f"SELECT run, seq, as_of, latest FROM (SELECT *, max(as_of) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM ({AS_OF})) WHERE as_of < latest")
+def as_of_monotonic(spark, sf_dir):
+    return r.as_of_monotonic(rows(spark, sf_dir, AS_OF))
+
+
+INSIGHTS = "SELECT source AS run, doc_id AS id, CASE WHEN doc_id % 97 = 0 THEN NULL ELSE 'PRIOR' END AS basis FROM {documents}"
+TYPED = "SELECT doc_id AS id, doc_id, CASE WHEN doc_id % 50 = 3 THEN 'counter' ELSE 'support' END AS type FROM {documents} WHERE doc_id % 61 > 0"
+OPEN = "SELECT source AS run, count(*) AS open_gaps FROM {documents} WHERE lang = 'es' AND doc_id % 5 = 0 GROUP BY 1"
+PUBLISHED = f"WITH i AS ({INSIGHTS}), e AS ({TYPED}), f AS (SELECT run, count(*) AS insights, bool_and(coalesce(basis, '') <> '') AS all_have_basis, bool_and(e.id IS NOT NULL) AS all_have_evidence, bool_or(coalesce(e.type, '') = 'counter') AS any_counter FROM i LEFT JOIN e USING (id) GROUP BY 1), facts AS (SELECT f.*, coalesce(open_gaps, 0) AS open_gaps FROM f LEFT JOIN ({OPEN}) o USING (run))\n"
+
+
+def _facts(spark, sf_dir):
+    return r.publication_facts(rows(spark, sf_dir, INSIGHTS), rows(spark, sf_dir, TYPED), rows(spark, sf_dir, OPEN))
+
+
+@query("publication_facts", PUBLISHED + "SELECT * FROM facts")
+def publication_facts(spark, sf_dir):
+    return _facts(spark, sf_dir)
+
+
+@query("publication_checklist", PUBLISHED + "SELECT run, unmet, unmet = '' AS ready FROM (SELECT run, concat_ws(',', CASE WHEN insights = 0 THEN 'insights' END, CASE WHEN NOT all_have_basis THEN 'basis' END, CASE WHEN NOT all_have_evidence THEN 'evidence' END, CASE WHEN NOT any_counter THEN 'counter_evidence' END, CASE WHEN open_gaps > 0 THEN 'open_gaps' END) AS unmet FROM facts)")
+def publication_checklist(spark, sf_dir):
+    return r.publication_checklist(_facts(spark, sf_dir))
+
+
+HELD = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderpriority END AS expectation, o_orderkey % 2 = 0 AS frozen FROM {orders}"
+
+
+@query("derive_expectations", f"WITH o AS (SELECT run, seq, id, expectation, CAST(NULL AS INT) AS from_seq, frozen FROM ({HELD}) WHERE trim(expectation) <> '') SELECT * FROM o UNION ALL SELECT run, seq + 1, id, expectation, seq, frozen FROM o JOIN (SELECT run, max(seq) AS last FROM o GROUP BY 1) USING (run) WHERE frozen AND seq < last")
+def derive_expectations(spark, sf_dir):
+    return r.derive_expectations(rows(spark, sf_dir, HELD))
+
+
+STAGED = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'SYNTHESIS' WHEN 1 THEN 'VALIDATION' ELSE 'EXPLORATION' END AS stage, CASE WHEN o_orderstatus = 'O' THEN 'PRIOR' ELSE 'POST_HOC' END AS basis FROM {orders}"
+
+
+@query("finding_kind", f"SELECT id, CASE WHEN stage = 'SYNTHESIS' THEN 'SYNTHESIS' WHEN stage = 'VALIDATION' AND basis = 'PRIOR' THEN 'VALIDATION' ELSE 'EXPLORATORY' END AS kind FROM ({STAGED})")
+def finding_kind(spark, sf_dir):
+    return r.finding_kind(rows(spark, sf_dir, STAGED))
+
+
+PROOF = "SELECT o_orderkey AS id, o_orderkey % 3 AS made_seq, o_custkey % 3 AS used_seq, o_orderstatus = 'F' AS unseen, o_orderkey % 5 > 0 AS frozen FROM {orders}"
+
+
+@query("independent_evidence", f"SELECT id, why IS NULL AS independent, why AS reason FROM (SELECT id, CASE WHEN NOT frozen THEN 'EXPECTATION_NOT_FROZEN' WHEN made_seq = used_seq AND NOT unseen THEN 'SAME_ITERATION' END AS why FROM ({PROOF}))")
+def independent_evidence(spark, sf_dir):
+    return r.independent_evidence(rows(spark, sf_dir, PROOF))
+
+
+TOUCHED = "SELECT o_custkey % 40 AS run, CAST(o_orderkey % 6 AS STRING) AS hypothesis FROM {orders} WHERE o_orderkey % 101 = 0"
+MOVED = "SELECT o_custkey % 40 AS run, CAST(o_orderkey % 6 AS STRING) AS hypothesis FROM {orders} WHERE o_orderkey % 307 = 0"
+
+
+@query("affected_hypotheses", f"SELECT * FROM ({TOUCHED}) UNION SELECT * FROM ({MOVED})")
+def affected_hypotheses(spark, sf_dir):
+    return r.affected_hypotheses(rows(spark, sf_dir, TOUCHED), rows(spark, sf_dir, MOVED))
+
+
+@query("affected_scenarios", f"WITH s AS ({SCENARIOS}), h AS (SELECT * FROM ({TOUCHED}) UNION SELECT * FROM ({MOVED})) SELECT DISTINCT scenario_id FROM s WHERE EXISTS (SELECT 1 FROM h WHERE h.run = s.run AND h.hypothesis = s.hypothesis) OR doc_id IN (SELECT doc_id FROM documents WHERE lang = 'es')")
+def affected_scenarios(spark, sf_dir):
+    return r.affected_scenarios(rows(spark, sf_dir, SCENARIOS), affected_hypotheses(spark, sf_dir), rows(spark, sf_dir, "SELECT doc_id FROM {documents} WHERE lang = 'es'"))
+
+
+@query("iteration_scenarios", STATUSES + f"SELECT s.scenario_id, coalesce(st.status, 'UNTESTED') AS status FROM ({SCENARIOS}) s LEFT JOIN st USING (scenario_id)")
+def iteration_scenarios(spark, sf_dir):
+    return r.iteration_scenarios(rows(spark, sf_dir, SCENARIOS), _statuses(spark, sf_dir))
+
+
+SPLIT = "SELECT o_custkey AS id, o_orderkey AS doc_id, CASE o_orderstatus WHEN 'O' THEN 'support' WHEN 'F' THEN 'counter' ELSE 'neutral' END AS type FROM {orders}"
+
+
+@query("insight_evidence_split", f"SELECT id, {', '.join(f'''coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (type = '{k}'), '') AS {k}''' for k in ('support', 'counter', 'neutral'))} FROM ({SPLIT}) GROUP BY 1")
+def insight_evidence_split(spark, sf_dir):
+    return r.insight_evidence_split(rows(spark, sf_dir, SPLIT))

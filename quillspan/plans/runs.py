@@ -1 +1,156 @@
+"""Queries of run comparison and timelines."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspan.operators import research as r
+from quillspan.operators import runs as u
+from quillspan.plans import research as plans
+from quillspan.plans.registry import query, rows
+
+DOCS = "SELECT source AS run, lang AS source, text, CAST(n_chars AS STRING) AS metadata FROM {documents}"
+PRINTS = f"WITH h AS (SELECT run, sha256(concat_ws(chr(31), coalesce(source, ''), sha256(coalesce(text, '')), coalesce(metadata, ''))) AS h FROM ({DOCS})), p AS (SELECT run, substring(h, 1, 2) AS part, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1, 2), fp AS (SELECT run, sum(n)::BIGINT AS documents, sha256(string_agg(h, '' ORDER BY part)) AS fingerprint FROM p GROUP BY 1)\n"
+
+
+@query("input_fingerprint", PRINTS + "SELECT * FROM fp")
+def input_fingerprint(spark, sf_dir):
+    return u.input_fingerprint(rows(spark, sf_dir, DOCS))
+
+
+AXES = "SELECT o_orderkey AS id, o_orderstatus AS a_input, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'O' END AS b_input, o_orderpriority AS a_execution, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '5-LOW' END AS b_execution FROM {orders}"
+
+
+@query("axis_attribution", f"SELECT id, i AS input_axis, e AS execution_axis, CASE WHEN i = 'UNKNOWN' OR e = 'UNKNOWN' THEN 'UNKNOWN' WHEN i = 'SAME' AND e = 'SAME' THEN 'REPEAT' WHEN e = 'SAME' THEN 'INPUT' WHEN i = 'SAME' THEN 'EXECUTION' ELSE 'BOTH' END AS attribution FROM (SELECT id, CASE WHEN a_input IS NULL OR b_input IS NULL THEN 'UNKNOWN' WHEN a_input = b_input THEN 'SAME' ELSE 'CHANGED' END AS i, CASE WHEN a_execution IS NULL OR b_execution IS NULL THEN 'UNKNOWN' WHEN a_execution = b_execution THEN 'SAME' ELSE 'CHANGED' END AS e FROM ({AXES}))")
+def axis_attribution(spark, sf_dir):
+    return u.axis_attribution(rows(spark, sf_dir, AXES))
+
+
+LEFT, RIGHT = ("SELECT sha2(text, 256) AS content FROM {documents} WHERE doc_id % 3 < 2", "SELECT sha2(text, 256) AS content FROM {documents} WHERE doc_id % 3 > 0")
+LEFT_DUCK, RIGHT_DUCK = (t.replace("sha2(text, 256)", "sha256(text)") for t in (LEFT, RIGHT))
+
+
+@query("document_set_diff", f"SELECT content, 'ADDED' AS change FROM (({RIGHT_DUCK}) EXCEPT ({LEFT_DUCK})) UNION ALL SELECT content, 'REMOVED' FROM (({LEFT_DUCK}) EXCEPT ({RIGHT_DUCK}))")
+def document_set_diff(spark, sf_dir):
+    return u.set_diff(rows(spark, sf_dir, LEFT), rows(spark, sf_dir, RIGHT), "content")
+
+
+CONFIGS = """SELECT o_custkey % 50 AS run, o_orderkey AS seq, concat(chr(123), '"model":"m', CAST(o_orderkey % 3 AS STRING), '","rules":"', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN '","extra":"x"' ELSE '"' END, chr(125)) AS config FROM {orders}"""
+FIELDS = f"WITH c AS ({CONFIGS}), w AS (SELECT run, seq, config AS b, lag(config) OVER (PARTITION BY run ORDER BY seq) AS a FROM c), f AS (SELECT w.run, w.seq, k.field, coalesce(json_extract_string(a, '$.' || k.field), '') AS a_value, coalesce(json_extract_string(b, '$.' || k.field), '') AS b_value FROM w, (VALUES ('model'), ('rules'), ('extra')) k(field) WHERE a IS NOT NULL), changes AS (SELECT * FROM f WHERE a_value <> b_value)\n"
+
+
+@query("instrument_changes", FIELDS + "SELECT * FROM changes")
+def instrument_changes(spark, sf_dir):
+    return u.instrument_changes(rows(spark, sf_dir, CONFIGS))
+
+
+PAIRED = f"SELECT x.seq AS id, x.config AS a, y.config AS b FROM ({CONFIGS}) x JOIN ({CONFIGS}) y ON y.seq = x.seq + 1"
+
+
+@query("config_field_diff", f"WITH w AS ({PAIRED}), f AS (SELECT id, k.field, coalesce(json_extract_string(a, '$.' || k.field), '') AS a_value, coalesce(json_extract_string(b, '$.' || k.field), '') AS b_value FROM w, (VALUES ('model'), ('rules'), ('extra')) k(field)) SELECT * FROM f WHERE a_value <> b_value")
+def config_field_diff(spark, sf_dir):
+    return u.config_field_diff(rows(spark, sf_dir, PAIRED))
+
+
+METRICS = "SELECT concat(o_orderpriority, '/', CAST(o_custkey % 9 AS STRING)) AS metric, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} WHERE year(o_orderdate) = 1996 AND o_custkey % 4 > 0 GROUP BY 1"
+
+
+@query("metric_deltas", f"SELECT metric, a.value AS a_value, b.value AS b_value, round(b.value - a.value, 6) AS delta FROM ({METRICS}) a FULL JOIN ({METRICS.replace('1996', '1997').replace('% 9', '% 11')}) b USING (metric)")
+def metric_deltas(spark, sf_dir):
+    return u.metric_deltas(rows(spark, sf_dir, METRICS), rows(spark, sf_dir, METRICS.replace("1996", "1997").replace("% 9", "% 11")))
+
+
+REPEATS = "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_custkey % 200 AS STRING) END AS input, o_orderpriority AS execution, o_orderstatus AS metric, o_totalprice AS value FROM {orders}"
+
+
+@query("repeat_groups", f"SELECT input, execution, metric, count(DISTINCT run) AS runs, min(value) AS low, max(value) AS high, count(DISTINCT run) >= 2 AS variation_known FROM ({REPEATS}) WHERE input IS NOT NULL GROUP BY 1, 2, 3")
+def repeat_groups(spark, sf_dir):
+    return u.repeat_groups(rows(spark, sf_dir, REPEATS))
+
+
+SPANS = "SELECT CAST(o_custkey % 60 AS BIGINT) AS insight, CAST(o_orderkey % 30 AS BIGINT) AS doc_id, CAST(o_orderkey % 700 AS BIGINT) AS start, CAST(o_orderkey % 700 + 5 + o_custkey % 40 AS BIGINT) AS end FROM {orders} WHERE o_orderkey % 8 = 1"
+SPANS_B = SPANS.replace("% 8 = 1", "% 8 = 3")
+MERGED = f"""WITH a AS ({SPANS}), b AS ({SPANS_B}), ua AS (SELECT DISTINCT insight, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM a), ub AS (SELECT DISTINCT insight, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM b),
+na AS (SELECT insight, count(*) AS n FROM ua GROUP BY 1), nb AS (SELECT insight, count(*) AS n FROM ub GROUP BY 1), co AS (SELECT ua.insight AS a, ub.insight AS b, count(*) AS common FROM ua JOIN ub USING (doc_id, c) GROUP BY 1, 2),
+ov AS (SELECT co.a, co.b, round(common / (na.n + nb.n - common), 3) AS overlap FROM co JOIN na ON na.insight = co.a JOIN nb ON nb.insight = co.b)
+""".replace("AS end FROM", 'AS "end" FROM')
+SPARK_SPANS, SPARK_SPANS_B = (t.replace("AS end FROM", "AS `end` FROM") for t in (SPANS, SPANS_B))
+
+
+@query("span_overlap", MERGED + "SELECT * FROM ov")
+def span_overlap(spark, sf_dir):
+    return u.span_overlap(rows(spark, sf_dir, SPARK_SPANS), rows(spark, sf_dir, SPARK_SPANS_B))
+
+
+@query("match_insights")
+def match_insights(spark, sf_dir):
+    titles = "SELECT CAST(c_custkey % 60 AS BIGINT) AS insight, min(c_mktsegment) AS title FROM {customer} GROUP BY 1"
+    return u.match_insights(rows(spark, sf_dir, SPARK_SPANS), rows(spark, sf_dir, SPARK_SPANS_B), rows(spark, sf_dir, titles), rows(spark, sf_dir, titles.replace("min(", "max(")), 0.05)
+
+
+RUNS = "SELECT o_custkey AS project, o_orderkey AS run, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'FAILED' END AS status, o_totalprice AS metric, o_orderdate AS created_at, o_orderdate + INTERVAL '1' DAY AS finished_at FROM {orders}"
+
+
+@query("metrics_history", f"SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY created_at, run) AS INT) AS pos, run, CASE WHEN status = 'COMPLETED' THEN metric END AS metric FROM ({RUNS})")
+def metrics_history(spark, sf_dir):
+    return u.metrics_history(rows(spark, sf_dir, RUNS))
+
+
+@query("latest_completed_run", f"SELECT project, run FROM ({RUNS}) WHERE status = 'COMPLETED' QUALIFY row_number() OVER (PARTITION BY project ORDER BY finished_at DESC, created_at DESC, run DESC) = 1")
+def latest_completed_run(spark, sf_dir):
+    return u.latest_completed_run(rows(spark, sf_dir, RUNS))
+
+
+SHOWN = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, o_orderkey % 25 AS ref, min(o_orderstatus) AS hash, min(CASE WHEN year(o_orderdate) > 1998 AND o_orderkey % 25 < 5 THEN 'v2' ELSE 'v1' END) AS definition FROM {orders} WHERE o_orderkey % 3 = 0 GROUP BY 1, 2, 3"
+SEQS = "SELECT DISTINCT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders}"
+EVENTS = f"""WITH refs AS ({SHOWN}), it AS ({SEQS}), f AS (SELECT run, ref, min(seq) AS first FROM refs GROUP BY 1, 2), e AS (SELECT f.run, f.ref, it.seq, r.hash, r.definition FROM f JOIN it ON it.run = f.run AND it.seq >= f.first LEFT JOIN refs r ON r.run = f.run AND r.ref = f.ref AND r.seq = it.seq),
+w AS (SELECT *, hash IS NOT NULL AS here, coalesce(lag(hash) OVER v IS NOT NULL, false) AS was, lag(hash) OVER v AS h, lag(definition) OVER v AS d FROM e WINDOW v AS (PARTITION BY run, ref ORDER BY seq)),
+ee AS (SELECT run, seq, ref, CASE WHEN here AND NOT was THEN 'ADDED' WHEN NOT here AND was THEN 'REMOVED' WHEN here AND definition <> d THEN 'DEFINITION_CHANGED' WHEN here AND hash <> h THEN 'CONTENT_CHANGED' END AS event FROM w)
+"""
+
+
+@query("evidence_events", EVENTS + "SELECT * FROM ee WHERE event IS NOT NULL")
+def evidence_events(spark, sf_dir):
+    return u.evidence_events(rows(spark, sf_dir, SHOWN), rows(spark, sf_dir, SEQS))
+
+
+ADDED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders} WHERE o_orderkey % 83 = 0"
+TOOLED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders} WHERE o_orderkey % 101 = 0"
+
+
+@query("change_attribution", "WITH x AS (SELECT 1)" + plans.EVOLVED[:-1] + f", e AS (SELECT DISTINCT * FROM ({ADDED})), i AS (SELECT DISTINCT * FROM ({TOOLED})) SELECT c.run, c.seq, key, change, CASE WHEN e.run IS NOT NULL AND i.run IS NOT NULL THEN 'BOTH' WHEN e.run IS NOT NULL THEN 'EVIDENCE' WHEN i.run IS NOT NULL THEN 'INSTRUMENT' ELSE 'NONE' END AS attribution, change IN ('WEAKENED', 'CONTRADICTED') AS invalidates FROM changed c LEFT JOIN e ON e.run = c.run AND e.seq = c.seq LEFT JOIN i ON i.run = c.run AND i.seq = c.seq")
+def change_attribution(spark, sf_dir):
+    return u.change_attribution(r.hypothesis_evolution(rows(spark, sf_dir, plans.STATES)), rows(spark, sf_dir, ADDED), rows(spark, sf_dir, TOOLED))
+
+
+UNSURE = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, concat('s', CAST(o_orderkey % 30 AS STRING)) AS statement FROM {orders} WHERE o_orderkey % 4 = 0"
+
+
+@query("uncertainty_carry", f"WITH s AS (SELECT DISTINCT * FROM ({UNSURE})), k AS (SELECT DISTINCT run, seq FROM s) SELECT b.run, k.seq, b.statement, CASE WHEN n.run IS NOT NULL THEN 'CARRIED' ELSE 'RESOLVED' END AS state FROM s b JOIN k ON k.run = b.run AND k.seq = b.seq + 1 LEFT JOIN s n ON n.run = k.run AND n.seq = k.seq AND n.statement = b.statement")
+def uncertainty_carry(spark, sf_dir):
+    return u.uncertainty_carry(rows(spark, sf_dir, UNSURE))
+
+
+MADE = "SELECT o_custkey AS iteration, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN o_orderstatus ELSE 'r1' END AS run FROM {orders}"
+
+
+@query("iteration_run", f"SELECT iteration, CASE WHEN count(DISTINCT run) = 1 THEN min(run) END AS run, CASE WHEN count(DISTINCT run) > 1 THEN 'MIXED_RUNS' END AS error FROM ({MADE}) GROUP BY 1")
+def iteration_run(spark, sf_dir):
+    return u.iteration_run(rows(spark, sf_dir, MADE))
+
+
+GATES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderstatus END AS before, CASE WHEN o_orderkey % 4 = 0 THEN 'O' ELSE o_orderstatus END AS after FROM {orders}"
+
+
+@query("reevaluation_gate", f"SELECT id, NOT coalesce(before = after, false) AS proceed, CASE WHEN before = after THEN 'NO_EVIDENCE_CHANGE' END AS reason FROM ({GATES})")
+def reevaluation_gate(spark, sf_dir):
+    return u.reevaluation_gate(rows(spark, sf_dir, GATES))
+
+
+HYPS = "SELECT o_custkey AS run, CAST(o_orderdate AS DATE) AS at, o_orderpriority AS what FROM {orders}"
+EVALS = "SELECT c_custkey AS run, DATE '1998-01-01' AS at, c_mktsegment AS what FROM {customer}"
+
+
+@query("timeline_scenario_events", f"WITH t AS (SELECT run, \"at\", 'HYPOTHESIS' AS kind, what FROM ({HYPS.replace('AS at', 'AS \"at\"')}) UNION ALL SELECT run, \"at\", 'SCENARIO', what FROM ({EVALS.replace('AS at', 'AS \"at\"')})) SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY \"at\", kind, what) AS INT) AS pos, \"at\", kind, what FROM t")
+def timeline_scenario_events(spark, sf_dir):
+    return u.timeline_events(rows(spark, sf_dir, HYPS), rows(spark, sf_dir, EVALS))
