@@ -1 +1,57 @@
+"""Queries of streaming jobs: Spark deals the events out to files, streams them to the end and reads the sink back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspan.functions.shared import shared_path
+from quillspan.plans.registry import query, rows
+from quillspan.streaming import jobs
+
+EVENTS = "SELECT event_id, ts, event_type, value FROM {events}"
+
+
+def _stream(spark, sf_dir, name):
+    """The events as a stream of three batches, in order of their ids."""
+    path = shared_path(spark, name)
+    own = rows(spark, sf_dir, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    for k in range(3):
+        own.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+
+
+@query("stream_ingest", "SELECT CASE WHEN event_type = 'error' THEN 'error event' WHEN value < 5 THEN 'too small' ELSE 'valid' END AS kind, count(*) AS n FROM {events} GROUP BY 1 UNION ALL SELECT 'receipts', count(*) FROM {events}")
+def stream_ingest(spark, sf_dir):
+    stream, path = _stream(spark, sf_dir, "stream-ingest")
+    reason = F.when(F.col("event_type") == "error", "error event").when(F.col("value") < 5, "too small")
+    jobs.stream_ingest(stream, reason, f"{path}-out", f"{path}-progress")
+    read = lambda part: spark.read.parquet(f"{path}-out/{part}")
+    kinds = read("valid").select(F.lit("valid").alias("kind")).unionByName(read("rejects").select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    return kinds.unionByName(read("receipts").agg(F.sum("read").alias("n")).select(F.lit("receipts").alias("kind"), "n"))
+
+
+@query("stream_rollup", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM {events} GROUP BY 1, 2")
+def stream_rollup(spark, sf_dir):
+    stream, path = _stream(spark, sf_dir, "stream-rollup")
+    jobs.stream_rollup(stream, "ts", ["event_type"], "value", "1 day", "60 days", f"{path}-out", f"{path}-progress")
+    last = jobs.latest_of(spark.read.parquet(f"{path}-out"), ["start", "event_type"])
+    return last.select(F.col("start").cast("date").cast("string").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@query("stream_observation_delta")
+def stream_observation_delta(spark, sf_dir):
+    stream, path = _stream(spark, sf_dir, "stream-delta")
+    jobs.stream_observation_delta(stream.select(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("at"), "value"), f"{path}-out", f"{path}-progress")
+    return spark.read.parquet(f"{path}-out/deltas").groupBy("series", "kind", "batch").agg(F.count("*").alias("n"))
+
+
+EXPECTED = "SELECT c_custkey AS scenario_id, CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'purchase' ELSE 'none' END AS key, CAST(CASE WHEN c_custkey % 3 = 0 THEN '2025-01-01' ELSE '2024-01-10' END AS DATE) AS window_start, DATE '2025-02-01' AS window_end FROM {customer}"
+
+
+@query("stream_scenario_status", f"WITH x AS ({EXPECTED}), o AS (SELECT event_type AS key, CAST(ts AS DATE) AS at_day, CASE WHEN value > 90 THEN 'CONTRADICTS' WHEN value > 10 THEN 'CONSISTENT' ELSE 'UNCLEAR' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2, 3), f AS (SELECT scenario_id, coalesce(sum(o.n) FILTER (at_day >= window_start AND at_day <= window_end AND outcome = 'CONTRADICTS'), 0) AS a, coalesce(sum(o.n) FILTER (at_day >= window_start AND at_day <= window_end AND outcome = 'CONSISTENT'), 0) AS f, count(o.n) AS n FROM x LEFT JOIN o USING (key) GROUP BY 1) SELECT scenario_id, CASE WHEN a > 0 THEN 'CONTRADICTED' WHEN f > 0 THEN 'CONSISTENT' WHEN n > 0 THEN 'INCONCLUSIVE' ELSE 'UNTESTED' END AS status FROM f")
+def stream_scenario_status(spark, sf_dir):
+    stream, path = _stream(spark, sf_dir, "stream-scenario")
+    seen = stream.select(F.col("event_type").alias("key"), F.col("ts").cast("date").alias("at"), F.when(F.col("value") > 90, "CONTRADICTS").when(F.col("value") > 10, "CONSISTENT").otherwise("UNCLEAR").alias("outcome"))
+    expectations = rows(spark, sf_dir, EXPECTED)
+    jobs.stream_scenario_status(seen, expectations, f"{path}-out", f"{path}-progress")
+    return jobs.scenario_states(spark.read.parquet(f"{path}-out"), expectations)
