@@ -114,6 +114,15 @@ def artifact_json_scan(spark, sf_dir):
     return f.artifact_json_scan(spark, path).select("artifact_id", F.explode("results").alias("r")).select("artifact_id", "r.metric_id", "r.period", "r.value")
 
 
+@query("artifact_json_write", f"SELECT artifact_id, count(*) AS results FROM ({RESULTS}) GROUP BY 1")
+def artifact_json_write(spark, sf_dir):
+    own = rows(spark, sf_dir, RESULTS).groupBy("artifact_id").agg(F.collect_list(F.struct(F.lit("revenue").alias("metric_id"), "period", "value")).alias("results"))
+    path = shared_path(spark, "artifacts-json")
+    f.artifact_json_write(own, path)
+    lines = spark.read.text(path)  # one JSON value a line
+    return lines.select(F.get_json_object("value", "$.artifact_id").alias("artifact_id"), F.size(F.from_json(F.get_json_object("value", "$.results"), "array<struct<metric_id:string>>")).cast("long").alias("results"))
+
+
 STAMPED = "SELECT doc_id AS id, source AS file, lang FROM {documents}"
 STAMPS = "SELECT concat('src', CAST(n_nationkey AS STRING)) AS file, md5(n_name) AS file_hash, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS source_name FROM {nation} WHERE n_nationkey % 4 > 0"
 
