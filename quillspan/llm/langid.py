@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -27,26 +28,44 @@ BITS = 16
 LEXICON = 200  # words a language
 UNKNOWN = "und"
 REMEMBERED = 200_000
-PART = 400_000  # characters of texts that one pass takes on
-CELLS = 200_000  # words of texts, padded, that it holds
+PART = 1_500_000  # characters of texts that one pass takes on
+CELLS = 300_000  # words of texts, padded, that it holds
 STRIP = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
-def features(word: bytes, lexicon: dict[bytes, int]) -> tuple[list[int], list[float]]:
-    """Hashed features of a lower-cased word and their values; none for a word without letters."""
-    core = word.strip(STRIP)
-    if not core:
-        return [], []
-    mask = (1 << BITS) - 1
-    marked = b"^" + core + b"$"
-    found = [crc32(b"w" + core) & mask]
-    found += [crc32(b"p" + core[:n]) & mask for n in (1, 2, 3, 4) if n <= len(core)]
-    found += [crc32(b"s" + core[-n:]) & mask for n in (1, 2, 3, 4) if n <= len(core)]
-    if core in lexicon:
-        found.append(crc32(b"l%d" % lexicon[core]) & mask)
-    grams = {marked[i : i + 3] for i in range(len(marked) - 2)}
-    values = [1.0] * len(found) + [1 / np.sqrt(len(grams))] * len(grams)
-    return found + [crc32(b"g" + g) & mask for g in grams], values
+def _mix(values: np.ndarray, tag: int) -> np.ndarray:
+    return (((values + np.uint64(tag << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(cores: list[bytes], lexicon: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, feature, value) of lower-cased, stripped words: the word, beginnings and endings of up to four bytes, its
+    lexicon, and byte trigrams with the word's edges."""
+    n = np.array([len(c) for c in cores], np.int64)
+    raw = np.frombuffer(b"".join(b"^" + c + b"$" for c in cores), np.uint8).astype(np.uint64)
+    start = np.cumsum(n + 2) - (n + 2)
+    every = np.arange(len(cores))
+    found = [(every, np.array([crc32(c) & ((1 << BITS) - 1) for c in cores], np.int64))]
+    for k in (1, 2, 3, 4):
+        own = every[n >= k]
+        for tag, first in ((k, start[own] + 1), (8 + k, start[own] + 1 + n[own] - k)):
+            v = np.zeros(len(own), np.uint64)
+            for j in range(k):
+                v |= raw[first + j] << np.uint64(8 * j)
+            found.append((own, _mix(v, tag)))
+    listed = [(i, lexicon[c]) for i, c in enumerate(cores) if c in lexicon]
+    found.append((np.array([i for i, _ in listed], np.int64), _mix(np.array([x for _, x in listed], np.uint64), 20)))
+    word = np.repeat(every, n)
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    grams = raw[at] | raw[at + 1] << np.uint64(8) | raw[at + 2] << np.uint64(16)
+    rows = np.concatenate([w for w, _ in found] + [word])
+    values = np.ones(len(rows), np.float32)
+    values[len(rows) - len(word) :] = (1 / np.sqrt(np.maximum(n, 1)))[word]
+    return rows, np.concatenate([f for _, f in found] + [_mix(grams, 30)]), values
+
+
+def emit(weights: np.ndarray, n: int, rows: np.ndarray, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights of each of ``n`` words, one language at a time."""
+    return np.stack([np.bincount(rows, weights[ids, y] * values, n) for y in range(weights.shape[1])], 1).astype(np.float32)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,22 +88,15 @@ class Crf:
         seen = self.seen
         fresh = [w for w in dict.fromkeys(words) if w not in seen]
         if fresh:
-            flat, values, ends = [], [], []
-            for w in fresh:
-                own, v = features(w, self.lexicon)
-                if own:
-                    ends.append(len(flat))
-                    flat += own
-                    values += v
-                    seen[w] = self.used + len(ends) - 1
-                else:
-                    seen[w] = 0
-            if ends:
-                rows = np.add.reduceat(self.weights[flat] * np.array(values, np.float32)[:, None], ends, axis=0)
-                while self.used + len(rows) > len(self.emissions):
+            cores = [w.strip(STRIP) for w in fresh]
+            seen.update(dict.fromkeys((w for w, c in zip(fresh, cores, strict=True) if not c), 0))
+            real = [c for c in cores if c]
+            if real:
+                while self.used + len(real) > len(self.emissions):
                     self.emissions = np.concatenate([self.emissions, np.zeros_like(self.emissions)])
-                self.emissions[self.used : self.used + len(rows)] = rows
-                self.used += len(rows)
+                self.emissions[self.used : self.used + len(real)] = emit(self.weights, len(real), *features(real, self.lexicon))
+                seen.update(zip((w for w, c in zip(fresh, cores, strict=True) if c), range(self.used, self.used + len(real)), strict=True))
+                self.used += len(real)
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -100,7 +112,7 @@ class Crf:
         at = 0
         while at < len(order):
             most = int(sizes[order[at]])
-            part = order[at : at + max(1, min(512, CELLS // most))]
+            part = order[at : at + max(1, min(1024, CELLS // most))]
             at += len(part)
             grid = np.zeros((most, len(part)), np.int64)
             for j, i in enumerate(part):
@@ -177,16 +189,15 @@ def train(samples: list[tuple[str, list[bytes]]], epochs: int = 4, seed: int = 0
         a, b = a[: max(1, len(a) // 2)], b[len(b) // 2 :]
         joined.append((a + b, [label[la]] * len(a) + [label[lb]] * len(b)))
     sequences = [(w, [label[lang]] * len(w)) for lang, w in samples if w] + [s for s in joined if s[0]]
-    kinds: dict[bytes, int] = {}
-    flat: list[np.ndarray] = []
-    value: list[np.ndarray] = []
-    for words, _ in sequences:
-        for w in words:
-            if w not in kinds:
-                kinds[w] = len(kinds)
-                own, v = features(w, lexicon)
-                flat.append(np.array(own, np.int64))
-                value.append(np.array(v, np.float32))
+    kinds = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in sequences for w in words))}
+    cores = [w.strip(STRIP) for w in kinds]
+    real = [i for i, c in enumerate(cores) if c]
+    rows, ids, values = features([cores[i] for i in real], lexicon)
+    order = np.argsort(rows, kind="stable")
+    rows, ids, values = np.array(real, np.int64)[rows[order]], ids[order], values[order]
+    ends = np.searchsorted(rows, np.arange(len(cores) + 1))
+    flat = [ids[a:b] for a, b in pairwise(ends.tolist())]
+    value = [values[a:b] for a, b in pairwise(ends.tolist())]
     grown, grown_moves = np.full_like(crf.weights, 1e-2), np.full_like(crf.moves, 1e-2)
     for _ in range(epochs):
         order = rng.permutation(len(sequences))
