@@ -35,6 +35,9 @@ BOILERPLATE = frozenset(
     " sidebar aside rail widget widgets comment comments commentlist disqus replies reply respond cookie cookies consent gdpr notice notices notification alert popup modal overlay"
     " newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar search form complementary contentinfo".split()
 )
+#: Beginnings of such words that run on, as in cookiebar.
+STEMS = ("cookie", "advert", "sponsor", "comment", "sidebar", "newsletter", "breadcrumb", "navbar", "popup")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
@@ -59,7 +62,9 @@ def _skips(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for kind, value in ATTRIBUTE.findall(attributes):
         words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
-        if not BOILERPLATE.isdisjoint(words) and not (name in ARTICLE and kind != "role"):
+        if name in HEADINGS or (name in ARTICLE and kind != "role"):
+            continue
+        if not BOILERPLATE.isdisjoint(words) or any(w.startswith(STEMS) for w in words):
             return True
     return bool(HIDDEN.search(attributes))
 

@@ -23,9 +23,9 @@ def docs_of(spark, texts, langs=None, ids=None):
 # -- HTML ---------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body class="sidebar-left"><nav><ul><li><a href=/>Home</a></ul></nav>
-<header>Site</header><div class="cookie-notice">We use cookies and more words</div><div id="content"><h1>Title &amp;
+<header>Site</header><div class="cookie-notice">We use cookies and more words</div><div id="content"><h1 class="header">Title &amp;
  more</h1><p>First  paragraph with <b>bold</b>, a <a href="x">link</a> and enough words to count.<p>Second &lt;one&gt; x &#233;&nbsp;y<br>after a break
-<script>var a = "</p><p>no</p>";</script><div class="ad">Buy this now</div><form><input value="v">Search</form><p>Last one of this page here.</p></div>
+<script>var a = "</p><p>no</p>";</script><div class="ad">Buy this now</div><div class="cookiebar">Accept</div><form><input value="v">Search</form><p>Last one of this page here.</p></div>
 <section class="comments"><p>A reader says many things about this page</p></section><aside>Related words</aside><footer>end</footer>"""
 
 
