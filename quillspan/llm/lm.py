@@ -5,10 +5,10 @@ features of the three tokens before: the last class, the last two classes, skipp
 word. Within its class a token has its smoothed share of all training tokens. Classes are clusters of tokens with like
 neighbours, so they follow language and style.
 
-Corpus counts cover every training text and stay distributed. The ``TOP`` most frequent words, a bounded table, go to all
-tasks; a text's other words are looked up by a join. The softmax is a classifier of bounded size fitted on a bounded draw of
-training texts: in each round every task makes gradient steps over its own texts, and the tasks' changes are averaged by
-slices of the weights, weighted by their tokens.
+Counts of words and of neighbours cover every training text and stay distributed. The ``TOP`` most frequent words, a bounded
+table, go to all tasks; a text's other words are looked up by a join. Only the softmax's table of weights is bounded: it is
+fitted on every training text. In each round every task makes gradient steps over its own texts, as many tasks as the texts
+have partitions, and the tasks' changes are averaged by slices of the weights, weighted by their tokens.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import cut, fold
 
-#: Words that all tasks know, at most; texts that the softmax is fitted on, at most about; tasks and rounds of fitting.
-TOP, FITTED, TASKS, ROUNDS = 200_000, 8000, 12, 3
+#: Words that all tasks know, at most; rounds of fitting.
+TOP, ROUNDS = 200_000, 3
 #: Units that get a class: the most frequent words on their own, others by a hash of their ending; hashed neighbours.
 OWN, ENDINGS, NEIGHBOURS = 2000, 512, 64
 CLASSES, SINGLE = 64, 16  # classes in all; classes of one frequent word each
 BITS = 14  # rows of the softmax's weights
-SLICES = 16
+SLICES, GROUP = 16, 32  # slices of the weights; tasks whose changes are averaged first
+OFTEN = 24  # tokens of a step from which a row of the weights is summed on its own
 END = b""  # the end of a text, which no word equals
 FLUSH = 400_000  # different words that a counting task holds
 
@@ -93,13 +94,14 @@ class Model:
     class_v: np.ndarray
     tokens: int
     words: int
+    unit_of: np.ndarray  # units of the frequent words
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each word: its id (-1 if it is not frequent) and its unit."""
         ids = np.fromiter(map(self.ids.get, words, [-1] * len(words)), np.int64, len(words))
-        units = ids.copy()
-        rest = np.flatnonzero((ids < 0) | (ids >= OWN))
-        units[rest] = [OWN + crc32(words[i][-3:]) % ENDINGS for i in rest.tolist()]
+        units = np.r_[self.unit_of, 0][ids]
+        rest = np.flatnonzero(ids < 0)
+        units[rest] = [OWN + _ending(words[i]) for i in rest.tolist()]
         return ids, units
 
     def classes(self, words: list[bytes]) -> np.ndarray:
@@ -140,24 +142,55 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return z
 
 
-def fit_steps(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Adagrad steps over the tokens in order; returns new weights and bias."""
-    weights, bias = weights.copy(), bias.copy()
-    grown, grown_bias = np.full(len(weights), 1e-1, np.float32), np.full_like(bias, 1e-1)
+def gold_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray, batch: int = 2048) -> np.ndarray:
+    """The log probability of each token's class."""
+    found = np.empty(len(classes))
     for a in range(0, len(classes), batch):
         own, gold = rows[a : a + batch], classes[a : a + batch]
-        g = np.exp(log_softmax(weights, bias, own))
-        g[np.arange(len(gold)), gold] -= 1
-        flat = own.ravel()
-        order = np.argsort(flat, kind="stable")
-        used, start = np.unique(flat[order], return_index=True)
-        step = np.add.reduceat(g[order // own.shape[1]], start, axis=0) / np.float32(32)
-        grown[used] += (step**2).mean(1)
-        weights[used] -= rate * step / np.sqrt(grown[used])[:, None]
-        step = g.sum(0) / np.float32(32)
-        grown_bias += step**2
-        bias -= rate * step / np.sqrt(grown_bias)
-    return weights, bias
+        z = log_softmax(weights, bias, own)
+        found[a : a + batch] = z[np.arange(len(gold)), gold]
+    return found
+
+
+def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the weights that tokens use, and the sums of ``g`` over the tokens of each, the most used first."""
+    flat = rows.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    flat, token = flat[order], order // rows.shape[1]
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    size = np.diff(np.r_[start, len(flat)])
+    by_size = np.argsort(-size, kind="stable")
+    start, size = start[by_size], size[by_size]
+    sums = g[token[start]]
+    often = int(np.searchsorted(-size, -OFTEN, side="right"))
+    for i in range(often):
+        sums[i] = g[token[start[i] : start[i] + size[i]]].sum(0)
+    for k in range(1, int(size[often]) if often < len(size) else 1):
+        upto = int(np.searchsorted(-size, -k, side="left"))
+        sums[often:upto] += g[token[start[often:upto] + k]]
+    return flat[start].astype(np.int64), sums
+
+
+class Steps:
+    """Adagrad steps over tokens in order, from given weights and bias, which stay as they are."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights.copy(), bias.copy()
+        self.grown, self.grown_bias = np.full(len(weights), 1e-1, np.float32), np.full_like(bias, 1e-1)
+
+    def run(self, rows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 2048) -> None:
+        for a in range(0, len(classes), batch):
+            own, gold = rows[a : a + batch], classes[a : a + batch]
+            g = np.exp(log_softmax(self.weights, self.bias, own))
+            g[np.arange(len(gold)), gold] -= 1
+            used, step = row_sums(own, g)
+            step /= np.float32(32)
+            self.grown[used] += np.einsum("ij,ij->i", step, step) / np.float32(step.shape[1])
+            step *= (np.float32(rate) / np.sqrt(self.grown[used]))[:, None]
+            self.weights[used] -= step
+            step = g.sum(0) / np.float32(32)
+            self.grown_bias += step**2
+            self.bias -= rate * step / np.sqrt(self.grown_bias)
 
 
 def _tokens(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -183,14 +216,40 @@ def _parts(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterato
                 a, size = i + 1, 0
 
 
-def _neighbours(model: Model):
+def _codes(model: Model):
+    """Each text's tokens as numbers of four bytes: the id of a frequent word, or -2 less the unit of another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _parts(batches):
+            words, first = _tokens(texts)
+            ids, units = model.units(words)
+            marks = np.where(ids >= 0, ids, -2 - units).astype("<i4")
+            ends = np.r_[first, len(words)].astype(np.int32) * 4
+            yield pa.record_batch([pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(marks)])], names=["marks"])
+
+    return run
+
+
+def _coded(batches: Iterator[pa.RecordBatch], unit_of: np.ndarray, tokens: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(marks, units, where texts start) of slices of batches of about so many tokens."""
+    for batch in batches:
+        texts = batch.column("marks").to_pylist()
+        a = size = 0
+        for i, t in enumerate(texts):
+            size += len(t) // 4
+            if size >= tokens or i + 1 == len(texts):
+                marks = np.frombuffer(b"".join(texts[a : i + 1]), "<i4").astype(np.int64)
+                sizes = np.array([len(x) // 4 for x in texts[a : i + 1]])
+                yield marks, np.where(marks >= 0, unit_of[np.maximum(marks, 0)], -2 - marks), np.cumsum(sizes) - sizes
+                a, size = i + 1, 0
+
+
+def _neighbours(unit_of: np.ndarray):
     """Counts of (unit, hashed unit beside it) over a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((OWN + ENDINGS) * 2 * NEIGHBOURS, np.int64)
-        for _, texts in _parts(batches):
-            words, _ = _tokens(texts)
-            unit = model.units(words)[1]
+        for _, unit, _ in _coded(batches, unit_of):
             beside = (unit * 2654435761 >> 7) % NEIGHBOURS
             total += np.bincount(unit[:-1] * 2 * NEIGHBOURS + beside[1:], minlength=len(total))
             total += np.bincount(unit[1:] * 2 * NEIGHBOURS + NEIGHBOURS + beside[:-1], minlength=len(total))
@@ -222,26 +281,26 @@ def cluster(table: np.ndarray, sizes: np.ndarray, groups: int, rounds: int = 12)
     return label
 
 
-def _changes(model: Model, rate: float):
-    """A task's part of a round: its changed weights by slices, times its tokens."""
+def _changes(weights: np.ndarray, bias: np.ndarray, unit_of: np.ndarray, unit_class: np.ndarray, rate: float):
+    """A task's part of a round: its changed weights by slices, with its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, n = model.weights, model.bias, 0
-        for _, texts in _parts(batches):
-            words, first = _tokens(texts)
-            ids, units = model.units(words)
-            rows = features(model.unit_class[units], np.where(ids >= 0, ids, -2 - units), first)
-            weights, bias = fit_steps(weights, bias, rows, model.unit_class[units], rate)
-            n += len(words)
+        steps, n = Steps(weights, bias), 0
+        for marks, units, first in _coded(batches, unit_of):
+            classes = unit_class[units]
+            steps.run(features(classes, marks, first), classes, rate)
+            n += len(marks)
         if n:
-            cuts = np.array_split(np.vstack([weights, bias]), SLICES)
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([float(n)] * SLICES), pa.array([c.tobytes() for c in cuts], pa.binary())], names=["slice", "tokens", "part"])
+            group = TaskContext.get().partitionId() // GROUP
+            cuts = np.array_split(np.vstack([steps.weights, steps.bias]), SLICES)
+            columns = [pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([float(n)] * SLICES), pa.array([c.tobytes() for c in cuts], pa.binary())]
+            yield pa.record_batch(columns, names=["slice", "grp", "tokens", "part"])
 
     return run
 
 
 def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the parts of each slice, weighted by tokens."""
+    """Averages of the parts of each slice, weighted by tokens."""
     sums: dict[int, list] = {}
     for batch in batches:
         for i, n, part in zip(*(batch.column(c).to_pylist() for c in ("slice", "tokens", "part")), strict=True):
@@ -252,6 +311,17 @@ def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()]), pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["slice", "tokens", "part"])
 
 
+def fit_round(codes: DataFrame, model: Model, rate: float) -> float:
+    """One round over all texts of ``codes``: the model takes the averaged weights; returns the number of tokens seen."""
+    schema = "slice int, tokens double, part binary"
+    parts = codes.mapInArrow(_changes(model.weights, model.bias, model.unit_of, model.unit_class, rate), "slice int, grp int, tokens double, part binary")
+    few = parts.repartition("slice", "grp").drop("grp").mapInArrow(_averages, schema)  # so no task meets all tasks' weights
+    found = sorted(few.repartition(SLICES, "slice").mapInArrow(_averages, schema).collect(), key=lambda r: r.slice)
+    joined = np.concatenate([np.frombuffer(bytes(r.part), np.float32) for r in found]).reshape(-1, CLASSES)
+    model.weights, model.bias = joined[:-1].copy(), joined[-1].copy()
+    return found[0].tokens
+
+
 def _class_totals(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -264,20 +334,25 @@ def _class_totals(model: Model):
     return run
 
 
-def train(docs: DataFrame, *, top: int = TOP, fitted: int = FITTED, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """A model from all rows of ``docs`` (doc_id, text), and the distributed counts of its words."""
+def train(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """A model from all rows of ``docs`` (doc_id, text), and the distributed counts of its words.
+
+    ``fitted``: for trials, about how many texts the classes and the softmax learn from; without it, from all.
+    """
     counts = cut(word_counts(docs), "lm-counts")
     tokens, words = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     known = frequent(counts, top)
     ids = {w: i for i, (w, _) in enumerate(known)}
     units = OWN + ENDINGS
-    model = Model(ids, np.array([n for _, n in known], np.int64), np.zeros(units, np.int64), np.zeros((1 << BITS, CLASSES), np.float32), np.zeros(CLASSES, np.float32), np.zeros(CLASSES), np.zeros(CLASSES), tokens, words)
+    model = Model(ids, np.array([n for _, n in known], np.int64), np.zeros(units, np.int64), np.zeros((1 << BITS, CLASSES), np.float32), np.zeros(CLASSES, np.float32), np.zeros(CLASSES), np.zeros(CLASSES), tokens, words, np.array([i if i < OWN else OWN + _ending(w) for i, (w, _) in enumerate(known)], np.int64))
     rows = ids and counts.filter(F.col("word") == F.lit(END)).select("n").first()[0]
     if not rows:
         return model, counts
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("fit")), F.lit(1_000_000))
-    texts = cut(docs.select("text").filter(draw < 1 + fitted * 1_000_000 // rows).repartition(TASKS), "lm-fit")
-    cells = texts.mapInArrow(_neighbours(model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    if fitted is not None:
+        draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("fit")), F.lit(1_000_000))
+        docs = docs.filter(draw < 1 + fitted * 1_000_000 // rows)
+    codes = cut(docs.select("text").mapInArrow(_codes(model), "marks binary"), "lm-codes", compression="zstd")
+    cells = codes.mapInArrow(_neighbours(model.unit_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(units * 2 * NEIGHBOURS)
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     table = table.reshape(units, -1)
@@ -293,9 +368,7 @@ def train(docs: DataFrame, *, top: int = TOP, fitted: int = FITTED, rounds: int
         model.class_n[r["class"]], model.class_v[r["class"]] = r.n, r.v
     model.bias = np.log((model.class_n + 1) / (tokens + CLASSES)).astype(np.float32)
     for k in range(rounds):
-        parts = texts.mapInArrow(_changes(model, 0.1 / (1 + k)), "slice int, tokens double, part binary").repartition(SLICES, "slice").mapInArrow(_averages, "slice int, tokens double, part binary").collect()
-        joined = np.concatenate([np.frombuffer(bytes(r.part), np.float32) for r in sorted(parts, key=lambda r: r.slice)]).reshape(-1, CLASSES)
-        model.weights, model.bias = joined[:-1].copy(), joined[-1].copy()
+        fit_round(codes, model, 0.1 / (1 + k))
     return model, counts
 
 
@@ -313,11 +386,7 @@ def _scores(model: Model):
             ids, units = model.units(words)
             classes = model.unit_class[units]
             rows = features(classes, np.where(ids >= 0, ids, -2 - units), first)
-            by_class = np.empty(len(words))
-            for a in range(0, len(words), 32_768):
-                own = slice(a, a + 32_768)
-                z = log_softmax(model.weights, model.bias, rows[own])
-                by_class[own] = z[np.arange(len(z)), classes[own]]
+            by_class = gold_logs(model.weights, model.bias, rows, classes)
             end = np.r_[first[1:], len(words)]
             rest = np.flatnonzero(ids < 0)
             cuts = np.searchsorted(rest, np.r_[first, len(words)]).astype(np.int32)
@@ -337,7 +406,7 @@ def _scores(model: Model):
     return run
 
 
-def score(docs: DataFrame, *, top: int = TOP, fitted: int = FITTED, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are not read): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 

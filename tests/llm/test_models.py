@@ -127,6 +127,27 @@ def test_the_models_probabilities_sum_to_one():
     assert (rows[2:] == again).all()  # texts don't see each other
 
 
+def test_every_training_text_is_learned_from(spark, monkeypatch):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id") % 97).alias("text"))
+    counted, seen = [], []
+    cluster, fit_round = lm.cluster, lm.fit_round
+    monkeypatch.setattr(lm, "cluster", lambda table, sizes, groups: counted.append(table[:, lm.NEIGHBOURS :].sum()) or cluster(table, sizes, groups))
+    monkeypatch.setattr(lm, "fit_round", lambda *x: seen.append(fit_round(*x)))
+    model, _ = lm.train(docs)
+    assert model.tokens == 6 * 12_000 and seen == [model.tokens] * lm.ROUNDS
+    assert 0 <= model.tokens - counted[0] < 16  # a slice's first token has none before it
+
+
+def test_sums_of_rows_match_brute_force():
+    rng = np.random.default_rng(4)
+    rows, g = rng.integers(0, 40, (300, 6)) * rng.integers(0, 400, (300, 6)), rng.normal(size=(300, 5)).astype(np.float32)
+    want = np.zeros((1 << lm.BITS, 5))
+    for k in range(6):
+        np.add.at(want, rows[:, k], g)
+    used, sums = lm.row_sums(rows, g)
+    assert sorted(used) == np.unique(rows).tolist() and np.allclose(want[used], sums, atol=1e-4)
+
+
 def test_lm_without_texts(spark):
     assert lm.score(docs_of(spark, [])).count() == 0
 
