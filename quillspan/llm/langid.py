@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -72,6 +73,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def core_of(word: bytes) -> bytes:
+    """The word from its first to its last letter, with the marks on these; empty without a letter."""
+    core = word.strip(STRIP)
+    if core.isascii():
+        return core
+    text = core.decode(errors="replace")
+    if not any(map(str.isalpha, text)):
+        return b""
+    held = [i for i, c in enumerate(text) if c.isalpha() or category(c)[0] == "M"]
+    return text[held[0] : held[-1] + 1].encode()
+
+
 @dataclass
 class Crf:
     languages: list[str]
@@ -88,7 +101,7 @@ class Crf:
         seen = self.seen
         fresh = [w for w in dict.fromkeys(words) if w not in seen]
         if fresh:
-            cores = [w.strip(STRIP) for w in fresh]
+            cores = [core_of(w) for w in fresh]
             seen.update(dict.fromkeys((w for w, c in zip(fresh, cores, strict=True) if not c), 0))
             real = [c for c in cores if c]
             if real:
@@ -172,7 +185,7 @@ def train(samples: list[tuple[str, list[bytes]]], epochs: int = 4, seed: int = 0
     counts: dict[bytes, np.ndarray] = {}
     for lang, words in samples:
         for w in words:
-            core = w.strip(STRIP)
+            core = core_of(w)
             if core:
                 counts.setdefault(core, np.zeros(n))[label[lang]] += 1
     lexicon = {}
@@ -190,7 +203,7 @@ def train(samples: list[tuple[str, list[bytes]]], epochs: int = 4, seed: int = 0
         joined.append((a + b, [label[la]] * len(a) + [label[lb]] * len(b)))
     sequences = [(w, [label[lang]] * len(w)) for lang, w in samples if w] + [s for s in joined if s[0]]
     kinds = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in sequences for w in words))}
-    cores = [w.strip(STRIP) for w in kinds]
+    cores = [core_of(w) for w in kinds]
     real = [i for i, c in enumerate(cores) if c]
     rows, ids, values = features([cores[i] for i in real], lexicon)
     order = np.argsort(rows, kind="stable")

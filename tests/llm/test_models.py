@@ -178,6 +178,21 @@ def test_language_id_edges(spark):
     assert langid.languages(nothing.limit(0)).count() == 0
 
 
+def test_texts_of_signs_and_digits_have_no_language(spark):
+    signs = ["\u2014", "\u2026 \u20ac", "\U0001f600 \U0001f600", "\u3002", "\u0661\u0662\u0663", "\u201c12\u201d", "\u0301"]
+    texts = [*signs, "the \u2014 cat \u20ac", "日本語。", "हिन्दी।"] + ["the cat and the dog", "der Hund und die Katze"] * 5
+    langs = [None] * len(signs) + ["en", "ja", "hi"] + ["en", "de"] * 5
+    docs = docs_of(spark, texts, langs)
+    model = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.languages(docs, model).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in range(len(signs))] == [("und", 0.0)] * len(signs)
+    assert all(got[i].lang_pred != "und" for i in range(len(signs), len(texts)))
+    assert (model.indices(langid.words_of("the \u2014 cat \u20ac")) > 0).tolist() == [True, False, True, False]
+    kept = {r.doc_id for r in langid.keep_known(docs, 0.0).collect()}
+    assert kept == set(range(len(signs), len(texts)))
+    assert [langid.core_of(w.encode()).decode() for w in ("\u201cwort\u201d,", "日本語。", "हिन्दी।", "a1")] == ["wort", "日本語", "हिन्दी", "a"]
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(3)
     e, moves = rng.normal(size=(4, 1, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
