@@ -76,31 +76,47 @@ def span_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return sized.select("a", "b", F.round(F.try_divide("common", F.col("na") + F.col("nb") - F.col("common")), 3).alias("overlap"))
 
 
-def match_pairs(candidates: DataFrame, max_rounds: int = 30) -> DataFrame:
+def match_pairs(candidates: DataFrame) -> DataFrame:
     """A greedy one-to-one matching of candidates (a, b, score): best score first, then smaller a, then smaller b.
 
-    A pair that is the best of both its sides is what a greedy walk takes, so each round takes all of these at once.
+    A pair that is the best of both its sides is what a greedy walk takes, so each round takes all of these at once. The
+    best pair of all is one of them, so the rounds end when no candidate is left. Candidates without a or b match nothing.
     """
     context = candidates.sparkSession.sparkContext
     if not context.getCheckpointDir():  # a cluster names a shared one in spark.checkpoint.dir
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
-    left, taken = candidates.select("a", "b", "score").checkpoint(), None
-    for _ in range(max_rounds):
-        order = [F.desc("score"), "a", "b"]
+    left = candidates.filter("a is not null and b is not null").groupBy("a", "b").agg(F.max("score").alias("score")).checkpoint()
+    taken, rounds = left.limit(0), 0
+    order = [F.desc("score"), "a", "b"]
+    while not left.isEmpty():
         best = left.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(*order))).filter("ra = 1 and rb = 1").select("a", "b", "score").checkpoint()
-        taken = best if taken is None else taken.unionByName(best)
-        left = left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").checkpoint()
-        if left.isEmpty():
-            return taken
-    raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
+        taken, rounds = taken.unionByName(best), rounds + 1
+        if rounds % 20 == 0:  # a union of very many rounds is slow to plan
+            taken = taken.coalesce(context.defaultParallelism).checkpoint()
+        left = left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").select("a", "b", "score").checkpoint()
+    return taken
+
+
+def match_titles(titles_a: DataFrame, titles_b: DataFrame) -> DataFrame:
+    """A greedy matching (a, b) of insights (insight, title) of equal title, smaller a first, then smaller b: the n-th of
+    one side with the n-th of the other, so no pairs are tried. Only insights of several titles need the rounds."""
+    one, other = (t.select("insight", "title").dropna().distinct() for t in (titles_a, titles_b))
+    several = lambda t: not t.groupBy("insight").count().filter("count > 1").isEmpty()
+    x, y = one.withColumnRenamed("insight", "a"), other.withColumnRenamed("insight", "b")
+    if several(one) or several(other):
+        return match_pairs(x.join(y, "title").select("a", "b", F.lit(0.5).alias("score"))).select("a", "b")
+    nth = lambda t, c: t.withColumn("n", F.row_number().over(Window.partitionBy("title").orderBy(c)))
+    return nth(x, "a").join(nth(y, "b"), ["title", "n"]).select("a", "b")
 
 
 def match_insights(spans_a: DataFrame, spans_b: DataFrame, titles_a: DataFrame, titles_b: DataFrame, least: float = 0.3) -> DataFrame:
     """Insights of two runs matched by equal spans (score 3), overlap of ``least`` or more (score 1 + overlap) or equal title
-    (score 0.5): a, b, score."""
+    (score 0.5): a, b, score. Any match by spans goes before one by title, so titles match what the spans leave."""
     over = span_overlap(spans_a, spans_b).filter(F.col("overlap") >= least).select("a", "b", F.when(F.col("overlap") == 1, 3.0).otherwise(1 + F.col("overlap")).alias("score"))
-    title = titles_a.select(F.col("insight").alias("a"), "title").join(titles_b.select(F.col("insight").alias("b"), "title"), "title").select("a", "b", F.lit(0.5).alias("score"))
-    return match_pairs(over.unionByName(title).groupBy("a", "b").agg(F.max("score").alias("score")))
+    found = match_pairs(over)
+    rest = lambda titles, side: titles.join(found.select(F.col(side).alias("insight")), "insight", "left_anti")
+    title = match_titles(rest(titles_a, "a"), rest(titles_b, "b"))
+    return found.unionByName(title.select("a", "b", F.lit(0.5).alias("score")))
 
 
 def metrics_history(runs: DataFrame) -> DataFrame:

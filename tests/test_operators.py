@@ -76,6 +76,33 @@ def test_matching_is_greedy(spark):
     assert runs.match_pairs(spark.createDataFrame([], "a int, b int, score double")).count() == 0
 
 
+def greedy(pairs):
+    used_a, used_b, found = set(), set(), []
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a), used_b.add(b), found.append((a, b, s))
+    return sorted(found)
+
+
+def test_matching_settles_however_many_scores_are_equal(spark):
+    pairs = [(a, b, 1.0) for a in range(33) for b in range(33)]
+    got = runs.match_pairs(spark.createDataFrame([*pairs, pairs[0], (None, 1, 2.0)], "a int, b int, score double")).collect()
+    assert sorted(map(tuple, got)) == greedy(pairs)
+
+
+def test_titles_match_what_the_spans_leave(spark):
+    rng = random.Random(5)
+    spans = "insight int, doc_id int, start int, end int"
+    a, b = [(1, 0, 0, 10), (2, 0, 20, 30)], [(7, 0, 0, 10), (8, 0, 22, 32)]
+    for several in (False, True):
+        ta, tb = ([(i, rng.choice("xyz") if i % 9 else None) for i in range(70)] for _ in range(2))
+        if several:
+            ta, tb = ta[:12] + [(3, "x"), (3, "y")], tb[:12]
+        got = runs.match_insights(spark.createDataFrame(a, spans), spark.createDataFrame(b, spans), spark.createDataFrame(ta, "insight int, title string"), spark.createDataFrame(tb, "insight int, title string")).collect()
+        want = greedy([(1, 7, 3.0), (2, 8, 1.667)] + [(i, j, 0.5) for i, t in ta for j, u in tb if t and t == u])
+        assert sorted((r.a, r.b, round(r.score, 3)) for r in got) == want and any(s == 0.5 for _, _, s in want)
+
+
 def test_fingerprints_ignore_order_and_ids(spark):
     rows = [("r", "s", f"text {i % 7}", None) for i in range(50)]
     schema = "run string, source string, text string, metadata string"
