@@ -83,33 +83,33 @@ FROM parts p LEFT JOIN fits f ON f.rid = p.rid AND f.k = 1
 
 OP5_SQL = """
 WITH RECURSIVE counts AS (
-  SELECT coalesce(source, '') AS source, floor(sqrt(count(*)))::BIGINT AS weight FROM documents GROUP BY 1
-), every AS (
-  SELECT source, greatest(1, (1000 * weight) // (SELECT sum(weight)::BIGINT FROM counts))::BIGINT AS units FROM counts
+  SELECT coalesce(source, '') AS source, floor(sqrt(count(*)))::BIGINT AS weight, ((count(*) + 31) // 32)::BIGINT AS blocks FROM documents GROUP BY 1
 ), one AS (
-  SELECT list(source ORDER BY source) AS names, list(units ORDER BY source) AS units, sum(units)::BIGINT AS period FROM every
+  SELECT list(source ORDER BY source) AS names, list(weight ORDER BY source) AS weights, list(blocks ORDER BY source) AS blocks, sum(weight)::BIGINT AS total FROM counts
 ), edf AS (
-  SELECT -1::BIGINT AS slot, 0::BIGINT AS pick, 0::BIGINT AS turn, list_transform(units, lambda u: 0::BIGINT) AS done FROM one
+  SELECT -1::BIGINT AS slot, 0::BIGINT AS pick, 0::BIGINT AS turn, list_transform(weights, lambda u: 0::BIGINT) AS done FROM one
   UNION ALL
-  SELECT slot + 1, pick, done[pick], list_transform(done, lambda b, i: CASE WHEN i = pick THEN b + 1 ELSE b END)
+  SELECT slot, pick, done[pick], list_transform(done, lambda b, i: CASE WHEN i = pick THEN b + 1 ELSE b END)
   FROM (
-    SELECT e.slot, e.done, list_min(list_filter(list_transform(e.done, lambda b, i:
-      CASE WHEN b < o.units[i] AND (b * o.period) // o.units[i] <= e.slot + 1
-           THEN (((b + 1) * o.period + o.units[i] - 1) // o.units[i]) * 100000 + i ELSE NULL END), lambda x: x IS NOT NULL)) % 100000 AS pick
-    FROM edf e, one o WHERE e.slot + 1 < o.period
+    SELECT n.slot, n.done, list_min(list_filter(list_transform(n.done, lambda b, i:
+      CASE WHEN b < o.blocks[i] AND (b * o.total) // o.weights[i] <= n.slot
+           THEN (((b + 1) * o.total + o.weights[i] - 1) // o.weights[i]) * 100000 + i ELSE NULL END), lambda x: x IS NOT NULL)) % 100000 AS pick
+    FROM (
+      SELECT e.done, greatest(e.slot + 1, list_min(list_filter(list_transform(e.done, lambda b, i:
+        CASE WHEN b < p.blocks[i] THEN (b * p.total) // p.weights[i] ELSE NULL END), lambda x: x IS NOT NULL))) AS slot
+      FROM edf e, one p WHERE list_sum(e.done) < list_sum(p.blocks)
+    ) n, one o
   )
 ), plan AS (
-  SELECT o.names[e.pick] AS source, o.units[e.pick] AS units, o.period, e.turn, e.slot FROM edf e, one o WHERE e.slot >= 0
+  SELECT o.names[e.pick] AS source, o.weights[e.pick] AS weight, o.total, e.turn, e.slot FROM edf e, one o WHERE e.slot >= 0
 ), ranked AS (
   SELECT doc_id, source AS named, coalesce(source, '') AS source,
          row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY coalesce(md5(doc_id::VARCHAR), ''), doc_id) - 1 AS r
   FROM documents
 )
-SELECT r.doc_id, r.named AS source, r.r // 32 AS block, ((r.r // 32) * p.period) // p.units AS release,
-       ((r.r // 32 + 1) * p.period + p.units - 1) // p.units AS deadline,
-       ((r.r // 32) // p.units) * p.period + p.slot AS slot,
-       (((r.r // 32) // p.units) * p.period + p.slot) * 32 + r.r % 32 AS position
-FROM ranked r JOIN plan p ON p.source = r.source AND p.turn = (r.r // 32) % p.units
+SELECT r.doc_id, r.named AS source, r.r // 32 AS block, ((r.r // 32) * p.total) // p.weight AS release,
+       ((r.r // 32 + 1) * p.total + p.weight - 1) // p.weight AS deadline, p.slot, p.slot * 32 + r.r % 32 AS position
+FROM ranked r JOIN plan p ON p.source = r.source AND p.turn = r.r // 32
 """
 
 OP7_SQL = """

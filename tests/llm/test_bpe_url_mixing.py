@@ -2,12 +2,12 @@
 
 import base64
 import hashlib
-import itertools
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -80,22 +80,45 @@ def test_url_verdicts_match_brute_force(spark):
     assert url_filter.url_verdicts(pages.limit(0), frame).count() == 0
 
 
-def test_mixing_deviates_by_less_than_a_block(spark):
-    sizes = {"hot": 900, "b": 300, "c": 150, "d": 90, None: 40}
-    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot", F.lit("clash"))
-    weights = spark.createDataFrame([("hot", 50), ("b", 21), ("c", 13), ("d", 9), (None, 7)], "source string, weight long")
-    got = mixing.mix(docs, weights, block_rows=4, resolution=100).collect()
-    assert sorted(r.doc_id for r in got) == list(range(len(rows)))
-    assert len({r.position for r in got}) == len(rows)
+def earliest_deadline_first(weights, sizes, block_rows):
+    """{(source, block): slot} by simulation, slot after slot."""
+    total = sum(weights.values())
+    left = {s: -(-n // block_rows) for s, n in sizes.items() if n}
+    done, found, slot = dict.fromkeys(left, 0), {}, 0
+    while any(done[s] < n for s, n in left.items()):
+        free = [(-(-(done[s] + 1) * total // weights[s]), s or "", s) for s, n in left.items() if done[s] < n and done[s] * total // weights[s] <= slot]
+        if free:
+            s = min(free, key=lambda x: x[:2])[2]
+            found[s, done[s]] = slot
+            done[s] += 1
+        slot += 1
+    return found
+
+
+@pytest.mark.parametrize("leaf", [3, 256])
+def test_mixing_is_earliest_deadline_first(spark, monkeypatch, leaf):
+    monkeypatch.setattr(mixing, "RANGE", 7)  # several ranges of slots
+    sizes = {"hot": 900, "b": 300, "c": 150, "d": 90, None: 40, "e": 1}
+    weights = {"hot": 500, "b": 211, "c": 137, "d": 89, None: 71, "e": 3, "absent": 2}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string").withColumn("slot", F.lit("clash"))
+    shares = spark.createDataFrame(list(weights.items()), "source string, weight long")
+    got = mixing.mix(docs, shares, block_rows=4, leaf=leaf).collect()
+    assert sorted(r.doc_id for r in got) == list(range(sum(sizes.values())))
+    assert len({r.position for r in got}) == len(got)
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert {(r.source, r.block): r.slot for r in got} == earliest_deadline_first(weights, sizes, 4)
+
+
+def test_thousands_of_uneven_sources_stay_within_a_block(spark):
+    rng = random.Random(3)
+    weights = {f"s{i:04}": rng.choice([1, 7, 90, 1000, 40_000]) for i in range(4999)} | {"hot": 30_000_000}
+    total = sum(weights.values())
+    sources = spark.createDataFrame([(s, w, 3000 if s == "hot" else 1) for s, w in weights.items()], "source string, weight long, blocks long")
+    got = mixing.schedule(sources, total).collect()
+    assert len(got) == 7999 and len({r.slot for r in got}) == 7999
+    assert all(r.release == r.block * total // weights[r.source] and r.deadline == -(-(r.block + 1) * total // weights[r.source]) for r in got)
+    # In its window, every block keeps its source less than one block from its share at every slot.
     assert all(r.release <= r.slot < r.deadline for r in got)
-    share = {r.source: r.weight / 100 for r in weights.collect()}
-    slots = sorted({(r.slot, r.source) for r in got}, key=lambda x: x[0])
-    assert len({s for s, _ in slots}) == len(slots)
-    had = defaultdict(int)
-    for slot, source in itertools.takewhile(lambda x: x[0] < 90, slots):
-        had[source] += 1
-        assert all(abs(had[s] - w * (slot + 1)) < 1 for s, w in share.items())
 
 
 def test_mixing_edges(spark):
@@ -103,5 +126,8 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs, mixing.root_weights(docs)).count() == 4
     empty = docs.limit(0)
     assert mixing.mix(empty, mixing.root_weights(empty)).count() == 0
-    kept = mixing.in_mixed_order(docs, mixing.root_weights(docs))
-    assert kept.columns == docs.columns and kept.count() == 4
+    clash = docs.withColumn("mix_position", F.lit("x")).withColumn("mixat", F.lit("y"))
+    kept = mixing.in_mixed_order(clash, mixing.root_weights(docs))
+    assert kept.columns == clash.columns and kept.count() == 4
+    with pytest.raises(ValueError, match="1 sources"):
+        mixing.mix(docs, docs.limit(0).select("source", F.lit(1).alias("weight")).union(spark.createDataFrame([("a", 2)], "source string, weight int")))
