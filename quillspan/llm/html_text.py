@@ -1,10 +1,13 @@
 """HTML extraction by the maximum-scoring subsequence of tokens.
 
 A page is a sequence of tokens: words score positive and tags negative, and the content region is the contiguous run with
-the largest sum, found by one linear scan. The weights are log-odds learned from labelled pages: those that mark their
-article (``<article>``, ``<main>`` or ``role=main``) say which tokens are inside. Tokens of blocks that are boilerplate by
-their element or its class are left out of the region: menus, headers, footers, sidebars, notices, adverts, forms and
-comments.
+the largest sum, found by one linear scan over all tokens, those of menus and adverts too. The weights are log-odds learned
+from labelled pages: those that mark their article (``<article>``, else ``<main>`` or ``role=main``) say which tokens are
+inside. A tag is known by its element and class; the marks of the article itself are labels and no tokens, and pages
+without them are scanned alike.
+
+The region's bounds are the scan's. Inside them, elements that are boilerplate by name or class (an advert or a form amid
+the article) are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ LABELLED = 4000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label picture source ruby rb rt rp".split())
-SKIPPED = frozenset("head nav header footer aside form button select option template dialog menu svg math canvas object audio video map datalist fieldset figcaption".split()) | RAW
+SKIPPED = frozenset("head nav header footer aside form button select option template dialog menu svg math canvas object audio video map datalist fieldset".split()) | RAW
 ARTICLE = frozenset(["article", "main"])
 #: Words of a class, id or role that mark boilerplate.
 BOILERPLATE = frozenset(
@@ -37,6 +40,8 @@ BOILERPLATE = frozenset(
 )
 #: Beginnings of such words that run on, as in cookiebar.
 STEMS = ("cookie", "advert", "sponsor", "comment", "sidebar", "newsletter", "breadcrumb", "navbar", "popup")
+#: Words that may stand beside these in a name without changing what it means.
+NEUTRAL = frozenset("site page main primary secondary global top bottom left right container wrapper wrap box block inner outer area section list item items bar unit slot links posts articles stories text content".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
@@ -50,38 +55,60 @@ class Block:
     text: str
     words: int
     linked: int  # of the words, those inside links
-    tags: list[str]  # since the last block
-    skipped: bool
-    article: int  # 1-based number of the outermost article that holds it, or 0
+    tags: list[str]  # opened since the last block
+    skipped: bool  # inside an element that is boilerplate by name or class
+    article: bool
+    main: bool
+
+
+def _names(attributes: str) -> list[tuple[str, list[list[str]]]]:
+    """The class, id and role of an element: words of each name."""
+    found = []
+    for kind, value in ATTRIBUTE.findall(attributes):
+        names = re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower().split()
+        found.append((kind.lower(), [[w for w in re.split(r"[^a-z]+", n) if w] for n in names]))
+    return found
 
 
-def _skips(name: str, attributes: str, in_article: bool) -> bool:
+def _listed(word: str) -> bool:
+    return word in BOILERPLATE or word.startswith(STEMS)
+
+
+def _skips(name: str, names: list[tuple[str, list[list[str]]]], attributes: str, in_article: bool) -> bool:
+    """Is the element boilerplate by its own name, or by a name that says nothing else? ``post-header`` says more."""
     if name in SKIPPED:
-        return not (name in ("header", "figcaption") and in_article)
+        return not (name == "header" and in_article)
     if not attributes or name in ("body", "html"):
         return False
-    for kind, value in ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+    for kind, own in names:
         if name in HEADINGS or (name in ARTICLE and kind != "role"):
             continue
-        if not BOILERPLATE.isdisjoint(words) or any(w.startswith(STEMS) for w in words):
+        if any(any(map(_listed, words)) and all(_listed(w) or w in NEUTRAL for w in words) for words in own):
             return True
     return bool(HIDDEN.search(attributes))
 
 
+def _token(name: str, names: list[tuple[str, list[list[str]]]]) -> str:
+    """A tag as the weights know it: its element and the words of its class, id and role."""
+    words = sorted({w for _, own in names for n in own for w in n})
+    return f"{name}.{'-'.join(words)}" if words else name
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, boilerplate ones too."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements that matter: name, skipped, article
+    # Open elements that matter: name, and what held before: skipped, dropped, article, main.
+    stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = []
     parts: list[str] = []
     tags: list[str] = []
-    skipped, article, articles, link, words, linked = False, 0, 0, 0, 0, 0
+    skipped = dropped = article = main = paragraph = False  # dropped: inside an inline advert; paragraph: in a skipped <p>
+    link, words, linked = 0, 0, 0
 
     def close() -> None:
         nonlocal parts, tags, words, linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            found.append(Block(text, words or 1, linked, tags, skipped, article))
+            found.append(Block(text, words or 1, linked, tags, skipped or paragraph, article, main))
             tags = []
         parts, words, linked = [], 0, 0
 
@@ -93,7 +120,7 @@ def blocks(page: str) -> list[Block]:
             start = page.find("<", start + 1)
             m = TOKEN.match(page, start) if start >= 0 else None
         end = start if start >= 0 else n
-        if end > at:
+        if end > at and not dropped:
             text = page[at:end]
             parts.append(text)
             count = len(text.split())
@@ -104,67 +131,78 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m[1]
         if name is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not dropped:
                 parts.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         name, attributes = name.lower(), m[2]
         closing = page[m.start() + 1] == "/"
+        names = _names(attributes) if attributes and not closing else []
         if name in INLINE:
             if name == "a":
                 link = max(0, link + (-1 if closing else 1))
-            if not closing and attributes and name not in VOID and _skips(name, attributes, bool(article)):
-                close()
-                stack.append((name, skipped, article))
-                skipped = True
-            elif closing and stack and stack[-1][0] == name:
-                close()
-                _, skipped, article = stack.pop()
-            if not skipped:
-                tags.append(name)
+            if closing:
+                if stack and stack[-1][0] == name:
+                    skipped, dropped, article, main = stack.pop()[1]
+            else:
+                if name not in VOID and (dropped or (attributes and _skips(name, names, attributes, article))):
+                    stack.append((name, (skipped, dropped, article, main)))  # inner ones too, so that ends pair up
+                    dropped = True
+                tags.append(_token(name, names))
             continue
         close()
+        paragraph = False
         link = 0 if name != "br" else link
         if name in RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
             at = n if end is None else page.find(">", end.start()) + 1 or n
             continue
-        before = skipped
-        if name in VOID or name == "p" or attributes.endswith("/"):
-            if not skipped:
-                tags.append(name)
-            continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    _, skipped, article = stack[i]
+                    skipped, dropped, article, main = stack[i][1]
                     del stack[i:]
                     break
-            if not before:  # boilerplate, its start and its end don't count for what follows
-                tags.append(name)
             continue
-        stack.append((name, skipped, article))
-        if not article and (name in ARTICLE or re.search(r"role\s*=\s*[\"']?main\b", attributes)):
-            articles += 1
-            article = articles
-        skipped = skipped or _skips(name, attributes, bool(article))
-        if not skipped:
-            tags.append(name)
+        is_main = name == "main" or any(kind == "role" and ["main"] in own for kind, own in names)
+        if name not in ARTICLE and not is_main:
+            tags.append(_token(name, names))
+        if name in VOID:
+            continue
+        if name == "p":  # it ends with the next block
+            paragraph = bool(attributes) and _skips(name, names, attributes, article)
+            continue
+        stack.append((name, (skipped, dropped, article, main)))
+        article = article or name == "article"
+        main = main or is_main
+        skipped = skipped or _skips(name, names, attributes, article)
     close()
     return found
 
 
 @dataclass
 class Weights:
-    """Scores of a word, a word inside a link, and of tags by name."""
+    """Scores of a word, a word inside a link, and of tags by element and class.
+
+    Words of elements that are boilerplate by name or class count nothing. Tags that no labelled page has count ``other``,
+    or ``listed`` where a word of their class is one of boilerplate.
+    """
 
     word: float = 1.0
     linked: float = -0.5
     tags: dict[str, float] | None = None
-    other: float = -1.5
+    other: float = -0.5
+    listed: float = -1.5
+
+    def tag(self, token: str) -> float:
+        found = (self.tags or {}).get(token)
+        if found is not None:
+            return found
+        name, _, words = token.partition(".")
+        return self.listed if name in SKIPPED or (name not in HEADINGS and any(map(_listed, words.split("-")))) else self.other
 
     def score(self, block: Block) -> float:
-        own = self.tags or {}
-        return (block.words - block.linked) * self.word + block.linked * self.linked + sum(own.get(t, self.other) for t in block.tags)
+        plain = 0.0 if block.skipped else (block.words - block.linked) * self.word
+        return plain + block.linked * self.linked + sum(map(self.tag, block.tags))
 
 
 def tally(pages: list[str]) -> Counter:
@@ -172,9 +210,10 @@ def tally(pages: list[str]) -> Counter:
     counts: Counter = Counter()
     for page in pages:
         every = blocks(page)
-        if any(b.article for b in every):
+        by_article = any(b.article for b in every)
+        if by_article or any(b.main for b in every):
             for b in every:
-                inside = bool(b.article) and not b.skipped
+                inside = (b.article if by_article else b.main) and not b.skipped
                 counts["word", inside] += b.words - b.linked
                 counts["linked", inside] += b.linked
                 counts.update(("tag:" + t, inside) for t in b.tags)
@@ -182,15 +221,15 @@ def tally(pages: list[str]) -> Counter:
 
 
 def weigh(counts: Counter) -> Weights:
-    """Weights from counts of tokens: log-odds of being inside, words at least 0.1 and tags at most -0.1."""
+    """Weights from counts of tokens: log-odds of being inside, within bounds, so that no tag outweighs a sentence."""
     if not counts:
         return Weights()
 
     def odds(kind: str) -> float:
         return math.log((counts[kind, True] + 1) / (counts[kind, False] + 1))
 
-    tags = {k[4:]: min(-0.1, odds(k)) for k, _ in counts if k.startswith("tag:")}
-    return Weights(max(0.1, odds("word")), min(-0.1, odds("linked")), tags, -0.5)
+    tags = {k[4:]: max(-2.0, min(-0.1, odds(k))) for k, _ in counts if k.startswith("tag:")}
+    return Weights(min(1.0, max(0.1, odds("word"))), max(-0.5, min(-0.1, odds("linked"))), tags)
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -205,21 +244,18 @@ def region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """The content region's blocks, one a line.
+def content(page: str | None, weights: Weights) -> list[Block]:
+    """The blocks of the page's content region, boilerplate inside it too."""
+    every = blocks(page or "")
+    if not every:
+        return []
+    a, b = region([weights.score(x) for x in every])
+    return every[a:b]
 
-    A region that lies mostly in marked articles is widened to all of these; boilerplate blocks never count.
-    """
-    own = [b for b in blocks(page or "") if not b.skipped]
-    if not own:
-        return ""
-    a, b = region([weights.score(x) for x in own])
-    chosen = own[a:b]
-    inside = sum(x.words for x in chosen if x.article)
-    if 2 * inside >= sum(x.words for x in chosen):
-        numbers = {x.article for x in chosen if x.article}
-        chosen = [x for x in own if x.article in numbers]
-    return "\n".join(x.text for x in chosen)
+
+def main_text(page: str | None, weights: Weights) -> str:
+    """The content region's blocks without boilerplate elements, one a line."""
+    return "\n".join(b.text for b in content(page, weights) if not b.skipped)
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

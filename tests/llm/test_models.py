@@ -1,7 +1,9 @@
 """HTML extraction, nearest neighbours, LM scoring, language ID and toxicity: brute force, proper sums, held-out accuracy."""
 
+import html
 import math
 import random
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -34,13 +36,55 @@ def test_extracts_the_article_without_marks():
     assert html_text.main_text(PAGE, html_text.Weights()) == want
 
 
-def test_marked_articles_match_their_blocks(spark):
+def plain_article(page):
+    """The article's lines, read with plain patterns: the test tables hold <h1>, <p>, <br>, <b> and character references."""
+    inner = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    lines = re.split(r"</?(?:h1|p|br)[^>]*>", re.sub(r"(?s)<!--.*?-->|</?b>", "", inner))
+    return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in lines) if t)
+
+
+def test_articles_match_plain_patterns(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {r.page_id: plain_article(r.html) for r in pages.collect()}
+
+
+def test_the_scan_finds_the_article_without_marks(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = html_text.learn(pages)
     for r in pages.collect():
-        inner = r.html.split("<article>", 1)[1].split("</article>", 1)[0]
-        text = "\n".join(b.text for b in html_text.blocks(inner))
-        assert got[r.page_id] == text and "<" not in html_text.TOKEN.sub("", text)[:0]
+        bare = re.sub(r"</?article>", "", r.html)
+        every, found = html_text.blocks(bare), html_text.content(bare, weights)
+        assert "\n".join(b.text for b in found) == plain_article(r.html)  # the bounds alone, no list
+        assert len(every) - len(found) >= 3  # a menu, an advert and a footer at least
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p class="advert">Buy</p><p>Some text of the page</p><p hidden>no</p>', "Some text of the page"),
+        ('<p>Read <span class="advert">Buy <span>now</span> cheap stuff</span>this line to its end</p>', "Read this line to its end"),
+        ("<p>Some text of the page</p><div class=\"ad\" data-u=/x/>Buy this</div><p>and more of the text</p>", "Some text of the page\nand more of the text"),
+        ('<div class="post-header-form"><p>Some text of the page</p></div>', "Some text of the page"),
+        ('<div class="content has-sidebar"><p>Some text of the page</p></div>', "Some text of the page"),
+        ('<main><article><p>The article itself and its words</p></article><section class="comments"><p>I like it</p></section></main>', "The article itself and its words"),
+        ("<figure><img src=x><figcaption>A caption of the figure</figcaption></figure><p>Some text of the page</p>", "A caption of the figure\nSome text of the page"),
+        ('<div class="site-footer"><p>All rights of this page are reserved</p></div>', ""),
+    ],
+)
+def test_marks_of_boilerplate(page, want):
+    assert html_text.main_text(page, html_text.Weights()) == want
+
+
+def test_region_scores_match_brute_force():
+    weights = html_text.Weights(0.8, -0.4, {"p": -0.2, "div.ad": -5.0})
+    page = '<nav><a href=/>Home</a></nav><div class="ad">Buy this now</div><h1>Title here</h1><p>Some words of <a href=x>linked text</a> here</p><footer>All rights</footer>'
+    every = html_text.blocks(page)
+    scores = [weights.score(b) for b in every]
+    # nav -1.5 (listed), a -0.5, one linked word; ad -5; h1 -0.5 and two words; p -0.2, a -0.5, four words and two linked; footer -1.5
+    assert np.allclose(scores, [-2.4, -5.0, 1.1, 1.7, -1.5])
+    best = max(((i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), key=lambda x: sum(scores[x[0] : x[1]]))
+    assert html_text.content(page, weights) == every[best[0] : best[1]]
 
 
 def test_odd_pages(spark):
