@@ -1,14 +1,15 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) * P(token | class). The class comes from a softmax over hashed n-gram and skip
-features of the three tokens before: the last class, the last two classes, skipped classes, the last word and a skipped
-word. Within its class a token has its smoothed share of all training tokens. Classes are clusters of tokens with like
-neighbours, so they follow language and style.
+P(token | history) = P(class | history) * P(unit | class, history) * P(token | unit). Two softmaxes over hashed n-gram and
+skip features of the tokens before: the class from the last classes, skipped ones, the last word and a skipped word; the
+unit within its class from the class with the last word, a skipped word and the last two classes. A frequent word is a unit
+of its own; other words share the unit of their ending, and there a word has its smoothed share of the training tokens.
+Classes are clusters of units with like neighbours, so they follow language and style.
 
 Counts of words and of neighbours cover every training text and stay distributed. The ``TOP`` most frequent words, a bounded
-table, go to all tasks; a text's other words are looked up by a join. Only the softmax's table of weights is bounded: it is
-fitted on every training text. In each round every task makes gradient steps over its own texts, as many tasks as the texts
-have partitions, and the tasks' changes are averaged by slices of the weights, weighted by their tokens.
+table, go to all tasks; a text's other words are looked up by a join. Only the softmaxes' tables of weights are bounded: they
+are fitted on every training text. In each round every task makes gradient steps over its own texts, as many tasks as the
+texts have partitions, and the tasks' changes are averaged by slices of the weights, weighted by their tokens.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import cut, fold
 
 #: Words that all tasks know, at most; rounds of fitting.
-TOP, ROUNDS = 200_000, 3
-#: Units that get a class: the most frequent words on their own, others by a hash of their ending; hashed neighbours.
+TOP, ROUNDS = 200_000, 1
+#: Units: the most frequent words on their own, others by a hash of their ending; hashed neighbours.
 OWN, ENDINGS, NEIGHBOURS = 2000, 512, 64
-CLASSES, SINGLE = 64, 16  # classes in all; classes of one frequent word each
-BITS = 14  # rows of the softmax's weights
+GROUPS, MEMBERS = 16, 128  # clusters of units; units of a class, at most: larger clusters are several classes
+BITS = 14  # rows of each softmax's weights
 SLICES, GROUP = 16, 32  # slices of the weights; tasks whose changes are averaged first
 OFTEN = 24  # tokens of a step from which a row of the weights is summed on its own
 END = b""  # the end of a text, which no word equals
@@ -83,18 +84,20 @@ def frequent(counts: DataFrame, top: int = TOP) -> list[tuple[bytes, int]]:
 
 @dataclass
 class Model:
-    """What every task knows: bounded by ``TOP`` words and the size of the softmax."""
+    """What every task knows: bounded by ``TOP`` words and the size of the softmaxes."""
 
     ids: dict[bytes, int]  # the frequent words
     n: np.ndarray  # their counts
+    unit_of: np.ndarray  # their units
     unit_class: np.ndarray  # classes of units: OWN words, then ENDINGS
+    unit_member: np.ndarray  # places of units in their class
+    unit_n: np.ndarray  # training tokens and different words of each unit
+    unit_v: np.ndarray
     weights: np.ndarray  # rows, classes
     bias: np.ndarray
-    class_n: np.ndarray  # training tokens and different words of each class
-    class_v: np.ndarray
+    inner: np.ndarray  # rows, members: first a row for each class, then hashed ones
     tokens: int
     words: int
-    unit_of: np.ndarray  # units of the frequent words
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each word: its id (-1 if it is not frequent) and its unit."""
@@ -104,22 +107,23 @@ class Model:
         units[rest] = [OWN + _ending(words[i]) for i in rest.tolist()]
         return ids, units
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        return self.unit_class[self.units(words)[1]]
+    def rows(self, units: np.ndarray, marks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of both softmaxes' weights for each token."""
+        return features(self.unit_class[units], marks, first, len(self.bias))
 
 
-START = CLASSES  # the class of what stands before a text
+def features(classes: np.ndarray, marks: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the weights for each token: of the classes' softmax (tokens, 6) and of the units' (tokens, 4).
 
-
-def features(classes: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of the weights for each token: (tokens, 6). ``first``: where texts start; ``marks``: numbers of the words."""
+    ``first``: where texts start; ``marks``: numbers of the words; ``none``: the class of what stands before a text.
+    """
     n = len(classes)
     at = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
 
     def before(x: np.ndarray, k: int, none: int) -> np.ndarray:
         return np.where(at >= k, np.r_[np.full(min(k, n), none), x[: max(0, n - k)]], none)
 
-    c1, c2, c3 = (before(classes, k, START) for k in (1, 2, 3))
+    c1, c2, c3 = (before(classes, k, none) for k in (1, 2, 3))
     w1, w2 = (before(marks, k, -1) for k in (1, 2))
     mask = np.uint64((1 << BITS) - 1)
 
@@ -130,7 +134,9 @@ def features(classes: np.ndarray, marks: np.ndarray, first: np.ndarray) -> np.nd
             h ^= h >> np.uint64(29)
         return (h & mask).astype(np.int64)
 
-    return np.stack([row(1, c1), row(2, c1, c2), row(3, c2), row(4, c3), row(5, w1), row(6, w2)], 1)
+    outer = np.stack([row(1, c1), row(2, c1, c2), row(3, c2), row(4, c3), row(5, w1), row(6, w2)], 1)
+    inner = np.stack([classes, *(none + row(kind, classes, *x) for kind, *x in ((11, w1), (12, w2), (14, c1, c2)))], 1)
+    return outer, inner
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -143,7 +149,7 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
 
 
 def gold_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray, batch: int = 2048) -> np.ndarray:
-    """The log probability of each token's class."""
+    """The log probability of each token's class, or unit in its class."""
     found = np.empty(len(classes))
     for a in range(0, len(classes), batch):
         own, gold = rows[a : a + batch], classes[a : a + batch]
@@ -178,7 +184,8 @@ class Steps:
         self.weights, self.bias = weights.copy(), bias.copy()
         self.grown, self.grown_bias = np.full(len(weights), 1e-1, np.float32), np.full_like(bias, 1e-1)
 
-    def run(self, rows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 2048) -> None:
+    def run(self, rows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 2048, free: bool = True) -> None:
+        """``free``: the bias takes steps too."""
         for a in range(0, len(classes), batch):
             own, gold = rows[a : a + batch], classes[a : a + batch]
             g = np.exp(log_softmax(self.weights, self.bias, own))
@@ -188,6 +195,8 @@ class Steps:
             self.grown[used] += np.einsum("ij,ij->i", step, step) / np.float32(step.shape[1])
             step *= (np.float32(rate) / np.sqrt(self.grown[used]))[:, None]
             self.weights[used] -= step
+            if not free:
+                continue
             step = g.sum(0) / np.float32(32)
             self.grown_bias += step**2
             self.bias -= rate * step / np.sqrt(self.grown_bias)
@@ -281,18 +290,21 @@ def cluster(table: np.ndarray, sizes: np.ndarray, groups: int, rounds: int = 12)
     return label
 
 
-def _changes(weights: np.ndarray, bias: np.ndarray, unit_of: np.ndarray, unit_class: np.ndarray, rate: float):
+def _changes(model: Model, rate: float):
     """A task's part of a round: its changed weights by slices, with its number of tokens."""
+    weights, bias, inner, unit_of, unit_class, unit_member = model.weights, model.bias, model.inner, model.unit_of, model.unit_class, model.unit_member
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, n = Steps(weights, bias), 0
+        steps, within, n = Steps(weights, bias), Steps(inner, np.zeros(MEMBERS, np.float32)), 0
         for marks, units, first in _coded(batches, unit_of):
             classes = unit_class[units]
-            steps.run(features(classes, marks, first), classes, rate)
+            outer_rows, inner_rows = features(classes, marks, first, len(bias))
+            steps.run(outer_rows, classes, rate)
+            within.run(inner_rows, unit_member[units], rate, free=False)
             n += len(marks)
         if n:
             group = TaskContext.get().partitionId() // GROUP
-            cuts = np.array_split(np.vstack([steps.weights, steps.bias]), SLICES)
+            cuts = np.array_split(np.concatenate([steps.weights.ravel(), steps.bias, within.weights.ravel()]), SLICES)
             columns = [pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([float(n)] * SLICES), pa.array([c.tobytes() for c in cuts], pa.binary())]
             yield pa.record_batch(columns, names=["slice", "grp", "tokens", "part"])
 
@@ -314,26 +326,39 @@ def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_round(codes: DataFrame, model: Model, rate: float) -> float:
     """One round over all texts of ``codes``: the model takes the averaged weights; returns the number of tokens seen."""
     schema = "slice int, tokens double, part binary"
-    parts = codes.mapInArrow(_changes(model.weights, model.bias, model.unit_of, model.unit_class, rate), "slice int, grp int, tokens double, part binary")
+    parts = codes.mapInArrow(_changes(model, rate), "slice int, grp int, tokens double, part binary")
     few = parts.repartition("slice", "grp").drop("grp").mapInArrow(_averages, schema)  # so no task meets all tasks' weights
     found = sorted(few.repartition(SLICES, "slice").mapInArrow(_averages, schema).collect(), key=lambda r: r.slice)
-    joined = np.concatenate([np.frombuffer(bytes(r.part), np.float32) for r in found]).reshape(-1, CLASSES)
-    model.weights, model.bias = joined[:-1].copy(), joined[-1].copy()
+    joined = np.concatenate([np.frombuffer(bytes(r.part), np.float32) for r in found])
+    outer, bias, inner = np.split(joined, [model.weights.size, model.weights.size + model.bias.size])
+    model.weights, model.bias, model.inner = outer.reshape(model.weights.shape).copy(), bias.copy(), inner.reshape(model.inner.shape).copy()
     return found[0].tokens
 
 
-def _class_totals(model: Model):
+def _unit_totals(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+        n, v = np.zeros(OWN + ENDINGS), np.zeros(OWN + ENDINGS)
         for batch in batches:
-            classes = model.classes(batch.column("word").to_pylist())
-            n += np.bincount(classes, batch.column("n").to_numpy(), minlength=CLASSES)
-            v += np.bincount(classes, minlength=CLASSES)
-        yield pa.record_batch([pa.array(np.arange(CLASSES)), pa.array(n.astype(np.int64)), pa.array(v.astype(np.int64))], names=["class", "n", "v"])
+            units = model.units(batch.column("word").to_pylist())[1]
+            n += np.bincount(units, batch.column("n").to_numpy(), minlength=len(n))
+            v += np.bincount(units, minlength=len(v))
+        at = np.flatnonzero(v)
+        yield pa.record_batch([pa.array(at), pa.array(n[at].astype(np.int64)), pa.array(v[at].astype(np.int64))], names=["unit", "n", "v"])
 
     return run
 
 
+def classes_of(labels: np.ndarray, sizes: np.ndarray, most: int = MEMBERS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of units and places in them, from clusters: one of more than ``most`` units is cut, the frequent ones first."""
+    classes, members, n = np.zeros(len(labels), np.int64), np.zeros(len(labels), np.int64), 0
+    for label in np.unique(labels):
+        own = np.flatnonzero(labels == label)
+        own = own[np.argsort(-sizes[own], kind="stable")]
+        classes[own], members[own] = n + np.arange(len(own)) // most, np.arange(len(own)) % most
+        n += -(-len(own) // most)
+    return classes, members
+
+
 def train(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """A model from all rows of ``docs`` (doc_id, text), and the distributed counts of its words.
 
@@ -344,7 +369,10 @@ def train(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds:
     known = frequent(counts, top)
     ids = {w: i for i, (w, _) in enumerate(known)}
     units = OWN + ENDINGS
-    model = Model(ids, np.array([n for _, n in known], np.int64), np.zeros(units, np.int64), np.zeros((1 << BITS, CLASSES), np.float32), np.zeros(CLASSES, np.float32), np.zeros(CLASSES), np.zeros(CLASSES), tokens, words, np.array([i if i < OWN else OWN + _ending(w) for i, (w, _) in enumerate(known)], np.int64))
+    unit_of = np.array([i if i < OWN else OWN + _ending(w) for i, (w, _) in enumerate(known)], np.int64)
+    classes, members = classes_of(np.zeros(units, np.int64), np.zeros(units))
+    c = int(classes.max()) + 1
+    model = Model(ids, np.array([n for _, n in known], np.int64), unit_of, classes, members, np.zeros(units), np.zeros(units), np.zeros((1 << BITS, c), np.float32), np.zeros(c, np.float32), np.zeros((c + (1 << BITS), MEMBERS), np.float32), tokens, words)
     rows = ids and counts.filter(F.col("word") == F.lit(END)).select("n").first()[0]
     if not rows:
         return model, counts
@@ -357,16 +385,16 @@ def train(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds:
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     table = table.reshape(units, -1)
     sizes = table[:, :NEIGHBOURS].sum(1)
-    model.unit_class = SINGLE + cluster(table, sizes, CLASSES - SINGLE)
-    single = min(SINGLE, len(known))
-    model.unit_class[:single] = np.arange(single)
-    if END in ids and ids[END] < OWN and ids[END] >= single:  # the end of a text is a class of its own
-        model.unit_class[single - 1] = SINGLE + (single - 1) % (CLASSES - SINGLE)
-        model.unit_class[ids[END]] = single - 1
-    totals = counts.mapInArrow(_class_totals(model), "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    for r in totals:
-        model.class_n[r["class"]], model.class_v[r["class"]] = r.n, r.v
-    model.bias = np.log((model.class_n + 1) / (tokens + CLASSES)).astype(np.float32)
+    for r in counts.mapInArrow(_unit_totals(model), "unit long, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        model.unit_n[r.unit], model.unit_v[r.unit] = r.n, r.v
+    model.unit_class, model.unit_member = classes_of(cluster(table, sizes, GROUPS), model.unit_n)
+    c = int(model.unit_class.max()) + 1
+    model.weights = np.zeros((1 << BITS, c), np.float32)
+    model.bias = np.log((np.bincount(model.unit_class, model.unit_n, c) + 1) / (tokens + c)).astype(np.float32)
+    model.inner = np.zeros((c + (1 << BITS), MEMBERS), np.float32)
+    model.inner[:c] = -30  # places without a unit
+    model.inner[model.unit_class, model.unit_member] = np.log(model.unit_n + 1)
+    model.inner[:c] -= np.log(np.exp(model.inner[:c].astype(np.float64)).sum(1, keepdims=True)).astype(np.float32)
     for k in range(rounds):
         fit_round(codes, model, 0.1 / (1 + k))
     return model, counts
@@ -379,14 +407,16 @@ def _scores(model: Model):
         rid = TaskContext.get().partitionId() << 33
         n = np.r_[model.n, 0]
         whole = np.log10(model.tokens + 0.5 * (model.words + 1))
-        part = np.log10(model.class_n + 0.5 * (model.class_v + 1))
         share = np.r_[np.log10(model.n + 0.5), 0.0]  # the last is that of words to be joined
+        in_unit = np.where(np.r_[model.unit_of, OWN] < OWN, 0.0, share)  # a frequent word is all of its unit
+        part = np.log10(model.unit_n + 0.5 * (model.unit_v + 1))
+        part[:OWN] = 0.0
+        none = np.zeros(MEMBERS, np.float32)
         for batch, texts in _parts(batches, 500_000):
             words, first = _tokens(texts)
             ids, units = model.units(words)
-            classes = model.unit_class[units]
-            rows = features(classes, np.where(ids >= 0, ids, -2 - units), first)
-            by_class = gold_logs(model.weights, model.bias, rows, classes)
+            outer, inner = model.rows(units, np.where(ids >= 0, ids, -2 - units), first)
+            logs = gold_logs(model.weights, model.bias, outer, model.unit_class[units]) + gold_logs(model.inner, none, inner, model.unit_member[units])
             end = np.r_[first[1:], len(words)]
             rest = np.flatnonzero(ids < 0)
             cuts = np.searchsorted(rest, np.r_[first, len(words)]).astype(np.int32)
@@ -397,7 +427,7 @@ def _scores(model: Model):
                 pa.array(end - first),
                 pa.array(np.add.reduceat((ids >= 0) & (n[ids] > 0), first, dtype=np.int64)),
                 pa.array(np.add.reduceat(share[ids] - whole, first)),
-                pa.array(np.add.reduceat(share[ids] + by_class / np.log(10) - part[classes], first)),
+                pa.array(np.add.reduceat(in_unit[ids] + logs / np.log(10) - part[units], first)),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array([words[i] for i in rest.tolist()], pa.binary())),
             ]
             rid += len(texts)
