@@ -8,10 +8,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fields that must be equal for arithmetic, with the code of a difference, in order.
-INCOMPATIBLE = (("metric_id", "METRIC_MISMATCH"), ("population", "POPULATION_MISMATCH"), ("filters", "FILTERS_MISMATCH"), ("spec_hash", "SPEC_MISMATCH"), ("geography", "GEOGRAPHY_MISMATCH"), ("value_basis", "VALUE_BASIS_MISMATCH"), ("origin", "ORIGIN_MISMATCH"), ("dims", "DIMENSIONS_MISMATCH"))
-METHODS = ("download", "api", "manual", "scrape")
-CREDENTIALS = r"(?i)(api[_-]?key|token|secret|password|passwd|authorization|signature)"
+#: Fields that must be equal for arithmetic, with the code of a difference, in order.
+INCOMPATIBLE = (
+    ("metric_id", "INCOMPATIBLE_METRIC"),
+    ("population", "INCOMPATIBLE_POPULATION"),
+    ("filters", "INCOMPATIBLE_FILTERS"),
+    ("parameters", "INCOMPATIBLE_PARAMETERS"),
+    ("spec_hash", "INCOMPATIBLE_SPEC"),
+    ("geography", "INCOMPATIBLE_GEOGRAPHY"),
+    ("value_basis", "INCOMPATIBLE_VALUE_BASIS"),
+    ("origin", "INCOMPATIBLE_ORIGIN"),
+    ("dims", "INCOMPATIBLE_DIMENSIONS"),
+)
+PERIOD = ("basis", "start", "end", "windows")
+#: How a dataset may have been retrieved, and names of parameters that carry a secret.
+METHODS = ("api", "download", "manual_export", "fixture", "user_provided")
+CREDENTIALS = r"(?i)(^id$|app_?id|api_?key|key$|token|secret|passw|credential|authorization|signature)"
 
 
 def _codes(*codes: Column) -> Column:
@@ -19,20 +31,31 @@ def _codes(*codes: Column) -> Column:
 
 
 def compare_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs of structs ``prev`` and ``cur`` (fields of ``INCOMPATIBLE``, period, value, source, flagged) with absolute and
-    relative change, direction, warnings. Any warning suppresses arithmetic; ``review`` codes do not."""
+    """Pairs of structs ``prev`` and ``cur`` (fields of ``INCOMPATIBLE``, basis, start, end, windows, value, source, flagged)
+    with absolute and relative change, direction, warnings. Any warning suppresses arithmetic; ``review`` codes do not.
+
+    Periods must share a calendar basis and a number of windows, and follow each other without overlap; ``end`` is the first
+    day after the period. A side without a source has no provenance.
+    """
     p, c = F.col("prev"), F.col("cur")
-    warnings = _codes(*[F.when(~p[f].eqNullSafe(c[f]), code) for f, code in INCOMPATIBLE], F.when(p["period"] >= c["period"], "PERIOD_ORDER"), F.when(p["value"].isNull() | c["value"].isNull(), "MISSING_VALUE"))
+    bare = lambda s: F.coalesce(F.trim(s["source"]), F.lit("")) == ""
+    ordered = (p["basis"] == c["basis"]) & (p["windows"] == c["windows"]) & (c["start"] >= p["end"]) & (c["start"] > p["start"])
+    warnings = _codes(
+        F.when(bare(p) | bare(c), "INVALID_PROVENANCE"),
+        *[F.when(~p[f].eqNullSafe(c[f]), code) for f, code in INCOMPATIBLE],
+        F.when(~F.coalesce(ordered, F.lit(False)), "INCOMPATIBLE_PERIOD"),
+        F.when(p["value"].isNull() | c["value"].isNull(), "MISSING_OR_NON_NUMERIC_VALUE"),
+    )
     ok = warnings == ""
     change = F.when(ok, c["value"] - p["value"])
     review = F.when(ok, _codes(F.when(p["value"] == 0, "ZERO_BASELINE"), F.when(~p["source"].eqNullSafe(c["source"]), "SOURCE_CHANGED"), F.when(p["flagged"] | c["flagged"], "QUALITY_FLAGS_PRESENT"))).otherwise("")
-    direction = F.when(change > 0, "UP").when(change < 0, "DOWN").when(change == 0, "FLAT")
+    direction = F.when(change > 0, "increase").when(change < 0, "decrease").when(change == 0, "unchanged").otherwise("unknown")
     return pairs.select("*", F.round(change, 4).alias("absolute"), F.round(F.try_divide(change, F.abs(p["value"])), 9).alias("relative"), direction.alias("direction"), warnings.alias("warnings"), review.alias("review"))
 
 
 def compare_series(observations: DataFrame, group: str, order: str) -> DataFrame:
     """Adjacent pairs of each group in the caller's order, never sorted otherwise."""
-    fields = [f for f, _ in INCOMPATIBLE] + ["period", "value", "source", "flagged"]
+    fields = [*[f for f, _ in INCOMPATIBLE], *PERIOD, "value", "source", "flagged"]
     rows = observations.select(group, order, F.struct(*fields).alias("cur")).withColumn("prev", F.lag("cur").over(Window.partitionBy(group).orderBy(order)))
     return compare_pairs(rows.filter("prev is not null"))
 
@@ -86,11 +109,22 @@ def manifest_compatibility(manifests: DataFrame) -> DataFrame:
 
 
 def manifest_validate(manifests: DataFrame) -> DataFrame:
-    """Violations (dataset_id, code) of manifests (dataset_id, source_name, method, retrieved_at, parameters MAP, url)."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    keyed = F.exists(F.map_keys("parameters"), lambda k: k.rlike(CREDENTIALS))
-    query = F.coalesce(F.regexp_extract("url", r"[?](.*)$", 1), F.lit("")).rlike(r"(?i)(^|&)[^=&]*(api[_-]?key|token|secret|password|passwd|authorization|signature)[^=&]*=")
-    codes = F.array_compact(F.array(F.when(blank(F.col("source_name")), "SOURCE_NAME_REQUIRED"), F.when(blank(F.col("retrieved_at")), "RETRIEVED_AT_REQUIRED"), F.when(~F.coalesce(F.col("method").isin(*METHODS), F.lit(False)), "UNKNOWN_METHOD"), F.when(F.coalesce(keyed, F.lit(False)), "CREDENTIAL_PARAMETER"), F.when(query, "CREDENTIAL_IN_URL")))
+    """Violations (dataset_id, code) of manifests (dataset_id, source_name, schema_id, method, retrieved_at, parameters MAP,
+    url). A name that may carry a secret is one, in the map and in the URL's query."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    secret = lambda keys: F.coalesce(F.exists(keys, lambda k: k.rlike(CREDENTIALS)), F.lit(False))
+    query = F.transform(F.split(F.regexp_extract("url", r"[?]([^#]*)", 1), "&"), lambda part: F.get(F.split(part, "="), F.lit(0)))
+    codes = F.array_compact(
+        F.array(
+            F.when(blank("source_name"), "SOURCE_NAME_REQUIRED"),
+            F.when(blank("dataset_id"), "DATASET_ID_REQUIRED"),
+            F.when(blank("method"), "METHOD_REQUIRED").when(~F.col("method").isin(*METHODS), "UNKNOWN_METHOD"),
+            F.when(blank("retrieved_at"), "RETRIEVED_AT_REQUIRED"),
+            F.when(blank("schema_id"), "SCHEMA_ID_REQUIRED"),
+            F.when(secret(F.map_keys("parameters")), "CREDENTIAL_PARAMETER"),
+            F.when(secret(query), "CREDENTIAL_IN_URL"),
+        )
+    )
     return manifests.select("dataset_id", F.explode(codes).alias("code"))
 
 

@@ -20,21 +20,60 @@ def blank(c: str):
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
-def validate_artifacts(artifacts: DataFrame, metrics: DataFrame, results: DataFrame, datasets: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(artifact_id, code): required fields, hash format, repeated ids, references that lead nowhere, datasets without
-    provenance, periods that end before they start, and missing results that have a value or the reverse."""
+def validate_artifacts(artifacts: DataFrame, metrics: DataFrame, results: DataFrame, datasets: DataFrame, provenance: DataFrame, schema: tuple[str, str]) -> DataFrame:
+    """(artifact_id, code), one row a violated rule of each artifact.
+
+    artifacts: artifact_id, schema, version, producer, producer_version, generated_at, artifact_hash, subject_namespace,
+    subject_id, spec_kind, spec_reference, spec_hash, period_start, period_end, population, engine, engine_version,
+    deterministic. metrics: artifact_id, metric_id, name, unit. results: artifact_id, metric_id, period_start, period_end,
+    value, missing. datasets: artifact_id, dataset_id, version, hash. provenance: artifact_id, dataset_id, source,
+    retrieved_at. ``schema``: name and version that are supported. Rows of unknown artifacts are judged too.
+    """
+    hashed = lambda c: F.coalesce(F.col(c).rlike(HASH), F.lit(False))
+    backward = F.coalesce(F.col("period_start") > F.col("period_end"), F.lit(True))
+    subject = F.col("subject_namespace").isNotNull() | F.col("subject_id").isNotNull()
+    lacks = lambda rows, code: artifacts.select("artifact_id").join(rows, "artifact_id", "left_anti").select("artifact_id", F.lit(code).alias("code"))
+    twice = lambda rows, key, code: rows.groupBy("artifact_id", key).count().filter("count > 1").select("artifact_id", F.lit(code).alias("code"))
+    astray = lambda rows, known, key, code: rows.join(known, ["artifact_id", key], "left_anti").select("artifact_id", F.lit(code).alias("code"))
     found = [
-        _codes(artifacts, "artifact_id", PRODUCER_REQUIRED=blank("producer"), BAD_HASH=~F.col("artifact_hash").rlike(HASH), BAD_PERIOD=F.col("period_start") > F.col("period_end")),
-        metrics.groupBy("artifact_id", "metric_id").count().filter("count > 1").select("artifact_id", F.lit("DUPLICATE_METRIC").alias("code")),
-        results.join(metrics, ["artifact_id", "metric_id"], "left_anti").select("artifact_id", F.lit("UNKNOWN_METRIC").alias("code")).distinct(),
-        results.filter(F.col("missing") == F.col("value").isNotNull()).select("artifact_id", F.lit("MISSING_MISMATCH").alias("code")).distinct(),
-        provenance.join(datasets, ["artifact_id", "dataset_id"], "left_anti").select("artifact_id", F.lit("UNKNOWN_DATASET").alias("code")).distinct(),
-        datasets.join(provenance, ["artifact_id", "dataset_id"], "left_anti").select("artifact_id", F.lit("DATASET_WITHOUT_PROVENANCE").alias("code")).distinct(),
+        _codes(
+            artifacts,
+            "artifact_id",
+            UNSUPPORTED_SCHEMA=~(F.col("schema").eqNullSafe(schema[0]) & F.col("version").eqNullSafe(schema[1])),
+            PRODUCER_REQUIRED=blank("producer") | blank("producer_version") | F.col("generated_at").isNull(),
+            SUBJECT_INCOMPLETE=subject & (blank("subject_namespace") | blank("subject_id")),
+            BAD_HASH=~hashed("artifact_hash"),
+            SPEC_REQUIRED=blank("spec_kind") | blank("spec_reference"),
+            BAD_SPEC_HASH=~hashed("spec_hash"),
+            BAD_PERIOD=backward,
+            POPULATION_REQUIRED=blank("population"),
+            COMPUTATION_REQUIRED=blank("engine") | blank("engine_version") | ~F.coalesce("deterministic", F.lit(False)),
+        ),
+        lacks(datasets, "DATASETS_REQUIRED"),
+        lacks(metrics, "METRICS_REQUIRED"),
+        lacks(results, "RESULTS_REQUIRED"),
+        lacks(provenance, "PROVENANCE_REQUIRED"),
+        _codes(datasets, "artifact_id", DATASET_INCOMPLETE=blank("dataset_id") | blank("version"), BAD_DATASET_HASH=~hashed("hash")),
+        twice(datasets, "dataset_id", "DUPLICATE_DATASET"),
+        _codes(metrics, "artifact_id", METRIC_INCOMPLETE=blank("metric_id") | blank("name") | blank("unit")),
+        twice(metrics, "metric_id", "DUPLICATE_METRIC"),
+        astray(results, metrics, "metric_id", "UNKNOWN_METRIC"),
+        _codes(results, "artifact_id", BAD_RESULT_PERIOD=backward, MISSING_MISMATCH=F.col("missing") == F.col("value").isNotNull()),
+        astray(provenance, datasets, "dataset_id", "UNKNOWN_DATASET"),
+        _codes(provenance, "artifact_id", PROVENANCE_INCOMPLETE=blank("source") | F.col("retrieved_at").isNull()),
+        astray(datasets, provenance, "dataset_id", "DATASET_WITHOUT_PROVENANCE"),
     ]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.distinct()
+
+
+def validate_provenance(datasets: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(artifact_id, code): references that lead to no dataset, and datasets (artifact_id, dataset_id) without provenance."""
+    lost = provenance.join(datasets, ["artifact_id", "dataset_id"], "left_anti").select("artifact_id", F.lit("UNKNOWN_DATASET").alias("code"))
+    bare = datasets.join(provenance, ["artifact_id", "dataset_id"], "left_anti").select("artifact_id", F.lit("DATASET_WITHOUT_PROVENANCE").alias("code"))
+    return lost.unionByName(bare).distinct()
 
 
 def validate_temporal(results: DataFrame, headers: DataFrame) -> DataFrame:

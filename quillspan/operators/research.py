@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.places import placed
 from quillspan.functions.values import need_key
 
 #: Words of a need that name its category; the first category that has one counts.
@@ -34,12 +35,24 @@ REQUIREMENTS = (
 DEPENDENT = ("COMPARISON", "PRE_PERIOD", "CONFOUNDER", "EXTERNAL_CONTEXT")
 PREREQUISITE = ("MEASUREMENT", "SOURCE_QUALITY")
 #: Order of validation states, weakest first.
-RANKS = {"CONTRADICTED": 0, "INSUFFICIENT_EVIDENCE": 1, "UNTESTED": 1, "PARTIALLY_SUPPORTED": 2, "PLAUSIBLE": 3, "SUPPORTED": 4}
+RANKS = {"CONTRADICTED": -1, "UNTESTED": 0, "INSUFFICIENT_EVIDENCE": 1, "PLAUSIBLE": 2, "PARTIALLY_SUPPORTED": 3, "SUPPORTED": 4}
 #: Wording that claims a cause, or everything.
 CAUSAL = r"(?i)\b(caus(e|ed|es|ing)|because( of)?|due to|led to|leads? to|lead to|result(ed|s)? in|drives?|drove|driven by|effect of|impact of|attributable to)\b|が原因|のせいで|によって|により|をもたらし|を引き起こ|効果があった|押し上げ"
 UNIVERSAL = r"(?i)\b(all|always|never|every|everyone|everybody|no one|nobody|universally|in every case)\b|すべて|全て|必ず|常に|誰もが|一切|例外なく"
 
 
+#: Origins of expectations, by whether the data could have been seen; two older names; those that need a source.
+BEFORE = ("PRIOR", "LITERATURE", "DOMAIN_KNOWLEDGE", "DERIVED_FROM_PRIOR_RUN")
+AFTER = ("MODEL_PROPOSED_POST_HOC", "HUMAN_POST_HOC", "MODEL_PROPOSED")
+UNTIMED = ("OTHER", "UNKNOWN", "SOURCE_BACKED")
+SOURCED = ("LITERATURE", "DOMAIN_KNOWLEDGE")
+#: Authors of expectations, kinds of assumptions and relations, directions, origins of scenario sets.
+AUTHORS = ("HUMAN", "MODEL", "IMPORTED")
+ASSUMPTIONS = ("OBSERVED_BASELINE", "EXOGENOUS_ASSUMPTION", "MODEL_ASSUMPTION", "HUMAN_ASSUMPTION", "POLICY_ASSUMPTION")
+RELATIONS = ("MUTUALLY_EXCLUSIVE", "OVERLAPPING", "NESTED", "CONFLICTING")
+DIRECTIONS = ("", "INCREASE", "DECREASE", "NO_CHANGE", "RANGE")
+
+
 def category(need: Column) -> Column:
     low = F.lower(F.coalesce(need, F.lit("")))
     return F.coalesce(*[F.when(F.greatest(*[F.contains(low, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(low, F.lit(words[0])), name) for name, words in CATEGORIES], F.lit("OTHER"))
@@ -69,8 +82,11 @@ def gap_dependencies(gaps: DataFrame) -> DataFrame:
     """(run, gap_id, depends_on): gaps that compare or adjust depend on open measurement and source gaps that share a
     hypothesis; from (run, gap_id, category, resolved, hypothesis), one row a hypothesis."""
     own = gaps.filter(F.col("category").isin(*DEPENDENT)).select("run", "hypothesis", "gap_id")
-    other = gaps.filter(F.col("category").isin(*PREREQUISITE) & ~F.col("resolved")).select("run", "hypothesis", F.col("gap_id").alias("other"))
-    return own.join(other, ["run", "hypothesis"]).filter("gap_id <> other").groupBy("run", "gap_id").agg(joined_set(F.lpad(F.col("other").cast("string"), 8, "0")).alias("depends_on"))
+    # One list a hypothesis, not one row a pair of gaps, meets the gaps that depend on it.
+    open_ones = gaps.filter(F.col("category").isin(*PREREQUISITE) & ~F.col("resolved")).groupBy("run", "hypothesis").agg(F.collect_set(F.lpad(F.col("gap_id").cast("string"), 8, "0")).alias("others"))
+    met = own.join(open_ones, ["run", "hypothesis"]).groupBy("run", "gap_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    others = F.array_remove("others", F.lpad(F.col("gap_id").cast("string"), 8, "0"))
+    return met.select("run", "gap_id", F.array_join(F.array_sort(others), ",").alias("depends_on")).filter("depends_on <> ''")
 
 
 def rank_requirements(gaps: DataFrame, states: DataFrame) -> DataFrame:
@@ -84,8 +100,8 @@ def rank_requirements(gaps: DataFrame, states: DataFrame) -> DataFrame:
     source = F.col("category")
     difficulty = F.when(~F.col("resolvable"), 4).when(source.isin("TIMING", "MEASUREMENT", "SOURCE_QUALITY"), 0).when(source.isin("PRE_PERIOD", "CONFOUNDER", "EXTERNAL_CONTEXT"), 1).when(source == "COMPARISON", 2).otherwise(3)
     rows = rows.withColumn("urgency", urgency).withColumn("difficulty", difficulty)
-    order = Window.partitionBy("run").orderBy(F.desc("power"), F.desc("urgency"), "difficulty", "need", "gap_id")
-    return rows.select("run", "gap_id", "power", "urgency", "difficulty", (F.col("hypotheses") >= 2).alias("can_distinguish"), ((F.col("hypotheses") >= 1) & (F.col("category") != "OTHER")).alias("can_falsify"), F.row_number().over(order).alias("rank"))
+    rows = placed(rows, ["run"], [-F.col("power"), -F.col("urgency"), F.col("difficulty"), F.col("need")], ["gap_id"], "rank")
+    return rows.select("run", "gap_id", "power", "urgency", "difficulty", (F.col("hypotheses") >= 2).alias("can_distinguish"), ((F.col("hypotheses") >= 1) & (F.col("category") != "OTHER")).alias("can_falsify"), "rank")
 
 
 def carry_forward_gaps(seen: DataFrame, iterations: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -114,8 +130,8 @@ def hypothesis_evolution(states: DataFrame) -> DataFrame:
     rows = states.groupBy("run", "seq", need_key(F.col("title")).alias("key")).agg(F.max_by("status", rank_of(F.col("status"))).alias("status"))
     prev = rows.select("run", "key", (F.col("seq") + 1).alias("seq"), F.col("status").alias("before"))
     rows = rows.join(prev, ["run", "key", "seq"], "left")
-    now, then = rank_of(F.col("status")), rank_of(F.col("before"))
-    change = F.when(F.col("before").isNull(), "CREATED").when((F.col("status") == "CONTRADICTED") & (F.col("before") != "CONTRADICTED"), "CONTRADICTED").when(now > then, "STRENGTHENED").when(now < then, "WEAKENED").otherwise("UNCHANGED")
+    now, then = rank_of(F.col("status")), F.greatest(rank_of(F.col("before")), F.lit(0))
+    change = F.when(F.col("before").isNull(), "CREATED").when(F.col("status") == F.col("before"), "UNCHANGED").when(F.col("status") == "CONTRADICTED", "CONTRADICTED").when(now > then, "STRENGTHENED").otherwise("WEAKENED")
     return rows.select("run", "key", "seq", "status", change.alias("change"))
 
 
@@ -129,10 +145,11 @@ def iteration_delta(lists: DataFrame) -> DataFrame:
 
 
 def hypothesis_summary(states: DataFrame) -> DataFrame:
-    """Counts of surviving, supported, strong and contradicted hypotheses per iteration, and the strongest's title."""
+    """Counts of surviving, supported (in part too), strong and contradicted hypotheses per iteration, and the title of the
+    strongest surviving one, NULL where none survives."""
     s = F.col("status")
-    best = F.min(F.struct((-rank_of(s)).alias("r"), "title"))
-    return states.groupBy("run", "seq").agg(F.count_if(s != "CONTRADICTED").alias("surviving"), F.count_if(s.isin("PARTIALLY_SUPPORTED", "PLAUSIBLE", "SUPPORTED")).alias("supported"), F.count_if(s.isin("PLAUSIBLE", "SUPPORTED")).alias("strong"), F.count_if(s == "CONTRADICTED").alias("contradicted"), best["title"].alias("strongest"))
+    best = F.min(F.when(s != "CONTRADICTED", F.struct((-rank_of(s)).alias("r"), "title")))
+    return states.groupBy("run", "seq").agg(F.count_if(s != "CONTRADICTED").alias("surviving"), F.count_if(s.isin("PARTIALLY_SUPPORTED", "SUPPORTED")).alias("supported"), F.count_if(s == "SUPPORTED").alias("strong"), F.count_if(s == "CONTRADICTED").alias("contradicted"), best["title"].alias("strongest"))
 
 
 def decision_readiness(runs: DataFrame) -> DataFrame:
@@ -196,21 +213,49 @@ def claim_evidence(basis: DataFrame, cited: DataFrame, evidence: DataFrame) -> D
     return rows.groupBy("claim_id").agg(n("support"), n("counter"), n("neutral"))
 
 
-def claim_flags(claims: DataFrame, citations: DataFrame) -> DataFrame:
-    """Claims (claim_id, statement, identified) with ordered flags."""
+def claim_flags(claims: DataFrame, citations: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Claims (claim_id, statement, identified) with ordered flags. ``manifests``: doc_id, unit, population, granularity,
+    schema_version; cited documents whose known values of one of these differ are a mismatch."""
     cites = citations.groupBy("claim_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "NOT_FOUND").alias("lost"))
-    rows = claims.join(cites, "claim_id", "left")
+    known = lambda c: F.when(F.trim(c) != "", F.col(c))
+    fields = ("unit", "population", "granularity", "schema_version")
+    used = citations.filter("doc_id is not null").select("claim_id", "doc_id").join(manifests.select("doc_id", *[known(f).alias(f) for f in fields]), "doc_id")
+    mixed = used.groupBy("claim_id").agg(F.greatest(*[F.coalesce(F.min(f) != F.max(f), F.lit(False)) for f in fields]).alias("mixed"))
+    rows = claims.join(cites, "claim_id", "left").join(mixed, "claim_id", "left")
     causal = F.coalesce(F.col("statement"), F.lit("")).rlike(CAUSAL) & ~F.coalesce("identified", F.lit(False))
-    flags = F.concat_ws(",", F.when(F.coalesce("n", F.lit(0)) == 0, "NO_CITATION"), F.when(F.col("lost") > 0, "CITATION_NOT_FOUND"), F.when(causal, "CAUSAL_WITHOUT_IDENTIFICATION"), F.when(F.coalesce("statement", F.lit("")).rlike(UNIVERSAL), "UNIVERSAL_WORDING"))
+    flags = F.concat_ws(
+        ",",
+        F.when(F.coalesce("n", F.lit(0)) == 0, "NO_SOURCE_CITATION"),
+        F.when(F.col("lost") > 0, "CITATION_NOT_FOUND"),
+        F.when(causal, "CAUSAL_LANGUAGE_WITHOUT_IDENTIFICATION"),
+        F.when(F.coalesce("statement", F.lit("")).rlike(UNIVERSAL), "OVERGENERALIZATION_LANGUAGE"),
+        F.when(F.col("mixed"), "DEFINITION_OR_POPULATION_MISMATCH"),
+    )
     return rows.select("claim_id", flags.alias("flags"))
 
 
-def claim_status(basis: DataFrame, states: DataFrame) -> DataFrame:
-    """(claim_id, status) from the states (hypothesis, status) of its basis and competitors."""
+def claim_status(basis: DataFrame, states: DataFrame, flags: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_id, status, flag) from the states (hypothesis, status) of its basis and competitors.
+
+    Only a claim whose whole basis is supported, at least in part, without an open competitor, causal overreach
+    (``claim_flags``) or a lack of cited evidence (``claim_evidence``) is SUPPORTED; only one whose whole basis is
+    contradicted is CONTRADICTED.
+    """
     rows = basis.join(states, "hypothesis", "left")
-    own = F.col("role") == "BASIS"
-    facts = rows.groupBy("claim_id").agg(F.count_if(own & F.col("status").isin("PLAUSIBLE", "SUPPORTED")).alias("strong"), F.count_if(own & (F.col("status") == "CONTRADICTED")).alias("against"), F.count_if(own & F.col("status").isNotNull()).alias("known"), F.count_if(~own & F.col("status").isin("PLAUSIBLE", "SUPPORTED")).alias("rivals"))
-    return facts.select("claim_id", F.when(F.col("known") == 0, "UNKNOWN").when(F.col("against") > 0, "CONTRADICTED").when((F.col("strong") == F.col("known")) & (F.col("rivals") == 0), "SUPPORTED").otherwise("INSUFFICIENT").alias("status"))
+    own, s = F.col("role") == "BASIS", F.col("status")
+    facts = rows.groupBy("claim_id").agg(F.count_if(own & s.isin("PARTIALLY_SUPPORTED", "SUPPORTED")).alias("good"), F.count_if(own & (s == "CONTRADICTED")).alias("against"), F.count_if(own & s.isNotNull()).alias("known"), F.count_if(~own & (s != "CONTRADICTED")).alias("open"))
+    causal = flags.select("claim_id", F.contains("flags", F.lit("CAUSAL_LANGUAGE")).alias("causal"))
+    facts = facts.join(causal, "claim_id", "left").join(evidence.select("claim_id", (F.col("support") + F.col("counter") + F.col("neutral")).alias("cited")), "claim_id", "left")
+    good, against, known = F.col("good"), F.col("against"), F.col("known")
+    conflict = (good > 0) & (against > 0)
+    whole = (known > 0) & (good == known)
+    status = (
+        F.when(known == 0, "UNKNOWN")
+        .when(against == known, "CONTRADICTED")
+        .when(~whole | (F.col("open") > 0) | F.coalesce("causal", F.lit(False)) | (F.coalesce("cited", F.lit(0)) == 0), "INSUFFICIENT")
+        .otherwise("SUPPORTED")
+    )
+    return facts.select("claim_id", status.alias("status"), F.when(conflict, "CONFLICTING_EVIDENCE").when(whole & (F.col("open") > 0), "COMPETING_EXPLANATION_OPEN").alias("flag"))
 
 
 def claim_duplicates(claims: DataFrame) -> DataFrame:
@@ -221,18 +266,83 @@ def claim_duplicates(claims: DataFrame) -> DataFrame:
     return keyed.join(first, "hash").join(clash, "claim_id").select("claim_id", "hash", F.when(F.col("first") != F.col("claim_id"), F.col("first")).alias("duplicate_of"), F.when(F.col("clash"), "CONFLICTING_CONTENT").alias("error"))
 
 
+def violations(df: DataFrame, *keys: str, **codes: Column) -> DataFrame:
+    """(keys, code): one row for each code whose condition holds; an unknown condition does not."""
+    own = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for name, c in codes.items()]))
+    return df.select(*keys, F.explode(own).alias("code"))
+
+
+def empty(c: str) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
 def expectation_checks(expectations: DataFrame) -> DataFrame:
-    """Violations (id, code) of expectations (id, basis, frozen_at, observed_at, text)."""
-    codes = F.array_compact(F.array(F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "TEXT_REQUIRED"), F.when(~F.coalesce(F.col("basis").isin("PRIOR", "POST_HOC", "UNKNOWN"), F.lit(False)), "UNKNOWN_BASIS"), F.when((F.col("basis") == "PRIOR") & F.col("frozen_at").isNull(), "PRIOR_NOT_FROZEN"), F.when((F.col("basis") == "PRIOR") & (F.col("frozen_at") >= F.col("observed_at")), "POST_HOC_AS_PRIOR")))
-    return expectations.select("id", F.explode(codes).alias("code"))
+    """Violations (id, code) of expectations (id, text, basis, author, created_at, sources, justification, data_seen, frozen,
+    criteria); ``sources`` and ``criteria`` are counts. A missing basis is unknown and no violation."""
+    basis = F.col("basis")
+    return violations(
+        expectations,
+        "id",
+        STATEMENT_REQUIRED=empty("text"),
+        UNKNOWN_BASIS=~empty("basis") & ~basis.isin(*BEFORE, *AFTER, *UNTIMED),
+        UNKNOWN_AUTHOR=~F.coalesce(F.col("author").isin(*AUTHORS), F.lit(False)),
+        CREATED_AT_REQUIRED=F.col("created_at").isNull(),
+        SOURCE_REQUIRED=basis.isin(*SOURCED) & (F.coalesce("sources", F.lit(0)) == 0) & empty("justification"),
+        PRIOR_AFTER_OBSERVATION=basis.isin(*BEFORE) & F.col("data_seen"),
+        POST_HOC_WITHOUT_OBSERVATION=basis.isin(*AFTER) & ~F.col("data_seen"),
+        CRITERIA_REQUIRED=F.col("frozen") & (F.coalesce("criteria", F.lit(0)) == 0),
+    )
 
 
-def scenario_validate(scenarios: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Violations (scenario_id, code): blank titles, windows that end before they start, no future-testable expectation."""
-    blank = scenarios.filter(F.coalesce(F.trim("title"), F.lit("")) == "").select("scenario_id", F.lit("TITLE_REQUIRED").alias("code"))
-    windows = expectations.filter("window_end < window_start").select("scenario_id", F.lit("BAD_WINDOW").alias("code")).distinct()
-    future = expectations.join(scenarios, "scenario_id").filter("window_end > frozen_at").select("scenario_id").distinct()
-    return blank.unionByName(windows).unionByName(scenarios.join(future, "scenario_id", "left_anti").select("scenario_id", F.lit("NO_FUTURE_EXPECTATION").alias("code")))
+def scenario_validate(scenarios: DataFrame, assumptions: DataFrame, expectations: DataFrame, relations: DataFrame) -> DataFrame:
+    """Violations (scenario_id, code) of the rows of scenario sets.
+
+    scenarios: scenario_id, title, as_of, horizon, horizon_end, probability, probability_basis, probability_sources.
+    assumptions: scenario_id, assumption_id, statement, kind, as_of, evidence (count). expectations: scenario_id,
+    expectation_id, indicator, statement, condition, window_start, window_end, direction, low, high, basis, sources (count),
+    data_seen. relations: scenario_id, kind, others (ARRAY of ids). Repeated ids and rows give one row a code.
+    """
+    end = F.col("window_end")
+    own = violations(
+        scenarios,
+        "scenario_id",
+        TITLE_REQUIRED=empty("title"),
+        HORIZON_REQUIRED=empty("horizon") | F.col("horizon_end").isNull(),
+        HORIZON_BEFORE_BASELINE=F.col("horizon_end") <= F.col("as_of"),
+        PROBABILITY_WITHOUT_BASIS=F.col("probability").isNotNull() & (~F.col("probability").between(0, 1) | empty("probability_basis") | (F.coalesce("probability_sources", F.lit(0)) == 0)),
+    )
+    repeated = scenarios.groupBy("scenario_id").count().filter("count > 1").select("scenario_id", F.lit("DUPLICATE_SCENARIO").alias("code"))
+    observed = F.col("kind") == "OBSERVED_BASELINE"
+    assumed = violations(
+        assumptions,
+        "scenario_id",
+        ASSUMPTION_INCOMPLETE=F.col("assumption_id").isNull() | empty("statement") | ~F.coalesce(F.col("kind").isin(*ASSUMPTIONS), F.lit(False)) | F.col("as_of").isNull(),
+        BASELINE_WITHOUT_EVIDENCE=observed & (F.coalesce("evidence", F.lit(0)) == 0),
+        EVIDENCE_FOR_ASSUMPTION=~observed & (F.col("evidence") > 0),
+    )
+    basis, direction = F.col("basis"), F.coalesce("direction", F.lit(""))
+    expected = violations(
+        expectations,
+        "scenario_id",
+        EXPECTATION_INCOMPLETE=F.col("expectation_id").isNull() | empty("indicator") | empty("statement"),
+        CONDITION_REQUIRED=empty("condition"),
+        BAD_WINDOW=F.col("window_start").isNull() | end.isNull() | (end < F.col("window_start")),
+        UNKNOWN_DIRECTION=~direction.isin(*DIRECTIONS),
+        RANGE_REQUIRED=(direction == "RANGE") & F.col("low").isNull() & F.col("high").isNull(),
+        UNKNOWN_BASIS=~F.coalesce(basis.isin(*BEFORE, *AFTER, *UNTIMED), F.lit(False)),
+        SOURCE_REQUIRED=basis.isin(*SOURCED) & (F.coalesce("sources", F.lit(0)) == 0),
+        POST_HOC_LEAKAGE=basis.isin(*BEFORE) & F.col("data_seen"),
+    )
+    twice = expectations.groupBy("expectation_id").agg(F.min("scenario_id").alias("scenario_id"), F.count("*").alias("n")).filter("n > 1").select("scenario_id", F.lit("DUPLICATE_EXPECTATION").alias("code"))
+    future = expectations.join(scenarios, "scenario_id").filter(end > F.col("as_of")).select("scenario_id").distinct()
+    none = scenarios.join(future, "scenario_id", "left_anti").select("scenario_id", F.lit("NO_FUTURE_EXPECTATION").alias("code"))
+    related = violations(relations, "scenario_id", RELATION_TOO_SMALL=F.coalesce(F.size("others"), F.lit(0)) < 1, UNKNOWN_RELATION=~F.coalesce(F.col("kind").isin(*RELATIONS), F.lit(False)))
+    named = relations.select("scenario_id", F.explode("others").alias("other"))
+    lost = named.join(scenarios.select(F.col("scenario_id").alias("other")).distinct(), "other", "left_anti").select("scenario_id", F.lit("UNKNOWN_SCENARIO").alias("code"))
+    out = own
+    for part in (repeated, assumed, expected, twice, none, related, lost):
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def scenario_scaffold(hypotheses: DataFrame) -> DataFrame:
@@ -243,33 +353,49 @@ def scenario_scaffold(hypotheses: DataFrame) -> DataFrame:
     return kept.unionByName(rows.filter("skipped is not null").select("id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("criterion"), "skipped"))
 
 
-def scenario_status(expectations: DataFrame, observations: DataFrame, checks: DataFrame) -> DataFrame:
-    """(scenario_id, status) from expectations (expectation_id, scenario_id, window_start, window_end, frozen_at), indicator
-    observations (expectation_id, outcome, observed_at) and assumption checks (scenario_id, result, n).
+def tests(expectations: DataFrame, observations: DataFrame) -> DataFrame:
+    """Expectations (expectation_id, scenario_id, window_start, window_end, frozen_at) with their observations
+    (expectation_id, outcome, observed_at): scenario_id, expectation_id, outcome, where decisive outcomes outside the window
+    or not after the freeze are INCONCLUSIVE."""
+    rows = expectations.join(observations, "expectation_id", "left")
+    at = F.col("observed_at")
+    inside = F.coalesce((at >= F.col("window_start")) & (at <= F.col("window_end")) & (at > F.col("frozen_at")), F.lit(False))
+    outcome = F.when(F.col("outcome").isin("CONSISTENT", "CONTRADICTS") & ~inside, "INCONCLUSIVE").otherwise(F.col("outcome"))
+    return rows.select("scenario_id", "expectation_id", outcome.alias("outcome"))
 
-    Observations outside the window or before the freeze are inconclusive. CONTRADICTED goes before WEAKENED (the latest
-    check failed), CONSISTENT, INCONCLUSIVE, UNTESTED.
+
+def scenario_status(expectations: DataFrame, observations: DataFrame, assumptions: DataFrame, checks: DataFrame) -> DataFrame:
+    """(scenario_id, status) from expectations and observations (see ``tests``), the scenarios' assumptions (scenario_id,
+    assumption_id) and their checks (scenario_id, assumption_id, result, n).
+
+    CONTRADICTED goes before WEAKENED (the latest check of one of its assumptions says INVALIDATED), CONSISTENT_SO_FAR,
+    INCONCLUSIVE, UNTESTED.
     """
-    rows = expectations.join(observations, "expectation_id", "left")
-    inside = (F.col("observed_at") >= F.col("window_start")) & (F.col("observed_at") <= F.col("window_end")) & (F.col("observed_at") >= F.col("frozen_at"))
-    hit = lambda k: F.count_if(F.coalesce(inside & (F.col("outcome") == k), F.lit(False)))
-    facts = rows.groupBy("scenario_id").agg(hit("CONTRADICTS").alias("against"), hit("CONSISTENT").alias("fits"), F.count("outcome").alias("n"))
-    latest = checks.groupBy("scenario_id").agg(F.max_by("result", "n").alias("check"))
-    status = F.when(F.col("against") > 0, "CONTRADICTED").when(F.col("check") == "FAILED", "WEAKENED").when(F.col("fits") > 0, "CONSISTENT").when(F.col("n") > 0, "INCONCLUSIVE").otherwise("UNTESTED")
-    return facts.join(latest, "scenario_id", "left").select("scenario_id", status.alias("status"))
+    hit = lambda k: F.count_if(F.col("outcome") == k)
+    facts = tests(expectations, observations).groupBy("scenario_id").agg(hit("CONTRADICTS").alias("against"), hit("CONSISTENT").alias("fits"), hit("INCONCLUSIVE").alias("unclear"))
+    latest = checks.groupBy("scenario_id", "assumption_id").agg(F.max_by("result", "n").alias("result"))
+    weak = latest.join(assumptions.select("scenario_id", "assumption_id").distinct(), ["scenario_id", "assumption_id"], "left_semi").filter("result = 'INVALIDATED'").select("scenario_id", F.lit(True).alias("weak")).distinct()
+    status = F.when(F.col("against") > 0, "CONTRADICTED").when(F.col("weak"), "WEAKENED").when(F.col("fits") > 0, "CONSISTENT_SO_FAR").when(F.col("unclear") > 0, "INCONCLUSIVE").otherwise("UNTESTED")
+    return facts.join(weak, "scenario_id", "left").select("scenario_id", status.alias("status"))
 
 
 def scenario_requirements(expectations: DataFrame, observations: DataFrame) -> DataFrame:
-    """Expectations without a decisive observation."""
-    decisive = observations.filter(F.col("outcome").isin("CONTRADICTS", "CONSISTENT"))
+    """Expectations without a decisive observation inside their window and after their freeze."""
+    decisive = tests(expectations, observations).filter(F.col("outcome").isin("CONTRADICTS", "CONSISTENT")).select("expectation_id")
     return expectations.join(decisive, "expectation_id", "left_anti").select("scenario_id", "expectation_id")
 
 
-def scenario_delta(evaluations: DataFrame) -> DataFrame:
-    """Status changes of scenarios (scenario_id, eval, status) against the evaluation before."""
+def scenario_delta(evaluations: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Status of scenarios (scenario_id, eval, status) against the evaluation before, UNTESTED where there is none, and the
+    expectations (scenario_id, eval, expectation_id) that need evidence now and did not then."""
     w = Window.partitionBy("scenario_id").orderBy("eval")
-    rows = evaluations.withColumn("before", F.lag("status").over(w))
-    return rows.filter("before is not null and before <> status").select("scenario_id", "eval", "before", "status", ((F.col("status") == "CONTRADICTED")).alias("fired"))
+    rows = evaluations.withColumn("prev", F.lag("eval").over(w)).withColumn("before", F.coalesce(F.lag("status").over(w), F.lit("UNTESTED")))
+    now, then = F.col("status"), F.col("before")
+    change = F.when(now == then, "UNCHANGED").when(now == "CONTRADICTED", "CONTRADICTED").when(now == "WEAKENED", "WEAKENED").when(now == "CONSISTENT_SO_FAR", "STRENGTHENED").otherwise("MOVED")
+    needs = requirements.select("scenario_id", "eval", "expectation_id").distinct()
+    earlier = rows.select("scenario_id", "eval", "prev").join(needs.withColumnRenamed("eval", "prev"), ["scenario_id", "prev"]).drop("prev")
+    fresh = needs.join(earlier, ["scenario_id", "eval", "expectation_id"], "left_anti").groupBy("scenario_id", "eval").agg(joined_set(F.col("expectation_id").cast("string")).alias("newly_required"))
+    return rows.join(fresh, ["scenario_id", "eval"], "left").select("scenario_id", "eval", "before", "status", change.alias("change"), F.coalesce("newly_required", F.lit("")).alias("newly_required"))
 
 
 def as_of_monotonic(iterations: DataFrame) -> DataFrame:
@@ -278,23 +404,47 @@ def as_of_monotonic(iterations: DataFrame) -> DataFrame:
     return iterations.withColumn("latest", latest).filter("as_of < latest").select("run", "seq", "as_of", "latest")
 
 
-def publication_facts(insights: DataFrame, evidence: DataFrame, open_gaps: DataFrame) -> DataFrame:
-    """Per run of insights (run, id, basis): facts for publication."""
+def publication_facts(findings: DataFrame, evidence: DataFrame, iterations: DataFrame, runs: DataFrame) -> DataFrame:
+    """Facts for publication, one row a run.
+
+    findings: run, id, basis. evidence: id, type. iterations: run, seq, gaps, unresolved; the latest counts. runs: run, stage,
+    mode, hashes, grounded, candidates, limitations, warnings and three human judgments: rivals_considered, status_accurate,
+    readiness_honest.
+    """
     cited = evidence.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "counter").alias("counter"))
-    rows = insights.join(cited, "id", "left")
-    facts = rows.groupBy("run").agg(F.count("*").alias("insights"), F.every(F.coalesce("basis", F.lit("")) != "").alias("all_have_basis"), F.every(F.coalesce("n", F.lit(0)) > 0).alias("all_have_evidence"), F.some(F.coalesce("counter", F.lit(0)) > 0).alias("any_counter"))
-    return facts.join(open_gaps, "run", "left").withColumn("open_gaps", F.coalesce("open_gaps", F.lit(0)))
+    facts = findings.join(cited, "id", "left").groupBy("run").agg(F.every(F.coalesce("basis", F.lit("")) != "").alias("all_have_basis"), F.every(F.coalesce("n", F.lit(0)) > 0).alias("all_have_evidence"), F.some(F.coalesce("counter", F.lit(0)) > 0).alias("any_counter"))
+    latest = iterations.groupBy("run").agg(F.max_by(F.struct("gaps", "unresolved"), "seq").alias("last")).select("run", (F.col("last.gaps") > 0).alias("gaps_disclosed"), (F.col("last.unresolved") > 0).alias("unresolved_disclosed"))
+    rows = runs.join(facts, "run", "left").join(latest, "run", "left")
+    no = F.lit(False)
+    return rows.select("run", *[c for c in runs.columns if c != "run"], *[F.coalesce(c, no).alias(c) for c in ("all_have_basis", "all_have_evidence", "any_counter", "gaps_disclosed", "unresolved_disclosed")])
 
 
 def publication_checklist(facts: DataFrame) -> DataFrame:
-    """(run, unmet, ready): names of the unmet conditions."""
-    unmet = F.concat_ws(",", F.when(F.col("insights") == 0, "insights"), F.when(~F.col("all_have_basis"), "basis"), F.when(~F.col("all_have_evidence"), "evidence"), F.when(~F.col("any_counter"), "counter_evidence"), F.when(F.col("open_gaps") > 0, "open_gaps"))
+    """(run, unmet, ready): names of the unmet conditions, eleven derived from ``publication_facts`` and three judged by
+    people, which are never derived."""
+    met = {
+        "source_provenance": F.col("hashes"),
+        "deterministic": F.col("mode") == "deterministic",
+        "grounded": (F.col("candidates") > 0) & (F.col("grounded") == F.col("candidates")),
+        "expectation_provenance": F.col("all_have_basis"),
+        "stage": ~empty("stage"),
+        "evidence": F.col("all_have_evidence"),
+        "counter_evidence": F.col("any_counter"),
+        "limitations": F.col("limitations"),
+        "gaps": F.col("gaps_disclosed"),
+        "unresolved": F.col("unresolved_disclosed"),
+        "no_mismatch": ~F.col("warnings"),
+        "rivals_considered": F.col("rivals_considered"),
+        "status_accurate": F.col("status_accurate"),
+        "readiness_honest": F.col("readiness_honest"),
+    }
+    unmet = F.concat_ws(",", *[F.when(~F.coalesce(c, F.lit(False)), name) for name, c in met.items()])
     return facts.select("run", unmet.alias("unmet"), (unmet == "").alias("ready"))
 
 
-def derive_expectations(insights: DataFrame) -> DataFrame:
-    """Expectations of insights (run, seq, id, expectation, frozen), the frozen ones carried to the next iteration too."""
-    own = insights.filter(F.coalesce(F.trim("expectation"), F.lit("")) != "").select("run", "seq", "id", "expectation", F.lit(None).cast("int").alias("from_seq"), "frozen")
+def derive_expectations(findings: DataFrame) -> DataFrame:
+    """Expectations of findings (run, seq, id, expectation, frozen), the frozen ones carried to the next iteration too."""
+    own = findings.filter(F.coalesce(F.trim("expectation"), F.lit("")) != "").select("run", "seq", "id", "expectation", F.lit(None).cast("int").alias("from_seq"), "frozen")
     last = own.groupBy("run").agg(F.max("seq").alias("last"))
     carried = own.filter("frozen").join(last, "run").filter("seq < last").select("run", (F.col("seq") + 1).alias("seq"), "id", "expectation", F.col("seq").cast("int").alias("from_seq"), "frozen")
     return own.unionByName(carried)
@@ -328,7 +478,7 @@ def iteration_scenarios(scenarios: DataFrame, evaluation: DataFrame) -> DataFram
     return scenarios.select("scenario_id").join(evaluation.select("scenario_id", "status"), "scenario_id", "left").select("scenario_id", F.coalesce("status", F.lit("UNTESTED")).alias("status"))
 
 
-def insight_evidence_split(evidence: DataFrame) -> DataFrame:
-    """Per insight of evidence (id, doc_id, type): supporting, counter and neutral documents."""
+def finding_evidence_split(evidence: DataFrame) -> DataFrame:
+    """Per finding of evidence (id, doc_id, type): supporting, counter and neutral documents."""
     part = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == k, F.col("doc_id")))), lambda d: d.cast("string")), ",").alias(k)
     return evidence.groupBy("id").agg(part("support"), part("counter"), part("neutral"))

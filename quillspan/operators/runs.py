@@ -1,4 +1,4 @@
-"""Comparison of runs, matching of insights, timelines, and reads over persisted tables.
+"""Comparison of runs, matching of findings, timelines, and reads over persisted tables.
 
 Fingerprints ignore order and ids. Greedy matching is done in rounds of locally best pairs, which the total order of pairs
 makes equal to a greedy walk; each round is checkpointed.
@@ -6,18 +6,20 @@ makes equal to a greedy walk; each round is checkpointed.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.places import placed
+from quillspan.functions.shared import shared_dir
+
 
 def input_fingerprint(docs: DataFrame) -> DataFrame:
-    """(run, documents, fingerprint) of documents (run, source, text, metadata): SHA-256 over the sorted hashes of rows,
-    folded in 256 parts first, so no run's documents meet in one list."""
+    """(run, documents, fingerprint) of documents (run, source, text, metadata), whatever their order: SHA-256 over the count
+    and the sums of the rows' hashes, in four parts of 60 bits, so no run's documents meet in a list."""
     row = F.sha2(F.concat_ws("\u001f", F.coalesce("source", F.lit("")), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.coalesce("metadata", F.lit(""))).cast("binary"), 256)
-    parts = docs.select("run", row.alias("h")).groupBy("run", F.substring("h", 1, 2).alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
-    return parts.groupBy("run").agg(F.sum("n").alias("documents"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("fingerprint"))
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    sums = docs.select("run", row.alias("h")).groupBy("run").agg(F.count("*").alias("documents"), *[part(k).alias(f"s{k}") for k in range(4)])
+    return sums.select("run", "documents", F.sha2(F.concat_ws(",", F.col("documents").cast("string"), *[f"s{k}" for k in range(4)]).cast("binary"), 256).alias("fingerprint"))
 
 
 def axis(a: Column, b: Column) -> Column:
@@ -37,9 +39,21 @@ def set_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return b.select(key).distinct().join(a, key, "left_anti").withColumn("change", F.lit("ADDED")).unionByName(gone)
 
 
-def config_field_diff(pairs: DataFrame) -> DataFrame:
-    """Pairs (id, a, b) of flat JSON objects to the fields that differ; absent is empty: id, field, a_value, b_value."""
-    side = lambda c: pairs.select("id", F.explode(F.from_json(c, "map<string,string>")).alias("field", f"{c}_value"))
+def flat_fields(configs: DataFrame, c: str, depth: int) -> DataFrame:
+    """(id, field, value) of the JSON objects in column ``c``, nested objects as dotted fields down to ``depth``; what lies
+    deeper stays a text."""
+    rows = configs.select("id", F.explode(F.from_json(c, "map<string,string>")).alias("field", "value"))
+    for _ in range(depth - 1):
+        inner = F.when(F.ltrim("value").startswith("{"), F.from_json("value", "map<string,string>"))
+        parts = F.coalesce(F.transform(F.map_entries(inner), lambda e: F.struct(F.concat("field", F.lit("."), e["key"]).alias("field"), e["value"].alias("value"))), F.array(F.struct("field", "value")))
+        rows = rows.select("id", F.explode(parts).alias("p")).select("id", "p.field", "p.value")
+    return rows
+
+
+def config_field_diff(pairs: DataFrame, depth: int = 5) -> DataFrame:
+    """Pairs (id, a, b) of JSON objects to the fields that differ, nested ones by their dotted names, so the order of keys
+    never counts; absent is empty: id, field, a_value, b_value."""
+    side = lambda c: flat_fields(pairs, c, depth).withColumnRenamed("value", f"{c}_value")
     both = side("a").join(side("b"), ["id", "field"], "full")
     rows = both.select("id", "field", F.coalesce("a_value", F.lit("")).alias("a_value"), F.coalesce("b_value", F.lit("")).alias("b_value"))
     return rows.filter("a_value <> b_value")
@@ -64,18 +78,32 @@ def merge_spans(spans: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+CELL = 256  # characters of a stretch in which spans meet
+
+
 def span_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per pair of insights (doc_id, insight, start, end on both sides) that share a document: covered characters in common
-    over those covered by either, to three places. Spans are merged first, so no character counts twice."""
-    ma, mb = merge_spans(a, "insight", "doc_id"), merge_spans(b, "insight", "doc_id")
-    size = lambda m, n: m.groupBy("insight").agg(F.sum(F.col("end") - F.col("start")).alias(n))
-    x = ma.select(F.col("insight").alias("a"), "doc_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    y = mb.select(F.col("insight").alias("b"), "doc_id", F.col("start").alias("t"), F.col("end").alias("f"))
-    common = x.join(y, "doc_id").filter("s < f and t < e").groupBy("a", "b").agg(F.sum(F.least("e", "f") - F.greatest("s", "t")).alias("common"))
-    sized = common.join(size(ma, "na").withColumnRenamed("insight", "a"), "a").join(size(mb, "nb").withColumnRenamed("insight", "b"), "b")
+    """Per pair of findings (doc_id, finding, start, end on both sides) that share characters of a document: covered
+    characters in common over those covered by either, to three places. Spans are merged first, so no character counts
+    twice, and cut at stretches of ``CELL`` characters, so only spans of one stretch meet."""
+    ma, mb = (merge_spans(side.filter("start < end"), "finding", "doc_id") for side in (a, b))  # empty spans cover nothing
+    size = lambda m, n: m.groupBy("finding").agg(F.sum(F.col("end") - F.col("start")).alias(n))
+
+    def pieces(m: DataFrame, name: str, s: str, e: str) -> DataFrame:
+        cells = m.withColumn("cell", F.explode(F.expr(f"sequence(start div {CELL}, (end - 1) div {CELL})")))
+        return cells.select(F.col("finding").alias(name), "doc_id", "cell", F.greatest("start", F.col("cell") * CELL).alias(s), F.least("end", (F.col("cell") + 1) * CELL).alias(e))
+
+    met = pieces(ma, "a", "s", "e").join(pieces(mb, "b", "t", "f"), ["doc_id", "cell"]).filter("s < f and t < e")
+    common = met.groupBy("a", "b").agg(F.sum(F.least("e", "f") - F.greatest("s", "t")).alias("common"))
+    sized = common.join(size(ma, "na").withColumnRenamed("finding", "a"), "a").join(size(mb, "nb").withColumnRenamed("finding", "b"), "b")
     return sized.select("a", "b", F.round(F.try_divide("common", F.col("na") + F.col("nb") - F.col("common")), 3).alias("overlap"))
 
 
+def span_list(spans: DataFrame) -> DataFrame:
+    """(finding, spans): a hash of each finding's spans in order, empty ones left out."""
+    own = spans.filter("start < end").groupBy("finding").agg(F.array_sort(F.collect_list(F.struct("doc_id", "start", "end"))).alias("spans"))
+    return own.select("finding", F.sha2(F.to_json("spans").cast("binary"), 256).alias("spans"))
+
+
 def match_pairs(candidates: DataFrame) -> DataFrame:
     """A greedy one-to-one matching of candidates (a, b, score): best score first, then smaller a, then smaller b.
 
@@ -83,8 +111,8 @@ def match_pairs(candidates: DataFrame) -> DataFrame:
     best pair of all is one of them, so the rounds end when no candidate is left. Candidates without a or b match nothing.
     """
     context = candidates.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # a cluster names a shared one in spark.checkpoint.dir
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(candidates.sparkSession))
     left = candidates.filter("a is not null and b is not null").groupBy("a", "b").agg(F.max("score").alias("score")).checkpoint()
     taken, rounds = left.limit(0), 0
     order = [F.desc("score"), "a", "b"]
@@ -98,30 +126,32 @@ def match_pairs(candidates: DataFrame) -> DataFrame:
 
 
 def match_titles(titles_a: DataFrame, titles_b: DataFrame) -> DataFrame:
-    """A greedy matching (a, b) of insights (insight, title) of equal title, smaller a first, then smaller b: the n-th of
-    one side with the n-th of the other, so no pairs are tried. Only insights of several titles need the rounds."""
-    one, other = (t.select("insight", "title").dropna().distinct() for t in (titles_a, titles_b))
-    several = lambda t: not t.groupBy("insight").count().filter("count > 1").isEmpty()
-    x, y = one.withColumnRenamed("insight", "a"), other.withColumnRenamed("insight", "b")
+    """A greedy matching (a, b) of findings (finding, title) of equal title, smaller a first, then smaller b: the n-th of
+    one side with the n-th of the other, so no pairs are tried. Only findings of several titles need the rounds."""
+    one, other = (t.select("finding", "title").dropna().distinct() for t in (titles_a, titles_b))
+    several = lambda t: not t.groupBy("finding").count().filter("count > 1").isEmpty()
+    x, y = one.withColumnRenamed("finding", "a"), other.withColumnRenamed("finding", "b")
     if several(one) or several(other):
         return match_pairs(x.join(y, "title").select("a", "b", F.lit(0.5).alias("score"))).select("a", "b")
     nth = lambda t, c: t.withColumn("n", F.row_number().over(Window.partitionBy("title").orderBy(c)))
     return nth(x, "a").join(nth(y, "b"), ["title", "n"]).select("a", "b")
 
 
-def match_insights(spans_a: DataFrame, spans_b: DataFrame, titles_a: DataFrame, titles_b: DataFrame, least: float = 0.3) -> DataFrame:
-    """Insights of two runs matched by equal spans (score 3), overlap of ``least`` or more (score 1 + overlap) or equal title
-    (score 0.5): a, b, score. Any match by spans goes before one by title, so titles match what the spans leave."""
-    over = span_overlap(spans_a, spans_b).filter(F.col("overlap") >= least).select("a", "b", F.when(F.col("overlap") == 1, 3.0).otherwise(1 + F.col("overlap")).alias("score"))
-    found = match_pairs(over)
-    rest = lambda titles, side: titles.join(found.select(F.col(side).alias("insight")), "insight", "left_anti")
+def match_findings(spans_a: DataFrame, spans_b: DataFrame, titles_a: DataFrame, titles_b: DataFrame, least: float = 0.3) -> DataFrame:
+    """Findings of two runs matched by equal lists of spans (score 3), overlap of ``least`` or more (score 1 + overlap) or
+    equal title (score 0.5): a, b, score. Any match by spans goes before one by title, so titles match what the spans leave."""
+    same = span_list(spans_a).withColumnRenamed("finding", "a").join(span_list(spans_b).withColumnRenamed("finding", "b"), "spans").select("a", "b")
+    over = span_overlap(spans_a, spans_b).filter(F.col("overlap") >= least).select("a", "b", (1 + F.col("overlap")).alias("score"))
+    found = match_pairs(over.unionByName(same.select("a", "b", F.lit(3.0).alias("score"))))
+    rest = lambda titles, side: titles.join(found.select(F.col(side).alias("finding")), "finding", "left_anti")
     title = match_titles(rest(titles_a, "a"), rest(titles_b, "b"))
     return found.unionByName(title.select("a", "b", F.lit(0.5).alias("score")))
 
 
 def metrics_history(runs: DataFrame) -> DataFrame:
     """Runs oldest first: project, pos, run, and their metric only where completed."""
-    return runs.select("project", F.row_number().over(Window.partitionBy("project").orderBy("created_at", "run")).alias("pos"), "run", F.when(F.col("status") == "COMPLETED", F.col("metric")).alias("metric"))
+    ranked = placed(runs, ["project"], [F.to_date("created_at")], ["created_at", "run"])
+    return ranked.select("project", "pos", "run", F.when(F.col("status") == "COMPLETED", F.col("metric")).alias("metric"))
 
 
 def latest_completed_run(runs: DataFrame) -> DataFrame:
@@ -165,9 +195,9 @@ def uncertainty_carry(statements: DataFrame) -> DataFrame:
     return rows.select("run", "seq", "statement", F.when(F.col("n"), "CARRIED").otherwise("RESOLVED").alias("state"))
 
 
-def iteration_run(insights: DataFrame) -> DataFrame:
-    """The one run that an iteration's insights (iteration, run) agree on; mixed ones are an error, none recorded is NULL."""
-    rows = insights.groupBy("iteration").agg(F.count_distinct("run").alias("n"), F.min("run").alias("run"))
+def iteration_run(findings: DataFrame) -> DataFrame:
+    """The one run that an iteration's findings (iteration, run) agree on; mixed ones are an error, none recorded is NULL."""
+    rows = findings.groupBy("iteration").agg(F.count_distinct("run").alias("n"), F.min("run").alias("run"))
     return rows.select("iteration", F.when(F.col("n") == 1, F.col("run")).alias("run"), F.when(F.col("n") > 1, "MIXED_RUNS").alias("error"))
 
 
@@ -189,28 +219,28 @@ def timeline_events(changes: DataFrame, evaluations: DataFrame) -> DataFrame:
 def observations_by_project(observations: DataFrame, documents: DataFrame) -> DataFrame:
     """Observations (id, doc_id, created_at) with their document's project and place in it."""
     rows = observations.join(documents.select("doc_id", "project"), "doc_id")
-    return rows.select("project", F.row_number().over(Window.partitionBy("project").orderBy("created_at", "id")).alias("pos"), "id", "doc_id")
+    return placed(rows, ["project"], [F.to_date("created_at")], ["created_at", "id"]).select("project", "pos", "id", "doc_id")
 
 
 def patterns_ranked(patterns: DataFrame, links: DataFrame) -> DataFrame:
     """Patterns (id, project, kind, created_at), deviations first, then by time, with their observation ids."""
     ids = links.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("observation_id")), lambda x: x.cast("string")), ",").alias("observations"))
-    order = Window.partitionBy("project").orderBy(F.when(F.col("kind") == "deviation", 0).otherwise(1), "created_at", "id")
-    return patterns.withColumn("pos", F.row_number().over(order)).join(ids, "id", "left").select("project", "pos", "id", "kind", F.coalesce("observations", F.lit("")).alias("observations"))
+    ranked = placed(patterns, ["project"], [F.when(F.col("kind") == "deviation", 0).otherwise(1), F.to_date("created_at")], ["created_at", "id"])
+    return ranked.join(ids, "id", "left").select("project", "pos", "id", "kind", F.coalesce("observations", F.lit("")).alias("observations"))
 
 
-def patterns_of_insight(insights: DataFrame, links: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(insight_id, id, kind) by the link table."""
-    return insights.select("insight_id").join(links, "insight_id").join(patterns.select("id", "kind"), "id").select("insight_id", "id", "kind")
+def patterns_of_finding(findings: DataFrame, links: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(finding_id, id, kind) by the link table."""
+    return findings.select("finding_id").join(links, "finding_id").join(patterns.select("id", "kind"), "id").select("finding_id", "id", "kind")
 
 
-def evidence_count_by_project(evidence: DataFrame, insights: DataFrame) -> DataFrame:
-    return evidence.join(insights, "insight_id").groupBy("project").agg(F.count("*").alias("evidence"))
+def evidence_count_by_project(evidence: DataFrame, findings: DataFrame) -> DataFrame:
+    return evidence.join(findings, "finding_id").groupBy("project").agg(F.count("*").alias("evidence"))
 
 
 def evidence_ranked(evidence: DataFrame, top: int | None = None) -> DataFrame:
-    """Evidence (insight_id, id, relevance) of each insight by falling relevance; the first ``top`` only, if given."""
-    rows = evidence.withColumn("rank", F.row_number().over(Window.partitionBy("insight_id").orderBy(F.desc("relevance"), "id"))).select("insight_id", "rank", "id", "relevance")
+    """Evidence (finding_id, id, relevance) of each finding by falling relevance; the first ``top`` only, if given."""
+    rows = evidence.withColumn("rank", F.row_number().over(Window.partitionBy("finding_id").orderBy(F.desc("relevance"), "id"))).select("finding_id", "rank", "id", "relevance")
     return rows if top is None else rows.filter(F.col("rank") <= top)
 
 

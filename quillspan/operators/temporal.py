@@ -159,10 +159,11 @@ def before_after(points: DataFrame, at: int, places: int = 6) -> DataFrame:
 
 
 def cohort_comparison(points: DataFrame) -> DataFrame:
-    """Each series indexed to its own first non-zero value (= 100); windows before it are left out."""
-    first = F.first(F.when(F.col("value") != 0, F.struct("idx", "value")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = gap_fill(points).withColumn("base", first).filter(F.col("idx") >= F.col("base.idx"))
-    return rows.select("series", "idx", F.round(F.try_divide(F.col("value"), F.col("base.value")) * 100, 9).alias("value"), F.when(F.col("value").isNull(), MISSING).alias("flag"))
+    """Each series indexed to its own first non-zero value (= 100). Every window stays: without a value or without such a
+    base its result is NULL and flagged."""
+    first = F.first(F.when(F.col("value") != 0, F.col("value")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = gap_fill(points).withColumn("index", F.try_divide(F.col("value"), first) * 100)
+    return rows.select("series", "idx", F.round("index", 9).alias("value"), F.when(F.col("index").isNull(), MISSING).alias("flag"))
 
 
 def lagged_comparison(left: DataFrame, right: DataFrame, max_lag: int) -> DataFrame:
@@ -175,7 +176,7 @@ def lagged_comparison(left: DataFrame, right: DataFrame, max_lag: int) -> DataFr
     every = left.sparkSession.range(-max_lag, max_lag + 1).select(F.col("id").cast("int").alias("lag"))
     rows = every.join(sums, "lag", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
     few, flat = F.col("pairs") < 3, (F.col("sxx") == 0) | (F.col("syy") == 0)
-    value = F.when(~few & ~flat, F.round(F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy"))), 9))
+    value = F.when(~few & ~flat, F.round(F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy"))), 12))
     return rows.select("lag", "pairs", value.alias("value"), F.when(few, "INSUFFICIENT_PAIRS").when(flat, "ZERO_VARIANCE").alias("flag"))
 
 
@@ -188,17 +189,19 @@ def control_comparison(points: DataFrame, treated: str, reference: str, at: int)
 
 
 def anomaly_candidate(points: DataFrame, threshold: float = 3.5, least: int = 5) -> DataFrame:
-    """Robust z = 0.6745 * (v - median) / MAD for each recorded window; without seasonal adjustment.
+    """Robust z = 0.6745 * (v - median) / MAD for each window; without seasonal adjustment.
 
-    Series under ``least`` points are INSUFFICIENT_POINTS, those with a MAD of zero ZERO_DISPERSION.
+    Series under ``least`` points are INSUFFICIENT_POINTS, those with a MAD of zero ZERO_DISPERSION; other windows without a
+    value are MISSING_OR_GAP. None is left out.
     """
-    known = points.filter("value is not null")
+    every = gap_fill(points)
+    known = every.filter("value is not null")
     middle = known.groupBy("series").agg(F.median("value").alias("middle"), F.count("*").alias("n"))
-    off = known.join(middle, "series").withColumn("off", F.abs(F.col("value") - F.col("middle")))
-    mad = off.groupBy("series").agg(F.median("off").alias("mad"))
-    rows = off.join(mad, "series")
-    z = F.when(F.col("n") >= least, F.round(F.try_divide(F.lit(0.6745) * (F.col("value") - F.col("middle")), "mad"), 9))
-    flag = F.when(F.col("n") < least, "INSUFFICIENT_POINTS").when(F.col("mad") == 0, "ZERO_DISPERSION")
+    mad = known.join(middle, "series").groupBy("series").agg(F.median(F.abs(F.col("value") - F.col("middle"))).alias("mad"))
+    rows = every.join(middle, "series", "left").join(mad, "series", "left")
+    few = F.coalesce("n", F.lit(0)) < least
+    z = F.when(~few, F.round(F.try_divide(F.lit(0.6745) * (F.col("value") - F.col("middle")), "mad"), 9))
+    flag = F.when(few, "INSUFFICIENT_POINTS").when(F.col("mad") == 0, "ZERO_DISPERSION").when(F.col("value").isNull(), MISSING)
     return rows.select("series", "idx", z.alias("z"), F.coalesce(F.abs(z) > threshold, F.lit(False)).alias("candidate"), flag.alias("flag"))
 
 

@@ -88,17 +88,20 @@ def folded(char: Column) -> Column:
 def ground_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Quotes (quote_id, doc_id, quote) located in their documents (doc_id, text): start_offset, end_offset, exact.
 
-    An exact place comes first, else a place in the folded text with its original offsets; others are left out. Texts meet
-    quotes by the document's id; folding is done only for what has no exact place.
+    An exact place comes first, else a place in the folded text with its original offsets; others are left out. A document
+    meets all its quotes at once and is folded once; characters are counted only for the quotes found in the folded text.
     """
-    rows = quotes.filter(F.coalesce(F.char_length("quote"), F.lit(0)) > 0).join(docs.select("doc_id", "text"), "doc_id").withColumn("at", F.instr("text", F.col("quote")))
-    exact = rows.filter("at > 0").select("quote_id", "doc_id", (F.col("at") - 1).alias("start_offset"), (F.col("at") - 1 + F.char_length("quote")).alias("end_offset"), F.lit(True).alias("exact"))
-    chars = F.filter(F.transform(F.split("text", ""), lambda c, i: F.struct(folded(c).alias("c"), i.alias("i"))), lambda x: x["c"] != "")
-    rest = rows.filter("at = 0").withColumn("needle", folded(F.col("quote"))).filter("needle <> ''").withColumn("chars", chars)
-    rest = rest.withColumn("at", F.instr(F.array_join(F.transform("chars", lambda x: x["c"]), ""), F.col("needle"))).filter("at > 0")
-    place = lambda k: F.element_at("chars", k.cast("int"))["i"]
-    near = rest.select("quote_id", "doc_id", place(F.col("at")).alias("start_offset"), (place(F.col("at") + F.char_length("needle") - 1) + 1).alias("end_offset"), F.lit(False).alias("exact"))
-    return exact.unionByName(near)
+    asked = quotes.filter(F.coalesce(F.char_length("quote"), F.lit(0)) > 0).groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "quote")).alias("asked"))
+    rows = docs.select("doc_id", "text").join(asked, "doc_id").withColumn("fold", folded(F.col("text"))).select("doc_id", "text", "fold", F.explode("asked").alias("q"))
+    rows = rows.select("doc_id", "text", "fold", "q.quote_id", "q.quote", F.instr("text", F.col("q.quote")).alias("at"), folded(F.col("q.quote")).alias("needle"))
+    rows = rows.withColumn("near", F.when((F.col("at") == 0) & (F.col("needle") != ""), F.instr("fold", F.col("needle"))).otherwise(0)).filter("at > 0 or near > 0")
+    exact = F.when(F.col("at") > 0, F.struct((F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.char_length("quote")).alias("end")))
+    # Places of the characters that folding keeps, whatever it makes of them.
+    kept = F.when(F.col("at") == 0, F.filter(F.transform(F.split("text", ""), lambda c, i: F.when((F.instr(F.lit(IGNORED), c) == 0) & ~c.rlike(r"\s"), i)), lambda i: i.isNotNull()))
+    place = lambda k: F.element_at("kept", k.cast("int"))
+    rows = rows.select("quote_id", "doc_id", "near", F.char_length("needle").alias("size"), exact.alias("exact"), kept.alias("kept"))
+    found = F.coalesce("exact", F.struct(place(F.col("near")).alias("start"), (place(F.col("near") + F.col("size") - 1) + 1).alias("end")))
+    return rows.select("quote_id", "doc_id", found["start"].alias("start_offset"), found["end"].alias("end_offset"), F.col("exact").isNotNull().alias("exact"))
 
 
 def grounding_rate(quotes: DataFrame, grounded: DataFrame) -> DataFrame:
@@ -110,9 +113,10 @@ def grounding_rate(quotes: DataFrame, grounded: DataFrame) -> DataFrame:
 def need_echo(pairs: DataFrame) -> DataFrame:
     """Pairs (id, stated, latent) with echo: one folded text holds the other, or their character pairs' Jaccard index is 0.5
     or more; texts under four characters never echo."""
-    a, b = folded(F.col("stated")), folded(F.col("latent"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    rows = pairs.select("id", a.alias("a"), b.alias("b")).select("id", "a", "b", grams(F.col("a")).alias("ga"), grams(F.col("b")).alias("gb"))
+    rows = pairs.select("id", folded(F.col("stated")).alias("a"), folded(F.col("latent")).alias("b"))
+    rows = rows.select("id", "a", "b", F.split("a", "").alias("ca"), F.split("b", "").alias("cb"))  # so no place is searched for twice
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat(F.get(c, i - 1), F.coalesce(F.get(c, i), F.lit("")))))
+    rows = rows.select("id", "a", "b", grams(F.col("ca")).alias("ga"), grams(F.col("cb")).alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     jaccard = F.try_divide(both, F.size("ga") + F.size("gb") - both)
     enough = (F.char_length("a") >= ECHO_CHARS) & (F.char_length("b") >= ECHO_CHARS)
@@ -124,43 +128,43 @@ def generic_terms(texts: DataFrame, terms: tuple[str, ...] = GENERIC) -> DataFra
     return texts.select("id", F.coalesce(*[F.when(F.contains("text", F.lit(t)), t) for t in terms]).alias("term"))
 
 
-def quality_flags(insights: DataFrame, deviations: DataFrame) -> DataFrame:
-    """Insights (id, echo, term, expectation, surprising, competing) with ordered flags; ``deviations``: ids of insights
+def quality_flags(findings: DataFrame, deviations: DataFrame) -> DataFrame:
+    """Findings (id, echo, term, expectation, surprising, competing) with ordered flags; ``deviations``: ids of findings
     that cite a deviation pattern."""
-    rows = insights.join(deviations.select("id", F.lit(True).alias("deviates")).distinct(), "id", "left")
+    rows = findings.join(deviations.select("id", F.lit(True).alias("deviates")).distinct(), "id", "left")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     flags = F.concat_ws(",", F.when(F.col("echo"), "STATED_NEED_ECHO"), F.when(F.col("term").isNotNull(), "GENERIC_TERM"), F.when(F.col("deviates").isNull(), "NO_DEVIATION_PATTERN"), F.when(blank("expectation") | blank("surprising"), "INCOMPLETE_EXPECTATION"), F.when(F.col("competing") < 3, "FEW_COMPETING"))
     return rows.select("id", flags.alias("flags"))
 
 
 def evidence_rows(cited: DataFrame, observations: DataFrame) -> DataFrame:
-    """Distinct existing observations of each insight's list (insight_id, observation_ids) in order, with their rank and
+    """Distinct existing observations of each finding's list (finding_id, observation_ids) in order, with their rank and
     relevance max(0.5, 1 - 0.05 * rank)."""
-    rows = cited.select("insight_id", F.posexplode("observation_ids").alias("pos", "observation_id")).groupBy("insight_id", "observation_id").agg(F.min("pos").alias("pos"))
-    rows = rows.join(observations.select("observation_id", "doc_id"), "observation_id").withColumn("rank", F.row_number().over(Window.partitionBy("insight_id").orderBy("pos")) - 1)
-    return rows.select("insight_id", "observation_id", "doc_id", "rank", F.round(F.greatest(F.lit(0.5), 1 - 0.05 * F.col("rank")), 2).alias("relevance"))
+    rows = cited.select("finding_id", F.posexplode("observation_ids").alias("pos", "observation_id")).groupBy("finding_id", "observation_id").agg(F.min("pos").alias("pos"))
+    rows = rows.join(observations.select("observation_id", "doc_id"), "observation_id").withColumn("rank", F.row_number().over(Window.partitionBy("finding_id").orderBy("pos")) - 1)
+    return rows.select("finding_id", "observation_id", "doc_id", "rank", F.round(F.greatest(F.lit(0.5), 1 - 0.05 * F.col("rank")), 2).alias("relevance"))
 
 
 def evidence_confidence(evidence: DataFrame, total_documents: DataFrame) -> DataFrame:
-    """Per insight of evidence (insight_id, doc_id, source, type, relevance, project): a confidence from 0 to 1.
+    """Per finding of evidence (finding_id, doc_id, source, type, relevance, project): a confidence from 0 to 1.
 
     0.35 * mean relevance + 0.25 * share of the project's documents + 0.2 * sources / 5 + 0.2 * documents / 5 of support,
     less a tenth for each of up to three counters. ``total_documents``: project, n.
     """
     support = F.col("type") == "support"
-    rows = evidence.groupBy("project", "insight_id").agg(
+    rows = evidence.groupBy("project", "finding_id").agg(
         F.avg(F.when(support, F.col("relevance"))).alias("mean"), F.count_distinct(F.when(support, F.col("doc_id"))).alias("docs"), F.count_distinct(F.when(support, F.col("source"))).alias("sources"), F.count_if(support).alias("supports"), F.count_if(F.col("type") == "counter").alias("counters")
     )
     rows = rows.join(total_documents, "project")
     score = 0.35 * F.coalesce("mean", F.lit(0.0)) + 0.25 * F.least(F.lit(1.0), F.coalesce(F.try_divide("docs", "n"), F.lit(0.0))) + 0.2 * F.least(F.lit(1.0), F.col("sources") / 5) + 0.2 * F.least(F.lit(1.0), F.col("docs") / 5)
     value = F.when(F.col("supports") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * (1 - 0.1 * F.least(F.col("counters"), F.lit(3)))))).otherwise(0.0)
-    return rows.select("insight_id", "supports", "counters", F.round(value, 6).alias("confidence"))
+    return rows.select("finding_id", "supports", "counters", F.round(value, 6).alias("confidence"))
 
 
 def validation_status(scored: DataFrame) -> DataFrame:
-    """(insight_id, status) from supports and counters."""
+    """(finding_id, status) from supports and counters."""
     s, c = F.col("supports"), F.col("counters")
-    return scored.select("insight_id", F.when(s == 0, "INSUFFICIENT_EVIDENCE").when(c >= s, "CONTRADICTED").when(c > 0, "PARTIALLY_SUPPORTED").otherwise("PLAUSIBLE").alias("status"))
+    return scored.select("finding_id", F.when(s == 0, "INSUFFICIENT_EVIDENCE").when(c >= s, "CONTRADICTED").when(c > 0, "PARTIALLY_SUPPORTED").otherwise("PLAUSIBLE").alias("status"))
 
 
 def filter_pattern_refs(patterns: DataFrame, observations: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -171,11 +175,11 @@ def filter_pattern_refs(patterns: DataFrame, observations: DataFrame, kinds: tup
     return kept.select("id", F.when(F.col("deviation_type").isNull() | F.col("deviation_type").isin(*kinds), F.col("deviation_type")).otherwise("other").alias("deviation_type"), "observations")
 
 
-def expand_alternatives(insights: DataFrame) -> DataFrame:
+def expand_alternatives(findings: DataFrame) -> DataFrame:
     """One row for each primary (id, title, competing ARRAY) and each competing explanation: set_id, pos, role, title, size."""
     size = F.size(F.coalesce("competing", F.array().cast("array<string>"))) + 1
-    primary = insights.select(F.col("id").alias("set_id"), F.lit(0).alias("pos"), F.lit("PRIMARY").alias("role"), "title", size.alias("set_size"))
-    others = insights.select(F.col("id").alias("set_id"), size.alias("set_size"), F.posexplode("competing").alias("pos", "title")).select("set_id", (F.col("pos") + 1).alias("pos"), F.lit("COMPETING").alias("role"), "title", "set_size")
+    primary = findings.select(F.col("id").alias("set_id"), F.lit(0).alias("pos"), F.lit("PRIMARY").alias("role"), "title", size.alias("set_size"))
+    others = findings.select(F.col("id").alias("set_id"), size.alias("set_size"), F.posexplode("competing").alias("pos", "title")).select("set_id", (F.col("pos") + 1).alias("pos"), F.lit("COMPETING").alias("role"), "title", "set_size")
     return primary.unionByName(others)
 
 
@@ -186,13 +190,13 @@ def apply_duplicate_groups(items: DataFrame, groups: DataFrame) -> DataFrame:
     return items.join(dropped, "idx", "left_anti")
 
 
-def run_metrics(insights: DataFrame) -> DataFrame:
-    """Rates per run of insights (run, supports, counters, traced, flags): coverage, mean evidence, traced, flagged."""
+def run_metrics(findings: DataFrame) -> DataFrame:
+    """Rates per run of findings (run, supports, counters, traced, flags): coverage, mean evidence, traced, flagged."""
     n = F.count("*")
     rate = lambda c: F.round(F.try_divide(F.count_if(c), n), 6)
-    return insights.groupBy("run").agg(n.alias("insights"), rate(F.col("supports") > 0).alias("evidence_coverage"), rate(F.col("counters") > 0).alias("counter_coverage"), F.round(F.avg(F.col("supports") + F.col("counters")), 6).alias("mean_evidence"), rate(F.col("traced")).alias("traced_rate"), rate(F.col("flags") != "").alias("flagged_rate"))
+    return findings.groupBy("run").agg(n.alias("findings"), rate(F.col("supports") > 0).alias("evidence_coverage"), rate(F.col("counters") > 0).alias("counter_coverage"), F.round(F.avg(F.col("supports") + F.col("counters")), 6).alias("mean_evidence"), rate(F.col("traced")).alias("traced_rate"), rate(F.col("flags") != "").alias("flagged_rate"))
 
 
 def control_candidates(variables: DataFrame) -> DataFrame:
-    """Variables (insight_id, name, role, status) that are supported confounders."""
-    return variables.filter((F.col("role") == "CONFOUNDER") & (F.col("status") == "SUPPORTED")).select("insight_id", "name")
+    """Variables (finding_id, name, role, status) that are supported confounders."""
+    return variables.filter((F.col("role") == "CONFOUNDER") & (F.col("status") == "SUPPORTED")).select("finding_id", "name")

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from quillspan.operators import compare as c
 from quillspan.plans.registry import query, rows
 
-OBS = """SELECT concat(o_orderpriority, '/', o_orderstatus) AS series, CAST(year(o_orderdate) AS INT) AS ord, 'revenue' AS metric_id, CASE WHEN year(o_orderdate) >= 1999 AND o_orderstatus = 'O' THEN 'new' ELSE 'all' END AS population, '' AS filters,
-  'h1' AS spec_hash, 'JP' AS geography, 'nominal' AS value_basis, CASE WHEN year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' THEN 'estimated' ELSE 'observed' END AS origin, o_orderstatus AS dims, CAST(year(o_orderdate) AS STRING) AS period,
-  CASE WHEN year(o_orderdate) = 1996 AND o_orderstatus = 'P' THEN NULL WHEN year(o_orderdate) = 1995 AND o_orderstatus = 'F' THEN 0 ELSE CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value, CASE WHEN year(o_orderdate) < 1998 THEN 's1' ELSE 's2' END AS source, o_orderpriority = '5-LOW' AS flagged
+OBS = """SELECT concat(o_orderpriority, '/', o_orderstatus) AS series, CAST(year(o_orderdate) AS INT) AS ord, 'revenue' AS metric_id, CASE WHEN year(o_orderdate) >= 1999 AND o_orderstatus = 'O' THEN 'new' ELSE 'all' END AS population, '' AS filters, CASE WHEN year(o_orderdate) = 1994 THEN 'p2' ELSE 'p1' END AS parameters,
+  'h1' AS spec_hash, 'JP' AS geography, 'nominal' AS value_basis, CASE WHEN year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' THEN 'estimated' ELSE 'observed' END AS origin, o_orderstatus AS dims, 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows,
+  CASE WHEN year(o_orderdate) = 1996 AND o_orderstatus = 'P' THEN NULL WHEN year(o_orderdate) = 1995 AND o_orderstatus = 'F' THEN 0 ELSE CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value, CASE WHEN year(o_orderdate) < 1998 THEN 's1' WHEN o_orderpriority = '3-MEDIUM' THEN ' ' ELSE 's2' END AS source, o_orderpriority = '5-LOW' AS flagged
 FROM {orders} GROUP BY o_orderpriority, o_orderstatus, year(o_orderdate)"""
-PAIRED = f"WITH o AS ({OBS}), w AS (SELECT series, ord, " + ", ".join(f"{f}, lag({f}) OVER w AS p_{f}" for f in "metric_id population filters spec_hash geography value_basis origin dims period value source flagged".split()) + """, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY series ORDER BY ord)),
-j AS (SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN {f} IS DISTINCT FROM p_{f} THEN '{code}' END" for f, code in c.INCOMPATIBLE) + """, CASE WHEN p_period >= period THEN 'PERIOD_ORDER' END, CASE WHEN value IS NULL OR p_value IS NULL THEN 'MISSING_VALUE' END) AS warnings FROM w WHERE k > 1)
+PAIRED = f"WITH o AS ({OBS}), w AS (SELECT series, ord, " + ", ".join(f"{f}, lag({f}) OVER w AS p_{f}" for f in "metric_id population filters parameters spec_hash geography value_basis origin dims basis start finish windows value source flagged".split()) + """, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY series ORDER BY ord)),
+j AS (SELECT *, concat_ws(',', CASE WHEN trim(source) = '' OR trim(p_source) = '' THEN 'INVALID_PROVENANCE' END, """ + ", ".join(f"CASE WHEN {f} IS DISTINCT FROM p_{f} THEN '{code}' END" for f, code in c.INCOMPATIBLE) + """, CASE WHEN windows <> p_windows OR start < p_finish THEN 'INCOMPATIBLE_PERIOD' END, CASE WHEN value IS NULL OR p_value IS NULL THEN 'MISSING_OR_NON_NUMERIC_VALUE' END) AS warnings FROM w WHERE k > 1)
 """
 COMPARED = PAIRED + """SELECT series, ord, CASE WHEN warnings = '' THEN round(value - p_value, 4) END AS absolute, CASE WHEN warnings = '' THEN round((value - p_value) / nullif(abs(p_value), 0), 9) END AS relative,
-  CASE WHEN warnings = '' THEN CASE WHEN value > p_value THEN 'UP' WHEN value < p_value THEN 'DOWN' ELSE 'FLAT' END END AS direction, warnings,
+  CASE WHEN warnings <> '' THEN 'unknown' WHEN value > p_value THEN 'increase' WHEN value < p_value THEN 'decrease' ELSE 'unchanged' END AS direction, warnings,
   CASE WHEN warnings = '' THEN concat_ws(',', CASE WHEN p_value = 0 THEN 'ZERO_BASELINE' END, CASE WHEN source IS DISTINCT FROM p_source THEN 'SOURCE_CHANGED' END, CASE WHEN flagged OR p_flagged THEN 'QUALITY_FLAGS_PRESENT' END) ELSE '' END AS review FROM j"""
-FIELDS = [f for f, _ in c.INCOMPATIBLE] + ["period", "value", "source", "flagged"]
+FIELDS = [*[f for f, _ in c.INCOMPATIBLE], *c.PERIOD, "value", "source", "flagged"]
 
 
 @query("compare_observations", COMPARED)
 def compare_observations(spark, sf_dir):
-    obs = rows(spark, sf_dir, OBS)
+    obs = rows(spark, sf_dir, OBS).withColumnRenamed("finish", "end")
     own = obs.select("series", "ord", F.struct(*FIELDS).alias("cur"))
     steps = obs.select("series", "ord").distinct()
     prev = steps.withColumn("prev_ord", F.lag("ord").over(Window.partitionBy("series").orderBy("ord"))).filter("prev_ord is not null")
@@ -33,7 +33,7 @@ def compare_observations(spark, sf_dir):
 
 @query("compare_series", COMPARED)
 def compare_series(spark, sf_dir):
-    return c.compare_series(rows(spark, sf_dir, OBS), "series", "ord").select("series", "ord", "absolute", "relative", "direction", "warnings", "review")
+    return c.compare_series(rows(spark, sf_dir, OBS).withColumnRenamed("finish", "end"), "series", "ord").select("series", "ord", "absolute", "relative", "direction", "warnings", "review")
 
 
 DOCS = "SELECT doc_id AS id, 'x' AS source, text AS content, lang AS metadata FROM {documents}"
@@ -79,10 +79,11 @@ def manifest_compatibility(spark, sf_dir):
     return c.manifest_compatibility(rows(spark, sf_dir, MANIFESTS))
 
 
-FILES = "SELECT c_custkey AS dataset_id, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS source_name, CASE c_custkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'download' WHEN 2 THEN 'guess' ELSE NULL END AS method, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '2024-01-01' END AS retrieved_at, CASE WHEN c_custkey % 7 = 0 THEN 'Api_Key' ELSE 'year' END AS k, CASE WHEN c_custkey % 11 = 0 THEN 'http://x/y?a=1&accessToken=z' ELSE 'http://x/token?year=1' END AS url FROM {customer}"
+FILES = "SELECT c_custkey AS dataset_id, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS source_name, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 's1' END AS schema_id, CASE c_custkey % 5 WHEN 0 THEN 'api' WHEN 1 THEN 'fixture' WHEN 2 THEN 'scrape' WHEN 3 THEN 'manual_export' ELSE NULL END AS method, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '2024-01-01' END AS retrieved_at, CASE c_custkey % 7 WHEN 0 THEN 'Api_Key' WHEN 1 THEN 'app_id' WHEN 2 THEN 'credential' WHEN 3 THEN 'id' ELSE 'ideal' END AS k, CASE c_custkey % 11 WHEN 0 THEN 'http://x/y?a=1&accessToken=z' WHEN 1 THEN 'http://x/y?id=7#id' WHEN 2 THEN NULL ELSE 'http://x/token?year=1#key=2' END AS url FROM {customer}"
+BROKEN = {"SOURCE_NAME_REQUIRED": "trim(source_name) = ''", "METHOD_REQUIRED": "method IS NULL", "UNKNOWN_METHOD": "method = 'scrape'", "RETRIEVED_AT_REQUIRED": "retrieved_at = ''", "SCHEMA_ID_REQUIRED": "schema_id IS NULL", "CREDENTIAL_PARAMETER": "k <> 'ideal'", "CREDENTIAL_IN_URL": "url LIKE '%accessToken=%' OR url LIKE '%?id=%'"}
 
 
-@query("manifest_validate", f"WITH m AS ({FILES}) SELECT dataset_id, 'SOURCE_NAME_REQUIRED' AS code FROM m WHERE trim(source_name) = '' UNION ALL SELECT dataset_id, 'RETRIEVED_AT_REQUIRED' FROM m WHERE retrieved_at = '' UNION ALL SELECT dataset_id, 'UNKNOWN_METHOD' FROM m WHERE coalesce(method, '') NOT IN ('api', 'download', 'manual', 'scrape') UNION ALL SELECT dataset_id, 'CREDENTIAL_PARAMETER' FROM m WHERE k = 'Api_Key' UNION ALL SELECT dataset_id, 'CREDENTIAL_IN_URL' FROM m WHERE url LIKE '%accessToken=%'")
+@query("manifest_validate", f"WITH m AS ({FILES}) " + " UNION ALL ".join(f"SELECT dataset_id, '{k}' AS code FROM m WHERE {v}" for k, v in BROKEN.items()))
 def manifest_validate(spark, sf_dir):
     return c.manifest_validate(rows(spark, sf_dir, FILES).withColumn("parameters", F.create_map("k", F.lit("v"))))
 
@@ -95,7 +96,7 @@ def comparability_label(spark, sf_dir):
     return rows(spark, sf_dir, LABELLED).select("id", "line", c.comparability_label(F.col("pa"), F.col("pb"), F.col("ma"), F.col("mb")).alias("label"))
 
 
-RECORDS = "SELECT o_orderpriority AS metric_id, CAST(year(o_orderdate) AS STRING) AS period, o_orderstatus AS geography, CAST(count(*) AS DECIMAL(18,0)) AS value FROM {orders} GROUP BY 1, 2, 3 UNION ALL SELECT '5-LOW', '1996', 'F', CAST(1 AS DECIMAL(18,0))"
+RECORDS = "SELECT o_orderpriority AS metric_id, 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows, o_orderstatus AS geography, CAST(count(*) AS DECIMAL(18,0)) AS value FROM {orders} GROUP BY 1, 2, 3 UNION ALL SELECT '5-LOW', '1996', 'F', CAST(1 AS DECIMAL(18,0))"
 
 
 @query("pct_change_report", f"SELECT metric_id, geography, CASE WHEN ok THEN CAST(a - b AS DOUBLE) END AS delta, CASE WHEN ok THEN sign(a - b) * ((2000 * abs(CAST(a - b AS BIGINT)) + CAST(b AS BIGINT)) // (2 * CAST(b AS BIGINT))) / 10.0::DOUBLE END AS percent, CASE WHEN NOT ok THEN 'NOT_EXACTLY_ONE_RECORD' END AS error FROM (SELECT metric_id, geography, count(*) FILTER (period = '1996') = 1 AND count(*) FILTER (period = '1997') = 1 AS ok, max(value) FILTER (period = '1996') AS b, max(value) FILTER (period = '1997') AS a FROM ({RECORDS}) GROUP BY 1, 2)")
@@ -111,8 +112,8 @@ def weakest_comparability(spark, sf_dir):
     return c.weakest_comparability(rows(spark, sf_dir, CLAIMS))
 
 
-PARTS = "SELECT c_mktsegment AS part, CAST(year(o_orderdate) AS STRING) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2"
-WHOLES = "SELECT CAST(year(o_orderdate) AS STRING) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} GROUP BY 1"
+PARTS = "SELECT c_mktsegment AS part, 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2"
+WHOLES = "SELECT 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} GROUP BY 1"
 
 
 @query("concentration_share", f"SELECT part, round(max(s) FILTER (period = '1996'), 1) AS share_before, round(max(s) FILTER (period = '2000'), 1) AS share_after, round(max(s) FILTER (period = '2000') - max(s) FILTER (period = '1996'), 1) AS points FROM (SELECT part, period, p.value * 100 / w.value AS s FROM ({PARTS}) p JOIN ({WHOLES}) w USING (period)) GROUP BY 1")

@@ -5,27 +5,34 @@ from __future__ import annotations
 from quillspan.operators import integrity as g
 from quillspan.plans.registry import query, rows
 
-ARTIFACTS = "SELECT c_custkey AS artifact_id, CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE c_name END AS producer, CASE WHEN c_custkey % 7 = 0 THEN 'xyz' ELSE sha2(c_name, 256) END AS artifact_hash, '1995-01' AS period_start, CASE WHEN c_custkey % 11 = 0 THEN '1994-12' ELSE '2001-12' END AS period_end FROM {customer}"
-METRICS = "SELECT o_custkey AS artifact_id, o_orderpriority AS metric_id FROM {orders} WHERE o_orderkey % 3 = 0"
-RESULTS = "SELECT o_custkey AS artifact_id, o_orderpriority AS metric_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS value, o_orderkey % 26 = 0 AS missing FROM {orders} WHERE o_orderkey % 5 < 3"
-DATASETS = "SELECT o_custkey AS artifact_id, o_orderstatus AS dataset_id FROM {orders} WHERE o_orderkey % 7 < 4"
-PROVENANCE = "SELECT o_custkey AS artifact_id, o_orderstatus AS dataset_id FROM {orders} WHERE o_orderkey % 7 > 2"
-DUCK = {n: t.replace("sha2(c_name, 256)", "sha256(c_name)") for n, t in (("a", ARTIFACTS), ("m", METRICS), ("r", RESULTS), ("d", DATASETS), ("p", PROVENANCE))}
+SCHEMA = ("result-artifact", "1")
+ARTIFACTS = "SELECT c_custkey AS artifact_id, CASE WHEN c_custkey % 31 = 0 THEN 'other' ELSE 'result-artifact' END AS schema, CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE '1' END AS version, CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE c_name END AS producer, '1.0' AS producer_version, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE DATE '2024-01-01' END AS generated_at, CASE WHEN c_custkey % 7 = 0 THEN 'xyz' ELSE sha2(c_name, 256) END AS artifact_hash, CASE WHEN c_custkey % 4 = 0 THEN 'ns' END AS subject_namespace, CASE WHEN c_custkey % 8 = 0 THEN c_name END AS subject_id, CASE WHEN c_custkey % 10 = 0 THEN '' ELSE 'sql' END AS spec_kind, c_name AS spec_reference, CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE sha2(c_mktsegment, 256) END AS spec_hash, '1995-01' AS period_start, CASE WHEN c_custkey % 11 = 0 THEN '1994-12' ELSE '2001-12' END AS period_end, CASE WHEN c_custkey % 14 = 0 THEN ' ' ELSE c_mktsegment END AS population, 'spark' AS engine, '4' AS engine_version, c_custkey % 15 > 0 AS deterministic FROM {customer}"
+METRICS = "SELECT o_custkey AS artifact_id, o_orderpriority AS metric_id, CASE WHEN o_orderkey % 21 = 0 THEN '' ELSE 'total' END AS name, 'USD' AS unit FROM {orders} WHERE o_orderstatus <> 'O'"
+RESULTS = "SELECT o_custkey AS artifact_id, o_orderpriority AS metric_id, substring(CAST(o_orderdate AS STRING), 1, 7) AS period_start, CASE WHEN o_orderkey % 17 = 0 THEN '1990-01' ELSE '2002-01' END AS period_end, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS value, o_orderkey % 26 = 0 AS missing FROM {orders} WHERE o_orderstatus <> 'P'"
+DATASETS = "SELECT o_custkey AS artifact_id, o_orderstatus AS dataset_id, CASE WHEN o_orderkey % 16 = 0 THEN NULL ELSE 'v1' END AS version, CASE WHEN o_orderkey % 18 = 0 THEN 'abc' ELSE sha2(o_orderpriority, 256) END AS hash FROM {orders} WHERE o_orderpriority <> '1-URGENT'"
+PROVENANCE = "SELECT o_custkey AS artifact_id, o_orderstatus AS dataset_id, CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE o_orderpriority END AS source, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_orderdate END AS retrieved_at FROM {orders} WHERE o_orderpriority <> '2-HIGH'"
+DUCK = {n: t.replace("sha2(c_name, 256)", "sha256(c_name)").replace("sha2(c_mktsegment, 256)", "sha256(c_mktsegment)").replace("sha2(o_orderpriority, 256)", "sha256(o_orderpriority)") for n, t in (("a", ARTIFACTS), ("m", METRICS), ("r", RESULTS), ("d", DATASETS), ("p", PROVENANCE))}
 REFERENCES = """SELECT DISTINCT artifact_id, 'UNKNOWN_DATASET' AS code FROM p ANTI JOIN d USING (artifact_id, dataset_id) UNION ALL SELECT DISTINCT artifact_id, 'DATASET_WITHOUT_PROVENANCE' FROM d ANTI JOIN p USING (artifact_id, dataset_id)"""
-
-
-@query("validate_artifacts", "WITH " + ", ".join(f"{n} AS ({t})" for n, t in DUCK.items()) + f""" SELECT artifact_id, 'PRODUCER_REQUIRED' AS code FROM a WHERE trim(producer) = '' UNION ALL SELECT artifact_id, 'BAD_HASH' FROM a WHERE artifact_hash = 'xyz' UNION ALL SELECT artifact_id, 'BAD_PERIOD' FROM a WHERE period_start > period_end
-UNION ALL SELECT artifact_id, 'DUPLICATE_METRIC' FROM (SELECT artifact_id, metric_id FROM m GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT DISTINCT artifact_id, 'UNKNOWN_METRIC' FROM r ANTI JOIN m USING (artifact_id, metric_id)
-UNION ALL SELECT DISTINCT artifact_id, 'MISSING_MISMATCH' FROM r WHERE missing = (value IS NOT NULL) UNION ALL {REFERENCES}""")
+RULES_OF = {
+    "a": {"UNSUPPORTED_SCHEMA": "schema <> 'result-artifact' OR version IS NULL", "PRODUCER_REQUIRED": "trim(producer) = '' OR generated_at IS NULL", "SUBJECT_INCOMPLETE": "(subject_namespace IS NOT NULL) <> (subject_id IS NOT NULL)", "BAD_HASH": "artifact_hash = 'xyz'", "SPEC_REQUIRED": "spec_kind = ''", "BAD_SPEC_HASH": "spec_hash IS NULL", "BAD_PERIOD": "period_start > period_end", "POPULATION_REQUIRED": "trim(population) = ''", "COMPUTATION_REQUIRED": "NOT deterministic"}
+    | {f"{k}_REQUIRED": f"artifact_id NOT IN (SELECT artifact_id FROM {t})" for k, t in (("DATASETS", "d"), ("METRICS", "m"), ("RESULTS", "r"), ("PROVENANCE", "p"))},
+    "d": {"DATASET_INCOMPLETE": "version IS NULL", "BAD_DATASET_HASH": "hash = 'abc'"},
+    "m": {"METRIC_INCOMPLETE": "name = ''"},
+    "r": {"BAD_RESULT_PERIOD": "period_start > period_end", "MISSING_MISMATCH": "missing = (value IS NOT NULL)"},
+    "p": {"PROVENANCE_INCOMPLETE": "trim(source) = '' OR retrieved_at IS NULL"},
+}
+JUDGED = [f"SELECT artifact_id, '{code}' AS code FROM {t} WHERE {when}" for t, codes in RULES_OF.items() for code, when in codes.items()]
+
+
+@query("validate_artifacts", "WITH " + ", ".join(f"{n} AS ({t})" for n, t in DUCK.items()) + " SELECT DISTINCT artifact_id, code FROM (" + " UNION ALL ".join(JUDGED) + f""" UNION ALL SELECT artifact_id, 'DUPLICATE_METRIC' FROM m GROUP BY artifact_id, metric_id HAVING count(*) > 1 UNION ALL SELECT artifact_id, 'DUPLICATE_DATASET' FROM d GROUP BY artifact_id, dataset_id HAVING count(*) > 1
+UNION ALL SELECT artifact_id, 'UNKNOWN_METRIC' FROM r ANTI JOIN m USING (artifact_id, metric_id) UNION ALL {REFERENCES})""")
 def validate_artifacts(spark, sf_dir):
-    return g.validate_artifacts(*(rows(spark, sf_dir, t) for t in (ARTIFACTS, METRICS, RESULTS, DATASETS, PROVENANCE)))
+    return g.validate_artifacts(*(rows(spark, sf_dir, t) for t in (ARTIFACTS, METRICS, RESULTS, DATASETS, PROVENANCE)), SCHEMA)
 
 
-@query("validate_provenance", f"WITH d AS ({DATASETS}), p AS ({PROVENANCE}) {REFERENCES}")
+@query("validate_provenance", f"WITH d AS ({DUCK['d']}), p AS ({PROVENANCE}) {REFERENCES}")
 def validate_provenance(spark, sf_dir):
-    none = rows(spark, sf_dir, ARTIFACTS).limit(0)
-    d, p = rows(spark, sf_dir, DATASETS), rows(spark, sf_dir, PROVENANCE)
-    return g.validate_artifacts(none, rows(spark, sf_dir, METRICS).limit(0), rows(spark, sf_dir, RESULTS).limit(0), d, p)
+    return g.validate_provenance(rows(spark, sf_dir, DATASETS), rows(spark, sf_dir, PROVENANCE))
 
 
 TEMPORAL = "SELECT o_custkey AS artifact_id, o_orderkey AS idx, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '2024-01-01' END AS observed_at, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'JP' END AS geography, CASE WHEN o_orderkey % 11 = 0 THEN 'guessed' ELSE 'observed' END AS origin, substring(CAST(o_orderdate AS STRING), 1, CASE WHEN o_orderkey % 13 = 0 THEN 10 ELSE 7 END) AS period FROM {orders}"
@@ -77,8 +84,8 @@ def case_invariants(spark, sf_dir):
     return g.case_invariants(rows(spark, sf_dir, CASES))
 
 
-REPORTS = "SELECT doc_id AS id, lang AS case_id, text FROM {documents}"
-PHRASES = "SELECT DISTINCT lang AS case_id, substring(text, 1, 12) AS phrase FROM {documents} WHERE doc_id % 40 = 0 AND length(text) > 12"
+REPORTS = "SELECT doc_id AS id, doc_id % 20 AS case_id, text FROM {documents}"
+PHRASES = "SELECT item_id % 20 AS case_id, text AS phrase FROM {benchmark}"
 
 
 @query("forbidden_phrases", f"SELECT id, phrase FROM ({REPORTS}) JOIN ({PHRASES}) USING (case_id) WHERE contains(text, phrase)")

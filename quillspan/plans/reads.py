@@ -23,24 +23,24 @@ def patterns_ranked(spark, sf_dir):
     return u.patterns_ranked(rows(spark, sf_dir, PATTERNS), rows(spark, sf_dir, LINKS))
 
 
-INSIGHTS = "SELECT s_suppkey AS insight_id, s_nationkey AS project FROM {supplier}"
-USED = "SELECT DISTINCT l_suppkey AS insight_id, l_orderkey AS id FROM {lineitem} WHERE l_linenumber = 1"
+FINDINGS = "SELECT s_suppkey AS finding_id, s_nationkey AS project FROM {supplier}"
+USED = "SELECT DISTINCT l_suppkey AS finding_id, l_orderkey AS id FROM {lineitem} WHERE l_linenumber = 1"
 
 
-@query("patterns_of_insight", f"SELECT insight_id, id, kind FROM ({INSIGHTS}) JOIN ({USED}) USING (insight_id) JOIN ({PATTERNS}) USING (id)")
-def patterns_of_insight(spark, sf_dir):
-    return u.patterns_of_insight(rows(spark, sf_dir, INSIGHTS), rows(spark, sf_dir, USED), rows(spark, sf_dir, PATTERNS))
+@query("patterns_of_finding", f"SELECT finding_id, id, kind FROM ({FINDINGS}) JOIN ({USED}) USING (finding_id) JOIN ({PATTERNS}) USING (id)")
+def patterns_of_finding(spark, sf_dir):
+    return u.patterns_of_finding(rows(spark, sf_dir, FINDINGS), rows(spark, sf_dir, USED), rows(spark, sf_dir, PATTERNS))
 
 
-@query("evidence_count_by_project", f"SELECT project, count(*) AS evidence FROM ({USED}) JOIN ({INSIGHTS}) USING (insight_id) GROUP BY 1")
+@query("evidence_count_by_project", f"SELECT project, count(*) AS evidence FROM ({USED}) JOIN ({FINDINGS}) USING (finding_id) GROUP BY 1")
 def evidence_count_by_project(spark, sf_dir):
-    return u.evidence_count_by_project(rows(spark, sf_dir, USED), rows(spark, sf_dir, INSIGHTS))
+    return u.evidence_count_by_project(rows(spark, sf_dir, USED), rows(spark, sf_dir, FINDINGS))
 
 
-RELEVANT = "SELECT l_suppkey AS insight_id, l_orderkey * 10 + l_linenumber AS id, max(l_discount) AS relevance FROM {lineitem} GROUP BY 1, 2"
+RELEVANT = "SELECT l_suppkey AS finding_id, l_orderkey * 10 + l_linenumber AS id, max(l_discount) AS relevance FROM {lineitem} GROUP BY 1, 2"
 
 
-@query("evidence_ranked", f"SELECT insight_id, CAST(row_number() OVER (PARTITION BY insight_id ORDER BY relevance DESC, id) AS INT) AS rank, id, relevance FROM ({RELEVANT})")
+@query("evidence_ranked", f"SELECT finding_id, CAST(row_number() OVER (PARTITION BY finding_id ORDER BY relevance DESC, id) AS INT) AS rank, id, relevance FROM ({RELEVANT})")
 def evidence_ranked(spark, sf_dir):
     return u.evidence_ranked(rows(spark, sf_dir, RELEVANT))
 

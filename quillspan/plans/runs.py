@@ -10,7 +10,7 @@ from quillspan.plans import research as plans
 from quillspan.plans.registry import query, rows
 
 DOCS = "SELECT source AS run, lang AS source, text, CAST(n_chars AS STRING) AS metadata FROM {documents}"
-PRINTS = f"WITH h AS (SELECT run, sha256(concat_ws(chr(31), coalesce(source, ''), sha256(coalesce(text, '')), coalesce(metadata, ''))) AS h FROM ({DOCS})), p AS (SELECT run, substring(h, 1, 2) AS part, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1, 2), fp AS (SELECT run, sum(n)::BIGINT AS documents, sha256(string_agg(h, '' ORDER BY part)) AS fingerprint FROM p GROUP BY 1)\n"
+PRINTS = f"WITH h AS (SELECT run, sha256(concat_ws(chr(31), coalesce(source, ''), sha256(coalesce(text, '')), coalesce(metadata, ''))) AS h FROM ({DOCS})), p AS (SELECT run, count(*) AS n, " + ", ".join(f"CAST(sum(CAST('0x' || substring(h, {1 + 15 * k}, 15) AS HUGEINT)) AS VARCHAR) AS s{k}" for k in range(4)) + " FROM h GROUP BY 1), fp AS (SELECT run, n AS documents, sha256(concat_ws(',', CAST(n AS VARCHAR), s0, s1, s2, s3)) AS fingerprint FROM p)\n"
 
 
 @query("input_fingerprint", PRINTS + "SELECT * FROM fp")
@@ -68,11 +68,11 @@ def repeat_groups(spark, sf_dir):
     return u.repeat_groups(rows(spark, sf_dir, REPEATS))
 
 
-SPANS = "SELECT CAST(o_custkey % 60 AS BIGINT) AS insight, CAST(o_orderkey % 30 AS BIGINT) AS doc_id, CAST(o_orderkey % 700 AS BIGINT) AS start, CAST(o_orderkey % 700 + 5 + o_custkey % 40 AS BIGINT) AS end FROM {orders} WHERE o_orderkey % 8 = 1"
-SPANS_B = SPANS.replace("% 8 = 1", "% 8 = 3")
-MERGED = f"""WITH a AS ({SPANS}), b AS ({SPANS_B}), ua AS (SELECT DISTINCT insight, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM a), ub AS (SELECT DISTINCT insight, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM b),
-na AS (SELECT insight, count(*) AS n FROM ua GROUP BY 1), nb AS (SELECT insight, count(*) AS n FROM ub GROUP BY 1), co AS (SELECT ua.insight AS a, ub.insight AS b, count(*) AS common FROM ua JOIN ub USING (doc_id, c) GROUP BY 1, 2),
-ov AS (SELECT co.a, co.b, round(common / (na.n + nb.n - common), 3) AS overlap FROM co JOIN na ON na.insight = co.a JOIN nb ON nb.insight = co.b)
+SPANS = "SELECT CAST(o_custkey AS BIGINT) AS finding, CAST(floor(o_orderkey / 32) AS BIGINT) AS doc_id, CAST(o_orderkey % 32 * 10 AS BIGINT) AS start, CAST(o_orderkey % 32 * 10 + 5 + o_custkey % 40 AS BIGINT) AS end FROM {orders}"
+SPANS_B = "SELECT CAST(l_suppkey AS BIGINT) AS finding, CAST(floor(l_orderkey / 32) AS BIGINT) AS doc_id, CAST(l_orderkey % 32 * 10 + l_linenumber AS BIGINT) AS start, CAST(l_orderkey % 32 * 10 + 5 + l_partkey % 40 AS BIGINT) AS end FROM {lineitem}"
+MERGED = f"""WITH a AS ({SPANS}), b AS ({SPANS_B}), ua AS (SELECT DISTINCT finding, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM a), ub AS (SELECT DISTINCT finding, doc_id, unnest(generate_series(start, "end" - 1)) AS c FROM b),
+na AS (SELECT finding, count(*) AS n FROM ua GROUP BY 1), nb AS (SELECT finding, count(*) AS n FROM ub GROUP BY 1), co AS (SELECT ua.finding AS a, ub.finding AS b, count(*) AS common FROM ua JOIN ub USING (doc_id, c) GROUP BY 1, 2),
+ov AS (SELECT co.a, co.b, round(common / (na.n + nb.n - common), 3) AS overlap FROM co JOIN na ON na.finding = co.a JOIN nb ON nb.finding = co.b)
 """.replace("AS end FROM", 'AS "end" FROM')
 SPARK_SPANS, SPARK_SPANS_B = (t.replace("AS end FROM", "AS `end` FROM") for t in (SPANS, SPANS_B))
 
@@ -82,10 +82,11 @@ def span_overlap(spark, sf_dir):
     return u.span_overlap(rows(spark, sf_dir, SPARK_SPANS), rows(spark, sf_dir, SPARK_SPANS_B))
 
 
-@query("match_insights")
-def match_insights(spark, sf_dir):
-    titles = "SELECT CAST(c_custkey AS BIGINT) AS insight, c_mktsegment AS title FROM {customer}"
-    return u.match_insights(rows(spark, sf_dir, SPARK_SPANS), rows(spark, sf_dir, SPARK_SPANS_B), rows(spark, sf_dir, titles), rows(spark, sf_dir, titles.replace("c_custkey AS", "c_custkey + 30 AS")), 0.05)
+@query("match_findings")
+def match_findings(spark, sf_dir):
+    titles_a = rows(spark, sf_dir, "SELECT CAST(c_custkey AS BIGINT) AS finding, concat('t', CAST(c_custkey % 500 AS STRING)) AS title FROM {customer}")
+    titles_b = rows(spark, sf_dir, "SELECT CAST(s_suppkey AS BIGINT) AS finding, concat('t', CAST(s_suppkey % 500 AS STRING)) AS title FROM {supplier}")
+    return u.match_findings(rows(spark, sf_dir, SPARK_SPANS), rows(spark, sf_dir, SPARK_SPANS_B), titles_a, titles_b)
 
 
 RUNS = "SELECT o_custkey AS project, o_orderkey AS run, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'FAILED' END AS status, o_totalprice AS metric, o_orderdate AS created_at, o_orderdate + INTERVAL '1' DAY AS finished_at FROM {orders}"

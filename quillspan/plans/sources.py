@@ -72,11 +72,11 @@ def ingest_receipt(spark, sf_dir):
     return f.ingest_receipt(seen.filter("reason is null"), seen.filter("reason is not null"))
 
 
-FILES = "SELECT DISTINCT o_custkey AS project, o_orderstatus AS kind, o_orderpriority AS file_hash, '' AS request_key FROM {orders}"
-RECEIPTS = "SELECT o_custkey AS project, o_orderstatus AS kind, o_orderpriority AS file_hash, '' AS request_key, CASE o_orderkey % 3 WHEN 0 THEN 'READY' WHEN 1 THEN 'LIVE' ELSE 'FAILED' END AS status FROM {orders} WHERE o_orderkey % 2 = 0"
+FILES = "SELECT DISTINCT o_custkey AS project, o_orderstatus AS kind, o_orderpriority AS file_hash, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS manifest_hash, '' AS request_key FROM {orders}"
+RECEIPTS = "SELECT o_custkey AS project, o_orderstatus AS kind, o_orderpriority AS file_hash, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS manifest_hash, '' AS request_key, CASE o_orderkey % 3 WHEN 0 THEN 'READY' WHEN 1 THEN 'LIVE' ELSE 'FAILED' END AS status FROM {orders}"
 
 
-@query("ingest_identity_dedupe", f"SELECT * FROM ({FILES}) f WHERE NOT EXISTS (SELECT 1 FROM ({RECEIPTS}) r WHERE r.project = f.project AND r.kind = f.kind AND r.file_hash = f.file_hash AND status <> 'FAILED')")
+@query("ingest_identity_dedupe", f"SELECT * FROM ({FILES}) f WHERE NOT EXISTS (SELECT 1 FROM ({RECEIPTS}) r WHERE r.project = f.project AND r.kind = f.kind AND r.file_hash = f.file_hash AND r.manifest_hash IS NOT DISTINCT FROM f.manifest_hash AND status <> 'FAILED')")
 def ingest_identity_dedupe(spark, sf_dir):
     return f.ingest_identity_dedupe(rows(spark, sf_dir, FILES), rows(spark, sf_dir, RECEIPTS))
 
@@ -90,17 +90,20 @@ def visible_documents(spark, sf_dir):
     return f.visible_documents(rows(spark, sf_dir, OWNED), rows(spark, sf_dir, INGESTS))
 
 
-@query("import_preview", JUDGED + "SELECT id, source, (SELECT count(*) FROM j WHERE reason IS NULL) AS valid, (SELECT count(*) FROM j WHERE reason IS NOT NULL) AS rejected FROM j WHERE reason IS NULL AND id NOT IN ('', 'same') ORDER BY id LIMIT 5")
+@query("import_preview", JUDGED + "SELECT id, source, (SELECT count(*) FROM j WHERE reason IS NULL) AS valid, (SELECT count(*) FROM j WHERE reason IS NOT NULL) AS rejected FROM j WHERE reason IS NULL ORDER BY id, source LIMIT 5")
 def import_preview(spark, sf_dir):
-    valid, rejects = f.row_quarantine(_written(spark, sf_dir))
-    shown = f.import_preview(valid.filter("id is not null and id <> 'same'"), rejects)
-    return shown.drop("valid").join(F.broadcast(valid.agg(F.count("*").alias("valid"))))
+    return f.import_preview(*f.row_quarantine(_written(spark, sf_dir))).withColumn("id", _id())
 
 
 @query("raw_file_verify")
 def raw_file_verify(spark, sf_dir):
-    claims = spark.createDataFrame([("region.parquet", None, None)], "file string, sha256 string, size long")
-    return f.raw_file_verify(spark, f"{sf_dir}/region.parquet", claims)
+    """Every file of the documents as Spark writes them; of the claims one in three has a wrong hash, one in five none."""
+    path = shared_path(spark, "raw-files")
+    rows(spark, sf_dir, "SELECT doc_id, text FROM {documents}").repartition(16, "doc_id").write.parquet(path)
+    measured = f.raw_file_verify(spark, path)
+    part = F.regexp_extract("file", r"^part-([0-9]+)", 1).cast("int")
+    claims = measured.select("file", F.when(part % 3 == 0, F.lit("0" * 64)).when(part % 5 > 0, F.col("sha256")).alias("sha256"), "size")
+    return f.raw_file_verify(spark, path, claims).groupBy("verified").agg(F.count("*").alias("files"), F.sum((F.col("size") > 0).cast("long")).alias("sized"))
 
 
 RESULTS = "SELECT o_orderpriority AS artifact_id, CAST(year(o_orderdate) AS STRING) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} GROUP BY 1, 2"

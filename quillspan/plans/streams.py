@@ -11,13 +11,18 @@ from quillspan.streaming import jobs
 EVENTS = "SELECT event_id, ts, event_type, value FROM {events}"
 
 
+FILES = 8  # of a batch
+
+
 def _stream(spark, sf_dir, name):
-    """The events as a stream of three batches, in order of their ids."""
+    """The events as a stream of three batches in order of time, each of several files."""
     path = shared_path(spark, name)
     own = rows(spark, sf_dir, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = own.select(F.col("ts").cast("double").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.01)
+    third = F.when(F.col("ts").cast("double") < low, 0).when(F.col("ts").cast("double") < high, 1).otherwise(2)
     for k in range(3):
-        own.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+        own.filter(F.coalesce(third, F.lit(2)) == k).repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(own.schema).option("maxFilesPerTrigger", FILES).parquet(path), path
 
 
 @query("stream_ingest", "SELECT CASE WHEN event_type = 'error' THEN 'error event' WHEN value < 5 THEN 'too small' ELSE 'valid' END AS kind, count(*) AS n FROM {events} GROUP BY 1 UNION ALL SELECT 'receipts', count(*) FROM {events}")
@@ -33,7 +38,7 @@ def stream_ingest(spark, sf_dir):
 @query("stream_rollup", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM {events} GROUP BY 1, 2")
 def stream_rollup(spark, sf_dir):
     stream, path = _stream(spark, sf_dir, "stream-rollup")
-    jobs.stream_rollup(stream, "ts", ["event_type"], "value", "1 day", "60 days", f"{path}-out", f"{path}-progress")
+    jobs.stream_rollup(stream, "ts", ["event_type"], "value", "1 day", "7 days", f"{path}-out", f"{path}-progress")
     last = jobs.latest_of(spark.read.parquet(f"{path}-out"), ["start", "event_type"])
     return last.select(F.col("start").cast("date").cast("string").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
@@ -45,13 +50,17 @@ def stream_observation_delta(spark, sf_dir):
     return spark.read.parquet(f"{path}-out/deltas").groupBy("series", "kind", "batch").agg(F.count("*").alias("n"))
 
 
-EXPECTED = "SELECT c_custkey AS scenario_id, CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'purchase' ELSE 'none' END AS key, CAST(CASE WHEN c_custkey % 3 = 0 THEN '2025-01-01' ELSE '2024-01-10' END AS DATE) AS window_start, DATE '2025-02-01' AS window_end FROM {customer}"
+EXPECTED = "SELECT c_custkey AS scenario_id, CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'purchase' ELSE 'none' END AS key, CAST(CASE WHEN c_custkey % 3 = 0 THEN '2025-01-01' ELSE '2024-01-10' END AS DATE) AS window_start, DATE '2025-02-01' AS window_end, CAST(CASE WHEN c_custkey % 4 = 0 THEN '2024-06-01' ELSE '2023-12-31' END AS DATE) AS frozen_at FROM {customer}"
+WEAK = "SELECT c_custkey AS scenario_id FROM {customer} WHERE c_custkey % 7 = 0"
+OUTCOME = "CASE WHEN value > 90 THEN 'CONTRADICTS' WHEN value > 10 THEN 'CONSISTENT' WHEN value > 5 THEN 'INCONCLUSIVE' ELSE 'NOT_OBSERVED' END"
 
 
-@query("stream_scenario_status", f"WITH x AS ({EXPECTED}), o AS (SELECT event_type AS key, CAST(ts AS DATE) AS at_day, CASE WHEN value > 90 THEN 'CONTRADICTS' WHEN value > 10 THEN 'CONSISTENT' ELSE 'UNCLEAR' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2, 3), f AS (SELECT scenario_id, coalesce(sum(o.n) FILTER (at_day >= window_start AND at_day <= window_end AND outcome = 'CONTRADICTS'), 0) AS a, coalesce(sum(o.n) FILTER (at_day >= window_start AND at_day <= window_end AND outcome = 'CONSISTENT'), 0) AS f, count(o.n) AS n FROM x LEFT JOIN o USING (key) GROUP BY 1) SELECT scenario_id, CASE WHEN a > 0 THEN 'CONTRADICTED' WHEN f > 0 THEN 'CONSISTENT' WHEN n > 0 THEN 'INCONCLUSIVE' ELSE 'UNTESTED' END AS status FROM f")
+@query("stream_scenario_status", f"""WITH x AS ({EXPECTED}), o AS (SELECT event_type AS key, CAST(ts AS DATE) AS at_day, {OUTCOME} AS outcome, count(*) AS n FROM events GROUP BY 1, 2, 3), y AS (SELECT x.scenario_id, o.outcome, o.n, at_day >= window_start AND at_day <= window_end AND at_day > frozen_at AS inside FROM x LEFT JOIN o USING (key)),
+f AS (SELECT scenario_id, coalesce(sum(n) FILTER (inside AND outcome = 'CONTRADICTS'), 0) AS a, coalesce(sum(n) FILTER (inside AND outcome = 'CONSISTENT'), 0) AS f, coalesce(sum(n) FILTER (outcome = 'INCONCLUSIVE' OR outcome IN ('CONTRADICTS', 'CONSISTENT') AND NOT inside), 0) AS n FROM y GROUP BY 1)
+SELECT scenario_id, CASE WHEN a > 0 THEN 'CONTRADICTED' WHEN scenario_id IN ({WEAK}) THEN 'WEAKENED' WHEN f > 0 THEN 'CONSISTENT_SO_FAR' WHEN n > 0 THEN 'INCONCLUSIVE' ELSE 'UNTESTED' END AS status FROM f""")
 def stream_scenario_status(spark, sf_dir):
     stream, path = _stream(spark, sf_dir, "stream-scenario")
-    seen = stream.select(F.col("event_type").alias("key"), F.col("ts").cast("date").alias("at"), F.when(F.col("value") > 90, "CONTRADICTS").when(F.col("value") > 10, "CONSISTENT").otherwise("UNCLEAR").alias("outcome"))
+    seen = stream.select(F.col("event_type").alias("key"), F.col("ts").cast("date").alias("at"), F.expr(OUTCOME).alias("outcome"))
     expectations = rows(spark, sf_dir, EXPECTED)
     jobs.stream_scenario_status(seen, expectations, f"{path}-out", f"{path}-progress")
-    return jobs.scenario_states(spark.read.parquet(f"{path}-out"), expectations)
+    return jobs.scenario_states(spark.read.parquet(f"{path}-out"), expectations, rows(spark, sf_dir, WEAK))

@@ -126,14 +126,14 @@ def before_after(spark, sf_dir):
     return t.before_after(rows(spark, sf_dir, DAYS), 19738)
 
 
-@query("cohort_comparison", filled(MONTHS, """SELECT f.series, f.idx, round(f.value / b.value * 100, 9) AS value, CASE WHEN f.value IS NULL THEN 'MISSING_OR_GAP' END AS flag
-FROM f JOIN (SELECT series, min(idx) AS idx, arg_min(value, idx) AS value FROM f WHERE value <> 0 GROUP BY 1) b ON b.series = f.series AND f.idx >= b.idx"""))
+@query("cohort_comparison", filled(MONTHS, """SELECT f.series, f.idx, round(f.value / b.value * 100, 9) AS value, CASE WHEN f.value IS NULL OR b.value IS NULL THEN 'MISSING_OR_GAP' END AS flag
+FROM f LEFT JOIN (SELECT series, arg_min(value, idx) AS value FROM f WHERE value <> 0 GROUP BY 1) b ON b.series = f.series"""))
 def cohort_comparison(spark, sf_dir):
     return t.cohort_comparison(rows(spark, sf_dir, MONTHS))
 
 
 @query("lagged_comparison", f"""WITH p AS ({DAYS_DUCK}), lags AS (SELECT unnest(generate_series(-5, 5)) AS lag), c AS (SELECT l.lag, a.value AS x, b.value AS y FROM p a, lags l, p b WHERE a.series = 'click' AND b.series = 'view' AND b.idx = a.idx - l.lag)
-SELECT CAST(l.lag AS INT) AS lag, count(c.x) AS pairs, CASE WHEN count(c.x) >= 3 THEN round(corr(c.y, c.x), 9) END AS value, CASE WHEN count(c.x) < 3 THEN 'INSUFFICIENT_PAIRS' END AS flag FROM lags l LEFT JOIN c USING (lag) GROUP BY 1""")
+SELECT CAST(l.lag AS INT) AS lag, count(c.x) AS pairs, CASE WHEN count(c.x) >= 3 THEN round(corr(c.y, c.x), 12) END AS value, CASE WHEN count(c.x) < 3 THEN 'INSUFFICIENT_PAIRS' END AS flag FROM lags l LEFT JOIN c USING (lag) GROUP BY 1""")
 def lagged_comparison(spark, sf_dir):
     days = rows(spark, sf_dir, DAYS)
     return t.lagged_comparison(days.filter("series = 'click'"), days.filter("series = 'view'"), 5)
@@ -144,9 +144,9 @@ def control_comparison(spark, sf_dir):
     return t.control_comparison(rows(spark, sf_dir, DAYS), "click", "view", 19738)
 
 
-@query("anomaly_candidate", f"""WITH p AS ({DAYS_DUCK}), m AS (SELECT series, median(value) AS middle, count(*) AS n FROM p GROUP BY 1), o AS (SELECT p.*, middle, n, abs(value - middle) AS off FROM p JOIN m USING (series)), d AS (SELECT series, median(off) AS mad FROM o GROUP BY 1),
-z AS (SELECT series, idx, n, mad, CASE WHEN n >= 5 AND mad <> 0 THEN round(0.6745::DOUBLE * (value - middle) / mad, 9) END AS z FROM o JOIN d USING (series))
-SELECT series, idx, z, coalesce(abs(z) > 3.5, false) AS candidate, CASE WHEN n < 5 THEN 'INSUFFICIENT_POINTS' WHEN mad = 0 THEN 'ZERO_DISPERSION' END AS flag FROM z""")
+@query("anomaly_candidate", filled(DAYS_DUCK, """, k AS (SELECT * FROM f WHERE value IS NOT NULL), m AS (SELECT series, median(value) AS middle, count(*) AS n FROM k GROUP BY 1), d AS (SELECT series, median(abs(value - middle)) AS mad FROM k JOIN m USING (series) GROUP BY 1),
+z AS (SELECT f.series, idx, value, n, mad, CASE WHEN n >= 5 AND mad <> 0 THEN round(0.6745::DOUBLE * (value - middle) / mad, 9) END AS z FROM f LEFT JOIN m USING (series) LEFT JOIN d USING (series))
+SELECT series, idx, z, coalesce(abs(z) > 3.5, false) AS candidate, CASE WHEN coalesce(n, 0) < 5 THEN 'INSUFFICIENT_POINTS' WHEN mad = 0 THEN 'ZERO_DISPERSION' WHEN value IS NULL THEN 'MISSING_OR_GAP' END AS flag FROM z"""))
 def anomaly_candidate(spark, sf_dir):
     return t.anomaly_candidate(rows(spark, sf_dir, DAYS))
 

@@ -94,7 +94,7 @@ def grounding_rate(spark, sf_dir):
     return x.grounding_rate(rows(spark, sf_dir, QUOTES), ground_quotes(spark, sf_dir))
 
 
-ECHOES = "SELECT doc_id AS id, substring(text, 1, 30) AS stated, CASE doc_id % 4 WHEN 0 THEN upper(substring(text, 1, 20)) WHEN 1 THEN substring(text, 8, 30) WHEN 2 THEN 'ab' ELSE source END AS latent FROM {documents} WHERE lang = 'en'"
+ECHOES = "SELECT doc_id AS id, text AS stated, CASE doc_id % 4 WHEN 0 THEN upper(text) WHEN 1 THEN concat(source, substring(text, 8)) WHEN 2 THEN 'ab' ELSE source END AS latent FROM {documents}"
 
 
 @query("need_echo", f"""WITH f AS (SELECT id, {fold('stated')} AS a, {fold('latent')} AS b FROM ({ECHOES})), g AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(length(a) - 1, 1)), lambda i: substring(a, i, 2))) AS ga, list_distinct(list_transform(generate_series(1, greatest(length(b) - 1, 1)), lambda i: substring(b, i, 2))) AS gb FROM f)
@@ -120,9 +120,9 @@ def quality_flags(spark, sf_dir):
     return x.quality_flags(rows(spark, sf_dir, JUDGED), rows(spark, sf_dir, DEVIATES))
 
 
-CITED = "SELECT conv_id AS insight_id, array(conv_id * 3 + 1, conv_id * 5, conv_id * 3 + 1, 999999, conv_id + 2, turn) AS observation_ids FROM {conversations} WHERE turn = 0"
-EVIDENCE = f"""WITH c AS ({CITED.replace('array(', 'list_value(')}), e AS (SELECT insight_id, unnest(observation_ids) AS observation_id, generate_subscripts(observation_ids, 1) AS pos FROM c), m AS (SELECT insight_id, observation_id, min(pos) AS pos FROM e GROUP BY 1, 2),
-ev AS (SELECT insight_id, observation_id, doc_id, CAST(row_number() OVER (PARTITION BY insight_id ORDER BY pos) - 1 AS INT) AS rank FROM m JOIN (SELECT doc_id AS observation_id, doc_id FROM documents) o USING (observation_id)),
+CITED = "SELECT conv_id AS finding_id, array(conv_id * 3 + 1, conv_id * 5, conv_id * 3 + 1, 999999, conv_id + 2, turn) AS observation_ids FROM {conversations} WHERE turn = 0"
+EVIDENCE = f"""WITH c AS ({CITED.replace('array(', 'list_value(')}), e AS (SELECT finding_id, unnest(observation_ids) AS observation_id, generate_subscripts(observation_ids, 1) AS pos FROM c), m AS (SELECT finding_id, observation_id, min(pos) AS pos FROM e GROUP BY 1, 2),
+ev AS (SELECT finding_id, observation_id, doc_id, CAST(row_number() OVER (PARTITION BY finding_id ORDER BY pos) - 1 AS INT) AS rank FROM m JOIN (SELECT doc_id AS observation_id, doc_id FROM documents) o USING (observation_id)),
 er AS (SELECT *, round(greatest(0.5, 1 - 0.05 * rank)::DOUBLE, 2) AS relevance FROM ev)
 """
 
@@ -137,8 +137,8 @@ def evidence_rows(spark, sf_dir):
 
 
 CONFIDENCE = EVIDENCE + """, t AS (SELECT er.*, d.source, d.lang AS project, CASE WHEN d.doc_id % 4 = 0 THEN 'counter' ELSE 'support' END AS type FROM er JOIN documents d USING (doc_id)), n AS (SELECT lang AS project, count(*) AS n FROM documents GROUP BY 1),
-a AS (SELECT project, insight_id, avg(relevance) FILTER (type = 'support') AS mean, count(DISTINCT doc_id) FILTER (type = 'support') AS docs, count(DISTINCT source) FILTER (type = 'support') AS sources, count(*) FILTER (type = 'support') AS supports, count(*) FILTER (type = 'counter') AS counters FROM t GROUP BY 1, 2),
-sc AS (SELECT insight_id, supports, counters, CASE WHEN supports = 0 THEN 0 ELSE round(least(1, greatest(0, (0.35::DOUBLE * mean + 0.25::DOUBLE * least(1, docs / n) + 0.2::DOUBLE * least(1, sources / 5) + 0.2::DOUBLE * least(1, docs / 5)) * (1 - 0.1::DOUBLE * least(counters, 3)))), 6) END AS confidence FROM a JOIN n USING (project))
+a AS (SELECT project, finding_id, avg(relevance) FILTER (type = 'support') AS mean, count(DISTINCT doc_id) FILTER (type = 'support') AS docs, count(DISTINCT source) FILTER (type = 'support') AS sources, count(*) FILTER (type = 'support') AS supports, count(*) FILTER (type = 'counter') AS counters FROM t GROUP BY 1, 2),
+sc AS (SELECT finding_id, supports, counters, CASE WHEN supports = 0 THEN 0 ELSE round(least(1, greatest(0, (0.35::DOUBLE * mean + 0.25::DOUBLE * least(1, docs / n) + 0.2::DOUBLE * least(1, sources / 5) + 0.2::DOUBLE * least(1, docs / 5)) * (1 - 0.1::DOUBLE * least(counters, 3)))), 6) END AS confidence FROM a JOIN n USING (project))
 """
 
 
@@ -152,7 +152,7 @@ def evidence_confidence(spark, sf_dir):
     return _confidence(spark, sf_dir)
 
 
-@query("validation_status", CONFIDENCE + "SELECT insight_id, CASE WHEN supports = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN counters >= supports THEN 'CONTRADICTED' WHEN counters > 0 THEN 'PARTIALLY_SUPPORTED' ELSE 'PLAUSIBLE' END AS status FROM sc")
+@query("validation_status", CONFIDENCE + "SELECT finding_id, CASE WHEN supports = 0 THEN 'INSUFFICIENT_EVIDENCE' WHEN counters >= supports THEN 'CONTRADICTED' WHEN counters > 0 THEN 'PARTIALLY_SUPPORTED' ELSE 'PLAUSIBLE' END AS status FROM sc")
 def validation_status(spark, sf_dir):
     return x.validation_status(_confidence(spark, sf_dir))
 
@@ -184,14 +184,14 @@ def apply_duplicate_groups(spark, sf_dir):
 SCORED = "SELECT source AS run, doc_id % 3 AS supports, doc_id % 2 AS counters, n_chars > 2000 AS traced, CASE WHEN doc_id % 5 = 0 THEN 'X' ELSE '' END AS flags FROM {documents}"
 
 
-@query("run_metrics", f"SELECT run, count(*) AS insights, round(count(*) FILTER (supports > 0) / count(*), 6) AS evidence_coverage, round(count(*) FILTER (counters > 0) / count(*), 6) AS counter_coverage, round(avg(supports + counters), 6) AS mean_evidence, round(count(*) FILTER (traced) / count(*), 6) AS traced_rate, round(count(*) FILTER (flags <> '') / count(*), 6) AS flagged_rate FROM ({SCORED}) GROUP BY 1")
+@query("run_metrics", f"SELECT run, count(*) AS findings, round(count(*) FILTER (supports > 0) / count(*), 6) AS evidence_coverage, round(count(*) FILTER (counters > 0) / count(*), 6) AS counter_coverage, round(avg(supports + counters), 6) AS mean_evidence, round(count(*) FILTER (traced) / count(*), 6) AS traced_rate, round(count(*) FILTER (flags <> '') / count(*), 6) AS flagged_rate FROM ({SCORED}) GROUP BY 1")
 def run_metrics(spark, sf_dir):
     return x.run_metrics(rows(spark, sf_dir, SCORED))
 
 
-VARIABLES = "SELECT o_custkey AS insight_id, o_orderpriority AS name, CASE o_orderkey % 3 WHEN 0 THEN 'CONFOUNDER' ELSE 'MEDIATOR' END AS role, CASE WHEN o_orderstatus = 'O' THEN 'SUPPORTED' ELSE 'PROPOSED' END AS status FROM {orders}"
+VARIABLES = "SELECT o_custkey AS finding_id, o_orderpriority AS name, CASE o_orderkey % 3 WHEN 0 THEN 'CONFOUNDER' ELSE 'MEDIATOR' END AS role, CASE WHEN o_orderstatus = 'O' THEN 'SUPPORTED' ELSE 'PROPOSED' END AS status FROM {orders}"
 
 
-@query("control_candidates", f"SELECT insight_id, name FROM ({VARIABLES}) WHERE role = 'CONFOUNDER' AND status = 'SUPPORTED'")
+@query("control_candidates", f"SELECT finding_id, name FROM ({VARIABLES}) WHERE role = 'CONFOUNDER' AND status = 'SUPPORTED'")
 def control_candidates(spark, sf_dir):
     return x.control_candidates(rows(spark, sf_dir, VARIABLES))

@@ -12,32 +12,42 @@ from pyspark.sql import functions as F
 #: Accepted sources of documents.
 SOURCES = ("document", "report", "paper", "web", "record", "other", "dataset", "interview", "review", "support", "sales", "survey", "job_posting", "social_post")
 DOCUMENT = "id STRING, source STRING, title STRING, content STRING, _corrupt STRING"
+#: Columns of event files.
 EVENT_FIELDS = ("corporate_number", "event_type", "prefecture_name", "city_name", "assignment_date", "update_date", "change_date", "close_date", "source_provider", "source_version", "source_fetched_at")
 ARTIFACT = "artifact_id STRING, artifact_hash STRING, results ARRAY<STRUCT<metric_id: STRING, period: STRING, value: DOUBLE>>"
 EXAMPLES = 50
+IDENTITY = ("project", "kind", "file_hash", "manifest_hash", "request_key")
 
 
-def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, encoding="UTF-8")
-    return rows.withColumn("file", F.col("_metadata.file_name"))
+def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool, check: bool) -> DataFrame:
+    """Rows of CSV files read byte by byte, so that bytes that are no UTF-8 are known from characters that stand for such:
+    the schema's columns decoded, ``bad_bytes`` and ``file``. With ``check`` a header of other names is an error."""
+    raw = spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=not check, encoding="ISO-8859-1")
+    columns = [c for c in raw.columns if c != "_corrupt"]
+    data = {c: F.encode(c, "ISO-8859-1") for c in columns}
+    good = lambda c: F.coalesce(F.is_valid_utf8(data[c].cast("string")), F.lit(True))
+    bad = ~good(columns[0])
+    for c in columns[1:]:
+        bad = bad | ~good(c)
+    return raw.select(*[F.decode(F.make_valid_utf8(data[c].cast("string")).cast("binary"), "UTF-8").alias(c) for c in columns], "_corrupt", bad.alias("bad_bytes"), F.col("_metadata.file_name").alias("file"))
 
 
 def documents_csv_scan(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """Raw rows of document CSV files (id, source, title, content in a header): these columns, _corrupt and file."""
-    return _csv(spark, path, DOCUMENT, multi_line)
+    """Raw rows of document CSV files: id, source, title, content, _corrupt, bad_bytes and file. Each file's header must name
+    these four columns in this order, else reading fails."""
+    return _csv(spark, path, DOCUMENT, multi_line, True)
 
 
 def row_quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects) of raw document rows. Reasons in order: bad bytes, a malformed row, an unknown source, no content."""
-    text = F.concat_ws("", "id", "source", "title", "content")
     reason = (
-        F.when(F.contains(text, F.lit("�")), "invalid UTF-8")
+        F.when(F.col("bad_bytes"), "invalid UTF-8")
         .when(F.col("_corrupt").isNotNull(), "malformed row")
         .when(~F.coalesce(F.lower(F.trim("source")).isin(*SOURCES), F.lit(False)), "invalid source")
         .when(F.coalesce(F.trim("content"), F.lit("")) == "", "empty content")
     )
     marked = raw.withColumn("reason", reason)
-    return marked.filter("reason is null").drop("reason", "_corrupt"), marked.filter("reason is not null").select("file", "id", "reason")
+    return marked.filter("reason is null").drop("reason", "_corrupt", "bad_bytes"), marked.filter("reason is not null").select("file", "id", "reason")
 
 
 def ingest_row_dedupe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +63,7 @@ def ingest_row_dedupe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def event_csv_scan(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, ", ".join(f"{c} STRING" for c in EVENT_FIELDS) + ", _corrupt STRING", False)
+    return _csv(spark, path, ", ".join(f"{c} STRING" for c in EVENT_FIELDS) + ", _corrupt STRING", False, False)
 
 
 def event_csv_rollup(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,9 +100,13 @@ def ingest_receipt(valid: DataFrame, rejects: DataFrame, examples: int = EXAMPLE
 
 
 def ingest_identity_dedupe(files: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Files (project, kind, file_hash, request_key) without those that a live or ready ingest has already."""
-    live = receipts.filter(F.col("status").isin("READY", "LIVE"))
-    return files.join(live, ["project", "kind", "file_hash", "request_key"], "left_anti")
+    """Files (project, kind, file_hash, manifest_hash, request_key) without those that a live or ready ingest has already;
+    no manifest is the same as no manifest."""
+    live = receipts.filter(F.col("status").isin("READY", "LIVE")).select(*[F.col(c).alias("l_" + c) for c in IDENTITY]).distinct()
+    same = F.lit(True)
+    for c in IDENTITY:
+        same = same & (F.col(c).eqNullSafe(F.col("l_" + c)) if c == "manifest_hash" else F.col(c) == F.col("l_" + c))
+    return files.join(live, same, "left_anti")
 
 
 def visible_documents(docs: DataFrame, ingests: DataFrame) -> DataFrame:
@@ -102,9 +116,9 @@ def visible_documents(docs: DataFrame, ingests: DataFrame) -> DataFrame:
 
 
 def import_preview(valid: DataFrame, rejects: DataFrame, first: int = 5) -> DataFrame:
-    """The ``first`` valid rows by id, each with the counts of a dry run."""
+    """The ``first`` valid rows by id and source, nulls first, each with the counts of a dry run."""
     n = valid.agg(F.count("*").alias("valid")).join(rejects.agg(F.count("*").alias("rejected")))
-    return valid.orderBy("id").limit(first).select("id", "source").join(F.broadcast(n))
+    return valid.orderBy("id", "source").limit(first).select("id", "source").join(F.broadcast(n))
 
 
 def raw_file_verify(spark: SparkSession, path: str, claims: DataFrame | None = None) -> DataFrame:
@@ -112,7 +126,7 @@ def raw_file_verify(spark: SparkSession, path: str, claims: DataFrame | None = N
 
     A file is read whole by one task, so it must fit in a task's memory (2 GiB at most).
     """
-    rows = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     if claims is None:
         return rows.withColumn("verified", F.lit(True))
     c = claims.select("file", F.col("sha256").alias("claimed"), F.col("size").alias("claimed_size"))

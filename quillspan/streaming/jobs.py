@@ -51,39 +51,47 @@ def latest_of(batches: DataFrame, keys: list[str]) -> DataFrame:
 
 def stream_observation_delta(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Each observation (series, at, value) against the latest earlier one of its series: RESTATED at the same time, else
-    DELTA. A snapshot of the latest rows, one a series, carries over from batch to batch."""
+    DELTA, FIRST without one. A snapshot of the latest rows, one a series, carries over from batch to batch; an observation
+    older than its series' snapshot is LATE and compared with nothing."""
     schema = "series string, at timestamp, value double"
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(schema).parquet(f"{path}/latest/batch={number - 1}") if number else spark.createDataFrame([], schema)
-        rows = before.withColumn("old", F.lit(True)).unionByName(batch.select("series", "at", "value").withColumn("old", F.lit(False)))
+        own = batch.select("series", "at", "value").join(before.select("series", F.col("at").alias("since")), "series", "left").withColumn("late", F.coalesce(F.col("at") < F.col("since"), F.lit(False)))
+        late = own.filter("late").select("series", "at", "value", F.lit("LATE").alias("kind"), F.lit(None).cast("double").alias("delta"))
+        rows = before.withColumn("old", F.lit(True)).unionByName(own.filter("not late").select("series", "at", "value", F.lit(False).alias("old")))
         w = Window.partitionBy("series").orderBy("at", F.desc("old"), "value")
         rows = rows.withColumn("p_at", F.lag("at").over(w)).withColumn("p", F.lag("value").over(w))
         kind = F.when(F.col("p_at").isNull(), "FIRST").when(F.col("p_at") == F.col("at"), "RESTATED").otherwise("DELTA")
-        rows.filter("not old").select("series", "at", "value", kind.alias("kind"), F.round(F.col("value") - F.col("p"), 4).alias("delta")).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
+        rows.filter("not old").select("series", "at", "value", kind.alias("kind"), F.round(F.col("value") - F.col("p"), 4).alias("delta")).unionByName(late).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
         rows.groupBy("series").agg(F.max(F.struct("at", "value")).alias("m")).select("series", "m.at", "m.value").write.mode("overwrite").parquet(f"{path}/latest/batch={number}")
 
     run_batches(stream, checkpoint, each)
 
 
 def stream_scenario_status(stream: DataFrame, expectations: DataFrame, path: str, checkpoint: str) -> None:
-    """Indicator observations (key, at, outcome) against static expectations (scenario_id, key, window_start, window_end):
-    partial counts a batch; ``scenario_states`` adds them up, so earlier observations are carried forward."""
+    """Indicator observations (key, at, outcome) against static expectations (scenario_id, key, window_start, window_end,
+    frozen_at): partial counts a batch; ``scenario_states`` adds them up, so earlier observations are carried forward.
+    Decisive outcomes outside the window or not after the freeze are inconclusive; other outcomes that are no INCONCLUSIVE
+    count nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
         # Observations of one key and time are counted first, so an expectation meets few rows however many there are.
         hit = batch.groupBy("key", "at", "outcome").agg(F.count("*").alias("k")).join(expectations, "key")
-        inside = (F.col("at") >= F.col("window_start")) & (F.col("at") <= F.col("window_end"))
-        times = lambda o: F.coalesce(F.sum(F.when(inside & (F.col("outcome") == o), F.col("k"))), F.lit(0))
-        counts = hit.groupBy("scenario_id").agg(times("CONTRADICTS").alias("against"), times("CONSISTENT").alias("fits"), F.sum("k").alias("n"))
+        inside = (F.col("at") >= F.col("window_start")) & (F.col("at") <= F.col("window_end")) & (F.col("at") > F.col("frozen_at"))
+        decisive = F.col("outcome").isin("CONTRADICTS", "CONSISTENT")
+        times = lambda when: F.coalesce(F.sum(F.when(when, F.col("k"))), F.lit(0))
+        counts = hit.groupBy("scenario_id").agg(times(inside & (F.col("outcome") == "CONTRADICTS")).alias("against"), times(inside & (F.col("outcome") == "CONSISTENT")).alias("fits"), times((F.col("outcome") == "INCONCLUSIVE") | (decisive & ~inside)).alias("n"))
         counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run_batches(stream, checkpoint, each)
 
 
-def scenario_states(counts: DataFrame, expectations: DataFrame) -> DataFrame:
-    """(scenario_id, status) from the partial counts of all batches."""
+def scenario_states(counts: DataFrame, expectations: DataFrame, weakened: DataFrame) -> DataFrame:
+    """(scenario_id, status) from the partial counts of all batches; ``weakened``: scenario_id of those whose latest check of
+    an assumption says INVALIDATED."""
     total = counts.groupBy("scenario_id").agg(F.sum("against").alias("a"), F.sum("fits").alias("f"), F.sum("n").alias("n"))
-    status = F.when(F.col("a") > 0, "CONTRADICTED").when(F.col("f") > 0, "CONSISTENT").when(F.col("n") > 0, "INCONCLUSIVE").otherwise("UNTESTED")
-    return expectations.select("scenario_id").distinct().join(total, "scenario_id", "left").select("scenario_id", status.alias("status"))
+    rows = expectations.select("scenario_id").distinct().join(total, "scenario_id", "left").join(weakened.select("scenario_id", F.lit(True).alias("weak")).distinct(), "scenario_id", "left")
+    status = F.when(F.col("a") > 0, "CONTRADICTED").when(F.col("weak"), "WEAKENED").when(F.col("f") > 0, "CONSISTENT_SO_FAR").when(F.col("n") > 0, "INCONCLUSIVE").otherwise("UNTESTED")
+    return rows.select("scenario_id", status.alias("status"))
\ No newline at end of file

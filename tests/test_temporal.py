@@ -93,3 +93,29 @@ def test_empty_tables(spark):
     for df in (t.gap_fill(none), t.mom(none), t.rolling_mean(none, 2), t.cagr(none, "calendar-year"), t.anomaly_candidate(none), t.change_point_candidate(none), t.cohort_comparison(none)):
         assert df.count() == 0
     assert not math.isnan(t.lagged_comparison(none, none, 1).count())
+
+
+#: Published cases of temporal operators and their results.
+SPIKE = [100, 103, 98, 101, 99, 102, 180, 100, 97, 101, 103, 99]
+SHIFT = [50, 52, 49, 51, 50, 48, 51, 50, 49, 52, 50, 51, 70, 69, 71, 72, 70, 68, 71, 70, 69, 71, 72, 70]
+TREATED, REFERENCE = [100, 101, 99, 100, 120, 121, 119, 122], [90, 91, 89, 90, 91, 90, 92, 91]
+STATIONS, SHOPS = [10, 14, 19, 25, 30, 37, 41, 48, 55, 60], [200, 206, 211, 219, 224, 230, 237, 241, 249, 255]
+
+
+def test_published_cases(spark):
+    spike = by_idx(t.anomaly_candidate(points(spark, SPIKE)), "z", "candidate")
+    assert [(i, z) for i, (z, candidate) in spike.items() if candidate] == [(6, 35.7485)]
+    shift = t.change_point_candidate(points(spark, SHIFT)).first()
+    assert shift.idx == 12 and round(shift.score, 6) == 0.986639
+    both = points(spark, TREATED, "a").unionByName(points(spark, REFERENCE, "b"))
+    assert t.control_comparison(both, "a", "b", 4).first().difference == 19.5
+    lags = {r.lag: r.value for r in t.lagged_comparison(points(spark, SHOPS), points(spark, STATIONS), 1).collect()}
+    assert round(lags[0], 6) == 0.997912
+
+
+def test_windows_without_a_value_stay(spark):
+    got = by_idx(t.cohort_comparison(points(spark, [0, 5, "gap", 10])), "value", "flag")
+    assert got == {0: (0.0, None), 1: (100.0, None), 2: (None, "MISSING_OR_GAP"), 3: (200.0, None)}
+    assert by_idx(t.cohort_comparison(points(spark, [0, None])), "value", "flag") == {0: (None, "MISSING_OR_GAP"), 1: (None, "MISSING_OR_GAP")}
+    flags = by_idx(t.anomaly_candidate(points(spark, [1, 2, "gap", 4, 9, 7])), "candidate", "flag")
+    assert len(flags) == 6 and flags[2] == (False, "MISSING_OR_GAP") and flags[0][1] is None
