@@ -25,15 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import cut, fold
+from quillspan.llm.common import PART, averaged, cut, fold, sliced
 
 #: Words that all tasks know, at most; rounds of fitting.
 TOP, ROUNDS = 200_000, 1
 #: Units: the most frequent words on their own, others by a hash of their ending; hashed neighbours.
 OWN, ENDINGS, NEIGHBOURS = 2000, 512, 64
-GROUPS, MEMBERS = 16, 128  # clusters of units; units of a class, at most: larger clusters are several classes
+GROUPS, MEMBERS = 16, 64  # clusters of units; units of a class, at most: larger clusters are several classes
 BITS = 14  # rows of each softmax's weights
-SLICES, GROUP = 16, 32  # slices of the weights; tasks whose changes are averaged first
 OFTEN = 24  # tokens of a step from which a row of the weights is summed on its own
 END = b""  # the end of a text, which no word equals
 FLUSH = 400_000  # different words that a counting task holds
@@ -184,7 +183,7 @@ class Steps:
         self.weights, self.bias = weights.copy(), bias.copy()
         self.grown, self.grown_bias = np.full(len(weights), 1e-1, np.float32), np.full_like(bias, 1e-1)
 
-    def run(self, rows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 2048, free: bool = True) -> None:
+    def run(self, rows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 4096, free: bool = True) -> None:
         """``free``: the bias takes steps too."""
         for a in range(0, len(classes), batch):
             own, gold = rows[a : a + batch], classes[a : a + batch]
@@ -303,36 +302,17 @@ def _changes(model: Model, rate: float):
             within.run(inner_rows, unit_member[units], rate, free=False)
             n += len(marks)
         if n:
-            group = TaskContext.get().partitionId() // GROUP
-            cuts = np.array_split(np.concatenate([steps.weights.ravel(), steps.bias, within.weights.ravel()]), SLICES)
-            columns = [pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([float(n)] * SLICES), pa.array([c.tobytes() for c in cuts], pa.binary())]
-            yield pa.record_batch(columns, names=["slice", "grp", "tokens", "part"])
+            yield sliced(np.concatenate([steps.weights.ravel(), steps.bias, within.weights.ravel()]), n)
 
     return run
 
 
-def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Averages of the parts of each slice, weighted by tokens."""
-    sums: dict[int, list] = {}
-    for batch in batches:
-        for i, n, part in zip(*(batch.column(c).to_pylist() for c in ("slice", "tokens", "part")), strict=True):
-            own = sums.setdefault(i, [0.0, 0.0])
-            own[0] += n
-            own[1] = own[1] + n * np.frombuffer(part, np.float32).astype(np.float64)
-    if sums:
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()]), pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["slice", "tokens", "part"])
-
-
 def fit_round(codes: DataFrame, model: Model, rate: float) -> float:
     """One round over all texts of ``codes``: the model takes the averaged weights; returns the number of tokens seen."""
-    schema = "slice int, tokens double, part binary"
-    parts = codes.mapInArrow(_changes(model, rate), "slice int, grp int, tokens double, part binary")
-    few = parts.repartition("slice", "grp").drop("grp").mapInArrow(_averages, schema)  # so no task meets all tasks' weights
-    found = sorted(few.repartition(SLICES, "slice").mapInArrow(_averages, schema).collect(), key=lambda r: r.slice)
-    joined = np.concatenate([np.frombuffer(bytes(r.part), np.float32) for r in found])
+    joined, tokens = averaged(codes.mapInArrow(_changes(model, rate), PART))
     outer, bias, inner = np.split(joined, [model.weights.size, model.weights.size + model.bias.size])
     model.weights, model.bias, model.inner = outer.reshape(model.weights.shape).copy(), bias.copy(), inner.reshape(model.inner.shape).copy()
-    return found[0].tokens
+    return tokens
 
 
 def _unit_totals(model: Model):
