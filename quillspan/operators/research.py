@@ -34,7 +34,7 @@ REQUIREMENTS = (
 )
 DEPENDENT = ("COMPARISON", "PRE_PERIOD", "CONFOUNDER", "EXTERNAL_CONTEXT")
 PREREQUISITE = ("MEASUREMENT", "SOURCE_QUALITY")
-#: Order of validation states, weakest first.
+#: Order of validation states, weakest first.
 RANKS = {"CONTRADICTED": -1, "UNTESTED": 0, "INSUFFICIENT_EVIDENCE": 1, "PLAUSIBLE": 2, "PARTIALLY_SUPPORTED": 3, "SUPPORTED": 4}
 #: Wording that claims a cause, or everything.
 CAUSAL = r"(?i)\b(caus(e|ed|es|ing)|because( of)?|due to|led to|leads? to|lead to|result(ed|s)? in|drives?|drove|driven by|effect of|impact of|attributable to)\b|が原因|のせいで|によって|により|をもたらし|を引き起こ|効果があった|押し上げ"
@@ -213,20 +213,23 @@ def claim_evidence(basis: DataFrame, cited: DataFrame, evidence: DataFrame) -> D
     return rows.groupBy("claim_id").agg(n("support"), n("counter"), n("neutral"))
 
 
-def claim_flags(claims: DataFrame, citations: DataFrame, manifests: DataFrame) -> DataFrame:
+def claim_flags(claims: DataFrame, citations: DataFrame, manifests: DataFrame, named: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """Claims (claim_id, statement, identified) with ordered flags. ``manifests``: doc_id, unit, population, granularity,
-    schema_version; cited documents whose known values of one of these differ are a mismatch."""
+    schema_version; cited documents whose known values of one of these differ are a mismatch. ``named``: claim_id, hypothesis,
+    which should be among ``hypotheses`` (hypothesis)."""
     cites = citations.groupBy("claim_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "NOT_FOUND").alias("lost"))
     known = lambda c: F.when(F.trim(c) != "", F.col(c))
     fields = ("unit", "population", "granularity", "schema_version")
     used = citations.filter("doc_id is not null").select("claim_id", "doc_id").join(manifests.select("doc_id", *[known(f).alias(f) for f in fields]), "doc_id")
     mixed = used.groupBy("claim_id").agg(F.greatest(*[F.coalesce(F.min(f) != F.max(f), F.lit(False)) for f in fields]).alias("mixed"))
-    rows = claims.join(cites, "claim_id", "left").join(mixed, "claim_id", "left")
+    unknown = named.join(hypotheses, "hypothesis", "left_anti").select("claim_id", F.lit(True).alias("unknown")).distinct()
+    rows = claims.join(cites, "claim_id", "left").join(mixed, "claim_id", "left").join(unknown, "claim_id", "left")
     causal = F.coalesce(F.col("statement"), F.lit("")).rlike(CAUSAL) & ~F.coalesce("identified", F.lit(False))
     flags = F.concat_ws(
         ",",
         F.when(F.coalesce("n", F.lit(0)) == 0, "NO_SOURCE_CITATION"),
         F.when(F.col("lost") > 0, "CITATION_NOT_FOUND"),
+        F.when(F.col("unknown"), "HYPOTHESIS_NOT_FOUND"),
         F.when(causal, "CAUSAL_LANGUAGE_WITHOUT_IDENTIFICATION"),
         F.when(F.coalesce("statement", F.lit("")).rlike(UNIVERSAL), "OVERGENERALIZATION_LANGUAGE"),
         F.when(F.col("mixed"), "DEFINITION_OR_POPULATION_MISMATCH"),
@@ -451,8 +454,10 @@ def derive_expectations(findings: DataFrame) -> DataFrame:
 
 
 def finding_kind(findings: DataFrame) -> DataFrame:
-    """(id, kind) from stage and basis; post-hoc is never a validation result."""
-    return findings.select("id", F.when(F.col("stage") == "SYNTHESIS", "SYNTHESIS").when((F.col("stage") == "VALIDATION") & (F.col("basis") == "PRIOR"), "VALIDATION").otherwise("EXPLORATORY").alias("kind"))
+    """(id, kind) from stage and basis: only an origin from before the data gives a validation result; post-hoc, unknown and
+    other origins, and other stages, are exploratory."""
+    kind = F.when(F.col("stage") == "SYNTHESIS", "SYNTHESIS").when((F.col("stage") == "VALIDATION") & F.col("basis").isin(*BEFORE), "VALIDATION_RESULT").otherwise("EXPLORATORY_FINDING")
+    return findings.select("id", kind.alias("kind"))
 
 
 def independent_evidence(records: DataFrame) -> DataFrame:

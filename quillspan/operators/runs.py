@@ -137,15 +137,35 @@ def match_titles(titles_a: DataFrame, titles_b: DataFrame) -> DataFrame:
     return nth(x, "a").join(nth(y, "b"), ["title", "n"]).select("a", "b")
 
 
+#: Names of the ways to match, best first.
+EXACT, OVERLAP, TITLE = "EXACT_EVIDENCE_SPANS", "EVIDENCE_SPAN_OVERLAP", "HYPOTHESIS_COMPARISON_KEY"
+
+
 def match_findings(spans_a: DataFrame, spans_b: DataFrame, titles_a: DataFrame, titles_b: DataFrame, least: float = 0.3) -> DataFrame:
-    """Findings of two runs matched by equal lists of spans (score 3), overlap of ``least`` or more (score 1 + overlap) or
-    equal title (score 0.5): a, b, score. Any match by spans goes before one by title, so titles match what the spans leave."""
+    """Findings of two runs matched by equal lists of spans (score 1), overlap of ``least`` or more (its share) or equal title
+    (score 0.5): a, b, method, score. A better method goes before a better score, so titles match what the spans leave."""
     same = span_list(spans_a).withColumnRenamed("finding", "a").join(span_list(spans_b).withColumnRenamed("finding", "b"), "spans").select("a", "b")
     over = span_overlap(spans_a, spans_b).filter(F.col("overlap") >= least).select("a", "b", (1 + F.col("overlap")).alias("score"))
     found = match_pairs(over.unionByName(same.select("a", "b", F.lit(3.0).alias("score"))))
     rest = lambda titles, side: titles.join(found.select(F.col(side).alias("finding")), "finding", "left_anti")
     title = match_titles(rest(titles_a, "a"), rest(titles_b, "b"))
-    return found.unionByName(title.select("a", "b", F.lit(0.5).alias("score")))
+    exact = F.col("score") == 3
+    by_span = found.select("a", "b", F.when(exact, EXACT).otherwise(OVERLAP).alias("method"), F.when(exact, 1.0).otherwise(F.round(F.col("score") - 1, 3)).alias("score"))
+    return by_span.unionByName(title.select("a", "b", F.lit(TITLE).alias("method"), F.lit(0.5).alias("score")))
+
+
+def finding_changes(matches: DataFrame, findings_a: DataFrame, findings_b: DataFrame, fields: list[str]) -> DataFrame:
+    """Matches (a, b, method, score) with ``changed``, the names of the ``fields`` that differ, and a row for each finding
+    (finding and the fields) of one side only: ADDED has no a, REMOVED no b."""
+    a = findings_a.select(F.col("finding").alias("a"), F.struct(*fields).alias("x"))
+    b = findings_b.select(F.col("finding").alias("b"), F.struct(*fields).alias("y"))
+    both = matches.join(a, "a").join(b, "b")
+    empty = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    changed = F.concat_ws(",", *[F.when(empty(F.col("x")[f]) != empty(F.col("y")[f]), f) for f in sorted(fields)])
+    out = both.select("a", "b", "method", "score", changed.alias("changed"))
+    gone = a.join(matches, "a", "left_anti").select("a", F.lit("REMOVED").alias("method"))
+    new = b.join(matches, "b", "left_anti").select("b", F.lit("ADDED").alias("method"))
+    return out.unionByName(gone, allowMissingColumns=True).unionByName(new, allowMissingColumns=True)
 
 
 def metrics_history(runs: DataFrame) -> DataFrame:

@@ -150,14 +150,15 @@ def claim_evidence(spark, sf_dir):
     return r.claim_evidence(_basis(spark, sf_dir), _cites(spark, sf_dir), rows(spark, sf_dir, EVIDENCE))
 
 
+HYP = "SELECT CAST(n_nationkey AS STRING) AS hypothesis, CASE n_nationkey WHEN 0 THEN 'CONTRADICTED' WHEN 1 THEN 'PLAUSIBLE' WHEN 4 THEN 'CONTRADICTED' WHEN 6 THEN 'PARTIALLY_SUPPORTED' WHEN 7 THEN 'UNTESTED' ELSE 'SUPPORTED' END AS status FROM {nation} WHERE n_nationkey < 8"
 ABOUT = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'USD' ELSE ' ' END AS unit, CASE WHEN doc_id % 7 = 0 THEN 'all' ELSE 'adults' END AS population, 'year' AS granularity, CAST(NULL AS STRING) AS schema_version FROM {documents}"
-FLAGGED = f"""n AS (SELECT claim_id, count(*) FILTER (kind = 'NOT_FOUND') AS lost FROM cites GROUP BY 1), mx AS (SELECT claim_id, count(DISTINCT nullif(trim(unit), '')) > 1 OR count(DISTINCT population) > 1 AS mixed FROM cites JOIN ({ABOUT}) USING (doc_id) GROUP BY 1),
-flagged AS (SELECT claim_id, concat_ws(',', CASE WHEN n.claim_id IS NULL THEN 'NO_SOURCE_CITATION' END, CASE WHEN lost > 0 THEN 'CITATION_NOT_FOUND' END, CASE WHEN claim_id % 5 IN (0, 2, 3) AND NOT identified THEN 'CAUSAL_LANGUAGE_WITHOUT_IDENTIFICATION' END, CASE WHEN claim_id % 5 IN (1, 2, 3) THEN 'OVERGENERALIZATION_LANGUAGE' END, CASE WHEN mixed THEN 'DEFINITION_OR_POPULATION_MISMATCH' END) AS flags FROM ({CLAIMS}) LEFT JOIN n USING (claim_id) LEFT JOIN mx USING (claim_id))
+FLAGGED = f"""n AS (SELECT claim_id, count(*) FILTER (kind = 'NOT_FOUND') AS lost FROM cites GROUP BY 1), mx AS (SELECT claim_id, count(DISTINCT nullif(trim(unit), '')) > 1 OR count(DISTINCT population) > 1 AS mixed FROM cites JOIN ({ABOUT}) USING (doc_id) GROUP BY 1), lh AS (SELECT DISTINCT claim_id FROM ({NAMED}) WHERE hypothesis NOT IN (SELECT hypothesis FROM ({HYP}))),
+flagged AS (SELECT claim_id, concat_ws(',', CASE WHEN n.claim_id IS NULL THEN 'NO_SOURCE_CITATION' END, CASE WHEN lost > 0 THEN 'CITATION_NOT_FOUND' END, CASE WHEN claim_id IN (SELECT claim_id FROM lh) THEN 'HYPOTHESIS_NOT_FOUND' END, CASE WHEN claim_id % 5 IN (0, 2, 3) AND NOT identified THEN 'CAUSAL_LANGUAGE_WITHOUT_IDENTIFICATION' END, CASE WHEN claim_id % 5 IN (1, 2, 3) THEN 'OVERGENERALIZATION_LANGUAGE' END, CASE WHEN mixed THEN 'DEFINITION_OR_POPULATION_MISMATCH' END) AS flags FROM ({CLAIMS}) LEFT JOIN n USING (claim_id) LEFT JOIN mx USING (claim_id))
 """
 
 
 def _flags(spark, sf_dir):
-    return r.claim_flags(rows(spark, sf_dir, CLAIMS), _cites(spark, sf_dir), rows(spark, sf_dir, ABOUT))
+    return r.claim_flags(rows(spark, sf_dir, CLAIMS), _cites(spark, sf_dir), rows(spark, sf_dir, ABOUT), rows(spark, sf_dir, NAMED), rows(spark, sf_dir, HYP))
 
 
 @query("claim_flags", CITES[:-1] + f", {FLAGGED} SELECT * FROM flagged")
@@ -165,9 +166,6 @@ def claim_flags(spark, sf_dir):
     return _flags(spark, sf_dir)
 
 
-HYP = "SELECT CAST(n_nationkey AS STRING) AS hypothesis, CASE n_nationkey WHEN 0 THEN 'CONTRADICTED' WHEN 1 THEN 'PLAUSIBLE' WHEN 4 THEN 'CONTRADICTED' WHEN 6 THEN 'PARTIALLY_SUPPORTED' WHEN 7 THEN 'UNTESTED' ELSE 'SUPPORTED' END AS status FROM {nation} WHERE n_nationkey < 8"
-
-
 @query("claim_status", BASIS[:-1] + f""", {FLAGGED}, evd AS (SELECT b.claim_id, count(*) AS cited FROM basis b JOIN ev USING (hypothesis) WHERE role = 'BASIS' AND EXISTS (SELECT 1 FROM cites c WHERE c.claim_id = b.claim_id AND c.doc_id = ev.doc_id) GROUP BY 1),
 f AS (SELECT claim_id, count(*) FILTER (role = 'BASIS' AND status IN ('PARTIALLY_SUPPORTED', 'SUPPORTED')) AS good, count(*) FILTER (role = 'BASIS' AND status = 'CONTRADICTED') AS against, count(status) FILTER (role = 'BASIS') AS known, count(*) FILTER (role <> 'BASIS' AND status <> 'CONTRADICTED') AS open FROM basis LEFT JOIN ({HYP}) h USING (hypothesis) GROUP BY 1)
 SELECT claim_id, CASE WHEN known = 0 THEN 'UNKNOWN' WHEN against = known THEN 'CONTRADICTED' WHEN good > 0 AND against > 0 THEN 'INSUFFICIENT' WHEN good < known THEN 'INSUFFICIENT' WHEN open > 0 THEN 'INSUFFICIENT' WHEN contains(coalesce(flags, ''), 'CAUSAL_LANGUAGE') THEN 'INSUFFICIENT' WHEN cited IS NULL THEN 'INSUFFICIENT' ELSE 'SUPPORTED' END AS status,
@@ -292,10 +290,10 @@ def derive_expectations(spark, sf_dir):
     return r.derive_expectations(rows(spark, sf_dir, HELD))
 
 
-STAGED = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'SYNTHESIS' WHEN 1 THEN 'VALIDATION' ELSE 'EXPLORATION' END AS stage, CASE WHEN o_orderstatus = 'O' THEN 'PRIOR' ELSE 'POST_HOC' END AS basis FROM {orders}"
+STAGED = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'SYNTHESIS' WHEN 1 THEN 'VALIDATION' ELSE 'EXPLORATORY' END AS stage, CASE o_orderstatus WHEN 'O' THEN 'PRIOR' WHEN 'F' THEN 'LITERATURE' ELSE 'HUMAN_POST_HOC' END AS basis FROM {orders}"
 
 
-@query("finding_kind", f"SELECT id, CASE WHEN stage = 'SYNTHESIS' THEN 'SYNTHESIS' WHEN stage = 'VALIDATION' AND basis = 'PRIOR' THEN 'VALIDATION' ELSE 'EXPLORATORY' END AS kind FROM ({STAGED})")
+@query("finding_kind", f"SELECT id, CASE WHEN stage = 'SYNTHESIS' THEN 'SYNTHESIS' WHEN stage = 'VALIDATION' AND basis <> 'HUMAN_POST_HOC' THEN 'VALIDATION_RESULT' ELSE 'EXPLORATORY_FINDING' END AS kind FROM ({STAGED})")
 def finding_kind(spark, sf_dir):
     return r.finding_kind(rows(spark, sf_dir, STAGED))
 

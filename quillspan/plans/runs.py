@@ -84,9 +84,10 @@ def span_overlap(spark, sf_dir):
 
 @query("match_findings")
 def match_findings(spark, sf_dir):
-    titles_a = rows(spark, sf_dir, "SELECT CAST(c_custkey AS BIGINT) AS finding, concat('t', CAST(c_custkey % 500 AS STRING)) AS title FROM {customer}")
-    titles_b = rows(spark, sf_dir, "SELECT CAST(s_suppkey AS BIGINT) AS finding, concat('t', CAST(s_suppkey % 500 AS STRING)) AS title FROM {supplier}")
-    return u.match_findings(rows(spark, sf_dir, SPARK_SPANS), rows(spark, sf_dir, SPARK_SPANS_B), titles_a, titles_b)
+    a = rows(spark, sf_dir, "SELECT CAST(c_custkey AS BIGINT) AS finding, concat('t', CAST(c_custkey % 500 AS STRING)) AS title, c_mktsegment AS status FROM {customer}")
+    b = rows(spark, sf_dir, "SELECT CAST(s_suppkey AS BIGINT) AS finding, concat('t', CAST(s_suppkey % 500 AS STRING)) AS title, CASE WHEN s_acctbal > 0 THEN 'BUILDING' END AS status FROM {supplier}")
+    found = u.match_findings(rows(spark, sf_dir, SPARK_SPANS), rows(spark, sf_dir, SPARK_SPANS_B), a.select("finding", "title"), b.select("finding", "title"))
+    return u.finding_changes(found, a, b, ["title", "status"])
 
 
 RUNS = "SELECT o_custkey AS project, o_orderkey AS run, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'FAILED' END AS status, o_totalprice AS metric, o_orderdate AS created_at, o_orderdate + INTERVAL '1' DAY AS finished_at FROM {orders}"

@@ -14,22 +14,34 @@ SOURCES = ("document", "report", "paper", "web", "record", "other", "dataset", "
 DOCUMENT = "id STRING, source STRING, title STRING, content STRING, _corrupt STRING"
 #: Columns of event files.
 EVENT_FIELDS = ("corporate_number", "event_type", "prefecture_name", "city_name", "assignment_date", "update_date", "change_date", "close_date", "source_provider", "source_version", "source_fetched_at")
-ARTIFACT = "artifact_id STRING, artifact_hash STRING, results ARRAY<STRUCT<metric_id: STRING, period: STRING, value: DOUBLE>>"
+ARTIFACT = """artifact_id STRING, schema STRING, version STRING, producer STRING, producer_version STRING, generated_at STRING, artifact_hash STRING, spec STRUCT<kind: STRING, reference: STRING, hash: STRING>, population STRING,
+ datasets ARRAY<STRUCT<id: STRING, version: STRING, hash: STRING>>, metrics ARRAY<STRUCT<id: STRING, name: STRING, unit: STRING, version: STRING>>, provenance ARRAY<STRUCT<dataset_id: STRING, source: STRING, retrieved_at: STRING>>,
+ results ARRAY<STRUCT<metric_id: STRING, period: STRING, basis: STRING, dims: MAP<STRING, STRING>, value: DOUBLE, missing: BOOLEAN>>"""
 EXAMPLES = 50
 IDENTITY = ("project", "kind", "file_hash", "manifest_hash", "request_key")
 
 
 def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool, check: bool) -> DataFrame:
     """Rows of CSV files read byte by byte, so that bytes that are no UTF-8 are known from characters that stand for such:
-    the schema's columns decoded, ``bad_bytes`` and ``file``. With ``check`` a header of other names is an error."""
-    raw = spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=not check, encoding="ISO-8859-1")
+    the schema's columns decoded, ``bad_bytes`` and ``file``. With ``check`` a file without a header of these names fails the
+    read; rows that repeat the header are no data."""
+    raw = spark.read.schema(schema).csv(path, header=not check, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, encoding="ISO-8859-1")
     columns = [c for c in raw.columns if c != "_corrupt"]
     data = {c: F.encode(c, "ISO-8859-1") for c in columns}
     good = lambda c: F.coalesce(F.is_valid_utf8(data[c].cast("string")), F.lit(True))
     bad = ~good(columns[0])
     for c in columns[1:]:
         bad = bad | ~good(c)
-    return raw.select(*[F.decode(F.make_valid_utf8(data[c].cast("string")).cast("binary"), "UTF-8").alias(c) for c in columns], "_corrupt", bad.alias("bad_bytes"), F.col("_metadata.file_name").alias("file"))
+    rows = raw.select(*[F.decode(F.make_valid_utf8(data[c].cast("string")).cast("binary"), "UTF-8").alias(c) for c in columns], "_corrupt", bad.alias("bad_bytes"), F.col("_metadata.file_name").alias("file"))
+    if not check:
+        return rows
+    is_header = F.lit(True)
+    for c in columns:  # a file may start with a byte order mark
+        is_header = is_header & (F.lower(F.trim(F.regexp_replace(c, "^\ufeff", ""))) == c)
+    marked = rows.withColumn("is_header", F.coalesce(is_header, F.lit(False)))
+    headed = marked.filter("is_header").select("file", F.lit(True).alias("headed")).distinct()
+    wrong = F.raise_error(F.concat(F.lit(f"CSV header must be {','.join(columns)}: "), "file")).cast("boolean")
+    return marked.filter("not is_header").join(headed, "file", "left").filter(F.coalesce("headed", wrong)).select(*rows.columns)
 
 
 def documents_csv_scan(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
@@ -134,9 +146,10 @@ def raw_file_verify(spark: SparkSession, path: str, claims: DataFrame | None = N
     return rows.join(c, "file", "left").select("file", "size", "sha256", good.alias("verified"))
 
 
-def artifact_json_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Artifacts of JSON files, one value a line; unknown fields are left out."""
-    return spark.read.schema(ARTIFACT).json(path)
+def artifact_json_scan(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """Artifacts of JSON files; unknown fields are left out, absent ones are NULL. One value a line, or with ``multi_line`` one
+    value a file over any number of lines."""
+    return spark.read.schema(ARTIFACT).json(path, multiLine=multi_line)
 
 
 def artifact_json_write(artifacts: DataFrame, path: str) -> None:

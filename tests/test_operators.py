@@ -38,11 +38,11 @@ def test_types_and_profiles(spark):
 
 def test_incomparable_observations_have_no_arithmetic(spark):
     fields = [f for f, _ in compare.INCOMPATIBLE]
-    rows = [("g", 1, *["x"] * len(fields), "2020", 0.0, "s", False), ("g", 2, *["x"] * len(fields), "2021", 5.0, "t", True), ("g", 3, "y", *["x"] * (len(fields) - 1), "2022", 6.0, "t", False)]
-    df = spark.createDataFrame(rows, ["g", "o", *fields, "period", "value", "source", "flagged"])
+    rows = [("g", 1, *["x"] * len(fields), "calendar-year", 2020, 2021, 1, 0.0, "s", False), ("g", 2, *["x"] * len(fields), "calendar-year", 2021, 2022, 1, 5.0, "t", True), ("g", 3, "y", *["x"] * (len(fields) - 1), "calendar-year", 2022, 2023, 1, 6.0, "t", False)]
+    df = spark.createDataFrame(rows, ["g", "o", *fields, *compare.PERIOD, "value", "source", "flagged"])
     a, b = sorted(compare.compare_series(df, "g", "o").collect(), key=lambda r: r.o)
-    assert (a.absolute, a.relative, a.direction, a.warnings, a.review) == (5.0, None, "UP", "", "ZERO_BASELINE,SOURCE_CHANGED,QUALITY_FLAGS_PRESENT")
-    assert (b.absolute, b.direction, b.warnings, b.review) == (None, None, "METRIC_MISMATCH", "")
+    assert (a.absolute, a.relative, a.direction, a.warnings, a.review) == (5.0, None, "increase", "", "ZERO_BASELINE,SOURCE_CHANGED,QUALITY_FLAGS_PRESENT")
+    assert (b.absolute, b.direction, b.warnings, b.review) == (None, "unknown", "INCOMPATIBLE_METRIC", "")
 
 
 def test_budget_skips_what_is_too_large(spark):
@@ -102,7 +102,8 @@ def test_titles_match_what_the_spans_leave(spark):
             ta, tb = ta[:12] + [(3, "x"), (3, "y")], tb[:12]
         got = runs.match_findings(spark.createDataFrame(a, spans), spark.createDataFrame(b, spans), spark.createDataFrame(ta, "finding int, title string"), spark.createDataFrame(tb, "finding int, title string")).collect()
         want = greedy([(1, 7, 3.0), (2, 8, 1.667)] + [(i, j, 0.5) for i, t in ta for j, u in tb if t and t == u])
-        assert sorted((r.a, r.b, round(r.score, 3)) for r in got) == want and any(s == 0.5 for _, _, s in want)
+        mine = {runs.EXACT: 2, runs.OVERLAP: 1, runs.TITLE: 0}
+        assert sorted((r.a, r.b, round(r.score + mine[r.method], 3)) for r in got) == want and any(s == 0.5 for _, _, s in want)
 
 
 def test_fingerprints_ignore_order_and_ids(spark):
@@ -230,8 +231,12 @@ def test_equal_coverage_is_no_exact_match(spark):
     a = spark.createDataFrame([(1, 0, 0, 1000), (2, 1, 0, 5)], spans)
     b = spark.createDataFrame([(7, 0, 0, 500), (7, 0, 500, 1000), (8, 1, 0, 5), (8, 2, 9, 9)], spans)
     none = spark.createDataFrame([], "finding int, title string")
-    got = {(r.a, r.b): r.score for r in runs.match_findings(a, b, none, none).collect()}
-    assert got == {(1, 7): 2.0, (2, 8): 3.0}
+    found = runs.match_findings(a, b, none, none)
+    assert {(r.a, r.b): (r.method, r.score) for r in found.collect()} == {(1, 7): (runs.OVERLAP, 1.0), (2, 8): (runs.EXACT, 1.0)}
+    fields = "finding int, title string, status string"
+    one, other = spark.createDataFrame([(1, "t", "x"), (2, "u", None), (3, "v", "x")], fields), spark.createDataFrame([(7, "T", "y"), (8, "u", ""), (9, "v", "x")], fields)
+    got = {(r.a, r.b): (r.method, r.changed) for r in runs.finding_changes(found, one, other, ["title", "status"]).collect()}
+    assert got == {(1, 7): (runs.OVERLAP, "status,title"), (2, 8): (runs.EXACT, ""), (3, None): ("REMOVED", None), (None, 9): ("ADDED", None)}
 
 
 def test_codes_of_pairs(spark):

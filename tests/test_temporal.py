@@ -72,7 +72,7 @@ def test_lags_of_a_shifted_series(spark):
 def test_shares_cohorts_baselines_and_breaks(spark):
     got = by_idx(t.share(points(spark, [1, 2, None, 4]), points(spark, [2, 0, 5, "gap"])), "value", "flag")
     assert got == {0: (0.5, None), 1: (None, "ZERO_DENOMINATOR"), 2: (None, "MISSING_OR_GAP"), 3: (None, "MISSING_OR_GAP")}
-    assert by_idx(t.cohort_comparison(points(spark, [0, 4, 6])), "value") == {1: (100.0,), 2: (150.0,)}
+    assert by_idx(t.cohort_comparison(points(spark, [0, 4, 6])), "value") == {0: (0.0,), 1: (100.0,), 2: (150.0,)}
     assert [r.flag for r in t.indexed_baseline(points(spark, [0, 4]), 0).collect()] == ["ZERO_BASELINE"]
     assert [r.flag for r in t.indexed_baseline(points(spark, [1, 4]), 9).collect()] == ["MISSING_BASELINE"]
     r = t.before_after(points(spark, [1, 3, "gap", 10]), 2).first()
