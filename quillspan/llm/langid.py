@@ -5,11 +5,13 @@ transitions are learned, and forward-backward gives every word's label probabili
 word by word. A text's language is the one with the largest mean probability over its words with letters.
 
 The model learns from a bounded sample of labelled windows of words. Windows of two languages are also joined, so that the
-transitions between languages are learned from text that switches.
+transitions between languages are learned from text that switches. Tasks hold parts of the sample; in each round they make
+gradient steps from the model so far, and their weights are averaged.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
@@ -18,13 +20,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import fold
+from quillspan.llm.common import PART as MODEL
+from quillspan.llm.common import averaged, cut, fold, sliced
 
-#: Labelled windows a language to learn from, at most about, and words of a window.
-WINDOWS, WINDOW = 1000, 120
+#: Labelled windows a language and in all to learn from, at most about, and words of a window.
+WINDOWS, MOST, WINDOW = 1000, 40_000, 120
+ROUNDS, PER_TASK = 5, 500  # rounds of fitting; windows of a task
 BITS = 16
 LEXICON = 200  # words a language
 UNKNOWN = "und"
@@ -177,24 +181,11 @@ def posterior_sums(emissions: np.ndarray, lettered: np.ndarray, sizes: np.ndarra
     return total, lettered.sum(0)
 
 
-def train(samples: list[tuple[str, list[bytes]]], epochs: int = 4, seed: int = 0) -> Crf:
-    """A model from (language, words) windows, by Adagrad on the sequences' log-likelihood."""
-    languages = sorted({lang for lang, _ in samples})
-    label = {lang: i for i, lang in enumerate(languages)}
-    n = len(languages)
-    counts: dict[bytes, np.ndarray] = {}
-    for lang, words in samples:
-        for w in words:
-            core = core_of(w)
-            if core:
-                counts.setdefault(core, np.zeros(n))[label[lang]] += 1
-    lexicon = {}
-    for i in range(n):
-        mine = sorted(((c[i] * (c[i] / c.sum()) ** 4, w) for w, c in counts.items() if c[i] >= 3), reverse=True)[:LEXICON]
-        lexicon |= {w: i for s, w in mine if counts[w].argmax() == i}
-    crf = Crf(languages, lexicon, np.zeros((1 << BITS, max(1, n)), np.float32), np.zeros((n, n), np.float32))
-    if n < 2:
-        return crf
+def step(crf: Crf, samples: list[tuple[str, list[bytes]]], rate: float, seed: int) -> int:
+    """One pass of Adagrad steps on the log-likelihood of (language, words) windows and of pairs of them, joined; changes the
+    weights and returns the number of words."""
+    label = {lang: i for i, lang in enumerate(crf.languages)}
+    n = len(crf.languages)
     rng = np.random.default_rng(seed)
     joined = []
     for _ in range(len(samples) // 2):  # text that switches
@@ -205,52 +196,51 @@ def train(samples: list[tuple[str, list[bytes]]], epochs: int = 4, seed: int = 0
     kinds = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in sequences for w in words))}
     cores = [core_of(w) for w in kinds]
     real = [i for i, c in enumerate(cores) if c]
-    rows, ids, values = features([cores[i] for i in real], lexicon)
+    rows, ids, values = features([cores[i] for i in real], crf.lexicon)
     order = np.argsort(rows, kind="stable")
     rows, ids, values = np.array(real, np.int64)[rows[order]], ids[order], values[order]
     ends = np.searchsorted(rows, np.arange(len(cores) + 1))
     flat = [ids[a:b] for a, b in pairwise(ends.tolist())]
     value = [values[a:b] for a, b in pairwise(ends.tolist())]
     grown, grown_moves = np.full_like(crf.weights, 1e-2), np.full_like(crf.moves, 1e-2)
-    for _ in range(epochs):
-        order = rng.permutation(len(sequences))
-        for at in range(0, len(order), 32):
-            batch = sorted((sequences[i] for i in order[at : at + 32]), key=lambda s: -len(s[0]))
-            sizes = np.array([len(s[0]) for s in batch])
-            ids = np.zeros((sizes[0], len(batch)), np.int64)
-            gold = np.zeros((sizes[0], len(batch)), np.int64)
-            for j, (words, labels) in enumerate(batch):
-                ids[: sizes[j], j] = [kinds[w] for w in words]
-                gold[: sizes[j], j] = labels
-            real = np.arange(sizes[0])[:, None] < sizes
-            own, back = np.unique(ids[real], return_inverse=True)
-            every, values = np.concatenate([flat[i] for i in own]), np.concatenate([value[i] for i in own])
-            row = np.repeat(np.arange(len(own)), [len(flat[i]) for i in own])
-            emitted = np.zeros((len(own), n), np.float32)
-            np.add.at(emitted, row, crf.weights[every] * values[:, None])
-            emissions = np.zeros((*ids.shape, n), np.float32)
-            emissions[real] = emitted[back]
-            off = np.zeros_like(emissions)
-            move = np.zeros((n, n))
-            for t, b, p, pairs in forward_backward(emissions, sizes, crf.moves):
-                off[t, :b] = p
-                off[t, np.arange(b), gold[t, :b]] -= 1
-                if pairs is not None:
-                    later = len(pairs)
-                    move += pairs.sum(0)
-                    np.add.at(move, (gold[t, :later], gold[t + 1, :later]), -1)
-            by_word = np.zeros((len(own), n), np.float32)
-            np.add.at(by_word, back, off[real])
-            used, place = np.unique(every, return_inverse=True)
-            step = np.zeros((len(used), n), np.float32)
-            np.add.at(step, place, by_word[row] * values[:, None])
-            step = step / len(batch) + 1e-4 * crf.weights[used]
-            grown[used] += step**2
-            crf.weights[used] -= 0.3 * step / np.sqrt(grown[used])
-            step = move.astype(np.float32) / len(batch) + 1e-3 * crf.moves
-            grown_moves += step**2
-            crf.moves -= 0.3 * step / np.sqrt(grown_moves)
-    return crf
+    order = rng.permutation(len(sequences))
+    for at in range(0, len(order), 32):
+        batch = sorted((sequences[i] for i in order[at : at + 32]), key=lambda s: -len(s[0]))
+        sizes = np.array([len(s[0]) for s in batch])
+        ids = np.zeros((sizes[0], len(batch)), np.int64)
+        gold = np.zeros((sizes[0], len(batch)), np.int64)
+        for j, (words, labels) in enumerate(batch):
+            ids[: sizes[j], j] = [kinds[w] for w in words]
+            gold[: sizes[j], j] = labels
+        real = np.arange(sizes[0])[:, None] < sizes
+        own, back = np.unique(ids[real], return_inverse=True)
+        every, values = np.concatenate([flat[i] for i in own]), np.concatenate([value[i] for i in own])
+        row = np.repeat(np.arange(len(own)), [len(flat[i]) for i in own])
+        emitted = np.zeros((len(own), n), np.float32)
+        np.add.at(emitted, row, crf.weights[every] * values[:, None])
+        emissions = np.zeros((*ids.shape, n), np.float32)
+        emissions[real] = emitted[back]
+        off = np.zeros_like(emissions)
+        move = np.zeros((n, n))
+        for t, b, p, pairs in forward_backward(emissions, sizes, crf.moves):
+            off[t, :b] = p
+            off[t, np.arange(b), gold[t, :b]] -= 1
+            if pairs is not None:
+                later = len(pairs)
+                move += pairs.sum(0)
+                np.add.at(move, (gold[t, :later], gold[t + 1, :later]), -1)
+        by_word = np.zeros((len(own), n), np.float32)
+        np.add.at(by_word, back, off[real])
+        used, place = np.unique(every, return_inverse=True)
+        slope = np.zeros((len(used), n), np.float32)
+        np.add.at(slope, place, by_word[row] * values[:, None])
+        slope = slope / len(batch) + 1e-4 * crf.weights[used]
+        grown[used] += slope**2
+        crf.weights[used] -= rate * slope / np.sqrt(grown[used])
+        slope = move.astype(np.float32) / len(batch) + 1e-3 * crf.moves
+        grown_moves += slope**2
+        crf.moves -= rate * slope / np.sqrt(grown_moves)
+    return sum(len(w) for w, _ in sequences)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,23 +251,66 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = words_of(text)
             at = crc32(b"%d" % (doc_id or 0)) % max(1, len(words) - WINDOW + 1)
             found.append(b" ".join(words[at : at + WINDOW]))
-        yield pa.record_batch([batch.column("lang"), pa.array(found, pa.binary())], names=["lang", "words"])
+        yield pa.record_batch([batch.column("lang"), batch.column("doc_id"), pa.array(found, pa.binary())], names=["lang", "doc_id", "words"])
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (language, stripped word)."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for lang, words in zip(batch.column("lang").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            counts.update((lang, c) for c in map(core_of, words.split()) if c)
+    yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "core", "n"])
+
+
+def lexicon(windows: DataFrame, languages: list[str]) -> dict[bytes, int]:
+    """The ``LEXICON`` words of each language that are most frequent and most its own, of those more its than any other's."""
+    counts = windows.mapInArrow(_cores, "lang string, core binary, n long").groupBy("core", "lang").agg(F.sum("n").alias("n"))
+    by_core = Window.partitionBy("core")
+    scored = counts.withColumn("score", F.col("n") * F.pow(F.col("n") / F.sum("n").over(by_core), F.lit(4))).withColumn("place", F.row_number().over(by_core.orderBy(F.desc("n"), "lang")))
+    listed = scored.filter("n >= 3 and place = 1").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("core")))).filter(F.col("rank") <= LEXICON)
+    return {bytes(r.core): languages.index(r.lang) for r in listed.select("core", "lang").collect()}
+
 
+def _passes(crf: Crf, rate: float, seed: int):
+    """A task's part of a round: the changes of its weights over a pass over its windows."""
 
-def learn(docs: DataFrame, windows: int = WINDOWS) -> Crf:
+    def run(windows: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(windows.column(c).to_pylist() for c in ("doc_id", "lang", "words")), strict=True))
+        samples = [(lang, words.split()) for _, lang, words in rows if words]
+        own = Crf(crf.languages, crf.lexicon, crf.weights.copy(), crf.moves.copy())
+        n = step(own, samples, rate, seed + windows.column("task")[0].as_py()) if samples else 0
+        return pa.Table.from_batches([sliced(np.concatenate([(own.weights - crf.weights).ravel(), (own.moves - crf.moves).ravel()]), max(n, 1e-9))])
+
+    return run
+
+
+def learn(docs: DataFrame, windows: int = WINDOWS, rounds: int = ROUNDS) -> Crf:
     """A model from the documents (doc_id, text, lang) whose fold is not 0; rows with a null take no part.
 
-    About ``windows`` documents a language, chosen by the hash of their id, give one window each; only these reach the
-    driver.
+    About ``windows`` documents a language, fewer where that is over ``MOST`` in all, chosen by the hash of their id, give one
+    window each. Tasks learn from these; only counts, lexicons and averaged weights reach the driver.
     """
-    known = docs.select("doc_id", "text", "lang").filter((fold(F.col("doc_id")) > 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter((fold(F.col("doc_id")) > 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return train([])
+    languages = sorted(sizes)
+    n = len(languages)
+    crf = Crf(languages, {}, np.zeros((1 << BITS, max(1, n)), np.float32), np.zeros((n, n), np.float32))
+    if n < 2:
+        return crf
+    windows = min(windows, max(1, MOST // n))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1_000_000, 1 + windows * 1_000_000 // n)))])
-    rows = known.filter(draw < share[F.col("lang")]).mapInArrow(_windows, "lang string, words binary").collect()
-    return train(sorted((r.lang, bytes(r.words).split()) for r in rows if r.words))
+    share = F.create_map(*[x for lang, size in sizes.items() for x in (F.lit(lang), F.lit(min(1_000_000, 1 + windows * 1_000_000 // size)))])
+    drawn = cut(known.filter(draw < share[F.col("lang")]).mapInArrow(_windows, "lang string, doc_id long, words binary"), "langid-windows")
+    crf.lexicon = lexicon(drawn, languages)
+    tasks = max(1, drawn.count() // PER_TASK)
+    dealt = drawn.withColumn("task", F.pmod(F.xxhash64("doc_id", F.lit("task")), F.lit(tasks)))
+    for k in range(rounds):
+        # A group is a task's part, at most about ``PER_TASK`` windows; changes are mostly zero and pack well.
+        values, _ = averaged(dealt.groupBy("task").applyInArrow(_passes(crf, 0.3 / (1 + 0.5 * k), 1000 * k), MODEL))
+        if len(values):
+            crf.weights, crf.moves = crf.weights + values[: crf.weights.size].reshape(crf.weights.shape), crf.moves + values[crf.weights.size :].reshape(n, n)
+    return crf
 
 
 def _judged(crf: Crf, batch: pa.RecordBatch) -> list[tuple[str, float]]:
@@ -314,7 +347,11 @@ def languages(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or has a score under ``min_score``; all columns stay."""
+    """``docs`` without the rows whose language is unknown or has a score under ``min_score``; all columns stay.
+
+    Null texts and texts without a letter are unknown; a null id or label only keeps a row from being learned from. Repeated
+    rows and equal texts share one fate; an empty table gives an empty result, and without labels no row is known.
+    """
     crf = learn(docs)
     schema = docs.schema
 
