@@ -106,7 +106,9 @@ def _valid(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray | None]:
     found = []
     for v in column:
         x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid else np.zeros(0)
-        found.append(x if len(x) and np.isfinite(x).all() and x.any() else None)
+        good = len(x) and np.isfinite(x).all() and x.any()
+        # Scaled by a power of two, which changes no cosine, so that squares neither overflow nor vanish.
+        found.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]) if good else None)
     return found
 
 
@@ -122,10 +124,13 @@ def _search(k: int, factor: float):
             q, at = np.nonzero(scores > -np.inf)
             yield pa.record_batch([pa.array(names[q]), pa.array(hashes[q]), pa.array(ids[q, at]), pa.array(scores[q, at])], schema=schema)
 
-    def plant(points: dict[bytes, list[int]]) -> dict[int, VPTree]:
+    def plant(points: dict[int, bytes]) -> dict[int, VPTree]:
+        alike: dict[bytes, list[int]] = {}
+        for name, raw in points.items():
+            alike.setdefault(raw, []).append(name)
         by_size: dict[int, list[tuple[int, bytes]]] = {}
-        for raw, names in points.items():
-            by_size.setdefault(len(raw) // 8, []).extend((i, raw) for i in names)
+        for raw, names in alike.items():
+            by_size.setdefault(len(raw) // 8, []).extend((i, raw) for i in sorted(names)[: k + 1])
         return {n: VPTree(np.array([i for i, _ in rows], np.int64), np.frombuffer(b"".join(r for _, r in rows)).reshape(-1, n)) for n, rows in by_size.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +145,8 @@ def _search(k: int, factor: float):
                 if vec is None:
                     continue
                 if not is_query:
-                    names = points.setdefault(vec.tobytes(), [])
-                    if len(names) <= k or name < names[-1]:
-                        points[vec.tobytes()] = sorted({*names, name})[: k + 1]
+                    raw = vec.tobytes()
+                    points[name] = min(points.get(name, raw), raw)
                     continue
                 if trees is None:
                     trees = plant(points)
@@ -161,7 +165,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, factor: float
 
     Nearest is the largest cosine; ties go to the smaller vec_id; a row with the query's own vec_id is left out. Rows whose
     id is null or whose vector is null, empty, zero or holding null or non-finite components take no part; vectors of
-    different lengths never meet. Repeated rows count once. Fewer candidates than k give fewer rows; empty tables none.
+    different lengths never meet. Repeated rows count once; of different vectors with one vec_id the one whose bytes come first
+    is a candidate, and each is a query. Fewer candidates than k give fewer rows; empty tables none.
     """
     parts = -(-vectors.count() // shard_rows) or 1
     vec = F.col("embedding").cast("array<double>")
