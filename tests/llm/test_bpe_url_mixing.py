@@ -57,7 +57,7 @@ def test_url_verdicts_match_brute_force(spark):
     paths = ["", "/", "/fr", "/fr/", "/fr/1", "/fr/1/2", "/de/", "/\U0010ffff", "/fr/\x01"]
     urls = [None, "", "no scheme", "://", "http://A.Example.ORG/fr/1?x=/de/", "http://x.com#/fr/", "http://a\nb.com/fr/"]
     urls += [f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q', '#f'])}" for _ in range(400)]
-    urls += ["http://hot.com/fr/"] * 200
+    urls += ["http://hot.com/fr/"] * 200 + ["http://" + "a." * 3000 + "org/" + "p/" * 20_000, "http://example.org/fr/" + "x" * 100_000 + "?q"]
     rules = [(h, p, rng.choice(["allow", "block"])) for h, p in {(rng.choice(hosts[:7]), rng.choice(paths)) for _ in range(25)}]
     pages = spark.createDataFrame([(None if i == 9 else i // 2, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string")
 

@@ -134,3 +134,27 @@ def test_components_of_a_path_a_star_and_self_edges(spark):
     want = {i: -5 for i in [*range(100, 141), -5]} | {i: 499 for i in range(499, 530) if i != 500}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_simhash_with_odd_rows(spark):
+    texts = ["a b c d e", "a b c d e", "A B c d e", None, "", "x " * 30_000, "x " * 30_000]
+    ids = [4, 4, 2, None, 9, 7, None]
+    frame = docs(spark, texts, ids)
+    for name in ("fp", "component_id", "root", "low", "node"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.simhash_components(frame).collect()), key=str)
+    assert got == sorted([(4, 2), (4, 2), (2, 2), (None, 9), (9, 9), (7, 7), (None, 7)], key=str)
+
+
+def test_components_of_nodes_with_many_edges(spark, monkeypatch):
+    from quillspan.llm import components
+
+    monkeypatch.setattr(components, "LEAST_HOT", 4)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1060)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(60)] + [(5000, 299), (5, 5)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {x: r for x, r in low.items() if (x in got)} and len(got) >= len(low) - 1

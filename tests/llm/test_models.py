@@ -330,3 +330,35 @@ def test_toxicity_edges(spark):
         got = toxicity.toxicity(docs, labels).collect()
         assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_the_risk_and_its_slope():
+    rng = np.random.default_rng(5)
+    xp, xu = (rng.integers(0, 2, (n, 6)).astype(np.float32) for n in (30, 50))
+    loss = lambda z: np.log1p(np.exp(-z))
+    branches = set()
+    for scale, prior in ((0.3, 0.2), (2.0, 0.9), (3.0, 0.95), (1.0, 0.5)):
+        w = rng.normal(size=7) * scale
+        score = lambda x, w: x.astype(float) @ w[:-1] + w[-1]
+        confirmed = lambda w: prior * loss(score(xp, w)).mean()
+        clean = lambda w: loss(-score(xu, w)).mean() - prior * loss(-score(xp, w)).mean()
+        got = toxicity.risk(xp, xu, w, prior)
+        assert np.allclose(got[:2], [confirmed(w), clean(w)], atol=1e-5)
+        branches.add(got[1] >= 0)
+        aim = (lambda w: confirmed(w) + clean(w)) if got[1] >= 0 else (lambda w: -clean(w))  # noqa: B023
+        slope = [(aim(w + e) - aim(w - e)) / 2e-5 for e in np.eye(7) * 1e-5]
+        assert np.allclose(got[2], slope, atol=1e-3)
+    assert branches == {True, False}
+
+
+def test_learning_from_few_windows_of_many_languages(spark):
+    words = {f"l{k}": [f"{chr(97 + k)}{i}{chr(97 + k)}" for i in range(40)] for k in range(7)}
+    rng = random.Random(2)
+    langs = [f"l{i % 7}" for i in range(210)]
+    docs = docs_of(spark, [" ".join(rng.choices(words[lang], k=30)) for lang in langs], langs)
+    model = langid.learn(docs)
+    assert model.languages == sorted(words) and model.lexicon
+    got = langid.languages(docs, model).collect()
+    assert all(r.lang_pred == langs[r.doc_id] for r in got)
+    again = langid.learn(docs)
+    assert (model.weights == again.weights).all()  # a task that runs again makes the same steps
