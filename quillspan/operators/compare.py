@@ -138,13 +138,18 @@ def comparability_label(a_population: Column, b_population: Column, a_method: Co
 
 def pct_change_report(records: DataFrame, before: str, after: str) -> DataFrame:
     """Per metric and geography, from records (metric_id, period, geography, value DECIMAL): delta and percent to one
-    place, half up; a side that is not exactly one record is an error."""
+    place, half up, both decimals.
+
+    A side that is not exactly one record is an error, and so is a baseline of zero or a missing value. Values may have 33
+    digits; the percent is worked out in whole numbers, so nothing is rounded before the last step.
+    """
     side = lambda p: F.col("period") == p
     rows = records.groupBy("metric_id", "geography").agg(F.count_if(side(before)).alias("nb"), F.count_if(side(after)).alias("na"), F.max(F.when(side(before), F.col("value"))).alias("b"), F.max(F.when(side(after), F.col("value"))).alias("a"))
-    one = (F.col("nb") == 1) & (F.col("na") == 1)
-    delta = F.when(one, F.col("a") - F.col("b"))
-    percent = F.round(F.try_divide((delta * 100).cast("decimal(24,2)"), F.col("b").cast("decimal(12,2)")), 1)
-    return rows.select("metric_id", "geography", delta.cast("double").alias("delta"), percent.cast("double").alias("percent"), F.when(~one, "NOT_EXACTLY_ONE_RECORD").alias("error"))
+    error = F.when((F.col("nb") != 1) | (F.col("na") != 1), "NOT_EXACTLY_ONE_RECORD").when(F.col("a").isNull() | F.col("b").isNull(), "MISSING_VALUE").when(F.col("b") == 0, "ZERO_BASELINE")
+    counted = F.col("error").isNull() | (F.col("error") == "ZERO_BASELINE")
+    tenths = F.when(F.col("error").isNull(), F.expr("sign(a - b) * sign(b) * ((2000 * abs(a - b) + abs(b)) div (2 * abs(b)))"))
+    percent = (tenths.cast("decimal(20,0)") / F.lit(10)).cast("decimal(21,1)")
+    return rows.withColumn("error", error).select("metric_id", "geography", F.when(counted, F.col("a") - F.col("b")).alias("delta"), percent.alias("percent"), "error")
 
 
 def weakest_comparability(claims: DataFrame) -> DataFrame:
@@ -155,12 +160,15 @@ def weakest_comparability(claims: DataFrame) -> DataFrame:
 
 
 def concentration_share(parts: DataFrame, wholes: DataFrame, before: str, after: str) -> DataFrame:
-    """Per part (part, period, value) its share of wholes (period, value) in two periods, in percent to one place, and the
-    change in points, rounded once from unrounded shares."""
-    rows = parts.join(wholes.select("period", F.col("value").alias("whole")), "period").withColumn("share", F.try_divide(F.col("value") * 100, F.col("whole")))
+    """Per part (part, period, value DECIMAL) its share of wholes (period, value DECIMAL) in two periods, in percent to two
+    places, half up, and the change in points: the difference of the unrounded shares, rounded once. All are decimals.
+
+    A period without a whole, and a whole of zero, give no share."""
+    rows = parts.join(wholes.select("period", F.col("value").alias("whole")), "period").withColumn("share", F.try_divide(F.col("value"), F.col("whole")))
     at = lambda p: F.max(F.when(F.col("period") == p, F.col("share")))
     two = rows.groupBy("part").agg(at(before).alias("b"), at(after).alias("a"))
-    return two.select("part", F.round("b", 1).alias("share_before"), F.round("a", 1).alias("share_after"), F.round(F.col("a") - F.col("b"), 1).alias("points"))
+    percent = lambda share: (F.round(share, 4) * 100).cast("decimal(20,2)")
+    return two.select("part", percent(F.col("b")).alias("share_before"), percent(F.col("a")).alias("share_after"), percent(F.col("a") - F.col("b")).alias("points"))
 
 
 def gap_decomposition(rows: DataFrame) -> DataFrame:

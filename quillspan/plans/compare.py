@@ -96,12 +96,13 @@ def comparability_label(spark, sf_dir):
     return rows(spark, sf_dir, LABELLED).select("id", "line", c.comparability_label(F.col("pa"), F.col("pb"), F.col("ma"), F.col("mb")).alias("label"))
 
 
-RECORDS = "SELECT o_orderpriority AS metric_id, 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows, o_orderstatus AS geography, CAST(count(*) AS DECIMAL(18,0)) AS value FROM {orders} GROUP BY 1, 2, 3 UNION ALL SELECT '5-LOW', '1996', 'F', CAST(1 AS DECIMAL(18,0))"
+RECORDS = "SELECT o_orderpriority AS metric_id, CAST(year(o_orderdate) AS STRING) AS period, o_orderstatus AS geography, CAST(count(*) * CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 10000000019 ELSE 1 END AS DECIMAL(18,0)) AS value FROM {orders} GROUP BY o_orderpriority, year(o_orderdate), o_orderstatus UNION ALL SELECT '5-LOW', '1996', 'F', CAST(1 AS DECIMAL(18,0))"
 
 
-@query("pct_change_report", f"SELECT metric_id, geography, CASE WHEN ok THEN CAST(a - b AS DOUBLE) END AS delta, CASE WHEN ok THEN sign(a - b) * ((2000 * abs(CAST(a - b AS BIGINT)) + CAST(b AS BIGINT)) // (2 * CAST(b AS BIGINT))) / 10.0::DOUBLE END AS percent, CASE WHEN NOT ok THEN 'NOT_EXACTLY_ONE_RECORD' END AS error FROM (SELECT metric_id, geography, count(*) FILTER (period = '1996') = 1 AND count(*) FILTER (period = '1997') = 1 AS ok, max(value) FILTER (period = '1996') AS b, max(value) FILTER (period = '1997') AS a FROM ({RECORDS}) GROUP BY 1, 2)")
+@query("pct_change_report", f"SELECT metric_id, geography, CASE WHEN ok THEN CAST(a - b AS BIGINT) END AS delta, CASE WHEN ok THEN sign(a - b) * ((2000 * abs(CAST(a - b AS HUGEINT)) + CAST(b AS HUGEINT)) // (2 * CAST(b AS HUGEINT))) / 10.0::DOUBLE END AS percent, CASE WHEN NOT ok THEN 'NOT_EXACTLY_ONE_RECORD' END AS error FROM (SELECT metric_id, geography, count(*) FILTER (period = '1996') = 1 AND count(*) FILTER (period = '1997') = 1 AS ok, max(value) FILTER (period = '1996') AS b, max(value) FILTER (period = '1997') AS a FROM ({RECORDS}) GROUP BY 1, 2)")
 def pct_change_report(spark, sf_dir):
-    return c.pct_change_report(rows(spark, sf_dir, RECORDS), "1996", "1997")
+    found = c.pct_change_report(rows(spark, sf_dir, RECORDS), "1996", "1997")
+    return found.withColumns({"delta": F.col("delta").cast("long"), "percent": F.col("percent").cast("double")})
 
 
 CLAIMS = f"SELECT id AS claim_id, CASE WHEN id % 2 = 0 THEN 'COMPARABLE' ELSE 'NOT_COMPARABLE' END AS stated, CASE WHEN pa = pb AND mb = 'observed' THEN 'COMPARABLE' WHEN pa = pb THEN 'HARMONIZED_REFERENCE' ELSE 'NOT_COMPARABLE' END AS label FROM ({LABELLED})"
@@ -112,13 +113,15 @@ def weakest_comparability(spark, sf_dir):
     return c.weakest_comparability(rows(spark, sf_dir, CLAIMS))
 
 
-PARTS = "SELECT c_mktsegment AS part, 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2"
-WHOLES = "SELECT 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM {orders} GROUP BY 1"
+PARTS = "SELECT c_mktsegment AS part, CAST(year(o_orderdate) AS STRING) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS value FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment, year(o_orderdate)"
+WHOLES = "SELECT CAST(year(o_orderdate) AS STRING) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS value FROM {orders} GROUP BY year(o_orderdate)"
+CENTS = f"SELECT part, CAST(max(p.value) FILTER (period = '1996') * 100 AS HUGEINT) AS pb, CAST(max(w.value) FILTER (period = '1996') * 100 AS HUGEINT) AS wb, CAST(max(p.value) FILTER (period = '2000') * 100 AS HUGEINT) AS pa, CAST(max(w.value) FILTER (period = '2000') * 100 AS HUGEINT) AS wa FROM ({PARTS}) p JOIN ({WHOLES}) w USING (period) GROUP BY 1"
 
 
-@query("concentration_share", f"SELECT part, round(max(s) FILTER (period = '1996'), 1) AS share_before, round(max(s) FILTER (period = '2000'), 1) AS share_after, round(max(s) FILTER (period = '2000') - max(s) FILTER (period = '1996'), 1) AS points FROM (SELECT part, period, p.value * 100 / w.value AS s FROM ({PARTS}) p JOIN ({WHOLES}) w USING (period)) GROUP BY 1")
+@query("concentration_share", f"SELECT part, ((20000 * pb + wb) // (2 * wb)) / 100.0::DOUBLE AS share_before, ((20000 * pa + wa) // (2 * wa)) / 100.0::DOUBLE AS share_after, sign(pa * wb - pb * wa) * ((20000 * abs(pa * wb - pb * wa) + wa * wb) // (2 * wa * wb)) / 100.0::DOUBLE AS points FROM ({CENTS})")
 def concentration_share(spark, sf_dir):
-    return c.concentration_share(rows(spark, sf_dir, PARTS), rows(spark, sf_dir, WHOLES), "1996", "2000")
+    found = c.concentration_share(rows(spark, sf_dir, PARTS), rows(spark, sf_dir, WHOLES), "1996", "2000")
+    return found.select("part", *[F.col(n).cast("double").alias(n) for n in ("share_before", "share_after", "points")])
 
 
 DIFFERENCES = "SELECT c_custkey AS id, CAST(count(*) AS BIGINT) AS naive, CAST(count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS excluded FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY 1"
