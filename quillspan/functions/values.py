@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -15,10 +15,37 @@ def is_blank(cell: Column) -> Column:
     return F.coalesce(F.lower(F.trim(cell)).isin(*NULLS), F.lit(True))
 
 
-def number(cell: Column, scale: int = 6) -> Column:
-    """An exact decimal, thousands commas removed; NULL for anything else. NaN, infinities and type letters are no numbers."""
-    plain = F.replace(F.trim(cell), F.lit(","), F.lit(""))
-    return F.when(plain.rlike(NUMBER), plain.try_cast(f"decimal(30,{scale})"))
+def is_skipped(cell: Column) -> Column:
+    """A cell that an aggregation passes over: NULL, blank, NA or null; ``n/a`` is no number, though, and counts as invalid."""
+    return F.coalesce(F.lower(F.trim(cell)).isin(*[n for n in NULLS if n != "n/a"]), F.lit(True))
+
+
+#: Decimal digits of a limb; a sum of limbs holds 9 * 10**12 rows. Exponents beyond the limit are no numbers.
+LIMB, MOST_EXPONENT = 6, 1_000_000
+LIMBS = "array<struct<k:int,digits:bigint>>"
+
+
+def with_number(rows: DataFrame, cell: Column, value: str, limbs: str) -> DataFrame:
+    """``rows`` with ``value`` DOUBLE and ``limbs``, the exact number: the sum of digits * 10**(6 k); both NULL for a cell that
+    is no finite number.
+
+    Thousands commas are removed. NaN, infinities, type letters and what a double cannot reach are no numbers. Limbs of equal
+    ``k`` add up as whole numbers, so sums are exact for any digits and exponents, in any order.
+    """
+    plain = F.lower(F.replace(F.trim(cell), F.lit(","), F.lit("")))
+    tail = lambda text, mark: F.when(F.contains(text, F.lit(mark)), F.substring_index(text, mark, -1))
+    own = rows.withColumn("_plain", F.when(plain.rlike(NUMBER), plain)).withColumn("_head", F.ltrim(F.substring_index("_plain", "e", 1), F.lit("+-")))
+    own = own.withColumn("_part", F.coalesce(tail(F.col("_head"), "."), F.lit(""))).withColumn("_e", F.coalesce(tail(F.col("_plain"), "e"), F.lit("0")).try_cast("int"))
+    number = F.col("_plain").try_cast("double")
+    good = F.col("_plain").isNotNull() & F.coalesce(F.abs("_e") <= MOST_EXPONENT, F.lit(False)) & (F.abs(number) < float("inf"))
+    own = own.withColumn(value, F.when(good, number)).withColumn("_digits", F.ltrim(F.concat(F.substring_index("_head", ".", 1), F.col("_part")), F.lit("0"))).withColumn("_last", F.col("_e") - F.length("_part"))
+    own = own.withColumn("_full", F.concat("_digits", F.repeat(F.lit("0"), F.pmod("_last", F.lit(LIMB)).cast("int")))).withColumn("_n", F.expr(f"(length(_full) + {LIMB - 1}) div {LIMB}").cast("int"))
+    own = own.withColumn("_full", F.lpad("_full", F.col("_n") * LIMB, F.lit("0")))
+    cut = f"""filter(transform(sequence(1, _n), j -> named_struct(
+        'k', cast(floor(_last / {LIMB}.0D) as int) + _n - j,
+        'digits', if(startswith(_plain, '-'), -1L, 1L) * cast(substr(_full, {LIMB} * (j - 1) + 1, {LIMB}) as bigint))), x -> x.digits <> 0)"""
+    found = F.when(F.col("_digits") == "", F.expr(f"cast(array() as {LIMBS})")).otherwise(F.expr(cut))
+    return own.withColumn(limbs, F.when(F.col(value).isNotNull(), found)).drop("_plain", "_head", "_part", "_e", "_digits", "_last", "_full", "_n")
 
 
 def is_date(cell: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.places import placed
-from quillspan.functions.shared import shared_dir
+from quillspan.functions.shared import shared_dir, written
 
 
 def input_fingerprint(docs: DataFrame) -> DataFrame:
@@ -39,24 +39,41 @@ def set_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return b.select(key).distinct().join(a, key, "left_anti").withColumn("change", F.lit("ADDED")).unionByName(gone)
 
 
-def flat_fields(configs: DataFrame, c: str, depth: int) -> DataFrame:
-    """(id, field, value) of the JSON objects in column ``c``, nested objects as dotted fields down to ``depth``; what lies
-    deeper stays a text."""
-    rows = configs.select("id", F.explode(F.from_json(c, "map<string,string>")).alias("field", "value"))
-    for _ in range(depth - 1):
-        inner = F.when(F.ltrim("value").startswith("{"), F.from_json("value", "map<string,string>"))
-        parts = F.coalesce(F.transform(F.map_entries(inner), lambda e: F.struct(F.concat("field", F.lit("."), e["key"]).alias("field"), e["value"].alias("value"))), F.array(F.struct("field", "value")))
-        rows = rows.select("id", F.explode(parts).alias("p")).select("id", "p.field", "p.value")
-    return rows
+def flat_fields(objects: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(``keys``, field, value) of the JSON objects in ``column``, nested objects as dotted fields, whatever their depth.
 
-
-def config_field_diff(pairs: DataFrame, depth: int = 5) -> DataFrame:
-    """Pairs (id, a, b) of JSON objects to the fields that differ, nested ones by their dotted names, so the order of keys
-    never counts; absent is empty: id, field, a_value, b_value."""
-    side = lambda c: flat_fields(pairs, c, depth).withColumnRenamed("value", f"{c}_value")
-    both = side("a").join(side("b"), ["id", "field"], "full")
-    rows = both.select("id", "field", F.coalesce("a_value", F.lit("")).alias("a_value"), F.coalesce("b_value", F.lit("")).alias("b_value"))
-    return rows.filter("a_value <> b_value")
+    One round opens the objects of one level; rounds are written, and end when no object is left. A value is a text: a string
+    as it is, anything else as JSON, with the keys of objects inside arrays in order, so the order of keys never counts. Fields
+    that hold null or an empty object, and texts that are no object or repeat a key, give no row.
+    """
+    inner = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    level = objects.select(*keys, F.lit("").alias("field"), inner(F.try_parse_json(column)).alias("inner"))
+    done = None
+    while True:
+        parts = level.select(*keys, "field", F.explode("inner").alias("name", "own"))
+        named = parts.select(*keys, F.concat("field", F.when(F.col("field") != "", ".").otherwise(""), "name").alias("field"), F.try_variant_get("own", "$", "string").alias("text"), inner(F.col("own")).alias("inner"))
+        rows = written(named.select(*keys, "field", F.when(F.col("inner").isNull(), F.col("text")).alias("value"), F.when(F.col("inner").isNotNull(), F.col("text")).alias("object")), "json-level")
+        found = rows.filter("value is not null").select(*keys, "field", "value")
+        done = found if done is None else done.unionByName(found)
+        level = rows.filter("object is not null").select(*keys, "field", inner(F.try_parse_json("object")).alias("inner"))
+        if rows.filter("object is not null").isEmpty():
+            return done
+
+
+def config_field_diff(pairs: DataFrame) -> DataFrame:
+    """Pairs (id, a, b) of JSON objects to the fields that differ, nested ones by their dotted names at any depth, so the
+    order of keys never counts; absent is empty: id, field, a_value, b_value. See ``flat_fields``."""
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("json")) for c in ("a", "b")])
+    flat = flat_fields(pairs.select("id", F.explode(sides).alias("own")).select("id", "own.side", "own.json"), ["id", "side"], "json")
+    value = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("value"))), F.lit("")).alias(f"{side}_value")
+    return flat.groupBy("id", "field").agg(value("a"), value("b")).filter("a_value <> b_value")
+
+
+def numeric_metrics(runs: DataFrame) -> DataFrame:
+    """(run, metric, value) of the numbers at the top level of each run's JSON object ``metrics``; texts, flags, nulls, arrays
+    and objects are no metrics."""
+    rows = runs.select("run", F.explode(F.try_variant_get(F.try_parse_json("metrics"), "$", "map<string,variant>")).alias("metric", "own"))
+    return rows.filter(F.to_json("own").rlike("^-?[0-9]")).select("run", "metric", F.try_variant_get("own", "$", "double").alias("value"))
 
 
 def metric_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -179,15 +196,37 @@ def latest_completed_run(runs: DataFrame) -> DataFrame:
     return runs.filter("status = 'COMPLETED'").groupBy("project").agg(F.max_by("run", F.struct("finished_at", "created_at", "run")).alias("run"))
 
 
-def evidence_events(refs: DataFrame, iterations: DataFrame) -> DataFrame:
-    """ADDED, REMOVED, CONTENT_CHANGED and DEFINITION_CHANGED of references (run, seq, ref, hash, definition) per iteration
-    (run, seq); a reference that comes back after it was removed is added again."""
-    first = refs.groupBy("run", "ref").agg(F.min("seq").alias("first"))
-    every = first.join(iterations.select("run", "seq").distinct(), "run").filter("seq >= first").join(refs, ["run", "ref", "seq"], "left")
-    w = Window.partitionBy("run", "ref").orderBy("seq")
-    rows = every.withColumn("here", F.col("hash").isNotNull()).withColumn("was", F.lag("here", 1, False).over(w)).withColumn("h", F.lag("hash").over(w)).withColumn("d", F.lag("definition").over(w))
-    event = F.when(F.col("here") & ~F.col("was"), "ADDED").when(~F.col("here") & F.col("was"), "REMOVED").when(F.col("here") & (F.col("definition") != F.col("d")), "DEFINITION_CHANGED").when(F.col("here") & (F.col("hash") != F.col("h")), "CONTENT_CHANGED")
-    return rows.withColumn("event", event).filter("event is not null").select("run", "seq", "ref", "event")
+def evidence_events(iterations: DataFrame, declared: DataFrame, added: DataFrame, documents: DataFrame) -> DataFrame:
+    """ADDED, REMOVED, CONTENT_CHANGED and DEFINITION_CHANGED: run, seq, ref, event.
+
+    ``iterations``: run, seq, analysis. ``declared`` and ``added``: run, seq, ref. ``documents``: analysis, ref, hash, definition.
+    References are trimmed, blank ones dropped. A reference is added when it is declared or added and not yet seen. It is
+    removed when the iteration before declared it and this one declares others but not it; evidence that was only added is
+    never removed, and an iteration that declares nothing removes nothing. One that comes back after its removal is added
+    again. Between consecutive iterations of different analyses, a document in both has other content, or else another
+    definition; a missing hash is a value of its own.
+
+    A reference's mentions and removals are its gaps and islands: an ADDED is a mention whose last event is none or a removal.
+    There is a row for each mention and removal, none for iterations in between.
+    """
+    order = Window.partitionBy("run").orderBy("seq")
+    steps = iterations.groupBy("run", "seq").agg(F.max("analysis").alias("analysis"))
+    steps = steps.withColumns({"next": F.lead("seq").over(order), "next_analysis": F.lead("analysis").over(order)})
+    named = lambda refs: refs.select("run", "seq", F.trim(F.col("ref").cast("string")).alias("ref")).filter("ref <> ''").distinct()
+    full = named(declared).join(steps.select("run", "seq", "next"), ["run", "seq"])
+    given = full.select("run", "seq").distinct()
+    current = full.select("run", F.col("seq").alias("next"), "ref")
+    gone = full.join(given.withColumnRenamed("seq", "next"), ["run", "next"], "left_semi").join(current, ["run", "next", "ref"], "left_anti").select("run", F.col("next").alias("seq"), "ref", F.lit(1).alias("kind"))
+    here = full.select("run", "seq", "ref").unionByName(named(added).join(steps.select("run", "seq"), ["run", "seq"], "left_semi")).distinct().withColumn("kind", F.lit(0))
+    last = F.lag("kind", 1, 1).over(Window.partitionBy("run", "ref").orderBy("seq", "kind"))
+    event = F.when(F.col("kind") == 1, "REMOVED").when(F.col("last") == 1, "ADDED")
+    presence = here.unionByName(gone).withColumn("last", last).select("run", "seq", "ref", event.alias("event")).filter("event is not null")
+    docs = documents.select("analysis", F.trim(F.col("ref").cast("string")).alias("ref"), "hash", "definition")
+    turned = steps.filter("analysis <> next_analysis").select("run", F.col("next").alias("seq"), "analysis", "next_analysis")
+    after = docs.select(F.col("analysis").alias("next_analysis"), "ref", F.col("hash").alias("now_hash"), F.col("definition").alias("now_definition"))
+    pairs = turned.join(docs, "analysis").join(after, ["next_analysis", "ref"])
+    change = F.when(~F.col("hash").eqNullSafe(F.col("now_hash")), "CONTENT_CHANGED").when(~F.col("definition").eqNullSafe(F.col("now_definition")), "DEFINITION_CHANGED")
+    return presence.unionByName(pairs.select("run", "seq", "ref", change.alias("event")).filter("event is not null"))
 
 
 def instrument_changes(configs: DataFrame) -> DataFrame:

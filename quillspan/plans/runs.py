@@ -35,8 +35,11 @@ def document_set_diff(spark, sf_dir):
     return u.set_diff(rows(spark, sf_dir, LEFT), rows(spark, sf_dir, RIGHT), "content")
 
 
-CONFIGS = """SELECT o_custkey % 50 AS run, o_orderkey AS seq, concat(chr(123), '"model":"m', CAST(o_orderkey % 3 AS STRING), '","rules":"', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN '","extra":"x"' ELSE '"' END, chr(125)) AS config FROM {orders}"""
-FIELDS = f"WITH c AS ({CONFIGS}), w AS (SELECT run, seq, config AS b, lag(config) OVER (PARTITION BY run ORDER BY seq) AS a FROM c), f AS (SELECT w.run, w.seq, k.field, coalesce(json_extract_string(a, '$.' || k.field), '') AS a_value, coalesce(json_extract_string(b, '$.' || k.field), '') AS b_value FROM w, (VALUES ('model'), ('rules'), ('extra')) k(field) WHERE a IS NOT NULL), changes AS (SELECT * FROM f WHERE a_value <> b_value)\n"
+NESTED = """CASE WHEN o_orderkey % 2 = 0 THEN concat('"llm":', chr(123), '"host":"h', CAST(o_custkey % 2 AS STRING), '","parameters":', chr(123), '"top":', CAST(o_orderkey % 5 AS STRING), ',"stop":["a","', o_orderpriority, '"]', chr(125), chr(125))
+  ELSE concat('"llm":', chr(123), '"parameters":', chr(123), '"stop":["a","', o_orderpriority, '"],"top":', CAST(o_orderkey % 5 AS STRING), chr(125), ',"host":"h', CAST(o_custkey % 2 AS STRING), '"', chr(125)) END"""
+CONFIGS = f"""SELECT o_custkey % 50 AS run, o_orderkey AS seq, concat(chr(123), '"model":"m', CAST(o_orderkey % 3 AS STRING), '",', {NESTED}, ',"rules":"', o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN '","extra":"x"' ELSE '"' END, chr(125)) AS config FROM {{orders}}"""
+KEYS = "(VALUES ('model'), ('rules'), ('extra'), ('llm.host'), ('llm.parameters.top'), ('llm.parameters.stop')) k(field)"
+FIELDS = f"WITH c AS ({CONFIGS}), w AS (SELECT run, seq, config AS b, lag(config) OVER (PARTITION BY run ORDER BY seq) AS a FROM c), f AS (SELECT w.run, w.seq, k.field, coalesce(json_extract_string(a, '$.' || k.field), '') AS a_value, coalesce(json_extract_string(b, '$.' || k.field), '') AS b_value FROM w, {KEYS} WHERE a IS NOT NULL), changes AS (SELECT * FROM f WHERE a_value <> b_value)\n"
 
 
 @query("instrument_changes", FIELDS + "SELECT * FROM changes")
@@ -47,7 +50,7 @@ def instrument_changes(spark, sf_dir):
 PAIRED = f"SELECT x.seq AS id, x.config AS a, y.config AS b FROM ({CONFIGS}) x JOIN ({CONFIGS}) y ON y.seq = x.seq + 1"
 
 
-@query("config_field_diff", f"WITH w AS ({PAIRED}), f AS (SELECT id, k.field, coalesce(json_extract_string(a, '$.' || k.field), '') AS a_value, coalesce(json_extract_string(b, '$.' || k.field), '') AS b_value FROM w, (VALUES ('model'), ('rules'), ('extra')) k(field)) SELECT * FROM f WHERE a_value <> b_value")
+@query("config_field_diff", f"WITH w AS ({PAIRED}), f AS (SELECT id, k.field, coalesce(json_extract_string(a, '$.' || k.field), '') AS a_value, coalesce(json_extract_string(b, '$.' || k.field), '') AS b_value FROM w, {KEYS}) SELECT * FROM f WHERE a_value <> b_value")
 def config_field_diff(spark, sf_dir):
     return u.config_field_diff(rows(spark, sf_dir, PAIRED))
 
@@ -103,17 +106,22 @@ def latest_completed_run(spark, sf_dir):
     return u.latest_completed_run(rows(spark, sf_dir, RUNS))
 
 
-SHOWN = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, o_orderkey % 25 AS ref, min(o_orderstatus) AS hash, min(CASE WHEN year(o_orderdate) > 1998 AND o_orderkey % 25 < 5 THEN 'v2' ELSE 'v1' END) AS definition FROM {orders} WHERE o_orderkey % 3 = 0 GROUP BY 1, 2, 3"
-SEQS = "SELECT DISTINCT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders}"
-EVENTS = f"""WITH refs AS ({SHOWN}), it AS ({SEQS}), f AS (SELECT run, ref, min(seq) AS first FROM refs GROUP BY 1, 2), e AS (SELECT f.run, f.ref, it.seq, r.hash, r.definition FROM f JOIN it ON it.run = f.run AND it.seq >= f.first LEFT JOIN refs r ON r.run = f.run AND r.ref = f.ref AND r.seq = it.seq),
-w AS (SELECT *, hash IS NOT NULL AS here, coalesce(lag(hash) OVER v IS NOT NULL, false) AS was, lag(hash) OVER v AS h, lag(definition) OVER v AS d FROM e WINDOW v AS (PARTITION BY run, ref ORDER BY seq)),
-ee AS (SELECT run, seq, ref, CASE WHEN here AND NOT was THEN 'ADDED' WHEN NOT here AND was THEN 'REMOVED' WHEN here AND definition <> d THEN 'DEFINITION_CHANGED' WHEN here AND hash <> h THEN 'CONTENT_CHANGED' END AS event FROM w)
+SEQS = "SELECT DISTINCT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, concat(CAST(o_custkey % 40 AS STRING), '/', CAST(year(o_orderdate) AS STRING)) AS analysis FROM {orders}"
+DECLARED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, concat(' ', o_orderpriority, ' ', CAST(o_orderkey % 25 AS STRING)) AS ref FROM {orders} WHERE o_orderstatus = 'F'"
+GIVEN = DECLARED.replace("o_orderstatus = 'F'", "o_orderstatus <> 'F'").replace("' ', o_orderpriority", "o_orderpriority")
+SNAPSHOT = "SELECT concat(CAST(o_custkey % 40 AS STRING), '/', CAST(year(o_orderdate) AS STRING)) AS analysis, concat(o_orderpriority, ' ', CAST(o_orderkey % 25 AS STRING)) AS ref, min(o_orderstatus) AS hash, min(CASE WHEN year(o_orderdate) > 1998 AND o_orderkey % 25 < 5 THEN 'v2' ELSE 'v1' END) AS definition FROM {orders} GROUP BY 1, 2"
+EVENTS = f"""WITH it AS (SELECT *, lag(seq) OVER v AS prev, lag(analysis) OVER v AS prev_analysis FROM ({SEQS}) WINDOW v AS (PARTITION BY run ORDER BY seq)), de AS (SELECT DISTINCT run, seq, trim(ref) AS ref FROM ({DECLARED})), ad AS (SELECT DISTINCT run, seq, trim(ref) AS ref FROM ({GIVEN})), sn AS ({SNAPSHOT}),
+gone AS (SELECT it.run, it.seq, p.ref FROM it JOIN de p ON p.run = it.run AND p.seq = it.prev WHERE EXISTS (SELECT 1 FROM de c WHERE c.run = it.run AND c.seq = it.seq) AND NOT EXISTS (SELECT 1 FROM de c WHERE c.run = it.run AND c.seq = it.seq AND c.ref = p.ref)),
+here AS (SELECT * FROM de UNION SELECT * FROM ad), marks AS (SELECT *, seq * 2 AS spot, 0 AS kind FROM here UNION ALL SELECT *, seq * 2 + 1, 1 FROM gone),
+past AS (SELECT *, max(spot) FILTER (kind = 0) OVER w AS mention, max(spot) FILTER (kind = 1) OVER w AS removal FROM marks WINDOW w AS (PARTITION BY run, ref ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ee AS (SELECT run, seq, ref, CASE WHEN kind = 1 THEN 'REMOVED' ELSE 'ADDED' END AS event FROM past WHERE kind = 1 OR mention IS NULL OR removal > mention
+  UNION ALL SELECT it.run, it.seq, c.ref, CASE WHEN c.hash IS DISTINCT FROM p.hash THEN 'CONTENT_CHANGED' ELSE 'DEFINITION_CHANGED' END FROM it JOIN sn c ON c.analysis = it.analysis JOIN sn p ON p.analysis = it.prev_analysis AND p.ref = c.ref WHERE c.hash IS DISTINCT FROM p.hash OR c.definition IS DISTINCT FROM p.definition)
 """
 
 
 @query("evidence_events", EVENTS + "SELECT * FROM ee WHERE event IS NOT NULL")
 def evidence_events(spark, sf_dir):
-    return u.evidence_events(rows(spark, sf_dir, SHOWN), rows(spark, sf_dir, SEQS))
+    return u.evidence_events(*[rows(spark, sf_dir, text) for text in (SEQS, DECLARED, GIVEN, SNAPSHOT)])
 
 
 ADDED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders} WHERE o_orderkey % 83 = 0"
