@@ -9,37 +9,48 @@ from quillspan.plans.registry import query, rows
 from quillspan.sources import files as f
 
 DOCS = """SELECT CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 19 = 0 THEN 'same' ELSE CAST(doc_id AS STRING) END AS id, CASE WHEN doc_id % 11 = 0 THEN 'blog' WHEN doc_id % 2 = 0 THEN 'web' ELSE 'report' END AS source, source AS title, CASE WHEN doc_id % 13 = 0 THEN '   ' ELSE concat('"', text) END AS content FROM {documents}"""
-JUDGED = f"WITH d AS ({DOCS}), j AS (SELECT *, CASE WHEN source = 'blog' THEN 'invalid source' WHEN trim(content) = '' THEN 'empty content' END AS reason FROM d)\n"
+#: The documents as one CSV file for each of their sources, in order of their ids.
+ORDERED = f"SELECT d.*, row_number() OVER (PARTITION BY title ORDER BY doc_id) AS row FROM (SELECT doc_id, {DOCS[7:]}) d"
+JUDGED = f"WITH d AS (SELECT title AS file, * FROM ({ORDERED})), j AS (SELECT *, CASE WHEN source = 'blog' THEN 'invalid source' WHEN trim(content) = '' THEN 'empty content' END AS reason FROM d), k AS (SELECT *, reason IS NULL AND id <> '' AND row > min(CASE WHEN reason IS NULL THEN row END) OVER (PARTITION BY file, id) AS twice FROM j)\n"
 
 
-def _written(spark, sf_dir):
+def _files(spark, sf_dir):
     path = shared_path(spark, "documents-csv")
-    rows(spark, sf_dir, DOCS).write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return f.documents_csv_scan(spark, path).withColumn("file", F.lit("all"))
+    own = rows(spark, sf_dir, f"SELECT doc_id, {DOCS[7:]}").withColumn("file", F.col("title"))
+    own.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
+
+
+def _read(spark, path):
+    return f.documents_csv_scan(spark, f"{path}/*")
+
+
+def _named(found):
+    """With the file's folder, which is the documents' source, as its name."""
+    return found.withColumn("file", F.regexp_extract("file", "file=([^/]*)", 1))
 
 
 def _id():
     return F.coalesce("id", F.lit(""))
 
 
-@query("documents_csv_scan", JUDGED + "SELECT id, source, title, sha256(content) AS content_sha FROM d")
+@query("documents_csv_scan", JUDGED + "SELECT file, row, id, source, title, sha256(content) AS content_sha FROM d")
 def documents_csv_scan(spark, sf_dir):
-    return _written(spark, sf_dir).select(_id().alias("id"), "source", "title", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
+    return _named(_read(spark, _files(spark, sf_dir))).select("file", "row", _id().alias("id"), "source", "title", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
 
 
-@query("row_quarantine", JUDGED + "SELECT id, reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'valid', '', count(*) FROM j WHERE reason IS NULL")
+@query("row_quarantine", JUDGED + "SELECT file, row, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT file, count(*), 'valid' FROM j WHERE reason IS NULL GROUP BY 1")
 def row_quarantine(spark, sf_dir):
-    valid, rejects = f.row_quarantine(_written(spark, sf_dir))
-    bad = rejects.groupBy(_id().alias("id"), "reason").agg(F.count("*").alias("n"))
-    return bad.unionByName(valid.agg(F.count("*").alias("n")).select(F.lit("valid").alias("id"), F.lit("").alias("reason"), "n"))
+    valid, rejects = f.row_quarantine(_read(spark, _files(spark, sf_dir)))
+    counts = _named(valid).groupBy("file").agg(F.count("*").alias("row")).withColumn("reason", F.lit("valid"))
+    return _named(rejects).select("file", "row", "reason").unionByName(counts)
 
 
-ROWS = "SELECT o_orderstatus AS file, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE CAST(o_custkey AS STRING) END AS id, o_orderkey AS ord FROM {orders}"
-
-
-@query("ingest_row_dedupe", f"SELECT file, id, ord FROM ({ROWS}) QUALIFY id = '' OR row_number() OVER (PARTITION BY file, id ORDER BY ord) = 1")
+@query("ingest_row_dedupe", JUDGED + "SELECT file, row, id, twice FROM k WHERE reason IS NULL")
 def ingest_row_dedupe(spark, sf_dir):
-    return f.ingest_row_dedupe(rows(spark, sf_dir, ROWS))[0]
+    kept, again = f.ingest_row_dedupe(f.row_quarantine(_read(spark, _files(spark, sf_dir)))[0])
+    rows_of = lambda found, twice: _named(found).select("file", "row", _id().alias("id"), F.lit(twice).alias("twice"))
+    return rows_of(kept, False).unionByName(rows_of(again, True))
 
 
 EVENTS = """SELECT CASE WHEN event_id % 23 = 0 THEN '' ELSE CAST(user_id AS STRING) END AS corporate_number, CASE event_type WHEN 'click' THEN 'ASSIGNED' WHEN 'view' THEN 'UPDATED' WHEN 'error' THEN 'CHANGED' ELSE 'CLOSED' END AS event_type, concat('pref', CAST(user_id % 4 AS STRING)) AS prefecture_name, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'city' END AS city_name,
@@ -63,13 +74,13 @@ def rollup_documents(spark, sf_dir):
     return f.rollup_documents(_groups(spark, sf_dir))
 
 
-SEEN = "SELECT o_custkey % 30 AS file, CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'empty content' END AS reason FROM {orders}"
-
-
-@query("ingest_receipt", f"WITH r AS ({SEEN}), few AS (SELECT * FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file ORDER BY id, reason) <= 50) SELECT file, count(*) FILTER (reason IS NULL) AS created, count(reason) AS skipped, coalesce((SELECT string_agg(id || ':' || reason, ',' ORDER BY id || ':' || reason) FROM few WHERE few.file = r.file), '') AS examples FROM r GROUP BY 1")
+@query("ingest_receipt", JUDGED + """, r AS (SELECT file, row, coalesce(reason, CASE WHEN twice THEN 'duplicate id' END) AS reason FROM k), few AS (SELECT * FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file ORDER BY row) <= 50)
+SELECT file, count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS created, count(reason) AS skipped, coalesce((SELECT string_agg(row || ':' || reason, ',' ORDER BY row) FROM few WHERE few.file = r.file), '') AS examples, true AS hashed FROM r GROUP BY 1""")
 def ingest_receipt(spark, sf_dir):
-    seen = rows(spark, sf_dir, SEEN)
-    return f.ingest_receipt(seen.filter("reason is null"), seen.filter("reason is not null"))
+    path = _files(spark, sf_dir)
+    valid, rejects = f.row_quarantine(_read(spark, path))
+    kept, again = f.ingest_row_dedupe(valid)
+    return _named(f.ingest_receipt(kept, rejects.unionByName(again), hashes=f.file_hashes(spark, f"{path}/*"))).withColumn("hashed", F.length("sha256") == 64).drop("sha256")
 
 
 FILES = "SELECT DISTINCT o_custkey AS project, o_orderstatus AS kind, o_orderpriority AS file_hash, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS manifest_hash, '' AS request_key FROM {orders}"
@@ -90,9 +101,9 @@ def visible_documents(spark, sf_dir):
     return f.visible_documents(rows(spark, sf_dir, OWNED), rows(spark, sf_dir, INGESTS))
 
 
-@query("import_preview", JUDGED + "SELECT id, source, (SELECT count(*) FROM j WHERE reason IS NULL) AS valid, (SELECT count(*) FROM j WHERE reason IS NOT NULL) AS rejected FROM j WHERE reason IS NULL ORDER BY id, source LIMIT 5")
+@query("import_preview", JUDGED + "SELECT file, row, id, source, (SELECT count(*) FROM j WHERE reason IS NULL) AS valid, (SELECT count(*) FROM j WHERE reason IS NOT NULL) AS rejected FROM j WHERE reason IS NULL ORDER BY file, row LIMIT 5")
 def import_preview(spark, sf_dir):
-    return f.import_preview(*f.row_quarantine(_written(spark, sf_dir))).withColumn("id", _id())
+    return _named(f.import_preview(*f.row_quarantine(_read(spark, _files(spark, sf_dir))))).withColumn("id", _id())
 
 
 @query("raw_file_verify")

@@ -1,7 +1,8 @@
 """File sources and sinks with quarantine: document and event CSV, artifact JSON, raw files, receipts, provenance.
 
-Rejected rows always carry the file, the row's key and the first matching reason. Line numbers are not kept: a split file
-has none. ``multi_line`` reads quoted line breaks but cannot split a file; without it large files are split.
+Rejected rows always carry the file, their row number and the first matching reason. A row number counts a file's records
+after the header from 1, however the file is split: records are counted a split, and the counts of the splits before are
+added. ``multi_line`` reads quoted line breaks but cannot split a file; without it large files are split.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions.shared import written
+
 #: Accepted sources of documents.
 SOURCES = ("document", "report", "paper", "web", "record", "other", "dataset", "interview", "review", "support", "sales", "survey", "job_posting", "social_post")
 DOCUMENT = "id STRING, source STRING, title STRING, content STRING, _corrupt STRING"
@@ -18,35 +21,51 @@ ARTIFACT = """artifact_id STRING, schema STRING, version STRING, producer STRING
  datasets ARRAY<STRUCT<id: STRING, version: STRING, hash: STRING>>, metrics ARRAY<STRUCT<id: STRING, name: STRING, unit: STRING, version: STRING>>, provenance ARRAY<STRUCT<dataset_id: STRING, source: STRING, retrieved_at: STRING>>,
  results ARRAY<STRUCT<metric_id: STRING, period: STRING, basis: STRING, dims: MAP<STRING, STRING>, value: DOUBLE, missing: BOOLEAN>>"""
 EXAMPLES = 50
+#: Splits of files whose counts are sent to every task; rows whose places are ranked in one task.
+FEW_SPLITS, STRETCH = 65_536, 100_000
 IDENTITY = ("project", "kind", "file_hash", "manifest_hash", "request_key")
 
 
+def numbered(read: DataFrame) -> DataFrame:
+    """``read``, a plain read of files, with ``file`` (its path) and ``row``, the record's place in it from 0.
+
+    A task reads the records of a split in order, so numbers that rise within a task tell the place in the split; the records of
+    the splits before come from one count of the files. Only that count, a row a split, is sent to the tasks or joined.
+    """
+    marked = read.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    counts = written(marked.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")), "file-splits")
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split")) - F.col("_n")
+    starts = counts.select("file", "_split", (before - F.col("_first")).alias("_shift"))
+    if counts.count() <= FEW_SPLITS:
+        starts = F.broadcast(starts)
+    return marked.join(starts, ["file", "_split"]).withColumn("row", F.col("_at") + F.col("_shift")).drop("_split", "_at", "_shift")
+
+
 def _csv(spark: SparkSession, path: str, schema: str, multi_line: bool, check: bool) -> DataFrame:
     """Rows of CSV files read byte by byte, so that bytes that are no UTF-8 are known from characters that stand for such:
-    the schema's columns decoded, ``bad_bytes`` and ``file``. With ``check`` a file without a header of these names fails the
-    read; rows that repeat the header are no data."""
-    raw = spark.read.schema(schema).csv(path, header=not check, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, encoding="ISO-8859-1")
-    columns = [c for c in raw.columns if c != "_corrupt"]
+    the schema's columns decoded, ``bad_bytes``, ``file`` and ``row``. With ``check`` the first record of a file must hold
+    these names, else the read fails; it is no row. Without it the first record is skipped unread."""
+    raw = spark.read.schema(schema).csv(path, header=False, multiLine=multi_line, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, encoding="ISO-8859-1")
+    raw = numbered(raw)
+    columns = [c for c in raw.columns if c not in ("_corrupt", "file", "row")]
     data = {c: F.encode(c, "ISO-8859-1") for c in columns}
     good = lambda c: F.coalesce(F.is_valid_utf8(data[c].cast("string")), F.lit(True))
     bad = ~good(columns[0])
     for c in columns[1:]:
         bad = bad | ~good(c)
-    rows = raw.select(*[F.decode(F.make_valid_utf8(data[c].cast("string")).cast("binary"), "UTF-8").alias(c) for c in columns], "_corrupt", bad.alias("bad_bytes"), F.col("_metadata.file_name").alias("file"))
+    rows = raw.select(*[F.decode(F.make_valid_utf8(data[c].cast("string")).cast("binary"), "UTF-8").alias(c) for c in columns], "_corrupt", bad.alias("bad_bytes"), "file", "row")
     if not check:
-        return rows
+        return rows.filter("row > 0")
     is_header = F.lit(True)
     for c in columns:  # a file may start with a byte order mark
         is_header = is_header & (F.lower(F.trim(F.regexp_replace(c, "^\ufeff", ""))) == c)
-    marked = rows.withColumn("is_header", F.coalesce(is_header, F.lit(False)))
-    headed = marked.filter("is_header").select("file", F.lit(True).alias("headed")).distinct()
     wrong = F.raise_error(F.concat(F.lit(f"CSV header must be {','.join(columns)}: "), "file")).cast("boolean")
-    return marked.filter("not is_header").join(headed, "file", "left").filter(F.coalesce("headed", wrong)).select(*rows.columns)
+    return rows.filter(F.when(F.col("row") > 0, True).when(F.coalesce(is_header, F.lit(False)), False).otherwise(wrong))
 
 
 def documents_csv_scan(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """Raw rows of document CSV files: id, source, title, content, _corrupt, bad_bytes and file. Each file's header must name
-    these four columns in this order, else reading fails."""
+    """Raw rows of document CSV files: id, source, title, content, _corrupt, bad_bytes, file and row. Each file's header must
+    name these four columns in this order, else reading fails."""
     return _csv(spark, path, DOCUMENT, multi_line, True)
 
 
@@ -59,19 +78,25 @@ def row_quarantine(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.coalesce(F.trim("content"), F.lit("")) == "", "empty content")
     )
     marked = raw.withColumn("reason", reason)
-    return marked.filter("reason is null").drop("reason", "_corrupt", "bad_bytes"), marked.filter("reason is not null").select("file", "id", "reason")
+    return marked.filter("reason is null").drop("reason", "_corrupt", "bad_bytes"), marked.filter("reason is not null").select("file", "row", "id", "reason")
 
 
 def ingest_row_dedupe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejects): of a file's rows with one non-empty id the first in order of (ord) stays; empty ids all stay.
+    """(kept, rejects): of a file's rows with one non-empty id the one with the least ``row`` stays; empty ids all stay.
 
-    Rows without an id are set aside before the window, so they never meet in one task.
+    The least row of an id is found before the rows are shuffled, and only that row has a partner in the join, so an id that
+    many rows share is dealt evenly.
     """
     named = F.coalesce(F.trim("id"), F.lit("")) != ""
-    w = Window.partitionBy("file", "id").orderBy("ord")
-    ranked = rows.filter(named).withColumn("k", F.row_number().over(w))
-    kept = ranked.filter("k = 1").drop("k").unionByName(rows.filter(~named))
-    return kept, ranked.filter("k > 1").select("file", "id", F.lit("duplicate id").alias("reason"))
+    first = rows.filter(named).groupBy("file", "id").agg(F.min("row").alias("row"))
+    kept = rows.filter(named).join(first, ["file", "id", "row"], "left_semi").select(*rows.columns).unionByName(rows.filter(~named))
+    return kept, rows.filter(named).join(first, ["file", "id", "row"], "left_anti").select("file", "row", "id", F.lit("duplicate id").alias("reason"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, sha256) of each file under ``path``; a file is read whole by one task, 2 GiB at most."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def event_csv_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -101,14 +126,23 @@ def rollup_documents(groups: DataFrame) -> DataFrame:
     return groups.select(F.concat_ws("|", "period", "event_type", "prefecture_name", "city_name", "source_provider", "source_version").alias("key"), title.alias("title"), content.alias("content"))
 
 
-def ingest_receipt(valid: DataFrame, rejects: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """Per file: created and skipped rows, and up to ``examples`` rejected ids with reasons, smallest first."""
+def ingest_receipt(valid: DataFrame, rejects: DataFrame, examples: int = EXAMPLES, hashes: DataFrame | None = None) -> DataFrame:
+    """Per file: rows read, created and skipped, the first ``examples`` rejected rows with their reasons, and the hash of the
+    file where ``hashes`` (file, sha256) has it. A file whose rows are all rejected, or that has none, has a receipt too, the
+    latter if its hash is given.
+
+    First rows are ranked by stretches of a file and then among their first ones, so a file of many rejects is ranked in many
+    tasks.
+    """
+    first = lambda rows, *by: rows.withColumn("k", F.row_number().over(Window.partitionBy("file", *by).orderBy("row", "reason"))).filter(F.col("k") <= examples)
+    few = first(first(rejects.withColumn("stretch", F.expr(f"row div {STRETCH}")), "stretch"))
+    shown = few.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "reason"))), lambda e: F.concat(e["row"].cast("string"), F.lit(":"), e["reason"])), ",").alias("examples"))
     made = valid.groupBy("file").agg(F.count("*").alias("created"))
-    few = rejects.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("id", "reason"))).filter(F.col("k") <= examples)
-    shown = few.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce("id", F.lit("")), "reason"))), ",").alias("examples"))
     lost = rejects.groupBy("file").agg(F.count("*").alias("skipped"))
-    rows = made.join(lost, "file", "full").join(shown, "file", "left")
-    return rows.select("file", F.coalesce("created", F.lit(0)).alias("created"), F.coalesce("skipped", F.lit(0)).alias("skipped"), F.coalesce("examples", F.lit("")).alias("examples"))
+    rows = made.join(lost, "file", "full")
+    rows = rows.join(hashes.select("file", "sha256"), "file", "full") if hashes is not None else rows.withColumn("sha256", F.lit(None).cast("string"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.join(shown, "file", "left").select("file", (count("created") + count("skipped")).alias("rows_read"), count("created").alias("created"), count("skipped").alias("skipped"), F.coalesce("examples", F.lit("")).alias("examples"), "sha256")
 
 
 def ingest_identity_dedupe(files: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -128,9 +162,9 @@ def visible_documents(docs: DataFrame, ingests: DataFrame) -> DataFrame:
 
 
 def import_preview(valid: DataFrame, rejects: DataFrame, first: int = 5) -> DataFrame:
-    """The ``first`` valid rows by id and source, nulls first, each with the counts of a dry run."""
+    """The ``first`` valid rows in order of file and row, each with the counts of a dry run."""
     n = valid.agg(F.count("*").alias("valid")).join(rejects.agg(F.count("*").alias("rejected")))
-    return valid.orderBy("id", "source").limit(first).select("id", "source").join(F.broadcast(n))
+    return valid.orderBy("file", "row").limit(first).select("file", "row", "id", "source").join(F.broadcast(n))
 
 
 def raw_file_verify(spark: SparkSession, path: str, claims: DataFrame | None = None) -> DataFrame:
