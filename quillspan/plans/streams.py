@@ -14,22 +14,32 @@ EVENTS = "SELECT event_id, ts, event_type, value FROM {events}"
 FILES = 8  # of a batch
 
 
-def _stream(spark, sf_dir, name):
-    """The events as a stream of three batches in order of time, each of several files."""
-    path = shared_path(spark, name)
-    own = rows(spark, sf_dir, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
-    low, high = own.select(F.col("ts").cast("double").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.01)
-    third = F.when(F.col("ts").cast("double") < low, 0).when(F.col("ts").cast("double") < high, 1).otherwise(2)
+def _dealt(own, part, name):
+    """The rows as a stream of three batches of several files each, by ``part``."""
+    spark, path = own.sparkSession, shared_path(own.sparkSession, name)
     for k in range(3):
-        own.filter(F.coalesce(third, F.lit(2)) == k).repartition(FILES).write.mode("append").parquet(path)
+        own.filter(F.coalesce(part, F.lit(2)) == k).repartition(FILES).write.mode("append").parquet(path)
     return spark.readStream.schema(own.schema).option("maxFilesPerTrigger", FILES).parquet(path), path
 
 
-@query("stream_ingest", "SELECT CASE WHEN event_type = 'error' THEN 'error event' WHEN value < 5 THEN 'too small' ELSE 'valid' END AS kind, count(*) AS n FROM {events} GROUP BY 1 UNION ALL SELECT 'receipts', count(*) FROM {events}")
+def _stream(own, name):
+    """The rows in three batches in order of ``ts``."""
+    low, high = own.select(F.col("ts").cast("double").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.01)
+    return _dealt(own, F.when(F.col("ts").cast("double") < low, 0).when(F.col("ts").cast("double") < high, 1).otherwise(2), name)
+
+
+def _events(spark, sf_dir):
+    return rows(spark, sf_dir, EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+#: An id that the events of a user, type and day share.
+IDS = "SELECT *, CASE WHEN user_id % 10 = 0 THEN ' ' ELSE concat(CAST(user_id AS STRING), '/', event_type, '/', substring(CAST(ts AS STRING), 1, 10)) END AS id, CASE WHEN event_type = 'error' THEN 'error event' WHEN value < 5 THEN 'too small' END AS fault FROM {events}"
+
+
+@query("stream_ingest", f"WITH i AS ({IDS}) SELECT CASE WHEN fault IS NOT NULL THEN fault WHEN id <> ' ' AND k > 1 THEN 'duplicate id' ELSE 'valid' END AS kind, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id, fault ORDER BY event_id) AS k FROM i) GROUP BY 1 UNION ALL SELECT 'receipts', count(*) FROM i")
 def stream_ingest(spark, sf_dir):
-    stream, path = _stream(spark, sf_dir, "stream-ingest")
-    reason = F.when(F.col("event_type") == "error", "error event").when(F.col("value") < 5, "too small")
-    jobs.stream_ingest(stream, reason, f"{path}-out", f"{path}-progress")
+    stream, path = _stream(rows(spark, sf_dir, IDS).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "id", "fault"), "stream-ingest")
+    jobs.stream_ingest(stream, F.col("fault"), f"{path}-out", f"{path}-progress", id="id", order=["event_id"])
     read = lambda part: spark.read.parquet(f"{path}-out/{part}")
     kinds = read("valid").select(F.lit("valid").alias("kind")).unionByName(read("rejects").select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
     return kinds.unionByName(read("receipts").agg(F.sum("read").alias("n")).select(F.lit("receipts").alias("kind"), "n"))
@@ -37,17 +47,18 @@ def stream_ingest(spark, sf_dir):
 
 @query("stream_rollup", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM {events} GROUP BY 1, 2")
 def stream_rollup(spark, sf_dir):
-    stream, path = _stream(spark, sf_dir, "stream-rollup")
+    stream, path = _stream(_events(spark, sf_dir), "stream-rollup")
     jobs.stream_rollup(stream, "ts", ["event_type"], "value", "1 day", "7 days", f"{path}-out", f"{path}-progress")
     last = jobs.latest_of(spark.read.parquet(f"{path}-out"), ["start", "event_type"])
     return last.select(F.col("start").cast("date").cast("string").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
-@query("stream_observation_delta")
+@query("stream_observation_delta", "SELECT event_type AS series, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, value, round(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts), 4) AS delta FROM {events}")
 def stream_observation_delta(spark, sf_dir):
-    stream, path = _stream(spark, sf_dir, "stream-delta")
-    jobs.stream_observation_delta(stream.select(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("at"), "value"), f"{path}-out", f"{path}-progress")
-    return spark.read.parquet(f"{path}-out/deltas").groupBy("series", "kind", "batch").agg(F.count("*").alias("n"))
+    """Each of the three batches spans the whole time, so most rows of the later two are late."""
+    stream, path = _dealt(_events(spark, sf_dir), F.pmod("event_id", F.lit(3)), "stream-delta")
+    jobs.stream_observation_delta(stream.select(F.col("event_type").alias("series"), F.col("ts").alias("at"), "value"), f"{path}-out", f"{path}-progress")
+    return jobs.final_deltas(spark.read.parquet(f"{path}-out")).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 EXPECTED = "SELECT c_custkey AS scenario_id, CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'purchase' ELSE 'none' END AS key, CAST(CASE WHEN c_custkey % 3 = 0 THEN '2025-01-01' ELSE '2024-01-10' END AS DATE) AS window_start, DATE '2025-02-01' AS window_end, CAST(CASE WHEN c_custkey % 4 = 0 THEN '2024-06-01' ELSE '2023-12-31' END AS DATE) AS frozen_at FROM {customer}"
@@ -59,7 +70,7 @@ OUTCOME = "CASE WHEN value > 90 THEN 'CONTRADICTS' WHEN value > 10 THEN 'CONSIST
 f AS (SELECT scenario_id, coalesce(sum(n) FILTER (inside AND outcome = 'CONTRADICTS'), 0) AS a, coalesce(sum(n) FILTER (inside AND outcome = 'CONSISTENT'), 0) AS f, coalesce(sum(n) FILTER (outcome = 'INCONCLUSIVE' OR outcome IN ('CONTRADICTS', 'CONSISTENT') AND NOT inside), 0) AS n FROM y GROUP BY 1)
 SELECT scenario_id, CASE WHEN a > 0 THEN 'CONTRADICTED' WHEN scenario_id IN ({WEAK}) THEN 'WEAKENED' WHEN f > 0 THEN 'CONSISTENT_SO_FAR' WHEN n > 0 THEN 'INCONCLUSIVE' ELSE 'UNTESTED' END AS status FROM f""")
 def stream_scenario_status(spark, sf_dir):
-    stream, path = _stream(spark, sf_dir, "stream-scenario")
+    stream, path = _stream(_events(spark, sf_dir), "stream-scenario")
     seen = stream.select(F.col("event_type").alias("key"), F.col("ts").cast("date").alias("at"), F.expr(OUTCOME).alias("outcome"))
     expectations = rows(spark, sf_dir, EXPECTED)
     jobs.stream_scenario_status(seen, expectations, f"{path}-out", f"{path}-progress")

@@ -6,11 +6,30 @@ checkpoint. Sinks are keyed by batch id, so a batch that runs again replaces wha
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.streaming.state import Deltas, FirstOfId
+
+#: Spark keeps state of several kinds a key in this store only.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys of the ids that an ingest remembers.
+ID_BUCKETS = 64
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start inside keep their state in the store for keyed state."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
 
 def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], **trigger) -> None:
     """Runs ``each`` on every micro-batch to the end of the input."""
@@ -18,17 +37,31 @@ def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, i
     job.awaitTermination()
 
 
-def stream_ingest(stream: DataFrame, reason, path: str, checkpoint: str) -> None:
-    """Valid rows, rejects with their reason, and a receipt a batch; nothing shows before its batch is whole."""
+def stream_ingest(stream: DataFrame, reason, path: str, checkpoint: str, *, id: str | None = None, order: list[str] | None = None, buckets: int = ID_BUCKETS) -> None:
+    """Valid rows, rejects with their reason, and a receipt a batch; nothing shows before its batch is whole.
+
+    With ``id`` the first valid row of an id stays, over all batches, and later ones are rejected as a duplicate id; inside a
+    batch the first in ``order``. Blank ids are never duplicates, and rejected rows do not take an id. Ids are remembered in
+    keyed state, ``buckets`` keys, so a batch that runs again after a failure gives the same rows.
+    """
+    marked = stream.withColumn("reason", reason)
+    if id is not None:
+        plain = F.coalesce(F.trim(F.col(id).cast("string")), F.lit(""))
+        taken = F.col("reason").isNull() & (plain != "")
+        # Rows that take no id go to any bucket.
+        bucket = F.pmod(F.when(taken, F.xxhash64(plain)).otherwise(F.xxhash64(*stream.columns)), F.lit(buckets)).alias("_bucket")
+        keyed = marked.select("*", F.when(taken, plain).alias("_id"), bucket)
+        marked = keyed.groupBy("_bucket").transformWithState(FirstOfId(marked.columns, list(order or stream.columns)), marked.schema, "Append", "None")
 
     def each(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("reason", reason).persist()
-        marked.filter("reason is null").drop("reason").write.mode("overwrite").parquet(f"{path}/valid/batch={number}")
-        marked.filter("reason is not null").write.mode("overwrite").parquet(f"{path}/rejects/batch={number}")
-        marked.agg(F.count("*").alias("read"), F.count("reason").alias("skipped")).write.mode("overwrite").parquet(f"{path}/receipts/batch={number}")
-        marked.unpersist()
+        own = batch.persist()
+        own.filter("reason is null").drop("reason").write.mode("overwrite").parquet(f"{path}/valid/batch={number}")
+        own.filter("reason is not null").write.mode("overwrite").parquet(f"{path}/rejects/batch={number}")
+        own.agg(F.count("*").alias("read"), F.count("reason").alias("skipped")).write.mode("overwrite").parquet(f"{path}/receipts/batch={number}")
+        own.unpersist()
 
-    run_batches(stream, checkpoint, each)
+    with keyed_state(stream.sparkSession):
+        run_batches(marked, checkpoint, each)
 
 
 def stream_rollup(stream: DataFrame, time: str, keys: list[str], value: str, width: str, late: str, path: str, checkpoint: str) -> None:
@@ -49,25 +82,35 @@ def latest_of(batches: DataFrame, keys: list[str]) -> DataFrame:
     return batches.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*")
 
 
-def stream_observation_delta(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Each observation (series, at, value) against the latest earlier one of its series: RESTATED at the same time, else
-    DELTA, FIRST without one. A snapshot of the latest rows, one a series, carries over from batch to batch; an observation
-    older than its series' snapshot is LATE and compared with nothing."""
-    schema = "series string, at timestamp, value double"
+DELTAS = "series string, at timestamp, value double, kind string, delta double, restated double, step long"
+
+
+def stream_observation_delta(stream: DataFrame, path: str, checkpoint: str, *, width_seconds: int = 86_400, history: int = 4_000) -> None:
+    """Each observation (series, at, value) against the latest earlier one of its series, in whatever order they arrive.
+
+    kind: FIRST without an earlier one, DELTA, RESTATED at a time that the series has already (``restated``: the change from the
+    former value), CORRECTED for the next later observation, whose delta a late or restated one changes. ``delta`` is the
+    change from the latest earlier time. The last row of a (series, at) by batch and ``step`` is its final one and does not
+    depend on the order of arrival, unless one time has several values: then the last to arrive stays, of one batch the largest.
+
+    A series' observations are keyed state, in buckets of ``width_seconds``; the newest ``history`` buckets are kept. An
+    observation older than these is TOO_LATE and compared with nothing. Rows without a series, time or value are left out. A
+    batch that runs again after a failure starts from the same state and replaces its rows.
+    """
+    own = stream.select(F.col("series").cast("string").alias("series"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.col("value").cast("double").alias("value")).dropna()
+    found = own.groupBy("series").transformWithState(Deltas(width_seconds * 1_000_000, history), DELTAS.replace("timestamp", "long"), "Append", "None")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(schema).parquet(f"{path}/latest/batch={number - 1}") if number else spark.createDataFrame([], schema)
-        own = batch.select("series", "at", "value").join(before.select("series", F.col("at").alias("since")), "series", "left").withColumn("late", F.coalesce(F.col("at") < F.col("since"), F.lit(False)))
-        late = own.filter("late").select("series", "at", "value", F.lit("LATE").alias("kind"), F.lit(None).cast("double").alias("delta"))
-        rows = before.withColumn("old", F.lit(True)).unionByName(own.filter("not late").select("series", "at", "value", F.lit(False).alias("old")))
-        w = Window.partitionBy("series").orderBy("at", F.desc("old"), "value")
-        rows = rows.withColumn("p_at", F.lag("at").over(w)).withColumn("p", F.lag("value").over(w))
-        kind = F.when(F.col("p_at").isNull(), "FIRST").when(F.col("p_at") == F.col("at"), "RESTATED").otherwise("DELTA")
-        rows.filter("not old").select("series", "at", "value", kind.alias("kind"), F.round(F.col("value") - F.col("p"), 4).alias("delta")).unionByName(late).write.mode("overwrite").parquet(f"{path}/deltas/batch={number}")
-        rows.groupBy("series").agg(F.max(F.struct("at", "value")).alias("m")).select("series", "m.at", "m.value").write.mode("overwrite").parquet(f"{path}/latest/batch={number}")
+        batch.withColumn("at", F.timestamp_micros("at")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run_batches(stream, checkpoint, each)
+    with keyed_state(stream.sparkSession):
+        run_batches(found, checkpoint, each)
+
+
+def final_deltas(found: DataFrame) -> DataFrame:
+    """(series, at, value, delta) of each observation, from the rows of all batches of ``stream_observation_delta``."""
+    last = found.filter("kind <> 'TOO_LATE'").groupBy("series", "at").agg(F.max_by(F.struct("value", "delta"), F.struct("batch", "step")).alias("last"))
+    return last.select("series", "at", "last.*")
 
 
 def stream_scenario_status(stream: DataFrame, expectations: DataFrame, path: str, checkpoint: str) -> None:
