@@ -6,8 +6,9 @@ from labelled pages: those that mark their article (``<article>``, else ``<main>
 inside. A tag is known by its element and class; the marks of the article itself are labels and no tokens, and pages
 without them are scanned alike.
 
-The region's bounds are the scan's. Inside them, elements that are boilerplate by name or class (an advert or a form amid
-the article) are left out.
+The region's bounds are the scan's, but for blocks of links: these score negative wherever they stand, so those that follow
+or precede the region in its own container belong to it. Inside the bounds, elements that are boilerplate by name or class
+(an advert or a form amid the article) are left out; a class inside a sentence cuts nothing out of it, adverts excepted.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ LABELLED = 4000
 # Fixed values of HTML: elements without content, with content that is no text, that break no line, and of boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label picture source ruby rb rt rp".split())
-SKIPPED = frozenset("head nav header footer aside form button select option template dialog menu svg math canvas object audio video map datalist fieldset".split()) | RAW
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label picture source ruby rb rt rp math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mtable mtr mtd semantics annotation button".split())
+SKIPPED = frozenset("head nav header footer aside form button select option template dialog menu svg canvas object audio video map datalist fieldset".split()) | RAW
 ARTICLE = frozenset(["article", "main"])
 #: Words of a class, id or role that mark boilerplate.
 BOILERPLATE = frozenset(
@@ -38,14 +39,19 @@ BOILERPLATE = frozenset(
     " sidebar aside rail widget widgets comment comments commentlist disqus replies reply respond cookie cookies consent gdpr notice notices notification alert popup modal overlay"
     " newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar search form complementary contentinfo".split()
 )
+#: Those of them that mark a paragraph only if it is made of links, and those that mark a part of a sentence.
+WEAK = frozenset("share sharing social related recommended recommendations search form toolbar rail replies reply respond comment comments login signup menu navigation nav banner header footer".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Elements that only arrange their parent's content.
+ARRANGING = frozenset("ul ol li dl dt dd table tbody thead tfoot tr td th blockquote figure figcaption pre".split())
 #: Beginnings of such words that run on, as in cookiebar.
 STEMS = ("cookie", "advert", "sponsor", "comment", "sidebar", "newsletter", "breadcrumb", "navbar", "popup")
 #: Words that may stand beside these in a name without changing what it means.
 NEUTRAL = frozenset("site page main primary secondary global top bottom left right container wrapper wrap box block inner outer area section list item items bar unit slot links posts articles stories text content".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 @dataclass(slots=True)
@@ -59,33 +65,41 @@ class Block:
     skipped: bool  # inside an element that is boilerplate by name or class
     article: bool
     main: bool
+    container: int = 0  # the innermost element around it that does more than arrange; 0: the body
 
 
-def _names(attributes: str) -> list[tuple[str, list[list[str]]]]:
-    """The class, id and role of an element: words of each name."""
-    found = []
+def _names(attributes: str) -> tuple[list[tuple[str, list[list[str]]]], bool]:
+    """The class, id and role of an element, words of each name, and whether the element is hidden."""
+    found, hidden = [], False
     for kind, value in ATTRIBUTE.findall(attributes):
-        names = re.sub(r"([a-z])([A-Z])", r"\1-\2", value.strip("\"'")).lower().split()
-        found.append((kind.lower(), [[w for w in re.split(r"[^a-z]+", n) if w] for n in names]))
-    return found
+        kind, value = kind.lower(), value.strip("\"'")
+        if kind in ("class", "id", "role"):
+            names = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split()
+            found.append((kind, [[w for w in re.split(r"[^a-z]+", n) if w] for n in names]))
+        elif kind == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif kind == "aria-hidden":
+            hidden = hidden or value.lower() == "true"
+        elif kind == "style":
+            hidden = hidden or bool(NOT_SHOWN.search(value))
+    return found, hidden
 
 
 def _listed(word: str) -> bool:
     return word in BOILERPLATE or word.startswith(STEMS)
 
 
-def _skips(name: str, names: list[tuple[str, list[list[str]]]], attributes: str, in_article: bool) -> bool:
+def _skips(name: str, names: list[tuple[str, list[list[str]]]], in_article: bool) -> bool:
     """Is the element boilerplate by its own name, or by a name that says nothing else? ``post-header`` says more."""
     if name in SKIPPED:
         return not (name == "header" and in_article)
-    if not attributes or name in ("body", "html"):
-        return False
-    for kind, own in names:
-        if name in HEADINGS or (name in ARTICLE and kind != "role"):
-            continue
-        if any(any(map(_listed, words)) and all(_listed(w) or w in NEUTRAL for w in words) for words in own):
-            return True
-    return bool(HIDDEN.search(attributes))
+    return name not in ("body", "html") and any(any(map(_listed, words)) for words in _telling(name, names))
+
+
+def _telling(name: str, names: list[tuple[str, list[list[str]]]]) -> list[list[str]]:
+    """The names of an element that are made of listed words, and of words that change nothing."""
+    kinds = [own for kind, own in names if name not in HEADINGS and (name not in ARTICLE or kind == "role")]
+    return [words for own in kinds for words in own if words and any(map(_listed, words)) and all(_listed(w) or w in NEUTRAL for w in words)]
 
 
 def _token(name: str, names: list[tuple[str, list[list[str]]]]) -> str:
@@ -95,20 +109,22 @@ def _token(name: str, names: list[tuple[str, list[list[str]]]]) -> str:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, boilerplate ones too."""
+    """The blocks of a page in order, boilerplate ones too, in one pass."""
     found: list[Block] = []
-    # Open elements that matter: name, and what held before: skipped, dropped, article, main.
-    stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = []
+    # Open elements that matter: name, and what held before: skipped, dropped, article, main, container.
+    stack: list[tuple[str, tuple[bool, bool, bool, bool, int]]] = []
+    opened: Counter = Counter()  # of each name in the stack, so that an end tag without a start costs nothing
     parts: list[str] = []
     tags: list[str] = []
-    skipped = dropped = article = main = paragraph = False  # dropped: inside an inline advert; paragraph: in a skipped <p>
-    link, words, linked = 0, 0, 0
+    skipped = dropped = article = main = False  # dropped: inside an inline advert or something hidden
+    paragraph = weak = inside = False  # in a <p> that is boilerplate; in one that is if it is made of links; in any
+    container = containers = link = words = linked = 0
 
     def close() -> None:
         nonlocal parts, tags, words, linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            found.append(Block(text, words or 1, linked, tags, skipped or paragraph, article, main))
+            found.append(Block(text, words or 1, linked, tags, skipped or paragraph or (weak and 2 * linked >= words), article, main, container))
             tags = []
         parts, words, linked = [], 0, 0
 
@@ -136,32 +152,37 @@ def blocks(page: str) -> list[Block]:
             continue
         name, attributes = name.lower(), m[2]
         closing = page[m.start() + 1] == "/"
-        names = _names(attributes) if attributes and not closing else []
+        names, hidden = _names(attributes) if attributes and not closing else ([], False)
         if name in INLINE:
             if name == "a":
                 link = max(0, link + (-1 if closing else 1))
             if closing:
                 if stack and stack[-1][0] == name:
-                    skipped, dropped, article, main = stack.pop()[1]
+                    opened[name] -= 1
+                    skipped, dropped, article, main, container = stack.pop()[1]
             else:
-                if name not in VOID and (dropped or (attributes and _skips(name, names, attributes, article))):
-                    stack.append((name, (skipped, dropped, article, main)))  # inner ones too, so that ends pair up
+                advert = any(w in ADVERTS for own in _telling(name, names) for w in own)
+                if name not in VOID and (dropped or hidden or advert or (name == "button" and not inside)):
+                    stack.append((name, (skipped, dropped, article, main, container)))  # inner ones too, so that ends pair up
+                    opened[name] += 1
                     dropped = True
                 tags.append(_token(name, names))
             continue
         close()
-        paragraph = False
+        paragraph = weak = inside = False
         link = 0 if name != "br" else link
         if name in RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
             at = n if end is None else page.find(">", end.start()) + 1 or n
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    skipped, dropped, article, main = stack[i][1]
-                    del stack[i:]
-                    break
+            if opened[name]:
+                while True:  # ends what was left open inside, too
+                    last, before = stack.pop()
+                    opened[last] -= 1
+                    if last == name:
+                        skipped, dropped, article, main, container = before
+                        break
             continue
         is_main = name == "main" or any(kind == "role" and ["main"] in own for kind, own in names)
         if name not in ARTICLE and not is_main:
@@ -169,12 +190,21 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name == "p":  # it ends with the next block
-            paragraph = bool(attributes) and _skips(name, names, attributes, article)
+            inside = True
+            listed = {w for own in _telling(name, names) for w in own if _listed(w)}
+            weak = bool(listed) and listed <= WEAK
+            paragraph = hidden or bool(listed - WEAK)
             continue
-        stack.append((name, (skipped, dropped, article, main)))
+        stack.append((name, (skipped, dropped, article, main, container)))
+        opened[name] += 1
         article = article or name == "article"
         main = main or is_main
-        skipped = skipped or _skips(name, names, attributes, article)
+        skipped = skipped or hidden or _skips(name, names, article)
+        if name in ("body", "html"):
+            container = 0
+        elif name not in ARRANGING and name not in HEADINGS:
+            containers += 1
+            container = containers
     close()
     return found
 
@@ -250,6 +280,11 @@ def content(page: str | None, weights: Weights) -> list[Block]:
     if not every:
         return []
     a, b = region([weights.score(x) for x in every])
+    links = lambda x, edge: not x.skipped and 2 * x.linked >= x.words and x.container and x.container == edge.container
+    while a and links(every[a - 1], every[a]):
+        a -= 1
+    while b < len(every) and links(every[b], every[b - 1]):
+        b += 1
     return every[a:b]
 
 

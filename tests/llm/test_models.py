@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -76,6 +77,37 @@ def test_marks_of_boilerplate(page, want):
     assert html_text.main_text(page, html_text.Weights()) == want
 
 
+ARTICLE = "<h1>A title here</h1><p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
+
+
+@pytest.mark.parametrize("attribute", ['style="overflow:hidden"', 'class="overflow-hidden"', 'class="hidden-print"', 'title="the hidden valley"', "aria-label='hidden gems'", "data-hidden=x", 'aria-hidden="false"'])
+def test_only_the_attribute_hides(attribute):
+    assert html_text.main_text(f"<body><div {attribute}>{ARTICLE}</div>", html_text.Weights()).startswith("A title here\nword0 ")
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'HIDDEN=""', 'style="color:red; display: none"', "aria-hidden=true"])
+def test_hidden_elements_have_no_text(attribute):
+    assert html_text.main_text(f"<body><div {attribute}>{ARTICLE}</div>", html_text.Weights()) == ""
+
+
+def test_links_at_the_edges_of_the_container_stay():
+    page = f'<body><ul><li><a href=/>Home</a></ul><div><p><a>By Jane Doe</a></p>{ARTICLE}<p><a>Read the source paper here</a></p><ul><li><a>one ref</a><li><a>two ref</a></ul><div class="related"><a>Other</a></div></div><div><a>Other site</a></div>'
+    lines = html_text.main_text(page, html_text.Weights()).split("\n")
+    assert lines[0] == "By Jane Doe" and lines[3:] == ["Read the source paper here", "one ref", "two ref"]
+
+
+def test_classes_cut_nothing_out_of_a_sentence():
+    page = f"<div>{ARTICLE}<p>See <a class='related'>the linked words</a> in <span class='comment'>this</span> <math><mi>x</mi></math> and <button>press</button> it.</p><p class='share'>Plain words of a paragraph</p><p class='share'><a>Share this</a> now</p></div>"
+    assert html_text.main_text(page, html_text.Weights()).split("\n")[2:] == ["See the linked words in this x and press it.", "Plain words of a paragraph"]
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.process_time()
+    page = "<div>" * 50_000 + "</b2>" * 100_000 + "</section>" * 50_000 + "words of the page"
+    assert html_text.main_text(page, html_text.Weights()) == "words of the page"
+    assert time.process_time() - began < 5
+
+
 def test_region_scores_match_brute_force():
     weights = html_text.Weights(0.8, -0.4, {"p": -0.2, "div.ad": -5.0})
     page = '<nav><a href=/>Home</a></nav><div class="ad">Buy this now</div><h1>Title here</h1><p>Some words of <a href=x>linked text</a> here</p><footer>All rights</footer>'
