@@ -97,15 +97,43 @@ def comparison_patterns(comparisons: DataFrame, observations: DataFrame) -> Data
     return comparisons.join(a, ["series", "prev_period"]).join(b, ["series", "period"]).select("series", "period", "from_id", "to_id", text.alias("text"))
 
 
-def manifest_compatibility(manifests: DataFrame) -> DataFrame:
-    """All pairs of one project's datasets (dataset_id, unit, population, granularity, schema_version) with what differs;
-    blanks are unknown, never a mismatch. Pairs are within a project, by an equi-join."""
-    fields = (("unit", "UNIT_MISMATCH"), ("population", "POPULATION_MISMATCH"), ("granularity", "GRANULARITY_MISMATCH"), ("schema_version", "SCHEMA_VERSION_MISMATCH"))
-    a = manifests.select("project", F.col("dataset_id").alias("a"), F.struct(*[f for f, _ in fields]).alias("x"))
-    b = manifests.select("project", F.col("dataset_id").alias("b"), F.struct(*[f for f, _ in fields]).alias("y"))
-    known = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    codes = _codes(*[F.when(known(F.col("x")[f]) & known(F.col("y")[f]) & (F.col("x")[f] != F.col("y")[f]), code) for f, code in fields])
-    return a.join(b, "project").filter("a < b").select("project", "a", "b", codes.alias("warnings"))
+def granularity(period: Column) -> Column:
+    """day, month or year by the first date of a period's label (2021, 2021..2024, 2026-01/2026-06); NULL for anything else."""
+    first = F.trim(F.get(F.split(F.trim(period), r"\.\.|/| to |〜|~"), F.lit(0)))
+    return F.when(first.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "day").when(first.rlike(r"^[0-9]{4}-[0-9]{2}$"), "month").when(first.rlike("^[0-9]{4}$"), "year")
+
+
+SIGNATURE = ("unit", "population_id", "population", "granularity", "schema_id", "schema_version")
+
+
+def manifest_classes(manifests: DataFrame) -> DataFrame:
+    """(project, dataset_id, class, and the fields of ``SIGNATURE``): datasets of one project with equal fields are a class,
+    named by its least dataset_id. Manifests: project, dataset_id, unit, population_id, population, period, schema_id,
+    schema_version; units, populations and versions in lower case without outer blanks, blank ones NULL; ids as they are, and
+    empty ones NULL. Of several manifests of a dataset the one with the least fields counts."""
+    plain = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    fields = [plain("unit"), F.nullif(F.col("population_id"), F.lit("")), plain("population"), granularity(F.col("period")), F.coalesce("schema_id", F.lit("")), plain("schema_version")]
+    one = manifests.select("project", "dataset_id", F.struct(*[f.alias(n) for f, n in zip(fields, SIGNATURE, strict=True)]).alias("own")).groupBy("project", "dataset_id").agg(F.min("own").alias("own"))
+    return one.withColumn("class", F.min("dataset_id").over(Window.partitionBy("project", "own"))).select("project", "dataset_id", "class", "own.*")
+
+
+def manifest_compatibility(classes: DataFrame) -> DataFrame:
+    """Pairs of one project's classes (see ``manifest_classes``) with what differs: project, a, b, pairs, warnings; ``pairs`` is
+    how many pairs of datasets that is. Unknown fields are no mismatch. Populations are compared by id where both have one;
+    schema versions only under one schema id. Classes meet, not datasets, and pairs that agree have no row."""
+    sized = classes.groupBy("project", "class", *SIGNATURE).agg(F.count("*").alias("n"))
+    side = lambda name, n: sized.select("project", F.col("class").alias(name), F.col("n").alias(n), F.struct(*SIGNATURE).alias(f"of_{name}"))
+    x, y = F.col("of_a"), F.col("of_b")
+    other = lambda f: x[f] != y[f]
+    ids = x["population_id"].isNotNull() & y["population_id"].isNotNull()
+    codes = _codes(
+        F.when(other("unit"), "UNIT_MISMATCH"),
+        F.when(F.when(ids, other("population_id")).otherwise(other("population")), "POPULATION_MISMATCH"),
+        F.when(other("granularity"), "GRANULARITY_MISMATCH"),
+        F.when((x["schema_id"] == y["schema_id"]) & other("schema_version"), "SCHEMA_VERSION_MISMATCH"),
+    )
+    pairs = side("a", "na").join(side("b", "nb"), "project").filter("a < b")
+    return pairs.select("project", "a", "b", (F.col("na") * F.col("nb")).alias("pairs"), codes.alias("warnings")).filter("warnings <> ''")
 
 
 def manifest_validate(manifests: DataFrame) -> DataFrame:
@@ -184,11 +212,14 @@ def latest_by_series(observations: DataFrame) -> DataFrame:
 
 
 def run_observation_deltas(observations: DataFrame) -> DataFrame:
-    """Between consecutive runs, per series (run, series, definition, period_end, value, id): DEFINITION_CHANGED, RESTATED
-    (same period, other value), DELTA or SAME, with the change in value where definitions agree."""
+    """Between consecutive runs, per series of both (run, series, definition, period_end, value, id): RESTATED (the same period
+    with another value; with the same one there is no row), else DEFINITION_CHANGED, else DELTA, with the change in value unless
+    definitions differ."""
     latest = observations.groupBy("run", "series").agg(F.max_by(F.struct("id", "definition", "period_end", "value"), F.struct("period_end", "id")).alias("cur"))
-    rows = latest.withColumn("prev", F.lag("cur").over(Window.partitionBy("series").orderBy("run"))).filter("prev is not null")
+    # Runs are few beside their observations; a series that skips a run has no pair there.
+    steps = latest.select("run").distinct().withColumn("before", F.lag("run").over(Window.orderBy("run")))
+    rows = latest.join(steps, "run").join(latest.select(F.col("run").alias("before"), "series", F.col("cur").alias("prev")), ["before", "series"])
     p, c = F.col("prev"), F.col("cur")
     same_def, same_period = p["definition"].eqNullSafe(c["definition"]), p["period_end"].eqNullSafe(c["period_end"])
-    kind = F.when(~same_def, "DEFINITION_CHANGED").when(same_period & ~p["value"].eqNullSafe(c["value"]), "RESTATED").when(same_period, "SAME").otherwise("DELTA")
-    return rows.select("run", "series", kind.alias("kind"), F.when(same_def, F.round(c["value"] - p["value"], 4)).alias("delta"))
+    kind = F.when(same_period, F.when(~p["value"].eqNullSafe(c["value"]), "RESTATED")).when(~same_def, "DEFINITION_CHANGED").otherwise("DELTA")
+    return rows.select("run", "series", kind.alias("kind"), F.when(same_def, F.round(c["value"] - p["value"], 4)).alias("delta")).filter("kind is not null")

@@ -81,17 +81,21 @@ def plan_requirements(gaps: DataFrame) -> DataFrame:
 def gap_dependencies(gaps: DataFrame) -> DataFrame:
     """(run, gap_id, depends_on): gaps that compare or adjust depend on open measurement and source gaps that share a
     hypothesis; from (run, gap_id, category, resolved, hypothesis), one row a hypothesis."""
+    return _prerequisites(gaps).select("run", "gap_id", F.array_join(F.array_sort("others"), ",").alias("depends_on")).filter("depends_on <> ''")
+
+
+def _prerequisites(gaps: DataFrame) -> DataFrame:
+    """(run, gap_id, others): the gaps that each dependent gap waits for."""
     own = gaps.filter(F.col("category").isin(*DEPENDENT)).select("run", "hypothesis", "gap_id")
     # One list a hypothesis, not one row a pair of gaps, meets the gaps that depend on it.
     open_ones = gaps.filter(F.col("category").isin(*PREREQUISITE) & ~F.col("resolved")).groupBy("run", "hypothesis").agg(F.collect_set(F.lpad(F.col("gap_id").cast("string"), 8, "0")).alias("others"))
     met = own.join(open_ones, ["run", "hypothesis"]).groupBy("run", "gap_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    others = F.array_remove("others", F.lpad(F.col("gap_id").cast("string"), 8, "0"))
-    return met.select("run", "gap_id", F.array_join(F.array_sort(others), ",").alias("depends_on")).filter("depends_on <> ''")
+    return met.select("run", "gap_id", F.array_remove("others", F.lpad(F.col("gap_id").cast("string"), 8, "0")).alias("others"))
 
 
 def rank_requirements(gaps: DataFrame, states: DataFrame) -> DataFrame:
-    """Gaps (run, gap_id, need, category, resolvable, hypothesis) as ranked requirements; ``states``: run, hypothesis,
-    identified, validation. Ordered by power, urgency, difficulty, need."""
+    """Gaps (run, gap_id, need, category, resolvable, resolved, hypothesis) as ranked requirements; ``states``: run, hypothesis,
+    identified, validation. Ordered by power, urgency, the number of gaps that it depends on, difficulty, need."""
     power = F.when(F.col("hypotheses") == 0, 0).when(F.col("category").isin("COMPARISON", "PRE_PERIOD", "CONFOUNDER"), 3).when(F.col("category").isin("TIMING", "MEASUREMENT"), 2).otherwise(1)
     known = gaps.join(states, ["run", "hypothesis"], "left")
     facts = known.groupBy("run", "gap_id", "need", "category", "resolvable").agg(F.count_distinct("hypothesis").alias("hypotheses"), F.coalesce(F.max(~F.col("identified")), F.lit(False)).alias("unidentified"), F.coalesce(F.max(F.col("validation").isin("UNTESTED", "INSUFFICIENT_EVIDENCE")), F.lit(False)).alias("untested"), F.count("identified").alias("known"))
@@ -100,7 +104,9 @@ def rank_requirements(gaps: DataFrame, states: DataFrame) -> DataFrame:
     source = F.col("category")
     difficulty = F.when(~F.col("resolvable"), 4).when(source.isin("TIMING", "MEASUREMENT", "SOURCE_QUALITY"), 0).when(source.isin("PRE_PERIOD", "CONFOUNDER", "EXTERNAL_CONTEXT"), 1).when(source == "COMPARISON", 2).otherwise(3)
     rows = rows.withColumn("urgency", urgency).withColumn("difficulty", difficulty)
-    rows = placed(rows, ["run"], [-F.col("power"), -F.col("urgency"), F.col("difficulty"), F.col("need")], ["gap_id"], "rank")
+    waits = _prerequisites(gaps).select("run", "gap_id", F.size("others").alias("waits"))
+    rows = rows.join(waits, ["run", "gap_id"], "left").withColumn("waits", F.coalesce("waits", F.lit(0)))
+    rows = placed(rows, ["run"], [-F.col("power"), -F.col("urgency"), F.col("waits"), F.col("difficulty"), F.col("need")], ["gap_id"], "rank")
     return rows.select("run", "gap_id", "power", "urgency", "difficulty", (F.col("hypotheses") >= 2).alias("can_distinguish"), ((F.col("hypotheses") >= 1) & (F.col("category") != "OTHER")).alias("can_falsify"), "rank")
 
 
@@ -187,19 +193,23 @@ def open_gap_handoff(carried: DataFrame, changes: DataFrame, evidence: DataFrame
 
 
 def claim_citations(refs: DataFrame, observations: DataFrame, documents: DataFrame) -> DataFrame:
-    """References (claim_id, ref) as an observation, else a document by id or external ref, else NOT_FOUND."""
+    """References (claim_id, ref), trimmed, blank ones left out, as an observation, else a document by id or external ref, else
+    NOT_FOUND: claim_id, ref, kind, doc_id, observation_id (text)."""
+    refs = refs.select("claim_id", F.trim("ref").alias("ref")).filter("ref <> ''")
     obs = observations.select(F.col("id").cast("string").alias("ref"), F.lit("OBSERVATION").alias("o"))
     by_id = documents.select(F.col("id").cast("string").alias("ref"), F.col("id").alias("d"))
     by_ext = documents.filter("ext is not null").groupBy(F.col("ext").alias("ref")).agg(F.min("id").alias("e"))
     rows = refs.join(obs, "ref", "left").join(by_id, "ref", "left").join(by_ext, "ref", "left")
     kind = F.coalesce("o", F.when(F.coalesce("d", "e").isNotNull(), "DOCUMENT"), F.lit("NOT_FOUND"))
-    return rows.select("claim_id", "ref", kind.alias("kind"), F.when(F.col("o").isNull(), F.coalesce("d", "e")).alias("doc_id"))
+    return rows.select("claim_id", "ref", kind.alias("kind"), F.when(F.col("o").isNull(), F.coalesce("d", "e")).alias("doc_id"), F.when(F.col("o").isNotNull(), F.col("ref")).alias("observation_id"))
 
 
 def claim_basis(claims: DataFrame, named: DataFrame, cited: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(claim_id, hypothesis, role): a claim's named hypotheses, else those whose evidence it cites (BASIS); other
-    hypotheses that use the cited documents are COMPETING. ``evidence``: hypothesis, doc_id."""
-    by_cite = cited.join(evidence, "doc_id").select("claim_id", "hypothesis").distinct()
+    """(claim_id, hypothesis, role): a claim's named hypotheses, else those whose evidence it cites (BASIS), by document or by
+    observation; other hypotheses that use what it cites are COMPETING. ``evidence``: hypothesis, doc_id, observation_id (text,
+    may be NULL)."""
+    by = lambda key: cited.filter(F.col(key).isNotNull()).select("claim_id", key).distinct().join(evidence.select("hypothesis", key).distinct(), key).select("claim_id", "hypothesis")
+    by_cite = by("doc_id").unionByName(by("observation_id")).distinct()
     without = claims.select("claim_id").join(named, "claim_id", "left_anti")
     basis = named.select("claim_id", "hypothesis").distinct().unionByName(by_cite.join(without, "claim_id", "left_semi"))
     rest = by_cite.join(basis, ["claim_id", "hypothesis"], "left_anti")
@@ -207,8 +217,12 @@ def claim_basis(claims: DataFrame, named: DataFrame, cited: DataFrame, evidence:
 
 
 def claim_evidence(basis: DataFrame, cited: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per claim: support, counter and neutral evidence of its basis among the material that it cites."""
-    rows = basis.filter("role = 'BASIS'").join(evidence, "hypothesis").join(cited.select("claim_id", "doc_id").distinct(), ["claim_id", "doc_id"], "left_semi")
+    """Per claim: support, counter and neutral evidence of its basis among the documents and observations that it cites."""
+    rows = basis.filter("role = 'BASIS'").join(evidence, "hypothesis")
+    for key in ("doc_id", "observation_id"):
+        own = cited.filter(F.col(key).isNotNull()).select("claim_id", key, F.lit(True).alias(f"by_{key}")).distinct()
+        rows = rows.join(own, ["claim_id", key], "left")
+    rows = rows.filter(F.coalesce("by_doc_id", "by_observation_id", F.lit(False)))
     n = lambda k: F.count_if(F.col("type") == k).alias(k)
     return rows.groupBy("claim_id").agg(n("support"), n("counter"), n("neutral"))
 

@@ -87,25 +87,36 @@ def yoy(points: DataFrame, basis: str) -> DataFrame:
     return period_over_period(points, YEAR_LAG[basis])
 
 
-def mom(points: DataFrame) -> DataFrame:
-    """Change over a month, for monthly points."""
+def _monthly(name: str, basis: str) -> None:
+    if basis != "calendar-month":
+        raise ValueError(f"{name} is undefined for {basis}; period_over_period takes any lag")
+
+
+def mom(points: DataFrame, basis: str) -> DataFrame:
+    """Change over a month; undefined for years and days."""
+    _monthly("mom", basis)
     return period_over_period(points, 1)
 
 
-def qoq(points: DataFrame) -> DataFrame:
-    """Change over three months, for monthly points."""
+def qoq(points: DataFrame, basis: str) -> DataFrame:
+    """Change over three months; undefined for years and days."""
+    _monthly("qoq", basis)
     return period_over_period(points, 3)
 
 
 def cagr(points: DataFrame, basis: str) -> DataFrame:
-    """Compound yearly growth between a series' first and last recorded value: series, value, flag, gaps."""
+    """Compound yearly growth between a series' first and last recorded value: series, value, flag; undefined for days. Flags
+    are joined by commas, INTERIOR_GAPS first."""
+    if basis not in YEAR_LAG:
+        raise ValueError(f"growth a year is undefined for {basis}")
     known = F.col("value").isNotNull()
     idx = F.when(known, F.col("idx"))
     ends = gap_fill(points).groupBy("series").agg(F.min_by("value", idx).alias("first"), F.max_by("value", idx).alias("last"), F.min(idx).alias("a"), F.max(idx).alias("b"), F.count("value").alias("n"))
-    years = (F.col("b") - F.col("a")) / F.lit(float(YEAR_LAG.get(basis, 365.25)))
+    years = (F.col("b") - F.col("a")) / F.lit(float(YEAR_LAG[basis]))
     positive = (F.col("first") > 0) & (F.col("last") > 0)
     value = F.when((F.col("n") >= 2) & positive, F.round(F.pow(F.try_divide("last", "first"), F.try_divide(F.lit(1.0), years)) - 1, 9))
-    flag = F.when(F.col("n") < 2, "INSUFFICIENT_POINTS").when(~positive, "NON_POSITIVE_ENDPOINT").when(F.col("b") - F.col("a") + 1 > F.col("n"), "INTERIOR_GAPS")
+    gaps = F.when(F.col("b") - F.col("a") + 1 > F.col("n"), "INTERIOR_GAPS")
+    flag = F.when(F.col("n") < 2, "INSUFFICIENT_POINTS").otherwise(F.nullif(F.concat_ws(",", gaps, F.when(~positive, "NON_POSITIVE_ENDPOINT")), F.lit("")))
     return ends.select("series", value.alias("value"), flag.alias("flag"))
 
 
@@ -122,7 +133,7 @@ def rolling_delta(points: DataFrame, width: int, places: int = 6) -> DataFrame:
     """v - v[-width]; the first ``width`` windows are left out."""
     w = _order()
     rows = gap_fill(points).select("series", "idx", (F.col("value") - F.lag("value", width).over(w)).alias("delta"), F.row_number().over(w).alias("n")).filter(F.col("n") > width)
-    return rows.select("series", "idx", F.round("delta", places).alias("value"), F.when(F.col("delta").isNull(), MISSING).alias("flag"))
+    return rows.select("series", "idx", F.round("delta", places).alias("value"), F.when(F.col("delta").isNull(), "INCOMPLETE_WINDOW").alias("flag"))
 
 
 def indexed_baseline(points: DataFrame, baseline: int) -> DataFrame:

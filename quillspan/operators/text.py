@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, BUDGET, SEPARATOR = 8000, 64_000, 2
+#: White space at the ends of a text, that beyond ASCII too.
+SPACE_ENDS = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
 #: Markers of counter-evidence and limitations.
 LIMITATIONS = ("counter", "contradict", "however", "limitation", "caveat", "exception", "反証", "矛盾", "一方で", "しかし", "限界", "制約", "例外", "注意")
 #: Characters that grounding ignores beside white space.
@@ -21,9 +23,10 @@ ECHO, ECHO_CHARS = 0.5, 4
 
 
 def split_passages(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
-    """(doc_id, pos, passage): texts (doc_id, text) cut at blank lines, longer pieces cut hard at ``limit``; no blank ones."""
+    """(doc_id, pos, passage): texts (doc_id, text) cut at two line feeds in a row, trimmed of all white space, longer pieces
+    cut hard at ``limit``; no blank ones. A line that holds blanks is no cut."""
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    pieces = docs.select("doc_id", F.posexplode(F.split(text, r"\n[ \t]*\n\s*")).alias("block", "piece")).withColumn("piece", F.trim("piece")).filter("piece <> ''")
+    pieces = docs.select("doc_id", F.posexplode(F.split(text, "\n\n")).alias("block", "piece")).withColumn("piece", F.regexp_replace("piece", SPACE_ENDS, "")).filter("piece <> ''")
     starts = F.sequence(F.lit(1), F.greatest(F.char_length("piece"), F.lit(1)), F.lit(limit))
     cut = pieces.select("doc_id", "block", "piece", F.posexplode(starts).alias("part", "at")).select("doc_id", "block", "part", F.substring("piece", F.col("at"), F.lit(limit)).alias("passage"))
     return cut.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "part")) - 1).alias("pos"), "passage")
@@ -63,13 +66,15 @@ def budget_passages(passages: DataFrame, budget: int = BUDGET) -> DataFrame:
     skipping what is too large for what is left.
 
     What is left only shrinks, so of the passages of one length the earliest are taken: no more than budget / length of
-    each can be. That bounds the list that a project's fold goes over, whatever the project's size.
+    each can be. That bounds the list that a project's fold goes over, whatever the project's size. Passages of no code points fit
+    always and stay outside the fold.
     """
+    empty = passages.filter("chars = 0").select("project", F.col("ord").cast("long").alias("ord"))
     own = passages.withColumn("r", F.row_number().over(Window.partitionBy("project", "protected", "chars").orderBy("ord"))).filter((F.col("r") * F.col("chars") <= budget) & (F.col("chars") > 0))
     lists = own.groupBy("project").agg(F.array_sort(F.collect_list(F.struct((~F.col("protected")).alias("later"), "ord", "chars"))).alias("all"))
     fold = f"""aggregate(all, named_struct('left', cast({int(budget)} as bigint), 'kept', cast(array() as array<bigint>)), (s, p) ->
       if(p.chars <= s.left, named_struct('left', s.left - p.chars, 'kept', concat(s.kept, array(cast(p.ord as bigint)))), s), s -> s.kept)"""
-    return lists.select("project", F.explode(F.expr(fold)).alias("ord"))
+    return lists.select("project", F.explode(F.expr(fold)).alias("ord")).unionByName(empty)
 
 
 def context_stats(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -124,8 +129,10 @@ def need_echo(pairs: DataFrame) -> DataFrame:
 
 
 def generic_terms(texts: DataFrame, terms: tuple[str, ...] = GENERIC) -> DataFrame:
-    """(id, term): the first of ``terms`` inside each text (id, text), NULL if there is none."""
-    return texts.select("id", F.coalesce(*[F.when(F.contains("text", F.lit(t)), t) for t in terms]).alias("term"))
+    """(id, term): the first of ``terms`` inside each text (id, text), NULL if there is none; both are ``folded``, so spaced and
+    full-width forms are found."""
+    own = texts.select("id", folded(F.col("text")).alias("fold"))
+    return own.select("id", F.coalesce(*[F.when(F.contains("fold", folded(F.lit(t))), t) for t in terms]).alias("term"))
 
 
 def quality_flags(findings: DataFrame, deviations: DataFrame) -> DataFrame:

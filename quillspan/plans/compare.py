@@ -71,12 +71,22 @@ def comparison_patterns(spark, sf_dir):
     return c.comparison_patterns(rows(spark, sf_dir, STEPS).filter("prev_period is not null"), rows(spark, sf_dir, NAMED))
 
 
-MANIFESTS = "SELECT p_brand AS project, p_partkey AS dataset_id, CASE p_partkey % 3 WHEN 0 THEN 'piece' WHEN 1 THEN '' ELSE 'kg' END AS unit, p_type AS population, CASE WHEN p_size > 25 THEN 'month' ELSE 'year' END AS granularity, CAST(NULL AS STRING) AS schema_version FROM {part} WHERE p_partkey < 500"
+MANIFESTS = "SELECT p_brand AS project, p_partkey AS dataset_id, CASE p_partkey % 3 WHEN 0 THEN 'Piece' WHEN 1 THEN '' ELSE ' kg ' END AS unit, CASE WHEN p_partkey % 5 = 0 THEN 'P1' WHEN p_partkey % 5 = 1 THEN 'p1' ELSE '' END AS population_id, CASE WHEN p_partkey % 7 = 0 THEN lower(p_type) ELSE p_type END AS population, CASE WHEN p_size > 40 THEN '2021..2024' WHEN p_size > 25 THEN '2026-01/2026-06' WHEN p_size > 10 THEN 'spring' ELSE ' 2024-01-05 ' END AS period, CASE WHEN p_size % 2 = 0 THEN 's1' ELSE 's2' END AS schema_id, CASE WHEN p_size % 4 = 0 THEN 'v1' WHEN p_size % 4 = 1 THEN 'V1 ' ELSE 'v2' END AS schema_version FROM {part}"
+CLASSES = f"""WITH m AS (SELECT project, dataset_id, nullif(lower(trim(unit)), '') AS unit, nullif(population_id, '') AS population_id, lower(population) AS population, CASE trim(period) WHEN '2021..2024' THEN 'year' WHEN '2026-01/2026-06' THEN 'month' WHEN '2024-01-05' THEN 'day' END AS granularity, schema_id, lower(trim(schema_version)) AS schema_version FROM ({MANIFESTS})),
+k AS (SELECT project, min(dataset_id) AS class, count(*) AS n, unit, population_id, population, granularity, schema_id, schema_version FROM m GROUP BY ALL)
+"""
 
 
-@query("manifest_compatibility", f"WITH m AS ({MANIFESTS}) SELECT x.project, x.dataset_id AS a, y.dataset_id AS b, concat_ws(',', CASE WHEN x.unit <> '' AND y.unit <> '' AND x.unit <> y.unit THEN 'UNIT_MISMATCH' END, CASE WHEN x.population <> y.population THEN 'POPULATION_MISMATCH' END, CASE WHEN x.granularity <> y.granularity THEN 'GRANULARITY_MISMATCH' END) AS warnings FROM m x JOIN m y ON x.project = y.project AND x.dataset_id < y.dataset_id")
+@query("manifest_compatibility", CLASSES + """SELECT * FROM (SELECT x.project, x.class AS a, y.class AS b, x.n * y.n AS pairs, concat_ws(',', CASE WHEN x.unit <> y.unit THEN 'UNIT_MISMATCH' END,
+  CASE WHEN x.population_id IS NOT NULL AND y.population_id IS NOT NULL THEN CASE WHEN x.population_id <> y.population_id THEN 'POPULATION_MISMATCH' END WHEN x.population <> y.population THEN 'POPULATION_MISMATCH' END,
+  CASE WHEN x.granularity <> y.granularity THEN 'GRANULARITY_MISMATCH' END, CASE WHEN x.schema_id = y.schema_id AND x.schema_version <> y.schema_version THEN 'SCHEMA_VERSION_MISMATCH' END) AS warnings FROM k x JOIN k y ON x.project = y.project AND x.class < y.class) WHERE warnings <> ''""")
 def manifest_compatibility(spark, sf_dir):
-    return c.manifest_compatibility(rows(spark, sf_dir, MANIFESTS))
+    return c.manifest_compatibility(c.manifest_classes(rows(spark, sf_dir, MANIFESTS)))
+
+
+@query("manifest_classes", CLASSES + "SELECT m.project, m.dataset_id, k.class FROM m JOIN k ON m.project = k.project AND m.unit IS NOT DISTINCT FROM k.unit AND m.population_id IS NOT DISTINCT FROM k.population_id AND m.population = k.population AND m.granularity IS NOT DISTINCT FROM k.granularity AND m.schema_id = k.schema_id AND m.schema_version = k.schema_version")
+def manifest_classes(spark, sf_dir):
+    return c.manifest_classes(rows(spark, sf_dir, MANIFESTS)).select("project", "dataset_id", "class")
 
 
 FILES = "SELECT c_custkey AS dataset_id, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS source_name, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 's1' END AS schema_id, CASE c_custkey % 5 WHEN 0 THEN 'api' WHEN 1 THEN 'fixture' WHEN 2 THEN 'scrape' WHEN 3 THEN 'manual_export' ELSE NULL END AS method, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '2024-01-01' END AS retrieved_at, CASE c_custkey % 7 WHEN 0 THEN 'Api_Key' WHEN 1 THEN 'app_id' WHEN 2 THEN 'credential' WHEN 3 THEN 'id' ELSE 'ideal' END AS k, CASE c_custkey % 11 WHEN 0 THEN 'http://x/y?a=1&accessToken=z' WHEN 1 THEN 'http://x/y?id=7#id' WHEN 2 THEN NULL ELSE 'http://x/token?year=1#key=2' END AS url FROM {customer}"
@@ -143,7 +153,7 @@ def latest_by_series(spark, sf_dir):
 RUNS = "SELECT CAST(o_orderkey % 4 AS INT) AS run, CAST(o_custkey % 300 AS STRING) AS series, CASE WHEN o_orderkey % 4 = 3 AND o_custkey % 5 = 0 THEN 'v2' ELSE 'v1' END AS definition, substring(CAST(o_orderdate AS STRING), 1, 4) AS period_end, o_totalprice AS value, o_orderkey AS id FROM {orders}"
 
 
-@query("run_observation_deltas", f"""WITH l AS (SELECT * FROM ({RUNS}) QUALIFY row_number() OVER (PARTITION BY run, series ORDER BY period_end DESC, id DESC) = 1), p AS (SELECT *, lag(id) OVER w AS pid, lag(definition) OVER w AS pd, lag(period_end) OVER w AS pp, lag(value) OVER w AS pv FROM l WINDOW w AS (PARTITION BY series ORDER BY run))
-SELECT run, series, CASE WHEN definition <> pd THEN 'DEFINITION_CHANGED' WHEN period_end = pp AND value <> pv THEN 'RESTATED' WHEN period_end = pp THEN 'SAME' ELSE 'DELTA' END AS kind, CASE WHEN definition = pd THEN round(value - pv, 4) END AS delta FROM p WHERE pid IS NOT NULL""")
+@query("run_observation_deltas", f"""WITH l AS (SELECT * FROM ({RUNS}) QUALIFY row_number() OVER (PARTITION BY run, series ORDER BY period_end DESC, id DESC) = 1), p AS (SELECT l.*, b.definition AS pd, b.period_end AS pp, b.value AS pv FROM l JOIN l b ON b.series = l.series AND b.run = l.run - 1)
+SELECT run, series, CASE WHEN period_end = pp THEN 'RESTATED' WHEN definition <> pd THEN 'DEFINITION_CHANGED' ELSE 'DELTA' END AS kind, CASE WHEN definition = pd THEN round(value - pv, 4) END AS delta FROM p WHERE period_end <> pp OR value <> pv""")
 def run_observation_deltas(spark, sf_dir):
     return c.run_observation_deltas(rows(spark, sf_dir, RUNS))

@@ -38,8 +38,9 @@ def gap_dependencies(spark, sf_dir):
 
 @query("rank_requirements", f"""WITH g AS (SELECT *, {CATEGORY} AS category FROM ({GAPS})), f AS (SELECT g.run, gap_id, need, category, resolvable, count(DISTINCT g.hypothesis) AS h, bool_or(NOT identified) AS un, bool_or(validation IN ('UNTESTED', 'INSUFFICIENT_EVIDENCE')) AS ut FROM g LEFT JOIN ({BY_RUN}) s ON s.run = g.run AND s.hypothesis = g.hypothesis GROUP BY ALL),
 p AS (SELECT *, CASE WHEN category IN ('COMPARISON', 'PRE_PERIOD', 'CONFOUNDER') THEN 3 WHEN category IN ('TIMING', 'MEASUREMENT') THEN 2 ELSE 1 END AS power, CASE WHEN NOT resolvable THEN 4 WHEN category IN ('TIMING', 'MEASUREMENT', 'SOURCE_QUALITY') THEN 0 WHEN category IN ('PRE_PERIOD', 'CONFOUNDER', 'EXTERNAL_CONTEXT') THEN 1 WHEN category = 'COMPARISON' THEN 2 ELSE 3 END AS difficulty FROM f),
+w AS (SELECT a.run, a.gap_id, count(DISTINCT b.gap_id) AS waits FROM g a JOIN g b ON a.run = b.run AND a.hypothesis = b.hypothesis AND a.gap_id <> b.gap_id WHERE a.category IN ('COMPARISON', 'PRE_PERIOD', 'CONFOUNDER', 'EXTERNAL_CONTEXT') AND b.category IN ('MEASUREMENT', 'SOURCE_QUALITY') AND NOT b.resolved GROUP BY 1, 2),
 u AS (SELECT *, CASE WHEN power = 3 AND un THEN 3 WHEN power = 2 OR ut THEN 2 ELSE 1 END AS urgency FROM p)
-SELECT run, gap_id, power, urgency, difficulty, h >= 2 AS can_distinguish, h >= 1 AND category <> 'OTHER' AS can_falsify, CAST(row_number() OVER (PARTITION BY run ORDER BY power DESC, urgency DESC, difficulty, need, gap_id) AS INT) AS rank FROM u""")
+SELECT run, gap_id, power, urgency, difficulty, h >= 2 AS can_distinguish, h >= 1 AND category <> 'OTHER' AS can_falsify, CAST(row_number() OVER (PARTITION BY run ORDER BY power DESC, urgency DESC, waits, difficulty, need, gap_id) AS INT) AS rank FROM (SELECT u.*, coalesce(w.waits, 0) AS waits FROM u LEFT JOIN w ON w.run = u.run AND w.gap_id = u.gap_id)""")
 def rank_requirements(spark, sf_dir):
     return r.rank_requirements(r.classify_gaps(rows(spark, sf_dir, GAPS)), rows(spark, sf_dir, BY_RUN))
 
@@ -111,11 +112,11 @@ def open_gap_handoff(spark, sf_dir):
     return r.open_gap_handoff(_carried(spark, sf_dir), r.hypothesis_evolution(rows(spark, sf_dir, STATES)), rows(spark, sf_dir, FOUND))
 
 
-REFS = "SELECT conv_id AS claim_id, CASE WHEN turn % 4 = 0 THEN CAST(conv_id * 7 AS STRING) WHEN turn % 4 = 1 THEN concat('ext', CAST(conv_id % 30 AS STRING)) WHEN turn % 4 = 2 THEN 'none' ELSE CAST(conv_id + 100000 AS STRING) END AS ref FROM {conversations}"
+REFS = "SELECT conv_id AS claim_id, CASE WHEN turn % 4 = 0 THEN concat(' ', CAST(conv_id * 7 AS STRING)) WHEN turn % 4 = 1 THEN concat('ext', CAST(conv_id % 30 AS STRING)) WHEN turn % 4 = 2 AND conv_id % 2 = 0 THEN 'none' WHEN turn % 4 = 2 THEN ' ' ELSE CAST(conv_id + 100000 AS STRING) END AS ref FROM {conversations}"
 OBSERVED = "SELECT event_id + 100000 AS id FROM {events} WHERE event_id % 3 = 0"
 EXT = "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN concat('ext', CAST(doc_id % 40 AS STRING)) END AS ext FROM {documents}"
-CITES = f"""WITH refs AS ({REFS}), obs AS ({OBSERVED}), ext AS ({EXT}), fx AS (SELECT ext AS ref, min(id) AS e FROM ext WHERE ext IS NOT NULL GROUP BY 1),
-cites AS (SELECT claim_id, ref, CASE WHEN o.id IS NOT NULL THEN 'OBSERVATION' WHEN coalesce(d.id, e) IS NOT NULL THEN 'DOCUMENT' ELSE 'NOT_FOUND' END AS kind, CASE WHEN o.id IS NULL THEN coalesce(d.id, e) END AS doc_id FROM refs LEFT JOIN obs o ON CAST(o.id AS VARCHAR) = ref LEFT JOIN ext d ON CAST(d.id AS VARCHAR) = ref LEFT JOIN fx USING (ref))
+CITES = f"""WITH refs AS (SELECT claim_id, trim(ref) AS ref FROM ({REFS}) WHERE trim(ref) <> ''), obs AS ({OBSERVED}), ext AS ({EXT}), fx AS (SELECT ext AS ref, min(id) AS e FROM ext WHERE ext IS NOT NULL GROUP BY 1),
+cites AS (SELECT claim_id, ref, CASE WHEN o.id IS NOT NULL THEN 'OBSERVATION' WHEN coalesce(d.id, e) IS NOT NULL THEN 'DOCUMENT' ELSE 'NOT_FOUND' END AS kind, CASE WHEN o.id IS NULL THEN coalesce(d.id, e) END AS doc_id, CASE WHEN o.id IS NOT NULL THEN ref END AS observation_id FROM refs LEFT JOIN obs o ON CAST(o.id AS VARCHAR) = ref LEFT JOIN ext d ON CAST(d.id AS VARCHAR) = ref LEFT JOIN fx USING (ref))
 """
 
 
@@ -130,8 +131,8 @@ def claim_citations(spark, sf_dir):
 
 CLAIMS = "SELECT conv_id AS claim_id, CASE conv_id % 5 WHEN 0 THEN 'Prices rose because of taxes' WHEN 1 THEN 'It always happens' WHEN 2 THEN 'Sales led to growth for everyone' WHEN 3 THEN '  Sales  LED to growth for everyone' ELSE 'Plain' END AS statement, conv_id % 2 = 0 AS identified FROM {conversations} WHERE turn = 0"
 NAMED = "SELECT conv_id AS claim_id, CAST(conv_id % 9 AS STRING) AS hypothesis FROM {conversations} WHERE turn = 0 AND conv_id % 3 = 0"
-EVIDENCE = "SELECT CAST(doc_id % 9 AS STRING) AS hypothesis, doc_id, CASE doc_id % 4 WHEN 0 THEN 'counter' WHEN 1 THEN 'neutral' ELSE 'support' END AS type FROM {documents}"
-BASIS = CITES[:-1] + f""", cl AS ({CLAIMS}), nm AS ({NAMED}), ev AS ({EVIDENCE}), bc AS (SELECT DISTINCT claim_id, hypothesis FROM cites JOIN ev USING (doc_id)), ba AS (SELECT DISTINCT claim_id, hypothesis FROM nm UNION ALL SELECT * FROM bc WHERE claim_id IN (SELECT claim_id FROM cl) AND claim_id NOT IN (SELECT claim_id FROM nm)),
+EVIDENCE = "SELECT CAST(doc_id % 9 AS STRING) AS hypothesis, doc_id, CAST(doc_id + 100000 AS STRING) AS observation_id, CASE doc_id % 4 WHEN 0 THEN 'counter' WHEN 1 THEN 'neutral' ELSE 'support' END AS type FROM {documents}"
+BASIS = CITES[:-1] + f""", cl AS ({CLAIMS}), nm AS ({NAMED}), ev AS ({EVIDENCE}), bc AS (SELECT DISTINCT claim_id, hypothesis FROM cites c JOIN ev ON c.doc_id = ev.doc_id OR c.observation_id = ev.observation_id), ba AS (SELECT DISTINCT claim_id, hypothesis FROM nm UNION ALL SELECT * FROM bc WHERE claim_id IN (SELECT claim_id FROM cl) AND claim_id NOT IN (SELECT claim_id FROM nm)),
 basis AS (SELECT *, 'BASIS' AS role FROM ba UNION ALL SELECT *, 'COMPETING' FROM (SELECT * FROM bc EXCEPT SELECT * FROM ba))
 """
 
@@ -145,7 +146,7 @@ def claim_basis(spark, sf_dir):
     return _basis(spark, sf_dir)
 
 
-@query("claim_evidence", BASIS + "SELECT b.claim_id, count(*) FILTER (type = 'support') AS support, count(*) FILTER (type = 'counter') AS counter, count(*) FILTER (type = 'neutral') AS neutral FROM basis b JOIN ev USING (hypothesis) WHERE role = 'BASIS' AND EXISTS (SELECT 1 FROM cites c WHERE c.claim_id = b.claim_id AND c.doc_id = ev.doc_id) GROUP BY 1")
+@query("claim_evidence", BASIS + "SELECT b.claim_id, count(*) FILTER (type = 'support') AS support, count(*) FILTER (type = 'counter') AS counter, count(*) FILTER (type = 'neutral') AS neutral FROM basis b JOIN ev USING (hypothesis) WHERE role = 'BASIS' AND EXISTS (SELECT 1 FROM cites c WHERE c.claim_id = b.claim_id AND (c.doc_id = ev.doc_id OR c.observation_id = ev.observation_id)) GROUP BY 1")
 def claim_evidence(spark, sf_dir):
     return r.claim_evidence(_basis(spark, sf_dir), _cites(spark, sf_dir), rows(spark, sf_dir, EVIDENCE))
 
@@ -166,7 +167,7 @@ def claim_flags(spark, sf_dir):
     return _flags(spark, sf_dir)
 
 
-@query("claim_status", BASIS[:-1] + f""", {FLAGGED}, evd AS (SELECT b.claim_id, count(*) AS cited FROM basis b JOIN ev USING (hypothesis) WHERE role = 'BASIS' AND EXISTS (SELECT 1 FROM cites c WHERE c.claim_id = b.claim_id AND c.doc_id = ev.doc_id) GROUP BY 1),
+@query("claim_status", BASIS[:-1] + f""", {FLAGGED}, evd AS (SELECT b.claim_id, count(*) AS cited FROM basis b JOIN ev USING (hypothesis) WHERE role = 'BASIS' AND EXISTS (SELECT 1 FROM cites c WHERE c.claim_id = b.claim_id AND (c.doc_id = ev.doc_id OR c.observation_id = ev.observation_id)) GROUP BY 1),
 f AS (SELECT claim_id, count(*) FILTER (role = 'BASIS' AND status IN ('PARTIALLY_SUPPORTED', 'SUPPORTED')) AS good, count(*) FILTER (role = 'BASIS' AND status = 'CONTRADICTED') AS against, count(status) FILTER (role = 'BASIS') AS known, count(*) FILTER (role <> 'BASIS' AND status <> 'CONTRADICTED') AS open FROM basis LEFT JOIN ({HYP}) h USING (hypothesis) GROUP BY 1)
 SELECT claim_id, CASE WHEN known = 0 THEN 'UNKNOWN' WHEN against = known THEN 'CONTRADICTED' WHEN good > 0 AND against > 0 THEN 'INSUFFICIENT' WHEN good < known THEN 'INSUFFICIENT' WHEN open > 0 THEN 'INSUFFICIENT' WHEN contains(coalesce(flags, ''), 'CAUSAL_LANGUAGE') THEN 'INSUFFICIENT' WHEN cited IS NULL THEN 'INSUFFICIENT' ELSE 'SUPPORTED' END AS status,
 CASE WHEN good > 0 AND against > 0 THEN 'CONFLICTING_EVIDENCE' WHEN known > 0 AND good = known AND open > 0 THEN 'COMPETING_EXPLANATION_OPEN' END AS flag FROM f LEFT JOIN flagged USING (claim_id) LEFT JOIN evd USING (claim_id)""")

@@ -68,16 +68,16 @@ def yoy(spark, sf_dir):
 
 @query("mom", filled(MONTHS, POP.replace("LAG", "1")))
 def mom(spark, sf_dir):
-    return t.mom(rows(spark, sf_dir, MONTHS))
+    return t.mom(rows(spark, sf_dir, MONTHS), "calendar-month")
 
 
 @query("qoq", filled(MONTHS, POP.replace("LAG", "3")))
 def qoq(spark, sf_dir):
-    return t.qoq(rows(spark, sf_dir, MONTHS))
+    return t.qoq(rows(spark, sf_dir, MONTHS), "calendar-month")
 
 
 @query("cagr", filled(YEARS, """SELECT series, CASE WHEN n >= 2 AND a > 0 AND b > 0 THEN round(pow(b / a, 1.0 / (hi - lo)) - 1, 9) END AS value,
-  CASE WHEN n < 2 THEN 'INSUFFICIENT_POINTS' WHEN NOT (a > 0 AND b > 0) THEN 'NON_POSITIVE_ENDPOINT' WHEN hi - lo + 1 > n THEN 'INTERIOR_GAPS' END AS flag
+  CASE WHEN n < 2 THEN 'INSUFFICIENT_POINTS' ELSE nullif(concat_ws(',', CASE WHEN hi - lo + 1 > n THEN 'INTERIOR_GAPS' END, CASE WHEN NOT (a > 0 AND b > 0) THEN 'NON_POSITIVE_ENDPOINT' END), '') END AS flag
 FROM (SELECT series, arg_min(value, idx) AS a, arg_max(value, idx) AS b, min(idx) AS lo, max(idx) AS hi, count(*) AS n FROM f WHERE value IS NOT NULL GROUP BY 1)"""))
 def cagr(spark, sf_dir):
     return t.cagr(rows(spark, sf_dir, YEARS), "calendar-year")
@@ -89,7 +89,7 @@ def rolling_mean(spark, sf_dir):
     return t.rolling_mean(rows(spark, sf_dir, DAYS), 3)
 
 
-@query("rolling_delta", filled(DAYS_DUCK, """SELECT series, idx, round(d, 6) AS value, CASE WHEN d IS NULL THEN 'MISSING_OR_GAP' END AS flag
+@query("rolling_delta", filled(DAYS_DUCK, """SELECT series, idx, round(d, 6) AS value, CASE WHEN d IS NULL THEN 'INCOMPLETE_WINDOW' END AS flag
 FROM (SELECT series, idx, value - lag(value, 7) OVER w AS d, row_number() OVER w AS n FROM f WINDOW w AS (PARTITION BY series ORDER BY idx)) WHERE n > 7"""))
 def rolling_delta(spark, sf_dir):
     return t.rolling_delta(rows(spark, sf_dir, DAYS), 7)

@@ -9,7 +9,7 @@ from quillspan.plans.registry import query, rows
 
 TEXTS = r"SELECT doc_id, source, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM {documents}"
 LIMIT = 400
-PASSAGES = f"""WITH d AS ({TEXTS}), b AS (SELECT doc_id, source, generate_subscripts(p, 1) AS block, trim(unnest(p)) AS piece FROM (SELECT doc_id, source, regexp_split_to_array(text, '\\n[ \\t]*\\n\\s*') AS p FROM d)),
+PASSAGES = f"""WITH d AS ({TEXTS}), b AS (SELECT doc_id, source, generate_subscripts(p, 1) AS block, regexp_replace(unnest(p), '^\\s+|\\s+$', '', 'g') AS piece FROM (SELECT doc_id, source, string_split(text, chr(10) || chr(10)) AS p FROM d)),
 c AS (SELECT doc_id, source, block, spot, substring(piece, spot::BIGINT, {LIMIT}) AS passage FROM (SELECT *, unnest(generate_series(1, length(piece), {LIMIT})) AS spot FROM b WHERE piece <> '')),
 p AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block, spot) - 1 AS INT) AS pos, passage FROM c)
 """
@@ -103,10 +103,10 @@ def need_echo(spark, sf_dir):
     return x.need_echo(rows(spark, sf_dir, ECHOES))
 
 
-TERMED = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '効率とコスパと安心' WHEN 1 THEN '満足感 text' ELSE source END AS text FROM {documents}"
+TERMED = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '効 率とコ スパと安心' WHEN 1 THEN '満足感 text' ELSE source END AS text FROM {documents}"
 
 
-@query("generic_terms", f"SELECT id, coalesce({', '.join(f'''CASE WHEN contains(text, '{t}') THEN '{t}' END''' for t in x.GENERIC)}) AS term FROM ({TERMED})")
+@query("generic_terms", f"SELECT id, coalesce({', '.join(f'''CASE WHEN contains(replace(text, ' ', ''), '{t}') THEN '{t}' END''' for t in x.GENERIC)}) AS term FROM ({TERMED})")
 def generic_terms(spark, sf_dir):
     return x.generic_terms(rows(spark, sf_dir, TERMED))
 

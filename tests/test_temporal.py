@@ -26,14 +26,14 @@ def test_labels_round_trip_and_bad_ones_are_null(spark):
 
 def test_growth_keeps_reasons(spark):
     got = by_idx(t.period_over_period(points(spark, [0, 5, None, "gap", 10, -10, 5]), 1), "value", "flag")
-    assert got == {1: (None, "ZERO_BASELINE"), 2: (None, "MISSING_OR_GAP"), 3: (None, "MISSING_OR_GAP"), 4: (None, "MISSING_OR_GAP"), 5: (-2.0, None), 6: (1.5, None)}
+    assert got == {1: (None, "ZERO_BASELINE"), 2: (None, "INCOMPLETE_WINDOW"), 3: (None, "INCOMPLETE_WINDOW"), 4: (None, "MISSING_OR_GAP"), 5: (-2.0, None), 6: (1.5, None)}
     with pytest.raises(ValueError, match="undefined"):
         t.yoy(points(spark, [1]), "calendar-day")
 
 
 def test_windows_that_are_not_whole(spark):
     assert by_idx(t.rolling_mean(points(spark, [1, 2, "gap", 4, 5, 6]), 2), "value", "flag") == {1: (1.5, None), 2: (None, "INCOMPLETE_WINDOW"), 3: (None, "INCOMPLETE_WINDOW"), 4: (4.5, None), 5: (5.5, None)}
-    assert by_idx(t.rolling_delta(points(spark, [1, 2, "gap", 4]), 1), "value", "flag") == {1: (1.0, None), 2: (None, "MISSING_OR_GAP"), 3: (None, "MISSING_OR_GAP")}
+    assert by_idx(t.rolling_delta(points(spark, [1, 2, "gap", 4]), 1), "value", "flag") == {1: (1.0, None), 2: (None, "INCOMPLETE_WINDOW"), 3: (None, "INCOMPLETE_WINDOW")}
 
 
 def test_cagr_flags(spark):
@@ -71,7 +71,7 @@ def test_lags_of_a_shifted_series(spark):
 
 def test_shares_cohorts_baselines_and_breaks(spark):
     got = by_idx(t.share(points(spark, [1, 2, None, 4]), points(spark, [2, 0, 5, "gap"])), "value", "flag")
-    assert got == {0: (0.5, None), 1: (None, "ZERO_DENOMINATOR"), 2: (None, "MISSING_OR_GAP"), 3: (None, "MISSING_OR_GAP")}
+    assert got == {0: (0.5, None), 1: (None, "ZERO_DENOMINATOR"), 2: (None, "INCOMPLETE_WINDOW"), 3: (None, "INCOMPLETE_WINDOW")}
     assert by_idx(t.cohort_comparison(points(spark, [0, 4, 6])), "value") == {0: (0.0,), 1: (100.0,), 2: (150.0,)}
     assert [r.flag for r in t.indexed_baseline(points(spark, [0, 4]), 0).collect()] == ["ZERO_BASELINE"]
     assert [r.flag for r in t.indexed_baseline(points(spark, [1, 4]), 9).collect()] == ["MISSING_BASELINE"]
@@ -90,7 +90,7 @@ def test_errors_of_series(spark):
 
 def test_empty_tables(spark):
     none = points(spark, [1]).limit(0)
-    for df in (t.gap_fill(none), t.mom(none), t.rolling_mean(none, 2), t.cagr(none, "calendar-year"), t.anomaly_candidate(none), t.change_point_candidate(none), t.cohort_comparison(none)):
+    for df in (t.gap_fill(none), t.mom(none, "calendar-month"), t.rolling_mean(none, 2), t.cagr(none, "calendar-year"), t.anomaly_candidate(none), t.change_point_candidate(none), t.cohort_comparison(none)):
         assert df.count() == 0
     assert not math.isnan(t.lagged_comparison(none, none, 1).count())
 
