@@ -1,32 +1,45 @@
 """Profiles of text tables, column types and rule-based triage of variables.
 
-A profile has one row a column. Samples are the smallest distinct values, not the first in file order, so partitions never
-change them. Empty tables give EMPTY columns with zero counts.
+A profile has one row a column, over cells without outer white space. Samples are the smallest distinct values, not the
+first in file order, so partitions never change them. Empty tables give EMPTY columns with zero counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.functions.values import NUMBER, is_blank, is_date, tokens
 
+#: A set of distinct hashes is exact up to 2**EXACT of them, which is beyond MAX_DISTINCT, and bounded beyond.
+EXACT, SPACE = 14, " \t\n\x0b\x0c\r"
 MAX_DISTINCT, SAMPLES, SAMPLE_CHARS, MAX_DIMENSION = 10_000, 5, 64, 50
 #: Names of period columns.
 PERIODS = ("year", "month", "date", "period", "fy", "quarter", "week", "day")
 
 
+def _trimmed(name: str) -> Column:
+    return F.trim(F.col(f"`{name}`").cast("string"), F.lit(SPACE))
+
+
 def cells(rows: DataFrame) -> DataFrame:
-    """(position, name, cell) of every cell of ``rows`` as text."""
-    every = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("cell")) for i, c in enumerate(rows.columns)])
+    """(position, name, cell) of every cell of ``rows`` as text without outer white space."""
+    every = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), _trimmed(c).alias("cell")) for i, c in enumerate(rows.columns)])
     return rows.select(F.explode(every).alias("own")).select("own.*")
 
 
 def _type(long: DataFrame) -> list[Column]:
     known = ~is_blank(F.col("cell"))
-    plain = F.trim("cell")
+    plain = F.col("cell")
     num = plain.rlike(NUMBER)
-    whole = plain.rlike(r"^[+-]?[0-9]+$")
+    whole = plain.rlike(r"^[+-]?[0-9]+$") & plain.try_cast("bigint").isNotNull()  # longer ones are numbers
     every = lambda c: F.every(F.when(known, c))
     return [
         F.when(F.count_if(known) == 0, "EMPTY").when(every(is_date(plain)) & ~every(num), "DATE").when(every(whole), "INTEGER").when(every(num), "NUMBER").when(every(F.lower(plain).isin("true", "false")), "BOOLEAN").otherwise("STRING").alias("type")
@@ -39,26 +52,60 @@ def infer_types(rows: DataFrame) -> DataFrame:
     return long.groupBy("position", "name").agg(*_type(long))
 
 
+def _least(columns: list[str]):
+    """The smallest distinct values of each column of a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pa.array([], pa.string()) for _ in columns]
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                own = pc.unique(pa.chunked_array([held[i], column.drop_null().cast(pa.string())]))
+                held[i] = own.take(pc.array_sort_indices(own)[:SAMPLES])
+        places = [i for i, own in enumerate(held) for _ in own]
+        yield pa.record_batch([pa.array(places, pa.int32()), pa.concat_arrays(held) if held else pa.array([], pa.string())], names=["position", "v"])
+
+    return run
+
+
+@F.pandas_udf(T.StringType())
+def shortest(numbers: pd.Series) -> pd.Series:
+    """The shortest decimal that names a double, without an exponent."""
+
+    def text(x: float) -> str | None:
+        if pd.isna(x):
+            return None
+        plain = format(Decimal(repr(float(x))), "f")
+        return plain.removesuffix(".0") if "." in plain else plain
+
+    return numbers.map(text)
+
+
 def profile_table(rows: DataFrame) -> DataFrame:
-    """One row a column: position, name, type, non_null, nulls, distinct_values, capped, low, high, samples."""
+    """One row a column: position, name, type, non_null, nulls, distinct_values, capped, low, high, samples.
+
+    Distinct values are counted by a mergeable sketch of the smallest hashes, which is exact up to ``MAX_DISTINCT``, and samples
+    are the tasks' smallest values merged; so what is shuffled is a few rows a column and task, however many values there are.
+    Minima and maxima of numbers are the shortest decimals.
+    """
     long = cells(rows)
-    known = F.when(~is_blank(F.col("cell")), F.col("cell"))
-    values = long.withColumn("v", known).groupBy("position", "name", "v").agg(F.count("*").alias("k"), F.min("cell").alias("cell"))
-    # One row a distinct value from here on; types of distinct values are types of the cells.
-    n = F.sum("k")
-    facts = values.groupBy("position", "name").agg(
-        *_type(values), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))), F.lit(0)).alias("non_null"), (n - F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))), F.lit(0))).alias("nulls"),
-        F.count("v").alias("distinct_all"), F.min(F.trim("v").try_cast("double")).alias("low_n"), F.max(F.trim("v").try_cast("double")).alias("high_n"), F.min("v").alias("low_s"), F.max("v").alias("high_s"),
+    known = ~is_blank(F.col("cell"))
+    v = F.when(known, F.col("cell"))
+    number = F.when(v.rlike(NUMBER), v.try_cast("double"))
+    facts = long.groupBy("position", "name").agg(
+        *_type(long), F.count(v).alias("non_null"), F.count_if(~known).alias("nulls"), F.theta_sketch_agg(v, EXACT).alias("sketch"), F.min(number).alias("low_n"), F.max(number).alias("high_n"), F.min(v).alias("low_s"), F.max(v).alias("high_s")
     )
-    firsts = values.filter("v is not null").withColumn("r", F.row_number().over(Window.partitionBy("position").orderBy("v"))).filter(F.col("r") <= SAMPLES)
+    wide = rows.select(*[F.when(~is_blank(_trimmed(c)), _trimmed(c)).alias(f"c{i}") for i, c in enumerate(rows.columns)])
+    least = wide.mapInArrow(_least(wide.columns), "position int, v string").distinct()
+    firsts = least.withColumn("r", F.row_number().over(Window.partitionBy("position").orderBy("v"))).filter(F.col("r") <= SAMPLES)
     samples = firsts.groupBy("position").agg(F.array_join(F.array_sort(F.collect_list(F.substring("v", 1, SAMPLE_CHARS))), "|").alias("samples"))
     numeric = F.col("type").isin("INTEGER", "NUMBER")
-    end = lambda a, b: F.when(numeric, F.col(a).cast("decimal(30,4)").cast("string")).when(F.col("type").isin("DATE", "STRING"), F.substring(F.col(b), 1, SAMPLE_CHARS))
-    return facts.join(samples, "position", "left").select("position", "name", "type", "non_null", "nulls", F.least("distinct_all", F.lit(MAX_DISTINCT)).alias("distinct_values"), (F.col("distinct_all") > MAX_DISTINCT).alias("capped"), end("low_n", "low_s").alias("low"), end("high_n", "high_s").alias("high"), F.coalesce("samples", F.lit("")).alias("samples"))
+    end = lambda a, b: F.when(numeric, shortest(a)).when(F.col("type").isin("DATE", "STRING"), F.substring(F.col(b), 1, SAMPLE_CHARS))
+    found = F.coalesce(F.theta_sketch_estimate("sketch"), F.lit(0))
+    return facts.join(samples, "position", "left").select("position", "name", "type", "non_null", "nulls", F.least(found, F.lit(MAX_DISTINCT)).cast("long").alias("distinct_values"), (found > MAX_DISTINCT).alias("capped"), end("low_n", "low_s").alias("low"), end("high_n", "high_s").alias("high"), F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def profile_fingerprint(profile: DataFrame) -> DataFrame:
-    """One row: SHA-256 of the profile's rows in order; equal data give equal prints."""
+    """One row: SHA-256 of the profile's rows in order, counts of rows included; equal data give equal prints."""
     line = F.concat_ws("\u001f", F.lpad(F.col("position").cast("string"), 6, "0"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("name", "type", "non_null", "nulls", "distinct_values", "low", "high", "samples")])
     return profile.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("fingerprint"))
 

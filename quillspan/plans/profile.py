@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 from quillspan.operators import profile as p
 from quillspan.plans.registry import query, rows
 
-RAW = """SELECT concat('id-', CAST(o_orderkey AS STRING)) AS order_id, o_orderstatus AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'NA' WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS priority,
-  CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS revenue, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS price, substring(CAST(o_orderdate AS STRING), 1, 10) AS ordered,
+RAW = """SELECT concat('id-', CAST(o_orderkey AS STRING)) AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN concat(' ', o_orderstatus, chr(9)) ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 'NA' WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS priority,
+  CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS revenue, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS price, CASE WHEN o_orderkey % 5 = 0 THEN '99999999999999999999' ELSE CAST(o_custkey * 0.0001 AS STRING) END AS ratio, substring(CAST(o_orderdate AS STRING), 1, 10) AS ordered,
   CAST(year(o_orderdate) AS STRING) AS fiscal_year, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'False' END AS flag, CASE WHEN o_orderkey % 2 = 0 THEN 'n/a' ELSE '' END AS nothing FROM {orders}"""
-NAMES = "order_id status priority revenue price ordered fiscal_year flag nothing".split()
-LONG = f"WITH raw AS ({RAW}), cells AS (" + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, {c} AS cell FROM raw" for i, c in enumerate(NAMES)) + r""")
-, k AS (SELECT *, lower(trim(cell)) NOT IN ('', 'na', 'null', 'n/a') AS known, regexp_full_match(trim(cell), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AS num, regexp_full_match(trim(cell), '[+-]?[0-9]+') AS whole,
+NAMES = "order_id status priority revenue price ratio ordered fiscal_year flag nothing".split()
+LONG = f"WITH raw AS ({RAW}), cells AS (" + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS name, regexp_replace({c}, '^\\s+|\\s+$', '', 'g') AS cell FROM raw" for i, c in enumerate(NAMES)) + r""")
+, k AS (SELECT *, lower(trim(cell)) NOT IN ('', 'na', 'null', 'n/a') AS known, regexp_full_match(trim(cell), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AS num, regexp_full_match(trim(cell), '[+-]?[0-9]+') AND TRY_CAST(cell AS BIGINT) IS NOT NULL AS whole,
   CASE WHEN regexp_full_match(cell, '\d{4}-\d{2}-\d{2}') THEN try_strptime(cell, '%Y-%m-%d') IS NOT NULL WHEN regexp_full_match(cell, '\d{4}-\d{2}') THEN try_strptime(cell, '%Y-%m') IS NOT NULL ELSE false END AS dated FROM cells)
 , t AS (SELECT position, name, CASE WHEN count(*) FILTER (known) = 0 THEN 'EMPTY' WHEN bool_and(dated) FILTER (known) AND NOT bool_and(num) FILTER (known) THEN 'DATE' WHEN bool_and(whole) FILTER (known) THEN 'INTEGER' WHEN bool_and(num) FILTER (known) THEN 'NUMBER'
   WHEN bool_and(lower(trim(cell)) IN ('true', 'false')) FILTER (known) THEN 'BOOLEAN' ELSE 'STRING' END AS type, count(*) FILTER (known) AS non_null, count(*) FILTER (NOT known) AS nulls, count(DISTINCT cell) FILTER (known) AS d,
   min(TRY_CAST(trim(cell) AS DOUBLE)) FILTER (known AND num) AS ln, max(TRY_CAST(trim(cell) AS DOUBLE)) FILTER (known AND num) AS hn, min(cell) FILTER (known) AS ls, max(cell) FILTER (known) AS hs FROM k GROUP BY 1, 2)
 """
 PROFILE = LONG + """, s AS (SELECT position, string_agg(substring(cell, 1, 64), '|' ORDER BY cell) AS samples FROM (SELECT DISTINCT position, cell, dense_rank() OVER (PARTITION BY position ORDER BY cell) AS r FROM k WHERE known) WHERE r <= 5 GROUP BY 1)
-, prof AS (SELECT position, name, type, non_null, nulls, least(d, 10000) AS distinct_values, d > 10000 AS capped, CASE WHEN type IN ('INTEGER', 'NUMBER') THEN CAST(CAST(ln AS DECIMAL(30,4)) AS VARCHAR) WHEN type IN ('DATE', 'STRING') THEN substring(ls, 1, 64) END AS low,
-  CASE WHEN type IN ('INTEGER', 'NUMBER') THEN CAST(CAST(hn AS DECIMAL(30,4)) AS VARCHAR) WHEN type IN ('DATE', 'STRING') THEN substring(hs, 1, 64) END AS high, coalesce(samples, '') AS samples FROM t LEFT JOIN s USING (position))
+, prof AS (SELECT position, name, type, non_null, nulls, least(d, 10000) AS distinct_values, d > 10000 AS capped, CASE WHEN type IN ('INTEGER', 'NUMBER') THEN CASE WHEN ln = 99999999999999999999 THEN '100000000000000000000' ELSE regexp_replace(CAST(ln AS VARCHAR), '[.]0$', '') END WHEN type IN ('DATE', 'STRING') THEN substring(ls, 1, 64) END AS low,
+  CASE WHEN type IN ('INTEGER', 'NUMBER') THEN CASE WHEN hn = 99999999999999999999 THEN '100000000000000000000' ELSE regexp_replace(CAST(hn AS VARCHAR), '[.]0$', '') END WHEN type IN ('DATE', 'STRING') THEN substring(hs, 1, 64) END AS high, coalesce(samples, '') AS samples FROM t LEFT JOIN s USING (position))
 """
 GAPS = "SELECT concat('g', CAST(r_regionkey AS STRING)) AS gap_id, CASE r_regionkey WHEN 0 THEN 'Prices by region' WHEN 1 THEN 'status history' WHEN 2 THEN 'orders overdue' ELSE r_name END AS need FROM {region}"
 QUESTION = "How did revenue change?"

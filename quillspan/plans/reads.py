@@ -45,7 +45,7 @@ def evidence_ranked(spark, sf_dir):
     return u.evidence_ranked(rows(spark, sf_dir, RELEVANT))
 
 
-OWNED = "SELECT l_partkey AS id, l_returnflag AS run FROM {lineitem} WHERE l_orderkey % 40 = 0 UNION ALL SELECT l_suppkey + 100000, l_linestatus FROM {lineitem}"
+OWNED = "SELECT l_orderkey AS id, l_returnflag AS run FROM {lineitem} UNION ALL SELECT -l_suppkey, l_linestatus FROM {lineitem}"
 
 
 @query("backfill_observation_run", f"SELECT id, min(run) AS run FROM ({OWNED}) GROUP BY 1 HAVING count(DISTINCT run) = 1")

@@ -47,7 +47,7 @@ def rank_requirements(spark, sf_dir):
 
 SEEN = f"SELECT DISTINCT run, seq, lower(need) AS need_key FROM ({GAPS}) WHERE gap_id % 5 = run % 5"
 ITERATIONS = "SELECT DISTINCT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders}"
-FOUND = f"SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, CASE WHEN year(o_orderdate) % 2 = 0 THEN lower({NEED}) END AS need_key FROM {{orders}} WHERE o_orderkey % 23 = 0"
+FOUND = f"SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, CASE WHEN year(o_orderdate) % 2 = 0 THEN lower({NEED}) END AS need_key FROM {{orders}} WHERE o_orderstatus = 'P'"
 CARRIED = f"""WITH seen AS ({SEEN}), it AS ({ITERATIONS}), ev AS ({FOUND}), f AS (SELECT run, need_key, min(seq) AS first FROM seen GROUP BY 1, 2), e AS (SELECT f.run, f.need_key, it.seq FROM f JOIN it ON it.run = f.run AND it.seq >= f.first),
 loose AS (SELECT run, seq, count(need_key) = 0 AS loose FROM ev GROUP BY 1, 2),
 m AS (SELECT e.*, s.run IS NOT NULL AS here, CASE WHEN s.run IS NOT NULL THEN 'OPEN' WHEN coalesce(CASE WHEN a.run IS NOT NULL THEN true END, l.loose, false) THEN 'RESOLVED' END AS event FROM e LEFT JOIN seen s USING (run, need_key, seq) LEFT JOIN (SELECT DISTINCT run, need_key, seq FROM ev WHERE need_key IS NOT NULL) a USING (run, need_key, seq) LEFT JOIN loose l ON l.run = e.run AND l.seq = e.seq),
@@ -307,8 +307,8 @@ def independent_evidence(spark, sf_dir):
     return r.independent_evidence(rows(spark, sf_dir, PROOF))
 
 
-TOUCHED = "SELECT o_custkey % 40 AS run, CAST(o_orderkey % 6 AS STRING) AS hypothesis FROM {orders} WHERE o_orderkey % 101 = 0"
-MOVED = "SELECT o_custkey % 40 AS run, CAST(o_orderkey % 6 AS STRING) AS hypothesis FROM {orders} WHERE o_orderkey % 307 = 0"
+TOUCHED = "SELECT o_custkey % 40 AS run, CAST(o_orderkey % 6 AS STRING) AS hypothesis FROM {orders} WHERE o_orderstatus = 'P'"
+MOVED = "SELECT o_custkey % 40 AS run, CAST(o_orderkey % 6 AS STRING) AS hypothesis FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"
 
 
 @query("affected_hypotheses", f"SELECT * FROM ({TOUCHED}) UNION SELECT * FROM ({MOVED})")

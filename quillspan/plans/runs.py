@@ -124,8 +124,8 @@ def evidence_events(spark, sf_dir):
     return u.evidence_events(*[rows(spark, sf_dir, text) for text in (SEQS, DECLARED, GIVEN, SNAPSHOT)])
 
 
-ADDED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders} WHERE o_orderkey % 83 = 0"
-TOOLED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders} WHERE o_orderkey % 101 = 0"
+ADDED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders} WHERE o_orderstatus = 'P'"
+TOOLED = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
 
 
 @query("change_attribution", "WITH x AS (SELECT 1)" + plans.EVOLVED[:-1] + f", e AS (SELECT DISTINCT * FROM ({ADDED})), i AS (SELECT DISTINCT * FROM ({TOOLED})) SELECT c.run, c.seq, key, change, CASE WHEN e.run IS NOT NULL AND i.run IS NOT NULL THEN 'BOTH' WHEN e.run IS NOT NULL THEN 'EVIDENCE' WHEN i.run IS NOT NULL THEN 'INSTRUMENT' ELSE 'NONE' END AS attribution, change IN ('WEAKENED', 'CONTRADICTED') AS invalidates FROM changed c LEFT JOIN e ON e.run = c.run AND e.seq = c.seq LEFT JOIN i ON i.run = c.run AND i.seq = c.seq")
@@ -133,7 +133,7 @@ def change_attribution(spark, sf_dir):
     return u.change_attribution(r.hypothesis_evolution(rows(spark, sf_dir, plans.STATES)), rows(spark, sf_dir, ADDED), rows(spark, sf_dir, TOOLED))
 
 
-UNSURE = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, concat('s', CAST(o_orderkey % 30 AS STRING)) AS statement FROM {orders} WHERE o_orderkey % 4 = 0"
+UNSURE = "SELECT o_custkey % 40 AS run, CAST(year(o_orderdate) - 1994 AS INT) AS seq, concat('s', CAST(o_orderkey % 30 AS STRING)) AS statement FROM {orders}"
 
 
 @query("uncertainty_carry", f"WITH s AS (SELECT DISTINCT * FROM ({UNSURE})), k AS (SELECT DISTINCT run, seq FROM s) SELECT b.run, k.seq, b.statement, CASE WHEN n.run IS NOT NULL THEN 'CARRIED' ELSE 'RESOLVED' END AS state FROM s b JOIN k ON k.run = b.run AND k.seq = b.seq + 1 LEFT JOIN s n ON n.run = k.run AND n.seq = k.seq AND n.statement = b.statement")

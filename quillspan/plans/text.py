@@ -67,7 +67,7 @@ def context_stats(spark, sf_dir):
 
 
 QUOTES = """SELECT doc_id * 2 AS quote_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'no such words here' ELSE substring(text, 11, 40) END AS quote FROM {documents}
-UNION ALL SELECT doc_id * 2 + 1, doc_id, upper(replace(substring(text, 21, 60), ' ', '')) FROM {documents} WHERE lang = 'en'"""
+UNION ALL SELECT doc_id * 2 + 1, doc_id, CASE WHEN lang = 'en' THEN upper(replace(substring(text, 21, 60), ' ', '')) ELSE replace(substring(text, 21, 60), ' ', '') END FROM {documents}"""
 
 
 def fold(text: str) -> str:
