@@ -5,10 +5,15 @@ Checks return violations, one row each; no violation means no row.
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASH = "^[0-9a-fA-F]{64}$"
+#: Of a case: reports that one task reads, phrases of one automaton, about.
+REPORTS_A_PART, PHRASES_A_SHARD = 2_000, 20_000
 
 
 def _codes(df: DataFrame, *keys: str, **codes) -> DataFrame:
@@ -125,6 +130,36 @@ def case_invariants(cases: DataFrame) -> DataFrame:
     return cases.select("id", F.explode(every).alias("r")).select("id", "r.rule", "r.outcome")
 
 
-def forbidden_phrases(reports: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(id, phrase) where a phrase of the report's own case occurs in it verbatim; joined by the case."""
-    return reports.join(phrases, "case_id").filter(F.contains("text", F.col("phrase"))).select("id", "phrase")
+def _found(reports: pa.Table, phrases: pa.Table) -> pa.Table:
+    """The phrases of a shard inside a part of its case's reports, by one pass of an automaton over each text."""
+    automaton = ahocorasick.Automaton()
+    for phrase in phrases.column("phrase").to_pylist():
+        automaton.add_word(phrase, phrase)
+    ids, held = [], []
+    if len(automaton) and reports.num_rows:
+        automaton.make_automaton()
+        for i, text in enumerate(reports.column("text").to_pylist()):
+            own = {phrase for _, phrase in automaton.iter(text)}
+            ids += [i] * len(own)
+            held += own
+    return pa.table({"id": reports.column("id").take(pa.array(ids, pa.int64())), "phrase": pa.array(held, pa.string())})
+
+
+def forbidden_phrases(reports: DataFrame, phrases: DataFrame, *, part: int = REPORTS_A_PART, shard: int = PHRASES_A_SHARD) -> DataFrame:
+    """(id, phrase): the phrases (case_id, phrase) that stand anywhere in a report (id, case_id, text) of their case, once a
+    report. Null and empty phrases and texts hold nothing; repeated phrases count once, repeated reports each for itself.
+
+    A case's phrases are dealt to shards of about ``shard`` and its reports to parts of about ``part``. Each part meets each
+    shard once, in an automaton that finds all phrases in one pass over a text, so work grows with the texts and the phrases
+    and not with their pairs, and a case of any size is dealt to many tasks.
+    """
+    words = phrases.select("case_id", F.col("phrase").cast("string").alias("phrase")).filter("phrase <> ''").distinct()
+    texts = reports.select("id", "case_id", F.col("text").cast("string").alias("text")).filter("text <> ''")
+    share = lambda rows, name, most: rows.groupBy("case_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = share(words, "shards", shard).join(share(texts, "parts", part), "case_id")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = texts.join(sizes, "case_id").withColumn("part", F.pmod(F.xxhash64("id", "text"), F.col("parts")).cast("int")).withColumn("shard", every("shards")).select("case_id", "part", "shard", "id", "text")
+    right = words.join(sizes, "case_id").withColumn("shard", F.pmod(F.xxhash64("phrase"), F.col("shards")).cast("int")).withColumn("part", every("parts")).select("case_id", "part", "shard", "phrase")
+    keys = ["case_id", "part", "shard"]
+    schema = T.StructType([T.StructField("id", reports.schema["id"].dataType), T.StructField("phrase", T.StringType())])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_found, schema)
