@@ -177,18 +177,41 @@ def cohort_comparison(points: DataFrame) -> DataFrame:
     return rows.select("series", "idx", F.round("index", 9).alias("value"), F.when(F.col("index").isNull(), MISSING).alias("flag"))
 
 
-def lagged_comparison(left: DataFrame, right: DataFrame, max_lag: int) -> DataFrame:
-    """Pearson correlation of left[t] and right[t - lag] for each lag up to ``max_lag`` either way: lag, pairs, value, flag."""
-    a = left.filter("value is not null").select(F.col("idx").alias("t"), F.col("value").alias("x"))
-    b = right.filter("value is not null").select("idx", F.col("value").alias("y"))
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))
-    pairs = a.select("t", "x", lags.alias("lag")).join(b, F.col("idx") == F.col("t") - F.col("lag"))
-    sums = pairs.groupBy("lag").agg(F.count("*").alias("pairs"), F.regr_sxy("y", "x").alias("sxy"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
-    every = left.sparkSession.range(-max_lag, max_lag + 1).select(F.col("id").cast("int").alias("lag"))
-    rows = every.join(sums, "lag", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+#: Windows of a pair that one task holds in a row.
+STRETCH = 4_096
+
+
+def lagged_pairs(points: DataFrame, pairs: DataFrame, max_lag: int) -> DataFrame:
+    """Pearson correlation of series[t] and reference[t - lag] for every pair (series, reference) and each lag up to
+    ``max_lag`` either way: series, reference, lag, pairs, value, flag.
+
+    Points are not joined once a lag: the two series of a pair are laid side by side by window, each window sees the references
+    within ``max_lag``, and its products are added by lag before they are shuffled. A long series is cut into stretches that
+    share ``max_lag`` windows with their neighbours. Every lag of every pair has a row; repeated pairs count once.
+    """
+    wide = max(STRETCH, 4 * max_lag)
+    named = pairs.select("series", "reference").dropna().distinct()
+    known = points.filter("value is not null and idx is not null").select(F.col("series").alias("own"), "idx", "value")
+    at = lambda shift: F.floor((F.col("idx") + F.lit(shift)) / F.lit(wide)).cast("long")
+    left = named.join(known, F.col("series") == F.col("own")).select("series", "reference", at(0).alias("part"), "idx", F.col("value").alias("x"), F.lit(None).cast("double").alias("y"))
+    near = F.explode(F.sequence(at(-max_lag), at(max_lag)))  # the stretches whose windows can see it: two at most
+    right = named.join(known, F.col("reference") == F.col("own")).select("series", "reference", near.alias("part"), "idx", F.lit(None).cast("double").alias("x"), F.col("value").alias("y"))
+    seen = Window.partitionBy("series", "reference", "part").orderBy("idx").rangeBetween(-max_lag, max_lag)
+    rows = left.unionByName(right).withColumn("near", F.collect_list(F.when(F.col("y").isNotNull(), F.struct("idx", "y"))).over(seen)).filter("x is not null")
+    products = rows.select("series", "reference", "idx", "x", F.explode("near").alias("other")).select("series", "reference", (F.col("idx") - F.col("other.idx")).cast("int").alias("lag"), "x", F.col("other.y").alias("y"))
+    sums = products.groupBy("series", "reference", "lag").agg(F.count("*").alias("pairs"), F.regr_sxy("y", "x").alias("sxy"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
+    every = named.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
+    found = every.join(sums, ["series", "reference", "lag"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
     few, flat = F.col("pairs") < 3, (F.col("sxx") == 0) | (F.col("syy") == 0)
     value = F.when(~few & ~flat, F.round(F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy"))), 12))
-    return rows.select("lag", "pairs", value.alias("value"), F.when(few, "INSUFFICIENT_PAIRS").when(flat, "ZERO_VARIANCE").alias("flag"))
+    return found.select("series", "reference", "lag", "pairs", value.alias("value"), F.when(few, "INSUFFICIENT_PAIRS").when(flat, "ZERO_VARIANCE").alias("flag"))
+
+
+def lagged_comparison(left: DataFrame, right: DataFrame, max_lag: int) -> DataFrame:
+    """``lagged_pairs`` of two series: lag, pairs, value, flag."""
+    side = lambda points, name: points.select(F.lit(name).alias("series"), "idx", "value")
+    pair = left.sparkSession.createDataFrame([("left", "right")], "series string, reference string")
+    return lagged_pairs(side(left, "left").unionByName(side(right, "right")), pair, max_lag).drop("series", "reference")
 
 
 def control_comparison(points: DataFrame, treated: str, reference: str, at: int) -> DataFrame:

@@ -132,11 +132,12 @@ def cohort_comparison(spark, sf_dir):
     return t.cohort_comparison(rows(spark, sf_dir, MONTHS))
 
 
-@query("lagged_comparison", f"""WITH p AS ({DAYS_DUCK}), lags AS (SELECT unnest(generate_series(-5, 5)) AS lag), c AS (SELECT l.lag, a.value AS x, b.value AS y FROM p a, lags l, p b WHERE a.series = 'click' AND b.series = 'view' AND b.idx = a.idx - l.lag)
-SELECT CAST(l.lag AS INT) AS lag, count(c.x) AS pairs, CASE WHEN count(c.x) >= 3 THEN round(corr(c.y, c.x), 12) END AS value, CASE WHEN count(c.x) < 3 THEN 'INSUFFICIENT_PAIRS' END AS flag FROM lags l LEFT JOIN c USING (lag) GROUP BY 1""")
+@query("lagged_comparison", f"""WITH p AS ({DAYS_DUCK}), every AS (SELECT DISTINCT a.series, b.series AS reference, lag FROM p a, p b, (SELECT unnest(generate_series(-5, 5)) AS lag) WHERE a.series <> 'view' AND b.series = 'view'), c AS (SELECT e.series, e.reference, e.lag, a.value AS x, b.value AS y FROM every e JOIN p a ON a.series = e.series JOIN p b ON b.series = e.reference AND b.idx = a.idx - e.lag WHERE a.value IS NOT NULL AND b.value IS NOT NULL)
+SELECT e.series, e.reference, CAST(e.lag AS INT) AS lag, count(c.x) AS pairs, CASE WHEN count(c.x) >= 3 THEN round(corr(c.y, c.x), 12) END AS value, CASE WHEN count(c.x) < 3 THEN 'INSUFFICIENT_PAIRS' END AS flag FROM every e LEFT JOIN c USING (series, reference, lag) GROUP BY 1, 2, 3""")
 def lagged_comparison(spark, sf_dir):
     days = rows(spark, sf_dir, DAYS)
-    return t.lagged_comparison(days.filter("series = 'click'"), days.filter("series = 'view'"), 5)
+    pairs = days.filter("series <> 'view'").select("series", F.lit("view").alias("reference")).distinct()
+    return t.lagged_pairs(days, pairs, 5)
 
 
 @query("control_comparison", filled(DAYS_DUCK, f""", c AS ({AROUND}) SELECT x.difference AS treated_change, y.difference AS reference_change, round(x.difference - y.difference, 6) AS difference FROM (SELECT * FROM c WHERE series = 'click') x FULL JOIN (SELECT * FROM c WHERE series = 'view') y ON true"""))

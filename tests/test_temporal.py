@@ -1,7 +1,9 @@
 """Edge cases of the time-series operators: missing is never zero, gaps, zero baselines, short series, planted effects."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def test_labels_round_trip_and_bad_ones_are_null(spark):
 
 def test_growth_keeps_reasons(spark):
     got = by_idx(t.period_over_period(points(spark, [0, 5, None, "gap", 10, -10, 5]), 1), "value", "flag")
-    assert got == {1: (None, "ZERO_BASELINE"), 2: (None, "INCOMPLETE_WINDOW"), 3: (None, "INCOMPLETE_WINDOW"), 4: (None, "MISSING_OR_GAP"), 5: (-2.0, None), 6: (1.5, None)}
+    assert got == {1: (None, "ZERO_BASELINE"), 2: (None, "MISSING_OR_GAP"), 3: (None, "MISSING_OR_GAP"), 4: (None, "MISSING_OR_GAP"), 5: (-2.0, None), 6: (1.5, None)}
     with pytest.raises(ValueError, match="undefined"):
         t.yoy(points(spark, [1]), "calendar-day")
 
@@ -71,7 +73,7 @@ def test_lags_of_a_shifted_series(spark):
 
 def test_shares_cohorts_baselines_and_breaks(spark):
     got = by_idx(t.share(points(spark, [1, 2, None, 4]), points(spark, [2, 0, 5, "gap"])), "value", "flag")
-    assert got == {0: (0.5, None), 1: (None, "ZERO_DENOMINATOR"), 2: (None, "INCOMPLETE_WINDOW"), 3: (None, "INCOMPLETE_WINDOW")}
+    assert got == {0: (0.5, None), 1: (None, "ZERO_DENOMINATOR"), 2: (None, "MISSING_OR_GAP"), 3: (None, "MISSING_OR_GAP")}
     assert by_idx(t.cohort_comparison(points(spark, [0, 4, 6])), "value") == {0: (0.0,), 1: (100.0,), 2: (150.0,)}
     assert [r.flag for r in t.indexed_baseline(points(spark, [0, 4]), 0).collect()] == ["ZERO_BASELINE"]
     assert [r.flag for r in t.indexed_baseline(points(spark, [1, 4]), 9).collect()] == ["MISSING_BASELINE"]
@@ -119,3 +121,25 @@ def test_windows_without_a_value_stay(spark):
     assert by_idx(t.cohort_comparison(points(spark, [0, None])), "value", "flag") == {0: (None, "MISSING_OR_GAP"), 1: (None, "MISSING_OR_GAP")}
     flags = by_idx(t.anomaly_candidate(points(spark, [1, 2, "gap", 4, 9, 7])), "candidate", "flag")
     assert len(flags) == 6 and flags[2] == (False, "MISSING_OR_GAP") and flags[0][1] is None
+
+
+def test_thousands_of_pairs_equal_calls_of_each(spark, monkeypatch):
+    monkeypatch.setattr(t, "STRETCH", 16)
+    rng = random.Random(2)
+    series = {f"s{k}": {i: (None if rng.random() < 0.1 else rng.gauss(0, 1)) for i in range(rng.randint(-40, 0), rng.randint(1, 60)) if rng.random() < 0.8} for k in range(60)}
+    series["flat"] = {i: 1.0 for i in range(30)}
+    rows = [(k, i, v) for k, own in series.items() for i, v in own.items()]
+    names = [(a, b) for a in series for b in series if a != b] + [("s0", "nobody"), ("s1", "s2")]
+    found = t.lagged_pairs(spark.createDataFrame(rows, "series string, idx int, value double"), spark.createDataFrame(names, "series string, reference string"), 4).collect()
+    assert len(found) == (61 * 60 + 1) * 9
+    for r in rng.sample(found, 600) + [r for r in found if r.reference == "nobody" or "flat" in (r.series, r.reference)][:200]:
+        own, other = series[r.series], series.get(r.reference, {})
+        both = [(v, other[i - r.lag]) for i, v in own.items() if v is not None and other.get(i - r.lag) is not None]
+        assert r.pairs == len(both)
+        x, y = np.array(both).reshape(-1, 2).T
+        if len(both) < 3:
+            assert (r.value, r.flag) == (None, "INSUFFICIENT_PAIRS")
+        elif x.std() == 0 or y.std() == 0:
+            assert (r.value, r.flag) == (None, "ZERO_VARIANCE")
+        else:
+            assert abs(r.value - np.corrcoef(x, y)[0, 1]) < 1e-9 and r.flag is None
