@@ -344,5 +344,6 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
 
 def digests(docs: DataFrame, ranks: bytes) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit
-    numbers) and decoded_sha256 (of the bytes that the ids decode to). Null texts count as empty."""
+    numbers) and decoded_sha256 (of the bytes that the ids decode to). Null texts count as empty and have no ids; null ids,
+    repeated rows and texts of any length stay as they are; other columns are not read; an empty table gives an empty result."""
     return _plain(docs).mapInArrow(_digests(ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -165,7 +165,9 @@ def exact_dedup(docs: DataFrame, *, capacity: int = CAPACITY, max_depth: int = M
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; all columns stay."""
+    """``docs`` with one row of each group of equal texts, the one that ``exact_dedup`` keeps; all columns stay, whatever their
+    names. A null text is empty and equal to other empty ones, a null id comes last; of repeated rows one stays; an empty table
+    stays empty."""
     sha, chars = (_free(docs, c) for c in ("dedup_sha", "dedup_chars"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.withColumn(sha, F.sha2(F.translate(text, SPACES.decode(), "").cast("binary"), 256)).withColumn(chars, F.char_length(text).cast("long"))

@@ -156,7 +156,8 @@ def mix(docs: DataFrame, weights: DataFrame, *, block_rows: int = BLOCK_ROWS, le
 
 
 def root_weights(docs: DataFrame) -> DataFrame:
-    """Weights that flatten the sources: the whole part of the square root of each source's rows."""
+    """Weights that flatten the sources: the whole part of the square root of each source's rows, one at least. A null source is
+    the source ''; repeated rows count each; other columns are not read; an empty table has no weights."""
     return docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("source")).agg(F.floor(F.sqrt(F.count("*"))).cast("long").alias("weight"))
 
 

@@ -152,7 +152,8 @@ def _links(radius: int):
 def hamming_links(fps: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
     """Links (a, b) that join all fingerprints ``fp`` (distinct longs) that a chain of steps of ``radius`` bits joins.
 
-    Within a shard only links to one fingerprint of each joined set are returned, never all pairs.
+    Within a shard only links to one fingerprint of each joined set are returned, never all pairs. Nulls have no links, repeated
+    fingerprints do no harm, other columns are not read, and an empty table has no links.
     """
     blocks = radius + 2
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
