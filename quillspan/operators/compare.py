@@ -21,6 +21,10 @@ INCOMPATIBLE = (
     ("dims", "INCOMPATIBLE_DIMENSIONS"),
 )
 PERIOD = ("basis", "start", "end", "windows")
+#: Fields of an observation that are checked where a table has them.
+OWN = ("id", "analysis", "metric_version", "result_metric", "observed_at")
+#: Where a value comes from, and what it is measured in.
+ORIGINS, VALUE_BASES = ("observed", "derived"), ("nominal", "real", "not_applicable")
 #: How a dataset may have been retrieved, and names of parameters that carry a secret.
 METHODS = ("api", "download", "manual_export", "fixture", "user_provided")
 CREDENTIALS = r"(?i)(^id$|app_?id|api_?key|key$|token|secret|passw|credential|authorization|signature)"
@@ -30,32 +34,68 @@ def _codes(*codes: Column) -> Column:
     return F.concat_ws(",", *codes)
 
 
-def compare_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs of structs ``prev`` and ``cur`` (fields of ``INCOMPATIBLE``, basis, start, end, windows, value, source, flagged)
-    with absolute and relative change, direction, warnings. Any warning suppresses arithmetic; ``review`` codes do not.
+def _same_json(a: Column, b: Column) -> Column:
+    """Equal as JSON, whatever the order of keys; texts that are no JSON are compared as they are."""
+    plain = lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    return plain(a).eqNullSafe(plain(b))
+
+
+def _pair_warnings(p: Column, c: Column, has: set[str]) -> list[Column]:
+    """The codes of a pair, in order; rules about fields that the structs do not have are passed over."""
+    blank = lambda s, f: F.coalesce(F.trim(s[f].cast("string")), F.lit("")) == ""
+    either = lambda rule: rule(p) | rule(c)
+    no = F.lit(False)
+    lacks = lambda f: either(lambda s: blank(s, f)) if f in has else no
+    bare = lambda s: s["geography"].isNull() & s["value_basis"].isNull() & s["origin"].isNull()
+    odd = lambda s: blank(s, "geography") | ~F.coalesce(s["origin"].isin(*ORIGINS), no) | ~F.coalesce(s["value_basis"].isin(*VALUE_BASES), no)
+    unrecorded = either(bare)
+    versions = (~p["metric_version"].eqNullSafe(c["metric_version"]) | lacks("metric_version")) if "metric_version" in has else no
+    differs = {f: ~p[f].eqNullSafe(c[f]) for f, _ in INCOMPATIBLE}
+    differs |= {"metric_id": differs["metric_id"] | versions, "filters": ~_same_json(p["filters"], c["filters"])} | {f: ~unrecorded & differs[f] for f in ("geography", "value_basis", "origin")}
+    codes = {f: F.when(differs[f], code) for f, code in INCOMPATIBLE}
+    ordered = (p["basis"] == c["basis"]) & (p["windows"] == c["windows"]) & (c["start"] >= p["end"]) & (c["start"] > p["start"])
+    invalid = either(odd) | lacks("observed_at")
+    return [
+        F.when(lacks("id") | lacks("analysis"), "UNKNOWN_OBSERVATION_OWNERSHIP"),
+        F.when(either(lambda s: blank(s, "source")), "INVALID_PROVENANCE"),
+        *[codes[f] for f in ("metric_id", "population", "filters", "parameters", "spec_hash")],
+        F.when(unrecorded, "MISSING_TEMPORAL_METADATA"),
+        *[codes[f] for f in ("geography", "value_basis", "origin")],
+        F.when(~unrecorded & invalid, "INVALID_TEMPORAL_EVIDENCE"),
+        codes["dims"],
+        F.when(~F.coalesce(ordered, no), "INCOMPATIBLE_PERIOD"),
+        F.when(either(lambda s: ~s["result_metric"].eqNullSafe(s["metric_id"])) if "result_metric" in has else no, "INVALID_METRIC_REFERENCE"),
+        F.when(p["value"].isNull() | c["value"].isNull(), "MISSING_OR_NON_NUMERIC_VALUE"),
+    ]
+
 
-    Periods must share a calendar basis and a number of windows, and follow each other without overlap; ``end`` is the first
-    day after the period. A side without a source has no provenance.
+def compare_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of structs ``prev`` and ``cur`` (fields of ``INCOMPATIBLE``, basis, start, end, windows, value, source, flagged, and
+    any of ``OWN``) with absolute and relative change, direction, warnings. Any warning suppresses arithmetic; ``review`` codes
+    do not.
+
+    A side that is NULL has no temporal evidence, and no other code is given. One without geography, basis and origin has no
+    temporal metadata: these are then not compared, as an unknown is never equal to another. Filters are JSON. Periods must
+    share a calendar basis and a number of windows, and follow each other without overlap; ``end`` is the first day after the
+    period. A side without a source has no provenance.
     """
     p, c = F.col("prev"), F.col("cur")
-    bare = lambda s: F.coalesce(F.trim(s["source"]), F.lit("")) == ""
-    ordered = (p["basis"] == c["basis"]) & (p["windows"] == c["windows"]) & (c["start"] >= p["end"]) & (c["start"] > p["start"])
-    warnings = _codes(
-        F.when(bare(p) | bare(c), "INVALID_PROVENANCE"),
-        *[F.when(~p[f].eqNullSafe(c[f]), code) for f, code in INCOMPATIBLE],
-        F.when(~F.coalesce(ordered, F.lit(False)), "INCOMPATIBLE_PERIOD"),
-        F.when(p["value"].isNull() | c["value"].isNull(), "MISSING_OR_NON_NUMERIC_VALUE"),
-    )
+    known = p.isNotNull() & c.isNotNull()
+    codes = _pair_warnings(p, c, set(pairs.schema["prev"].dataType.names))
+    warnings = F.when(known, _codes(*codes)).otherwise("MISSING_TEMPORAL_EVIDENCE")
     ok = warnings == ""
     change = F.when(ok, c["value"] - p["value"])
-    review = F.when(ok, _codes(F.when(p["value"] == 0, "ZERO_BASELINE"), F.when(~p["source"].eqNullSafe(c["source"]), "SOURCE_CHANGED"), F.when(p["flagged"] | c["flagged"], "QUALITY_FLAGS_PRESENT"))).otherwise("")
+    finite = ~(F.isnan(change) | (F.abs(change) == float("inf")))
+    warnings = F.when(ok & ~finite, "NON_FINITE_DELTA").otherwise(warnings)
+    change = F.when(finite, change)
+    review = F.when(ok & finite, _codes(F.when(p["value"] == 0, "ZERO_BASELINE"), F.when(~p["source"].eqNullSafe(c["source"]), "SOURCE_CHANGED"), F.when(p["flagged"] | c["flagged"], "QUALITY_FLAGS_PRESENT"))).otherwise("")
     direction = F.when(change > 0, "increase").when(change < 0, "decrease").when(change == 0, "unchanged").otherwise("unknown")
     return pairs.select("*", F.round(change, 4).alias("absolute"), F.round(F.try_divide(change, F.abs(p["value"])), 9).alias("relative"), direction.alias("direction"), warnings.alias("warnings"), review.alias("review"))
 
 
 def compare_series(observations: DataFrame, group: str, order: str) -> DataFrame:
     """Adjacent pairs of each group in the caller's order, never sorted otherwise."""
-    fields = [*[f for f, _ in INCOMPATIBLE], *PERIOD, "value", "source", "flagged"]
+    fields = [*[f for f, _ in INCOMPATIBLE], *PERIOD, "value", "source", "flagged", *[f for f in OWN if f in observations.columns]]
     rows = observations.select(group, order, F.struct(*fields).alias("cur")).withColumn("prev", F.lag("cur").over(Window.partitionBy(group).orderBy(order)))
     return compare_pairs(rows.filter("prev is not null"))
 

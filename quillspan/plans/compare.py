@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from quillspan.operators import compare as c
 from quillspan.plans.registry import query, rows
 
-OBS = """SELECT concat(o_orderpriority, '/', o_orderstatus) AS series, CAST(year(o_orderdate) AS INT) AS ord, 'revenue' AS metric_id, CASE WHEN year(o_orderdate) >= 1999 AND o_orderstatus = 'O' THEN 'new' ELSE 'all' END AS population, '' AS filters, CASE WHEN year(o_orderdate) = 1994 THEN 'p2' ELSE 'p1' END AS parameters,
-  'h1' AS spec_hash, 'JP' AS geography, 'nominal' AS value_basis, CASE WHEN year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' THEN 'estimated' ELSE 'observed' END AS origin, o_orderstatus AS dims, 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows,
-  CASE WHEN year(o_orderdate) = 1996 AND o_orderstatus = 'P' THEN NULL WHEN year(o_orderdate) = 1995 AND o_orderstatus = 'F' THEN 0 ELSE CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value, CASE WHEN year(o_orderdate) < 1998 THEN 's1' WHEN o_orderpriority = '3-MEDIUM' THEN ' ' ELSE 's2' END AS source, o_orderpriority = '5-LOW' AS flagged
+OBS = """SELECT concat(o_orderpriority, '/', o_orderstatus) AS series, CAST(year(o_orderdate) AS INT) AS ord, 'revenue' AS metric_id, CASE WHEN year(o_orderdate) >= 1999 AND o_orderstatus = 'O' THEN 'new' ELSE 'all' END AS population, CASE WHEN year(o_orderdate) = 1993 THEN concat(chr(123), '"b": 2, "a": 1', chr(125)) WHEN year(o_orderdate) = 1992 AND o_orderstatus = 'F' THEN concat(chr(123), '"a": 2, "b": 2', chr(125)) ELSE concat(chr(123), '"a": 1, "b": 2', chr(125)) END AS filters, CASE WHEN year(o_orderdate) = 1994 THEN 'p2' ELSE 'p1' END AS parameters,
+  'h1' AS spec_hash, CASE WHEN year(o_orderdate) = 2000 AND o_orderpriority = '3-MEDIUM' THEN NULL ELSE 'JP' END AS geography, CASE WHEN year(o_orderdate) = 2000 AND o_orderpriority = '3-MEDIUM' THEN NULL ELSE 'nominal' END AS value_basis, CASE WHEN year(o_orderdate) = 2000 AND o_orderpriority = '3-MEDIUM' THEN NULL WHEN year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT' THEN 'estimated' ELSE 'observed' END AS origin, o_orderstatus AS dims, 'calendar-year' AS basis, make_date(CAST(year(o_orderdate) AS INT), 1, 1) AS start, make_date(CAST(year(o_orderdate) AS INT) + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END, 1, 1) AS finish, CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 THEN 2 ELSE 1 END AS windows,
+  CASE WHEN year(o_orderdate) = 1996 AND o_orderstatus = 'P' THEN NULL WHEN year(o_orderdate) = 1995 AND o_orderstatus = 'F' THEN 0 ELSE CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value, CASE WHEN year(o_orderdate) < 1998 THEN 's1' WHEN o_orderpriority = '3-MEDIUM' THEN ' ' ELSE 's2' END AS source, o_orderpriority = '5-LOW' AS flagged,
+  'o1' AS id, CASE WHEN year(o_orderdate) = 2001 AND o_orderstatus = 'O' THEN ' ' ELSE 'a1' END AS analysis, CASE WHEN year(o_orderdate) = 1998 AND o_orderpriority = '5-LOW' THEN '' ELSE 'v1' END AS metric_version, CASE WHEN year(o_orderdate) = 1999 AND o_orderstatus = 'P' THEN 'other' ELSE 'revenue' END AS result_metric, DATE '2024-01-01' AS observed_at
 FROM {orders} GROUP BY o_orderpriority, o_orderstatus, year(o_orderdate)"""
-PAIRED = f"WITH o AS ({OBS}), w AS (SELECT series, ord, " + ", ".join(f"{f}, lag({f}) OVER w AS p_{f}" for f in "metric_id population filters parameters spec_hash geography value_basis origin dims basis start finish windows value source flagged".split()) + """, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY series ORDER BY ord)),
-j AS (SELECT *, concat_ws(',', CASE WHEN trim(source) = '' OR trim(p_source) = '' THEN 'INVALID_PROVENANCE' END, """ + ", ".join(f"CASE WHEN {f} IS DISTINCT FROM p_{f} THEN '{code}' END" for f, code in c.INCOMPATIBLE) + """, CASE WHEN windows <> p_windows OR start < p_finish THEN 'INCOMPATIBLE_PERIOD' END, CASE WHEN value IS NULL OR p_value IS NULL THEN 'MISSING_OR_NON_NUMERIC_VALUE' END) AS warnings FROM w WHERE k > 1)
+NAMES = "metric_id population filters parameters spec_hash geography value_basis origin dims basis start finish windows value source flagged id analysis metric_version result_metric observed_at"
+PAIRED = f"WITH o AS ({OBS}), w AS (SELECT series, ord, " + ", ".join(f"{f}, lag({f}) OVER w AS p_{f}" for f in NAMES.split()) + """, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY series ORDER BY ord)),
+u AS (SELECT *, coalesce(geography, value_basis, origin) IS NULL OR coalesce(p_geography, p_value_basis, p_origin) IS NULL AS bare FROM w WHERE k > 1),
+j AS (SELECT *, concat_ws(',', CASE WHEN trim(analysis) = '' OR trim(p_analysis) = '' THEN 'UNKNOWN_OBSERVATION_OWNERSHIP' END, CASE WHEN trim(source) = '' OR trim(p_source) = '' THEN 'INVALID_PROVENANCE' END,
+  CASE WHEN metric_id <> p_metric_id OR metric_version = '' OR p_metric_version = '' OR metric_version <> p_metric_version THEN 'INCOMPATIBLE_METRIC' END, CASE WHEN population <> p_population THEN 'INCOMPATIBLE_POPULATION' END,
+  CASE WHEN json_extract_string(filters, '$.a') <> json_extract_string(p_filters, '$.a') THEN 'INCOMPATIBLE_FILTERS' END, CASE WHEN parameters <> p_parameters THEN 'INCOMPATIBLE_PARAMETERS' END, CASE WHEN bare THEN 'MISSING_TEMPORAL_METADATA' END,
+  CASE WHEN NOT bare AND origin IS DISTINCT FROM p_origin THEN 'INCOMPATIBLE_ORIGIN' END, CASE WHEN NOT bare AND (origin NOT IN ('observed', 'derived') OR p_origin NOT IN ('observed', 'derived')) THEN 'INVALID_TEMPORAL_EVIDENCE' END,
+  CASE WHEN windows <> p_windows OR start < p_finish THEN 'INCOMPATIBLE_PERIOD' END, CASE WHEN result_metric <> metric_id OR p_result_metric <> p_metric_id THEN 'INVALID_METRIC_REFERENCE' END, CASE WHEN value IS NULL OR p_value IS NULL THEN 'MISSING_OR_NON_NUMERIC_VALUE' END) AS warnings FROM u)
 """
 COMPARED = PAIRED + """SELECT series, ord, CASE WHEN warnings = '' THEN round(value - p_value, 4) END AS absolute, CASE WHEN warnings = '' THEN round((value - p_value) / nullif(abs(p_value), 0), 9) END AS relative,
   CASE WHEN warnings <> '' THEN 'unknown' WHEN value > p_value THEN 'increase' WHEN value < p_value THEN 'decrease' ELSE 'unchanged' END AS direction, warnings,
   CASE WHEN warnings = '' THEN concat_ws(',', CASE WHEN p_value = 0 THEN 'ZERO_BASELINE' END, CASE WHEN source IS DISTINCT FROM p_source THEN 'SOURCE_CHANGED' END, CASE WHEN flagged OR p_flagged THEN 'QUALITY_FLAGS_PRESENT' END) ELSE '' END AS review FROM j"""
-FIELDS = [*[f for f, _ in c.INCOMPATIBLE], *c.PERIOD, "value", "source", "flagged"]
+FIELDS = [*[f for f, _ in c.INCOMPATIBLE], *c.PERIOD, "value", "source", "flagged", *c.OWN]
 
 
 @query("compare_observations", COMPARED)

@@ -38,7 +38,8 @@ def test_types_and_profiles(spark):
 
 def test_incomparable_observations_have_no_arithmetic(spark):
     fields = [f for f, _ in compare.INCOMPATIBLE]
-    rows = [("g", 1, *["x"] * len(fields), "calendar-year", 2020, 2021, 1, 0.0, "s", False), ("g", 2, *["x"] * len(fields), "calendar-year", 2021, 2022, 1, 5.0, "t", True), ("g", 3, "y", *["x"] * (len(fields) - 1), "calendar-year", 2022, 2023, 1, 6.0, "t", False)]
+    own = [{"value_basis": "real", "origin": "derived"}.get(f, "x") for f in fields]
+    rows = [("g", 1, *own, "calendar-year", 2020, 2021, 1, 0.0, "s", False), ("g", 2, *own, "calendar-year", 2021, 2022, 1, 5.0, "t", True), ("g", 3, "y", *own[1:], "calendar-year", 2022, 2023, 1, 6.0, "t", False)]
     df = spark.createDataFrame(rows, ["g", "o", *fields, *compare.PERIOD, "value", "source", "flagged"])
     a, b = sorted(compare.compare_series(df, "g", "o").collect(), key=lambda r: r.o)
     assert (a.absolute, a.relative, a.direction, a.warnings, a.review) == (5.0, None, "increase", "", "ZERO_BASELINE,SOURCE_CHANGED,QUALITY_FLAGS_PRESENT")

@@ -82,3 +82,26 @@ def test_operations_refuse_other_bases(spark):
             call()
     ends = spark.createDataFrame([("s", 0, 1.0), ("s", 2, -4.0), ("u", 0, 1.0), ("u", 2, 4.0)], "series string, idx int, value double")
     assert {r.series: (r.value, r.flag) for r in temporal.cagr(ends, "calendar-year").collect()} == {"s": (None, "INTERIOR_GAPS,NON_POSITIVE_ENDPOINT"), "u": (1.0, "INTERIOR_GAPS")}
+
+
+def test_unknown_is_never_equal(spark):
+    names = "id analysis metric_id metric_version result_metric population filters parameters spec_hash geography value_basis origin dims observed_at basis start end windows value source flagged".split()
+    kinds = {"start": "int", "end": "int", "windows": "int", "value": "double", "flagged": "boolean"}
+    fields = f"struct<{','.join(f'{n}:{kinds.get(n, "string")}' for n in names)}>"
+    prev = dict(zip(names, ("o1", "a", "m", "1", "m", "p", '{"x": 1, "y": [1, 2]}', "", "h", "JP", "nominal", "observed", "", "2024-01-01", "calendar-year", 2020, 2021, 1, 10.0, "s", False), strict=True))
+    cur = prev | {"id": "o2", "start": 2021, "end": 2022, "value": 12.0, "filters": '{"y": [1, 2], "x": 1}'}
+    cases = {
+        "": (prev, cur),
+        "UNKNOWN_OBSERVATION_OWNERSHIP": (prev, cur | {"analysis": " "}),
+        "MISSING_TEMPORAL_EVIDENCE": (None, cur),
+        "INCOMPATIBLE_METRIC": (prev | {"metric_version": ""}, cur | {"metric_version": ""}),
+        "INCOMPATIBLE_FILTERS": (prev, cur | {"filters": '{"y": [2, 1], "x": 1}'}),
+        "MISSING_TEMPORAL_METADATA": tuple(x | {"geography": None, "value_basis": None, "origin": None} for x in (prev, cur)),
+        "INVALID_TEMPORAL_EVIDENCE": tuple(x | {"origin": "estimated"} for x in (prev, cur)),
+        "INCOMPATIBLE_VALUE_BASIS,INVALID_TEMPORAL_EVIDENCE": (prev, cur | {"value_basis": "bogus"}),
+        "INVALID_METRIC_REFERENCE": (prev, cur | {"result_metric": "n"}),
+        "NON_FINITE_DELTA": (prev | {"value": -1.7e308}, cur | {"value": 1.7e308}),
+    }
+    rows = [(w, *[None if x is None else tuple(x[n] for n in names) for x in pair]) for w, pair in cases.items()]
+    got = {r.want: (r.warnings, r.absolute) for r in compare.compare_pairs(spark.createDataFrame(rows, f"want string, prev {fields}, cur {fields}")).collect()}
+    assert got == {w: (w, None if w else 2.0) for w in cases}
