@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.operators.compare import ORIGINS, VALUE_BASES
+from quillspan.operators.temporal import calendar_index
+
 HASH = "^[0-9a-fA-F]{64}$"
 #: Of a case: reports that one task reads, phrases of one automaton, about.
 REPORTS_A_PART, PHRASES_A_SHARD = 2_000, 20_000
@@ -81,11 +84,38 @@ def validate_provenance(datasets: DataFrame, provenance: DataFrame) -> DataFrame
     return lost.unionByName(bare).distinct()
 
 
+def _first_day(label: Column, basis: Column, step: int) -> Column:
+    """The first day of a window's label, or of the window ``step`` later; NULL for other labels and bases."""
+    known = lambda b: calendar_index(label, b).isNotNull()
+    year = F.make_date(calendar_index(label, "calendar-year") + step, F.lit(1), F.lit(1))
+    month = F.add_months(F.when(known("calendar-month"), F.concat(label, F.lit("-01"))).cast("date"), step)
+    day = F.date_add(F.when(known("calendar-day"), label).cast("date"), step)
+    return F.when(basis == "calendar-year", year).when(basis == "calendar-month", month).when(basis == "calendar-day", day)
+
+
 def validate_temporal(results: DataFrame, headers: DataFrame) -> DataFrame:
-    """(artifact_id, idx, code) of results (artifact_id, idx, observed_at, geography, origin, basis, period) against their
-    header's window (artifact_id, low, high)."""
-    rows = results.join(headers, "artifact_id")
-    return _codes(rows, "artifact_id", "idx", OBSERVED_AT_REQUIRED=blank("observed_at"), GEOGRAPHY_REQUIRED=blank("geography"), UNKNOWN_ORIGIN=~F.col("origin").isin("observed", "estimated", "derived"), BAD_LABEL=~F.col("period").rlike(r"^\d{4}-\d{2}$"), OUTSIDE_WINDOW=(F.col("period") < F.col("low")) | (F.col("period") > F.col("high")))
+    """(artifact_id, idx, code) of results (artifact_id, idx, observed_at, geography, origin, value_basis, metric_version, basis,
+    start, finish) against their artifact's period (artifact_id, artifact_basis, low, high); labels are inclusive.
+
+    A result without any of the first four has no temporal metadata and is not judged. A blank basis is the artifact's. Labels
+    that are no window of their basis, unknown bases and reversed periods are BAD_LABEL; a whole period has to lie inside the
+    artifact's, whatever the two bases.
+    """
+    rows = results.join(headers, "artifact_id").filter(F.coalesce(*[F.col(c).cast("string") for c in ("observed_at", "geography", "origin", "value_basis")]).isNotNull())
+    basis = F.when(blank("basis"), F.col("artifact_basis")).otherwise(F.col("basis"))
+    rows = rows.withColumns({"s": _first_day(F.col("start"), basis, 0), "last": _first_day(F.col("finish"), basis, 0), "e": _first_day(F.col("finish"), basis, 1), "from": _first_day(F.col("low"), F.col("artifact_basis"), 0), "to": _first_day(F.col("high"), F.col("artifact_basis"), 1)})
+    return _codes(
+        rows,
+        "artifact_id",
+        "idx",
+        OBSERVED_AT_REQUIRED=blank("observed_at"),
+        GEOGRAPHY_REQUIRED=blank("geography"),
+        UNKNOWN_ORIGIN=~F.col("origin").isin(*ORIGINS),
+        UNKNOWN_VALUE_BASIS=~F.col("value_basis").isin(*VALUE_BASES),
+        METRIC_VERSION_REQUIRED=blank("metric_version"),
+        BAD_LABEL=F.col("s").isNull() | F.col("e").isNull() | F.col("from").isNull() | F.col("to").isNull() | (F.col("last") < F.col("s")),
+        OUTSIDE_WINDOW=F.coalesce((F.col("s") < F.col("from")) | (F.col("e") > F.col("to")), F.lit(False)),
+    )
 
 
 def artifact_conflicts(artifacts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillspan.operators import integrity as g
 from quillspan.plans.registry import query, rows
 
@@ -35,13 +37,17 @@ def validate_provenance(spark, sf_dir):
     return g.validate_provenance(rows(spark, sf_dir, DATASETS), rows(spark, sf_dir, PROVENANCE))
 
 
-TEMPORAL = "SELECT o_custkey AS artifact_id, o_orderkey AS idx, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '2024-01-01' END AS observed_at, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'JP' END AS geography, CASE WHEN o_orderkey % 11 = 0 THEN 'guessed' ELSE 'observed' END AS origin, substring(CAST(o_orderdate AS STRING), 1, CASE WHEN o_orderkey % 13 = 0 THEN 10 ELSE 7 END) AS period FROM {orders}"
-HEADERS = "SELECT c_custkey AS artifact_id, '1996-01' AS low, '2000-12' AS high FROM {customer}"
+TEMPORAL = """SELECT o_custkey AS artifact_id, o_orderkey AS idx, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '2024-01-01' END AS observed_at, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'JP' END AS geography, CASE WHEN o_orderkey % 11 = 0 THEN 'estimated' ELSE 'observed' END AS origin,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'bogus' ELSE 'nominal' END AS value_basis, CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE '1' END AS metric_version, CASE o_orderpriority WHEN '1-URGENT' THEN 'calendar-year' WHEN '2-HIGH' THEN 'calendar-day' WHEN '5-LOW' THEN '' ELSE 'calendar-month' END AS basis,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'spring' ELSE substring(CAST(o_orderdate AS STRING), 1, CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 10 ELSE 7 END) END AS label, o_orderdate FROM {orders}"""
+HEADERS = "SELECT c_custkey AS artifact_id, 'calendar-month' AS artifact_basis, '1996-01' AS low, '2000-12' AS high FROM {customer}"
+TEMPORAL_CODES = {"OBSERVED_AT_REQUIRED": "observed_at = ''", "GEOGRAPHY_REQUIRED": "geography IS NULL", "UNKNOWN_ORIGIN": "origin = 'estimated'", "UNKNOWN_VALUE_BASIS": "value_basis = 'bogus'", "METRIC_VERSION_REQUIRED": "metric_version = ' '", "BAD_LABEL": "label = 'spring'", "OUTSIDE_WINDOW": "label <> 'spring' AND year(o_orderdate) NOT BETWEEN 1996 AND 2000"}
 
 
-@query("validate_temporal", f"WITH t AS (SELECT * FROM ({TEMPORAL}) JOIN ({HEADERS}) USING (artifact_id)) SELECT artifact_id, idx, 'OBSERVED_AT_REQUIRED' AS code FROM t WHERE observed_at = '' UNION ALL SELECT artifact_id, idx, 'GEOGRAPHY_REQUIRED' FROM t WHERE geography IS NULL UNION ALL SELECT artifact_id, idx, 'UNKNOWN_ORIGIN' FROM t WHERE origin = 'guessed' UNION ALL SELECT artifact_id, idx, 'BAD_LABEL' FROM t WHERE length(period) <> 7 UNION ALL SELECT artifact_id, idx, 'OUTSIDE_WINDOW' FROM t WHERE period < low OR period > high")
+@query("validate_temporal", f"WITH t AS (SELECT * FROM ({TEMPORAL}) JOIN ({HEADERS}) USING (artifact_id)) " + " UNION ALL ".join(f"SELECT artifact_id, idx, '{k}' AS code FROM t WHERE {v}" for k, v in TEMPORAL_CODES.items()))
 def validate_temporal(spark, sf_dir):
-    return g.validate_temporal(rows(spark, sf_dir, TEMPORAL), rows(spark, sf_dir, HEADERS))
+    results = rows(spark, sf_dir, TEMPORAL).withColumn("start", F.col("label")).withColumn("finish", F.col("label"))
+    return g.validate_temporal(results, rows(spark, sf_dir, HEADERS))
 
 
 VERSIONS = "SELECT o_custkey AS artifact_id, CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN 'AB' ELSE 'ab' END AS artifact_hash FROM {orders}"

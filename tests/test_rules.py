@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillspan.operators import compare, research, temporal, text
+from quillspan.operators import compare, integrity, research, temporal, text
 
 
 def test_only_two_line_feeds_cut(spark):
@@ -105,3 +105,18 @@ def test_unknown_is_never_equal(spark):
     rows = [(w, *[None if x is None else tuple(x[n] for n in names) for x in pair]) for w, pair in cases.items()]
     got = {r.want: (r.warnings, r.absolute) for r in compare.compare_pairs(spark.createDataFrame(rows, f"want string, prev {fields}, cur {fields}")).collect()}
     assert got == {w: (w, None if w else 2.0) for w in cases}
+
+
+def test_whole_periods_lie_inside_the_artifacts(spark):
+    names = "artifact_id string, idx int, observed_at string, geography string, origin string, value_basis string, metric_version string, basis string, start string, finish string"
+    good = ("2024-01-01", "JP", "derived", "not_applicable", "1")
+    rows = [
+        ("a", 1, *good, "calendar-year", "2021", "2022"), ("a", 2, *good, "calendar-year", "2021", "2023"), ("a", 3, *good, "", "2022-12", "2022-12"), ("a", 4, *good, "calendar-day", "2022-12-31", "2022-12-31"),
+        ("a", 5, *good, "calendar-day", "2022-02-29", "2022-03-01"), ("a", 6, *good, "calendar-month", "2022-03", "2022-02"), ("a", 7, *good, "fiscal", "2022", "2022"), ("a", 8, *good, "", "2022", "2022"),
+        ("a", 9, None, None, None, None, None, "x", "x", "x"), ("a", 10, "", " ", "estimated", None, "", "calendar-month", "2020-12", "2021-01"),
+    ]
+    headers = spark.createDataFrame([("a", "calendar-month", "2021-01", "2022-12")], "artifact_id string, artifact_basis string, low string, high string")
+    got = {}
+    for r in integrity.validate_temporal(spark.createDataFrame(rows, names), headers).collect():
+        got.setdefault(r.idx, set()).add(r.code)
+    assert got == {2: {"OUTSIDE_WINDOW"}, 5: {"BAD_LABEL"}, 6: {"BAD_LABEL"}, 7: {"BAD_LABEL"}, 8: {"BAD_LABEL"}, 10: {"OBSERVED_AT_REQUIRED", "GEOGRAPHY_REQUIRED", "UNKNOWN_ORIGIN", "UNKNOWN_VALUE_BASIS", "METRIC_VERSION_REQUIRED", "OUTSIDE_WINDOW"}}
