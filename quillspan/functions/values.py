@@ -44,7 +44,11 @@ def with_number(rows: DataFrame, cell: Column, value: str, limbs: str) -> DataFr
     cut = f"""filter(transform(sequence(1, _n), j -> named_struct(
         'k', cast(floor(_last / {LIMB}.0D) as int) + _n - j,
         'digits', if(startswith(_plain, '-'), -1L, 1L) * cast(substr(_full, {LIMB} * (j - 1) + 1, {LIMB}) as bigint))), x -> x.digits <> 0)"""
-    found = F.when(F.col("_digits") == "", F.expr(f"cast(array() as {LIMBS})")).otherwise(F.expr(cut))
+    # Most cells are a limb before the point and one behind it: the same limbs, without a function over an array.
+    limb = lambda k, text: f"named_struct('k', {k}, 'digits', if(startswith(_plain, '-'), -1L, 1L) * cast(coalesce(nullif({text}, ''), '0') as bigint))"
+    short = F.expr(f"_e = 0 and length(_part) <= {LIMB} and length(substring_index(_head, '.', 1)) <= {LIMB}")
+    plain_limbs = F.expr(f"array({limb(0, "substring_index(_head, '.', 1)")}, {limb(-1, f"rpad(_part, {LIMB}, '0')")})")
+    found = F.when(short, plain_limbs).when(F.col("_digits") == "", F.expr(f"cast(array() as {LIMBS})")).otherwise(F.expr(cut))
     return own.withColumn(limbs, F.when(F.col(value).isNotNull(), found)).drop("_plain", "_head", "_part", "_e", "_digits", "_last", "_full", "_n")
 
 
