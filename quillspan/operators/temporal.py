@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.ranks import MOST, exact_medians, meet
+
 MISSING, ZERO_BASELINE, ZERO_DENOMINATOR = "MISSING_OR_GAP", "ZERO_BASELINE", "ZERO_DENOMINATOR"
 #: Windows in a year by calendar basis; days have no fixed number.
 YEAR_LAG = {"calendar-year": 1, "calendar-month": 12}
@@ -222,17 +224,17 @@ def control_comparison(points: DataFrame, treated: str, reference: str, at: int)
     return both.select("treated_change", "reference_change", F.round(F.col("treated_change") - F.col("reference_change"), 6).alias("difference"))
 
 
-def anomaly_candidate(points: DataFrame, threshold: float = 3.5, least: int = 5) -> DataFrame:
+def anomaly_candidate(points: DataFrame, threshold: float = 3.5, least: int = 5, *, most: int = MOST) -> DataFrame:
     """Robust z = 0.6745 * (v - median) / MAD for each window; without seasonal adjustment.
 
     Series under ``least`` points are INSUFFICIENT_POINTS, those with a MAD of zero ZERO_DISPERSION; other windows without a
-    value are MISSING_OR_GAP. None is left out.
+    value are MISSING_OR_GAP. None is left out. Both medians are exact; no task gathers more than ``most`` values of a series.
     """
-    every = gap_fill(points)
-    known = every.filter("value is not null")
-    middle = known.groupBy("series").agg(F.median("value").alias("middle"), F.count("*").alias("n"))
-    mad = known.join(middle, "series").groupBy("series").agg(F.median(F.abs(F.col("value") - F.col("middle"))).alias("mad"))
-    rows = every.join(middle, "series", "left").join(mad, "series", "left")
+    known = points.dropna(subset=["series", "idx", "value"]).select("series", "idx", "value")
+    middle = exact_medians(known, most=most)
+    off = meet(known, middle.select("series", "middle")).select("series", "idx", F.abs(F.col("value") - F.col("middle")).alias("value"))
+    mad = exact_medians(off, most=most).select("series", F.col("middle").alias("mad"))
+    rows = meet(gap_fill(points), points.filter("series is not null and idx is not null").select("series").distinct().join(middle, "series", "left").join(mad, "series", "left"))
     few = F.coalesce("n", F.lit(0)) < least
     z = F.when(~few, F.round(F.try_divide(F.lit(0.6745) * (F.col("value") - F.col("middle")), "mad"), 9))
     flag = F.when(few, "INSUFFICIENT_POINTS").when(F.col("mad") == 0, "ZERO_DISPERSION").when(F.col("value").isNull(), MISSING)

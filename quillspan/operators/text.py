@@ -5,8 +5,13 @@ Null texts count as empty. Offsets are 0-based code points, ends exclusive. Ids
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK, BUDGET, SEPARATOR = 8000, 64_000, 2
 #: White space at the ends of a text, that beyond ASCII too.
@@ -50,15 +55,36 @@ def flag_limitations(passages: DataFrame) -> DataFrame:
     return passages.withColumn("is_limitation", F.lower("passage").rlike("|".join(LIMITATIONS)))
 
 
+def _packed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The packs of passages (doc_id, pos, n) that come in order; only the open pack outlives a batch."""
+    names = ("doc_id", "pack", "first_pos", "last_pos", "chars")
+    doc = pack = first = last = chars = None
+    schema = None
+    for batch in batches:
+        schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("pack", pa.int32()), ("first_pos", pa.int32()), ("last_pos", pa.int32()), ("chars", pa.int64())])
+        done = []
+        for d, pos, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "n"))):
+            if d == doc and chars + SEPARATOR + n <= limit:
+                last, chars = pos, chars + SEPARATOR + n
+                continue
+            if doc is not None:
+                done.append((doc, pack, first, last, chars))
+            pack = pack + 1 if d == doc else 0
+            doc, first, last, chars = d, pos, pos, n
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in done], schema=schema)
+    if doc is not None:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, (doc, pack, first, last, chars)))], schema=schema)
+
+
 def pack_passages(passages: DataFrame, limit: int = CHUNK) -> DataFrame:
-    """(doc_id, pack, first_pos, last_pos, chars): adjacent passages of a document joined while they fit, a fold over each
-    document's lengths, so only numbers are gathered."""
-    lengths = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.char_length("passage").alias("n")))).alias("all"))
-    fold = f"""aggregate(all, cast(array() as array<struct<first_pos:int,last_pos:int,chars:int>>), (packs, p) ->
-      if(size(packs) > 0 and packs[size(packs) - 1].chars + {SEPARATOR} + p.n <= {int(limit)},
-         concat(slice(packs, 1, size(packs) - 1), array(named_struct('first_pos', packs[size(packs) - 1].first_pos, 'last_pos', p.pos, 'chars', packs[size(packs) - 1].chars + {SEPARATOR} + p.n))),
-         concat(packs, array(named_struct('first_pos', p.pos, 'last_pos', p.pos, 'chars', p.n)))))"""
-    return lengths.select("doc_id", F.posexplode(F.expr(fold)).alias("pack", "own")).select("doc_id", "pack", "own.*")
+    """(doc_id, pack, first_pos, last_pos, chars): adjacent passages (doc_id, pos, passage) of a document joined while they fit
+    ``limit`` code points, separators counted; a longer passage is a pack of its own. Rows without an id take no part.
+
+    One pass over lengths that Spark has sorted, so work is linear and a task holds one batch, however long a document is.
+    """
+    lengths = passages.filter("doc_id is not null").select("doc_id", F.col("pos").cast("int").alias("pos"), F.coalesce(F.char_length("passage"), F.lit(0)).cast("long").alias("n"))
+    schema = T.StructType([T.StructField("doc_id", lengths.schema["doc_id"].dataType), T.StructField("pack", T.IntegerType()), T.StructField("first_pos", T.IntegerType()), T.StructField("last_pos", T.IntegerType()), T.StructField("chars", T.LongType())])
+    return lengths.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(partial(_packed, limit=int(limit)), schema)
 
 
 def budget_passages(passages: DataFrame, budget: int = BUDGET) -> DataFrame:
