@@ -1,4 +1,4 @@
-"""Artifact tables: constraint checks, conflicts, keys, statements, and data-quality checks of evaluation cases.
+"""Artifact tables: constraint checks, conflicts, keys, statements, and forbidden phrases of evaluation cases.
 
 Checks return violations, one row each; no violation means no row.
 """
@@ -142,24 +142,6 @@ def artifact_document(statements: DataFrame) -> DataFrame:
     return statements.groupBy("metric_id").agg(F.array_join(lines, "\n").alias("content"), F.count("*").alias("lines"))
 
 
-def case_invariants(cases: DataFrame) -> DataFrame:
-    """Evaluation cases (id, verdict, basis, generation, validation, label, derived, delta, recomputed, causal, identified,
-    counter, gaps, role, source) with the name and verdict of each rule: PASS, FAIL or WARN."""
-    fail = lambda bad: F.when(F.coalesce(bad, F.lit(False)), "FAIL").otherwise("PASS")
-    rules = {
-        "post_hoc_stays_post_hoc": fail((F.col("basis") == "POST_HOC") & (F.col("verdict") == "VALIDATED")),
-        "generation_not_reused": fail(F.col("generation") == F.col("validation")),
-        "label_from_metadata": fail(~F.col("label").eqNullSafe(F.col("derived"))),
-        "delta_recomputed": fail(F.abs(F.col("delta") - F.col("recomputed")) > 1e-9),
-        "no_causal_overclaim": fail(F.col("causal") & ~F.col("identified")),
-        "counter_evidence_present": F.when(F.col("counter") == 0, "WARN").otherwise("PASS"),
-        "gaps_visible": F.when((F.col("verdict") == "INCONCLUSIVE") & (F.col("gaps") == 0), "FAIL").otherwise("PASS"),
-        "external_not_primary": fail((F.col("source") == "external") & (F.col("role") == "PRIMARY")),
-    }
-    every = F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("outcome")) for k, v in rules.items()])
-    return cases.select("id", F.explode(every).alias("r")).select("id", "r.rule", "r.outcome")
-
-
 def _found(reports: pa.Table, phrases: pa.Table) -> pa.Table:
     """The phrases of a shard inside a part of its case's reports, by one pass of an automaton over each text."""
     automaton = ahocorasick.Automaton()

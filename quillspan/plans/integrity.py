@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.operators import cases
 from quillspan.operators import integrity as g
 from quillspan.plans.registry import query, rows
 
@@ -81,13 +82,56 @@ def artifact_document(spark, sf_dir):
     return g.artifact_document(result_statements(spark, sf_dir))
 
 
-CASES = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'VALIDATED' WHEN 1 THEN 'INCONCLUSIVE' ELSE 'REJECTED' END AS verdict, CASE WHEN o_orderkey % 4 = 0 THEN 'POST_HOC' ELSE 'PRIOR' END AS basis, o_custkey % 5 AS generation, o_orderkey % 5 AS validation, o_orderstatus AS label, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS derived, o_totalprice AS delta, CASE WHEN o_orderkey % 8 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS recomputed, o_orderkey % 6 = 0 AS causal, o_orderkey % 12 = 0 AS identified, o_orderkey % 7 AS counter, o_custkey % 4 AS gaps, CASE WHEN o_orderkey % 2 = 0 THEN 'PRIMARY' ELSE 'CONTEXT' END AS role, CASE WHEN o_custkey % 3 = 0 THEN 'external' ELSE 'own' END AS source FROM {orders}"
-RULES = {"post_hoc_stays_post_hoc": "basis = 'POST_HOC' AND verdict = 'VALIDATED'", "generation_not_reused": "generation = validation", "label_from_metadata": "label IS DISTINCT FROM derived", "delta_recomputed": "abs(delta - recomputed) > 0.000000001", "no_causal_overclaim": "causal AND NOT identified", "counter_evidence_present": "counter = 0", "gaps_visible": "verdict = 'INCONCLUSIVE' AND gaps = 0", "external_not_primary": "source = 'external' AND role = 'PRIMARY'"}
+#: A case an order: its lines are the rows of two datasets, each later line is compared with the first.
+CASES = """SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS population, CASE WHEN o_orderkey % 2 = 0 THEN 50 ELSE 200 END AS base, l_linenumber AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS v
+FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4, 5"""
+VERDICT = "CASE WHEN k % 31 = 0 THEN 'PROVEN' WHEN k % 5 = 0 THEN 'INCONCLUSIVE' WHEN k % 5 = 1 THEN 'ASSOCIATION_ONLY' WHEN k % 5 = 2 THEN 'SUPPORTED_WITH_LIMITS' WHEN k % 5 = 3 THEN 'NOT_COMPARABLE' ELSE 'COMPETING_UNRESOLVED' END"
+DELTA, PERCENT = "CAST(v - base + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS DECIMAL(14,2))", "CAST(round(CAST((v - base) * CASE WHEN base = 50 THEN 2.0 ELSE 0.5 END AS DECIMAL(20,3)), 1) + CASE WHEN k % 11 = 0 THEN 0.1 ELSE 0.0 END AS DECIMAL(20,1))"
+
+
+def nested(rows_):
+    """The orders as case JSON (id, body)."""
+    line = F.struct(F.col("n").cast("string").alias("key"), F.col("v").alias("value"))
+    compared = F.expr(f"""named_struct('id', concat('C', n), 'baselineDatasetId', 'ds-g', 'baselineRowKey', CASE WHEN k % 13 = 0 AND n = 2 THEN 'none' ELSE 'first' END, 'currentDatasetId', 'ds-v', 'currentRowKey', CAST(n AS STRING),
+        'expectedDelta', {DELTA}, 'expectedPctChange', CAST({PERCENT} AS STRING), 'comparabilityLabel', CASE WHEN k % 3 = 0 AND c % 11 <> 0 THEN 'NOT_COMPARABLE' WHEN k % 5 = 0 THEN 'HARMONIZED_REFERENCE' ELSE 'COMPARABLE' END)""")
+    orders = rows_.groupBy("k", "c", "population", "base").agg(F.collect_list(line).alias("lines"), F.collect_list(F.when(F.col("n") > 1, compared)).alias("comparisons"))
+    body = f"""to_json(named_struct('caseId', CAST(k AS STRING), 'version', '1', 'title', 't', 'kind', CASE WHEN k % 37 > 0 THEN 'synthetic' END, 'goldenSetIndex', 1, 'dimensions', array('d'),
+      'humanReview', named_struct('status', CASE k % 12 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'x' ELSE 'PASS' END),
+      'input', named_struct('researchQuestion', 'q', 'stage', 'EXPLORATORY', 'datasets', array(
+        named_struct('id', 'ds-g', 'role', 'hypothesis_generation', 'sourceKind', 'primary', 'populationDefinitionId', population, 'harmonizationMethod', 'observed', 'rows', array(named_struct('key', 'first', 'value', CAST(base AS DECIMAL(12,2))))),
+        named_struct('id', 'ds-v', 'role', 'validation', 'sourceKind', 'primary', 'populationDefinitionId', CASE WHEN k % 3 = 0 THEN 'other' ELSE population END, 'harmonizationMethod', CASE WHEN k % 5 = 0 THEN 'modelled' END, 'rows', lines))),
+      'expected', named_struct('verdict', {VERDICT}, 'comparisons', comparisons,
+        'expectations', array(named_struct('id', 'E1', 'basis', 'MODEL_PROPOSED', 'provenance', CASE WHEN k % 3 = 0 THEN 'PRIOR' ELSE 'POST_HOC' END, 'declaredBeforeDataSeen', true), named_struct('id', 'E2', 'basis', 'SOURCE_BACKED', 'provenance', 'PRIOR', 'declaredBeforeDataSeen', k % 4 <> 0)),
+        'hypotheses', array(named_struct('id', 'H1', 'role', 'PRIMARY', 'validationStatus', 'PLAUSIBLE', 'causalStatus', CASE WHEN c % 4 = 0 THEN 'CAUSALLY_SUPPORTED' ELSE 'OBSERVED_ASSOCIATION' END, 'identificationStatus', CASE WHEN c % 3 = 0 THEN 'IDENTIFIED' ELSE 'NOT_IDENTIFIED' END)),
+        'evidence', array(named_struct('id', 'V1', 'type', CASE WHEN k % 6 = 0 THEN 'counter' ELSE 'support' END, 'datasetId', 'ds-g', 'usage', CASE WHEN c % 5 = 0 THEN 'independent_validation' ELSE 'generation' END, 'sourceKind', 'primary', 'traceableToPrimary', true),
+          named_struct('id', 'V2', 'type', 'neutral', 'datasetId', CASE WHEN c % 7 = 0 THEN 'ds-x' ELSE 'ds-v' END, 'usage', 're_analysis', 'sourceKind', CASE WHEN k % 9 = 0 THEN 'ai_output' ELSE 'primary' END, 'traceableToPrimary', c % 2 = 0)),
+        'counterEvidenceSearched', k % 8 <> 0, 'mayClaimExhaustiveValidation', c % 6 = 0, 'requiresCounterEvidence', c % 8 = 0,
+        'requiredLimitations', filter(array('x'), x -> k % 10 <> 0), 'forbiddenClaims', filter(array('y'), x -> c % 9 <> 0), 'requiredResearchGaps', filter(array(named_struct('category', 'OTHER')), x -> c % 10 <> 0))))"""
+    return orders.select(F.col("k").alias("id"), F.expr(body).alias("body"))
+
+
+#: The same rules over the orders themselves: the item that breaks each, if any.
+ONE_EACH = {
+    "SCHEMA": ("CASE WHEN k % 31 = 0 THEN 'expected.verdict' END", "CASE WHEN k % 37 = 0 THEN 'kind' END"),
+    "EXPECTATION_PROVENANCE": ("CASE WHEN k % 3 = 0 THEN 'E1' END", "CASE WHEN k % 4 = 0 THEN 'E2' END"),
+    "STAGE_SEPARATION": ("CASE WHEN c % 5 = 0 THEN 'V1' END", "CASE WHEN c % 7 = 0 THEN 'V2' END"),
+    "CONFIDENCE_IS_NOT_CAUSAL": ("CASE WHEN (k % 5 <> 2 AND (c % 4 = 0 OR c % 3 = 0)) OR (c % 4 <> 0 AND c % 3 = 0) THEN 'H1' END",),
+    "COUNTER_EVIDENCE": ("CASE WHEN c % 8 = 0 AND k % 6 <> 0 THEN 'no_counter' END", "CASE WHEN k % 8 = 0 AND c % 6 = 0 THEN 'no_search' END"),
+    "INCONCLUSIVE_IS_VALID": ("CASE WHEN k % 5 = 0 AND c % 9 = 0 THEN 'forbiddenClaims' END", "CASE WHEN k % 10 = 0 THEN 'requiredLimitations' END"),
+    "IDENTIFICATION_GAP_VISIBLE": ("CASE WHEN c % 3 <> 0 AND c % 10 = 0 THEN 'H1' END",),
+    "EXTERNAL_ARTIFACT_NOT_PRIMARY": ("CASE WHEN k % 9 = 0 AND c % 2 <> 0 AND c % 7 <> 0 THEN 'V2' END",),
+    "HUMAN_REVIEW": ("CASE k % 12 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'x' END",),
+}
+#: And of comparisons, over their lines.
+EACH_LINE = {
+    "COMPARABILITY": "n > 1 AND NOT (k % 13 = 0 AND n = 2) AND k % 3 = 0 AND c % 11 = 0",
+    "DETERMINISTIC_CALCULATION": "n > 1 AND ((k % 13 = 0 AND n = 2) OR k % 7 = 0 OR k % 11 = 0)",
+}
 
 
-@query("case_invariants", f"WITH c AS ({CASES}) " + " UNION ALL ".join(f"SELECT id, '{k}' AS rule, CASE WHEN {v} THEN '{'WARN' if k.startswith('counter') else 'FAIL'}' ELSE 'PASS' END AS outcome FROM c" for k, v in RULES.items()))
+@query("case_invariants", f"WITH l AS ({CASES}), o AS (SELECT DISTINCT k, c FROM l), r AS (" + " UNION ALL ".join([f"SELECT k AS id, '{rule}' AS rule, concat_ws(',', {', '.join(items)}) AS broken FROM o" for rule, items in ONE_EACH.items()] + [f"SELECT k, '{rule}', coalesce(string_agg('C' || n, ',' ORDER BY 'C' || n) FILTER ({bad}), '') FROM l GROUP BY k" for rule, bad in EACH_LINE.items()]) + ") SELECT id, rule, CASE WHEN broken = '' THEN 'PASS' WHEN broken = 'PENDING' THEN 'WARN' ELSE 'FAIL' END AS outcome, broken FROM r WHERE rule = 'SCHEMA' OR (id % 31 <> 0 AND id % 37 <> 0)")
 def case_invariants(spark, sf_dir):
-    return g.case_invariants(rows(spark, sf_dir, CASES))
+    return cases.case_invariants(nested(rows(spark, sf_dir, CASES)))
 
 
 REPORTS = "SELECT doc_id AS id, doc_id % 20 AS case_id, text FROM {documents}"
