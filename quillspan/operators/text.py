@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.functions.places import placed
+
 CHUNK, BUDGET, SEPARATOR = 8000, 64_000, 2
 #: White space at the ends of a text, that beyond ASCII too.
 SPACE_ENDS = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
@@ -42,11 +44,12 @@ def drop_noise(passages: DataFrame) -> DataFrame:
     return passages.filter(F.col("passage").rlike(r"[\p{L}\p{N}]"))
 
 
-def dedupe_passages(passages: DataFrame) -> DataFrame:
-    """The first of each passage in (doc_id, pos) order, by lower-cased text with single blanks. Hashes are shuffled, and
-    repeats are reduced before the shuffle, so a passage that very many documents share is no hot group."""
+def dedupe_passages(passages: DataFrame, *by: str) -> DataFrame:
+    """The first of each passage in (doc_id, pos) order, in all rows or in each group ``by``, by lower-cased text with single
+    blanks. Hashes are shuffled, and repeats are reduced before the shuffle, so a passage that very many documents share is no
+    hot group."""
     key = F.sha2(F.trim(F.regexp_replace(F.lower("passage"), r"\s+", " ")).cast("binary"), 256)
-    first = passages.select("doc_id", "pos", key.alias("key")).groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("first.*")
+    first = passages.select("doc_id", "pos", *by, key.alias("key")).groupBy(*by, "key").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("first.*")
     return passages.join(first, ["doc_id", "pos"], "left_semi")
 
 
@@ -103,12 +106,53 @@ def budget_passages(passages: DataFrame, budget: int = BUDGET) -> DataFrame:
     return lists.select("project", F.explode(F.expr(fold)).alias("ord")).unionByName(empty)
 
 
-def context_stats(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per project of two passage tables (project, doc_id, chars): documents and characters before and after, tokens."""
-    sums = lambda df, p: df.groupBy("project").agg(F.count_distinct("doc_id").alias(f"{p}_documents"), F.sum("chars").alias(f"{p}_chars"))
-    rows = sums(before, "before").join(sums(after, "after"), "project", "left").na.fill(0)
+def _packs(clean: DataFrame, limit: int) -> DataFrame:
+    """The packs of passages (project, doc_id, pos, passage): project, doc_id, pack, chars, protected."""
+    sized = pack_passages(clean, limit)
+    marked = flag_limitations(clean).filter("is_limitation").select("doc_id", "pos")
+    named = clean.select("doc_id", "project").distinct()
+    # Packs of a document do not overlap, so a marked passage has the last pack that starts at or before it.
+    starts = sized.select("doc_id", F.col("first_pos").alias("pos"), F.col("pack").alias("start")).unionByName(marked.withColumn("start", F.lit(None).cast("int")))
+    own = F.last("start", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos", F.col("start").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    protected = starts.withColumn("pack", own).filter("start is null").select("doc_id", "pack", F.lit(True).alias("protected")).distinct()
+    return sized.join(protected, ["doc_id", "pack"], "left").join(named, "doc_id").select("project", "doc_id", "pack", "chars", F.coalesce("protected", F.lit(False)).alias("protected"))
+
+
+def context_stats(docs: DataFrame, budget: int = BUDGET, limit: int = CHUNK) -> DataFrame:
+    """What the context of each project of ``docs`` (project, doc_id, text) loses: documents, characters and estimated tokens
+    before, of whole documents, and after, and the passages dropped as noise, duplicate and context_limit.
+
+    Passages without a letter or number go, then repeats in the project; neighbours that are left are packed up to ``limit``
+    and take part in the ``budget``, those with a limitation first, else in the order of documents. Documents without a passage
+    count before. Null texts are empty, a NULL project is one of its own, ids are unique.
+    """
+    name = F.coalesce("project", F.lit("")).alias("name")
+    known = docs.select(F.struct(F.col("project").isNull().alias("none"), name).alias("project"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
+    before = known.groupBy("project").agg(F.count("*").alias("before_documents"), F.sum(F.char_length("text")).alias("before_chars"))
+    cut = split_passages(known, limit).join(known.select("doc_id", "project"), "doc_id")
+    heard = drop_noise(cut)
+    clean = dedupe_passages(heard, "project")
+    packs = placed(_packs(clean, limit), ["project"], [F.col("doc_id")], ["pack"], "ord")
+    kept = budget_passages(packs, budget).join(packs.withColumn("ord", F.col("ord").cast("long")), ["project", "ord"])
+    after = kept.groupBy("project").agg(F.count_distinct("doc_id").alias("after_documents"), F.sum("chars").alias("after_chars"), F.count("*").alias("kept"))
+    count = lambda rows, name: rows.groupBy("project").agg(F.count("*").alias(name))
+    rows = before.join(after, "project", "left")
+    for table, column in ((cut, "cut"), (heard, "heard"), (clean, "clean"), (packs, "packs")):
+        rows = rows.join(count(table, column), "project", "left")
+    rows = rows.na.fill(0)
     token = lambda c: F.floor((F.col(c) + 1) / 2)
-    return rows.select("project", "before_documents", "before_chars", "after_documents", "after_chars", token("before_chars").alias("before_tokens"), token("after_chars").alias("after_tokens"))
+    return rows.select(
+        F.when(~F.col("project.none"), F.col("project.name")).alias("project"),
+        "before_documents",
+        "before_chars",
+        "after_documents",
+        "after_chars",
+        token("before_chars").alias("before_tokens"),
+        token("after_chars").alias("after_tokens"),
+        (F.col("cut") - F.col("heard")).alias("noise"),
+        (F.col("heard") - F.col("clean")).alias("duplicate"),
+        (F.col("packs") - F.col("kept")).alias("context_limit"),
+    )
 
 
 def folded(char: Column) -> Column:
@@ -161,12 +205,16 @@ def generic_terms(texts: DataFrame, terms: tuple[str, ...] = GENERIC) -> DataFra
     return own.select("id", F.coalesce(*[F.when(F.contains("fold", folded(F.lit(t))), t) for t in terms]).alias("term"))
 
 
-def quality_flags(findings: DataFrame, deviations: DataFrame) -> DataFrame:
-    """Findings (id, echo, term, expectation, surprising, competing) with ordered flags; ``deviations``: ids of findings
-    that cite a deviation pattern."""
+def quality_flags(findings: DataFrame, deviations: DataFrame, needs_profile: str) -> DataFrame:
+    """Findings (id, profile, stated, echo, term, expectation, surprising, competing) with ordered flags; ``deviations``: ids of
+    findings that cite a deviation pattern.
+
+    Echo and generic terms judge needs, so they are flags only of the profile ``needs_profile`` and beside a stated need.
+    """
     rows = findings.join(deviations.select("id", F.lit(True).alias("deviates")).distinct(), "id", "left")
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    flags = F.concat_ws(",", F.when(F.col("echo"), "STATED_NEED_ECHO"), F.when(F.col("term").isNotNull(), "GENERIC_TERM"), F.when(F.col("deviates").isNull(), "NO_DEVIATION_PATTERN"), F.when(blank("expectation") | blank("surprising"), "INCOMPLETE_EXPECTATION"), F.when(F.col("competing") < 3, "FEW_COMPETING"))
+    blank = lambda c: F.coalesce(F.regexp_replace(c, SPACE_ENDS, ""), F.lit("")) == ""
+    needs = F.coalesce(F.col("profile") == needs_profile, F.lit(False)) & ~blank("stated")
+    flags = F.concat_ws(",", F.when(needs & F.col("echo"), "STATED_NEED_ECHO"), F.when(needs & F.col("term").isNotNull(), "GENERIC_TERM"), F.when(F.col("deviates").isNull(), "NO_DEVIATION_PATTERN"), F.when(blank("expectation") | blank("surprising"), "INCOMPLETE_EXPECTATION"), F.when(F.col("competing") < 3, "FEW_COMPETING"))
     return rows.select("id", flags.alias("flags"))
 
 
@@ -178,18 +226,20 @@ def evidence_rows(cited: DataFrame, observations: DataFrame) -> DataFrame:
     return rows.select("finding_id", "observation_id", "doc_id", "rank", F.round(F.greatest(F.lit(0.5), 1 - 0.05 * F.col("rank")), 2).alias("relevance"))
 
 
-def evidence_confidence(evidence: DataFrame, total_documents: DataFrame) -> DataFrame:
+def evidence_confidence(evidence: DataFrame, total_documents: DataFrame, pattern_documents: DataFrame) -> DataFrame:
     """Per finding of evidence (finding_id, doc_id, source, type, relevance, project): a confidence from 0 to 1.
 
-    0.35 * mean relevance + 0.25 * share of the project's documents + 0.2 * sources / 5 + 0.2 * documents / 5 of support,
-    less a tenth for each of up to three counters. ``total_documents``: project, n.
+    0.35 * mean relevance + 0.25 * share of the project's documents + 0.2 * sources / 5 of support + 0.2 * documents of
+    the finding's pattern / 5, less a tenth for each of up to three counters. ``total_documents``: project, n;
+    ``pattern_documents``: finding_id, doc_id, the documents that show the pattern, repeats counted once; none is 0.
     """
     support = F.col("type") == "support"
     rows = evidence.groupBy("project", "finding_id").agg(
         F.avg(F.when(support, F.col("relevance"))).alias("mean"), F.count_distinct(F.when(support, F.col("doc_id"))).alias("docs"), F.count_distinct(F.when(support, F.col("source"))).alias("sources"), F.count_if(support).alias("supports"), F.count_if(F.col("type") == "counter").alias("counters")
     )
-    rows = rows.join(total_documents, "project")
-    score = 0.35 * F.coalesce("mean", F.lit(0.0)) + 0.25 * F.least(F.lit(1.0), F.coalesce(F.try_divide("docs", "n"), F.lit(0.0))) + 0.2 * F.least(F.lit(1.0), F.col("sources") / 5) + 0.2 * F.least(F.lit(1.0), F.col("docs") / 5)
+    shown = pattern_documents.groupBy("finding_id").agg(F.count_distinct("doc_id").alias("shown"))
+    rows = rows.join(total_documents, "project").join(shown, "finding_id", "left")
+    score = 0.35 * F.coalesce("mean", F.lit(0.0)) + 0.25 * F.least(F.lit(1.0), F.coalesce(F.try_divide("docs", "n"), F.lit(0.0))) + 0.2 * F.least(F.lit(1.0), F.col("sources") / 5) + 0.2 * F.least(F.lit(1.0), F.coalesce("shown", F.lit(0)) / 5)
     value = F.when(F.col("supports") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * (1 - 0.1 * F.least(F.col("counters"), F.lit(3)))))).otherwise(0.0)
     return rows.select("finding_id", "supports", "counters", F.round(value, 6).alias("confidence"))
 

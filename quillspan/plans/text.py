@@ -56,14 +56,26 @@ def budget_passages(spark, sf_dir):
     return x.budget_passages(rows(spark, sf_dir, SIZED))
 
 
-@query("context_stats", PASSAGES + r""", q AS (SELECT doc_id, source, passage FROM p QUALIFY row_number() OVER (PARTITION BY trim(regexp_replace(lower(passage), '\s+', ' ', 'g')) ORDER BY doc_id, pos) = 1),
-sa AS (SELECT source AS project, count(DISTINCT doc_id) AS d, sum(length(passage))::BIGINT AS c FROM p GROUP BY 1), sb AS (SELECT source AS project, count(DISTINCT doc_id) AS d, sum(length(passage))::BIGINT AS c FROM q GROUP BY 1)
-SELECT project, sa.d AS before_documents, sa.c AS before_chars, coalesce(sb.d, 0) AS after_documents, coalesce(sb.c, 0) AS after_chars, (sa.c + 1) // 2 AS before_tokens, (coalesce(sb.c, 0) + 1) // 2 AS after_tokens FROM sa LEFT JOIN sb USING (project)""")
+CONTEXT = "SELECT source AS project, doc_id, CASE WHEN doc_id % 9 = 0 THEN concat('--', chr(10), '***', chr(10), text) WHEN doc_id % 13 = 0 THEN '...' ELSE text END AS text FROM {documents}"
+CONTEXT = f"SELECT project, doc_id, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM ({CONTEXT})"
+SPACE = 20_000
+
+
+@query("context_stats", f"""WITH RECURSIVE d AS ({CONTEXT}), b AS (SELECT project, doc_id, generate_subscripts(p, 1) AS block, regexp_replace(unnest(p), '^\\s+|\\s+$', '', 'g') AS piece FROM (SELECT project, doc_id, string_split(text, chr(10) || chr(10)) AS p FROM d)),
+c AS (SELECT project, doc_id, block, spot, substring(piece, spot::BIGINT, {LIMIT}) AS passage FROM (SELECT *, unnest(generate_series(1, length(piece), {LIMIT})) AS spot FROM b WHERE piece <> '')),
+h AS (SELECT * FROM c WHERE regexp_matches(passage, '[\\p{{L}}\\p{{N}}]')),
+u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY project, trim(regexp_replace(lower(passage), '\\s+', ' ', 'g')) ORDER BY doc_id, block, spot) = 1),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block, spot) AS k, length(passage)::BIGINT AS n, regexp_matches(lower(passage), '{"|".join(x.LIMITATIONS)}') AS limitation FROM u),
+f AS (SELECT project, doc_id, k, 0::BIGINT AS pack, n AS chars, limitation FROM w WHERE k = 1 UNION ALL SELECT w.project, w.doc_id, w.k, CASE WHEN f.chars + 2 + w.n <= {LIMIT} THEN f.pack ELSE f.pack + 1 END, CASE WHEN f.chars + 2 + w.n <= {LIMIT} THEN f.chars + 2 + w.n ELSE w.n END, w.limitation FROM f JOIN w ON w.doc_id = f.doc_id AND w.k = f.k + 1),
+g AS (SELECT project, doc_id, pack, max(chars) AS chars, bool_or(limitation) AS protected FROM f GROUP BY 1, 2, 3),
+s AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY NOT protected, doc_id, pack) AS j FROM g),
+t AS (SELECT project, 0::BIGINT AS j, {SPACE}::BIGINT AS space, NULL::BIGINT AS doc_id, NULL::BIGINT AS chars FROM s GROUP BY 1 UNION ALL SELECT s.project, s.j, CASE WHEN s.chars <= t.space THEN t.space - s.chars ELSE t.space END, CASE WHEN s.chars <= t.space THEN s.doc_id END, CASE WHEN s.chars <= t.space THEN s.chars END FROM t JOIN s ON s.project = t.project AND s.j = t.j + 1),
+a AS (SELECT project, count(DISTINCT doc_id) AS ad, sum(chars)::BIGINT AS ac, count(doc_id) AS ak FROM t GROUP BY 1),
+z AS (SELECT project, count(*) AS bd, sum(length(coalesce(text, '')))::BIGINT AS bc FROM d GROUP BY 1),
+n AS (SELECT project, (SELECT count(*) FROM c WHERE c.project = z.project) AS nc, (SELECT count(*) FROM h WHERE h.project = z.project) AS nh, (SELECT count(*) FROM u WHERE u.project = z.project) AS nu, (SELECT count(*) FROM g WHERE g.project = z.project) AS ng FROM z)
+SELECT project, bd AS before_documents, bc AS before_chars, coalesce(ad, 0) AS after_documents, coalesce(ac, 0) AS after_chars, (bc + 1) // 2 AS before_tokens, (coalesce(ac, 0) + 1) // 2 AS after_tokens, nc - nh AS noise, nh - nu AS duplicate, ng - coalesce(ak, 0) AS context_limit FROM z JOIN n USING (project) LEFT JOIN a USING (project)""")
 def context_stats(spark, sf_dir):
-    own = passages(spark, sf_dir)
-    named = rows(spark, sf_dir, "SELECT doc_id, source AS project FROM {documents}")
-    sized = lambda df: df.select("doc_id", F.char_length("passage").alias("chars")).join(named, "doc_id")
-    return x.context_stats(sized(own), sized(x.dedupe_passages(own)))
+    return x.context_stats(rows(spark, sf_dir, CONTEXT), SPACE, LIMIT)
 
 
 QUOTES = """SELECT doc_id * 2 AS quote_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'no such words here' ELSE substring(text, 11, 40) END AS quote FROM {documents}
@@ -111,13 +123,13 @@ def generic_terms(spark, sf_dir):
     return x.generic_terms(rows(spark, sf_dir, TERMED))
 
 
-JUDGED = "SELECT doc_id AS id, doc_id % 3 = 0 AS echo, CASE WHEN doc_id % 4 = 0 THEN 'x' END AS term, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'e' END AS expectation, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 's' END AS surprising, CAST(n_chars % 6 AS INT) AS competing FROM {documents}"
+JUDGED = "SELECT doc_id AS id, doc_id % 3 = 0 AS echo, CASE WHEN doc_id % 4 = 0 THEN 'x' END AS term, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'e' END AS expectation, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 's' END AS surprising, CAST(n_chars % 6 AS INT) AS competing, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'need' END AS stated, CASE WHEN lang = 'en' THEN 'NEEDS' ELSE 'GENERAL' END AS profile FROM {documents}"
 DEVIATES = "SELECT doc_id AS id FROM {labels} WHERE quality = 1"
 
 
-@query("quality_flags", f"SELECT id, concat_ws(',', CASE WHEN echo THEN 'STATED_NEED_ECHO' END, CASE WHEN term IS NOT NULL THEN 'GENERIC_TERM' END, CASE WHEN id NOT IN ({DEVIATES}) THEN 'NO_DEVIATION_PATTERN' END, CASE WHEN trim(expectation) = '' OR surprising IS NULL THEN 'INCOMPLETE_EXPECTATION' END, CASE WHEN competing < 3 THEN 'FEW_COMPETING' END) AS flags FROM ({JUDGED})")
+@query("quality_flags", f"SELECT id, concat_ws(',', CASE WHEN echo AND stated = 'need' AND profile = 'NEEDS' THEN 'STATED_NEED_ECHO' END, CASE WHEN term IS NOT NULL AND stated = 'need' AND profile = 'NEEDS' THEN 'GENERIC_TERM' END, CASE WHEN id NOT IN ({DEVIATES}) THEN 'NO_DEVIATION_PATTERN' END, CASE WHEN trim(expectation) = '' OR surprising IS NULL THEN 'INCOMPLETE_EXPECTATION' END, CASE WHEN competing < 3 THEN 'FEW_COMPETING' END) AS flags FROM ({JUDGED})")
 def quality_flags(spark, sf_dir):
-    return x.quality_flags(rows(spark, sf_dir, JUDGED), rows(spark, sf_dir, DEVIATES))
+    return x.quality_flags(rows(spark, sf_dir, JUDGED), rows(spark, sf_dir, DEVIATES), "NEEDS")
 
 
 CITED = "SELECT conv_id AS finding_id, array(conv_id * 3 + 1, conv_id * 5, conv_id * 3 + 1, 999999, conv_id + 2, turn) AS observation_ids FROM {conversations} WHERE turn = 0"
@@ -136,15 +148,16 @@ def evidence_rows(spark, sf_dir):
     return _evidence(spark, sf_dir)
 
 
+SHOWN = "SELECT conv_id AS finding_id, (conv_id * 7 + turn) % 500 AS doc_id FROM {conversations}"
 CONFIDENCE = EVIDENCE + """, t AS (SELECT er.*, d.source, d.lang AS project, CASE WHEN d.doc_id % 4 = 0 THEN 'counter' ELSE 'support' END AS type FROM er JOIN documents d USING (doc_id)), n AS (SELECT lang AS project, count(*) AS n FROM documents GROUP BY 1),
 a AS (SELECT project, finding_id, avg(relevance) FILTER (type = 'support') AS mean, count(DISTINCT doc_id) FILTER (type = 'support') AS docs, count(DISTINCT source) FILTER (type = 'support') AS sources, count(*) FILTER (type = 'support') AS supports, count(*) FILTER (type = 'counter') AS counters FROM t GROUP BY 1, 2),
-sc AS (SELECT finding_id, supports, counters, CASE WHEN supports = 0 THEN 0 ELSE round(least(1, greatest(0, (0.35::DOUBLE * mean + 0.25::DOUBLE * least(1, docs / n) + 0.2::DOUBLE * least(1, sources / 5) + 0.2::DOUBLE * least(1, docs / 5)) * (1 - 0.1::DOUBLE * least(counters, 3)))), 6) END AS confidence FROM a JOIN n USING (project))
-"""
+sc AS (SELECT finding_id, supports, counters, CASE WHEN supports = 0 THEN 0 ELSE round(least(1, greatest(0, (0.35::DOUBLE * mean + 0.25::DOUBLE * least(1, docs / n) + 0.2::DOUBLE * least(1, sources / 5) + 0.2::DOUBLE * least(1, coalesce(shown, 0) / 5)) * (1 - 0.1::DOUBLE * least(counters, 3)))), 6) END AS confidence FROM a JOIN n USING (project) LEFT JOIN (SELECT finding_id, count(DISTINCT doc_id) AS shown FROM ({SHOWN}) GROUP BY 1) USING (finding_id))
+""".replace("{SHOWN}", SHOWN)
 
 
 def _confidence(spark, sf_dir):
     docs = rows(spark, sf_dir, "SELECT doc_id, source, lang AS project, CASE WHEN doc_id % 4 = 0 THEN 'counter' ELSE 'support' END AS type FROM {documents}")
-    return x.evidence_confidence(_evidence(spark, sf_dir).join(docs, "doc_id"), rows(spark, sf_dir, "SELECT lang AS project, count(*) AS n FROM {documents} GROUP BY 1"))
+    return x.evidence_confidence(_evidence(spark, sf_dir).join(docs, "doc_id"), rows(spark, sf_dir, "SELECT lang AS project, count(*) AS n FROM {documents} GROUP BY 1"), rows(spark, sf_dir, SHOWN))
 
 
 @query("evidence_confidence", CONFIDENCE + "SELECT * FROM sc")

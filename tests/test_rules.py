@@ -120,3 +120,38 @@ def test_whole_periods_lie_inside_the_artifacts(spark):
     for r in integrity.validate_temporal(spark.createDataFrame(rows, names), headers).collect():
         got.setdefault(r.idx, set()).add(r.code)
     assert got == {2: {"OUTSIDE_WINDOW"}, 5: {"BAD_LABEL"}, 6: {"BAD_LABEL"}, 7: {"BAD_LABEL"}, 8: {"BAD_LABEL"}, 10: {"OBSERVED_AT_REQUIRED", "GEOGRAPHY_REQUIRED", "UNKNOWN_ORIGIN", "UNKNOWN_VALUE_BASIS", "METRIC_VERSION_REQUIRED", "OUTSIDE_WINDOW"}}
+
+
+def test_context_is_counted_by_whole_documents_and_reasons(spark):
+    docs = [
+        ("p", 1, "alpha beta\n\n---\n\nALPHA  beta\n\ngamma"),  # noise, duplicate; packs to 10 + 2 + 5 = 17
+        ("p", 2, "delta delta delta"),  # does not fit behind the others
+        ("p", 3, "a limitation"),  # 12, comes first
+        ("p", 4, "\n\n"),
+        ("p", 5, None),
+        ("q", 6, "alpha beta"),  # no duplicate in its own project
+        (None, 7, "***"),
+    ]
+    rows = spark.createDataFrame(docs, "project string, doc_id long, text string")
+    got = {r.project: tuple(r)[1:] for r in text.context_stats(rows, 30, 20).collect()}
+    assert got == {
+        "p": (5, 66, 2, 29, 33, 15, 1, 1, 1),
+        "q": (1, 10, 1, 10, 5, 5, 0, 0, 0),
+        None: (1, 3, 0, 0, 2, 0, 1, 0, 0),
+    }
+    assert text.context_stats(rows.limit(0)).collect() == []
+
+
+def test_only_needs_are_judged_as_needs(spark):
+    rows = [(1, "NEEDS", "s"), (2, "GENERAL", "s"), (3, "NEEDS", "　"), (4, None, "s"), (5, "NEEDS", None)]
+    findings = spark.createDataFrame([(i, p, s, True, "t", "e", "x", 3) for i, p, s in rows], "id int, profile string, stated string, echo boolean, term string, expectation string, surprising string, competing int")
+    got = {r.id: r.flags for r in text.quality_flags(findings, findings.select("id").filter("id <> 2"), "NEEDS").collect()}
+    assert got == {1: "STATED_NEED_ECHO,GENERIC_TERM", 2: "NO_DEVIATION_PATTERN", 3: "", 4: "", 5: ""}
+
+
+def test_confidence_counts_the_documents_of_the_pattern(spark):
+    evidence = spark.createDataFrame([("f", 1, "a", "support", 0.8, "p"), ("f", 2, "a", "support", 0.6, "p"), ("f", 3, "b", "counter", 1.0, "p"), ("g", 1, "a", "support", 1.0, "p")], "finding_id string, doc_id int, source string, type string, relevance double, project string")
+    total = spark.createDataFrame([("p", 8)], "project string, n long")
+    shown = spark.createDataFrame([("f", d) for d in (1, 2, 7, 8, 8)], "finding_id string, doc_id int")
+    got = {r.finding_id: r.confidence for r in text.evidence_confidence(evidence, total, shown).collect()}
+    assert got == {"f": round((0.35 * 0.7 + 0.25 * 2 / 8 + 0.2 * 1 / 5 + 0.2 * 4 / 5) * 0.9, 6), "g": round(0.35 + 0.25 / 8 + 0.2 / 5, 6)}
