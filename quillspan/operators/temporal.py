@@ -7,11 +7,15 @@ Rows with a NULL series or index take no part; repeated windows of a series are
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.ranks import MOST, exact_medians, meet
 
+OPERATION_VERSION = "1"
 MISSING, ZERO_BASELINE, ZERO_DENOMINATOR = "MISSING_OR_GAP", "ZERO_BASELINE", "ZERO_DENOMINATOR"
 #: Windows in a year by calendar basis; days have no fixed number.
 YEAR_LAG = {"calendar-year": 1, "calendar-month": 12}
@@ -171,12 +175,21 @@ def before_after(points: DataFrame, at: int, places: int = 6) -> DataFrame:
     return rows.select("series", F.round("b", places).alias("before"), F.round("a", places).alias("after"), F.round(F.col("a") - F.col("b"), places).alias("difference"), "n_before", "n_after", flag.alias("flag"))
 
 
-def cohort_comparison(points: DataFrame) -> DataFrame:
+def cohort_comparison(points: DataFrame, dimension: str | None = None) -> DataFrame:
     """Each series indexed to its own first non-zero value (= 100). Every window stays: without a value or without such a
-    base its result is NULL and flagged."""
+    base its result is NULL and flagged.
+
+    With a ``dimension``, series are texts of ``series_key``. Then the whole comparison is refused, every row NULL, if there is
+    one series only (TOO_FEW_SERIES) or if a series lacks the dimension (NO_COHORT_DIMENSION).
+    """
     first = F.first(F.when(F.col("value") != 0, F.col("value")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = gap_fill(points).withColumn("index", F.try_divide(F.col("value"), first) * 100)
-    return rows.select("series", "idx", F.round("index", 9).alias("value"), F.when(F.col("index").isNull(), MISSING).alias("flag"))
+    rows = gap_fill(points).withColumn("index", F.try_divide(F.col("value"), first) * 100).select("series", "idx", F.round("index", 9).alias("value"), F.when(F.col("index").isNull(), MISSING).alias("flag"))
+    if dimension is None:
+        return rows
+    has = F.exists(F.split("series", ","), lambda d: F.startswith(d, F.lit(f"{dimension}=")))
+    names = points.filter("idx is not null and series is not null").select("series").distinct()
+    refusal = names.agg(F.when(F.count("*") < 2, "TOO_FEW_SERIES").when(~F.every(has), "NO_COHORT_DIMENSION").alias("refusal"))  # one row
+    return rows.join(F.broadcast(refusal)).select("series", "idx", F.when(F.col("refusal").isNull(), F.col("value")).alias("value"), F.coalesce("refusal", "flag").alias("flag"))
 
 
 #: Windows of a pair that one task holds in a row.
@@ -261,7 +274,29 @@ def change_point_candidate(points: DataFrame, segment: int = 3) -> DataFrame:
     return best.select("series", F.col("best.idx").alias("idx"), (-F.col("best.score")).alias("score"), "best.before", "best.after", flag.alias("flag"))
 
 
-def derived_artifact(rows: DataFrame, source_hash: str, operation: str) -> DataFrame:
-    """The result rows of an operation as one header row: id from source and operation, result count and period span."""
-    name = F.sha2(F.lit(f"{source_hash}|{operation}").cast("binary"), 256)
-    return rows.agg(F.count("*").alias("results"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")).select(name.alias("artifact_id"), F.lit(operation).alias("operation"), F.lit(source_hash).alias("source_hash"), "results", "first_idx", "last_idx")
+def _spec_hash(spec: dict) -> str:
+    return hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def provenance_refs(source_id: str, spec: dict) -> list[str]:
+    """What a derived artifact adds to the transformations of its sources: the artifact and the operation with its hash."""
+    return [f"artifact:{source_id}", f"temporal-operation:{spec['operation']}@{OPERATION_VERSION}:sha256:{_spec_hash(spec)}"]
+
+
+def derived_provenance(provenance: DataFrame, source_id: str, spec: dict) -> DataFrame:
+    """Provenance rows with ``refs`` ARRAY (NULL: none yet) and those of a derived artifact behind them."""
+    own = F.array(*map(F.lit, provenance_refs(source_id, spec)))
+    return provenance.withColumn("refs", F.concat(F.coalesce("refs", F.array().cast("array<string>")), own))
+
+
+def derived_artifact(rows: DataFrame, source_id: str, source_hash: str, spec: dict) -> DataFrame:
+    """The result rows of an operation as one header row: id, operation, source and hash, spec_hash, provenance refs, result
+    count and period span.
+
+    ``spec``: the whole declaration, its ``operation`` included; keys may come in any order. The id is made of the source's hash
+    and the declaration's, so a run again gives the same id and other parameters another. Without results there is no row.
+    """
+    digest = _spec_hash(spec)
+    name = "derived:" + hashlib.sha256(f"{source_hash}|{digest}".encode()).hexdigest()[:32]
+    sums = rows.agg(F.count("*").alias("results"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")).filter("results > 0")
+    return sums.select(F.lit(name).alias("artifact_id"), F.lit(spec["operation"]).alias("operation"), F.lit(source_id).alias("source_id"), F.lit(source_hash).alias("source_hash"), F.lit(digest).alias("spec_hash"), F.array(*map(F.lit, provenance_refs(source_id, spec))).alias("refs"), "results", "first_idx", "last_idx")

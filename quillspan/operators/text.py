@@ -274,10 +274,16 @@ def apply_duplicate_groups(items: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def run_metrics(findings: DataFrame) -> DataFrame:
-    """Rates per run of findings (run, supports, counters, traced, flags): coverage, mean evidence, traced, flagged."""
+    """Rates per run of findings (run, supports, counters, searched, traced, flags): evidence coverage, searches for counter-evidence,
+    mean evidence, traced, flagged, and flag_counts, how many findings have each flag of the comma-separated ``flags``, as
+    CODE=n in order of the codes. A search counts whether it found counters or not; a NULL is none."""
     n = F.count("*")
     rate = lambda c: F.round(F.try_divide(F.count_if(c), n), 6)
-    return findings.groupBy("run").agg(n.alias("findings"), rate(F.col("supports") > 0).alias("evidence_coverage"), rate(F.col("counters") > 0).alias("counter_coverage"), F.round(F.avg(F.col("supports") + F.col("counters")), 6).alias("mean_evidence"), rate(F.col("traced")).alias("traced_rate"), rate(F.col("flags") != "").alias("flagged_rate"))
+    rates = findings.groupBy("run").agg(n.alias("findings"), rate(F.col("supports") > 0).alias("evidence_coverage"), rate(F.col("searched")).alias("counter_coverage"), F.round(F.avg(F.col("supports") + F.col("counters")), 6).alias("mean_evidence"), rate(F.col("traced")).alias("traced_rate"), rate(F.col("flags") != "").alias("flagged_rate"))
+    codes = findings.select("run", F.explode(F.array_distinct(F.split("flags", ","))).alias("code")).filter("code <> ''").groupBy("run", "code").count()
+    counts = codes.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(F.concat("code", F.lit("="), F.col("count").cast("string")))), ",").alias("flag_counts"))
+    r = counts.select(F.col("run").alias("r"), "flag_counts")
+    return rates.join(r, F.col("run").eqNullSafe(F.col("r")), "left").drop("r").withColumn("flag_counts", F.coalesce("flag_counts", F.lit("")))
 
 
 def control_candidates(variables: DataFrame) -> DataFrame:

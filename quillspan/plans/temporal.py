@@ -161,6 +161,7 @@ def change_point_candidate(spark, sf_dir):
     return t.change_point_candidate(rows(spark, sf_dir, MONTHS))
 
 
-@query("derived_artifact", filled(MONTHS, ", r AS (" + POP.replace("LAG", "12") + ") SELECT sha256('orders|yoy') AS artifact_id, 'yoy' AS operation, 'orders' AS source_hash, count(*) AS results, min(idx) AS first_idx, max(idx) AS last_idx FROM r"))
+@query("derived_artifact", filled(MONTHS, ", r AS (" + POP.replace("LAG", "12") + ") SELECT 'derived:' || substring(sha256('orders-1|' || spec_hash), 1, 32) AS artifact_id, 'yoy' AS operation, 'orders' AS source_id, 'orders-1' AS source_hash, spec_hash, 'artifact:orders,temporal-operation:yoy@1:sha256:' || spec_hash AS refs, count(*) AS results, min(idx) AS first_idx, max(idx) AS last_idx FROM r, (SELECT sha256('{\"metric\":\"orders\",\"operation\":\"yoy\"}') AS spec_hash) GROUP BY spec_hash"))
 def derived_artifact(spark, sf_dir):
-    return t.derived_artifact(t.yoy(rows(spark, sf_dir, MONTHS), "calendar-month"), "orders", "yoy")
+    header = t.derived_artifact(t.yoy(rows(spark, sf_dir, MONTHS), "calendar-month"), "orders", "orders-1", {"operation": "yoy", "metric": "orders"})
+    return header.withColumn("refs", F.array_join("refs", ","))

@@ -194,10 +194,10 @@ def apply_duplicate_groups(spark, sf_dir):
     return x.apply_duplicate_groups(rows(spark, sf_dir, "SELECT o_orderkey AS idx FROM {orders}"), rows(spark, sf_dir, GROUPS))
 
 
-SCORED = "SELECT source AS run, doc_id % 3 AS supports, doc_id % 2 AS counters, n_chars > 2000 AS traced, CASE WHEN doc_id % 5 = 0 THEN 'X' ELSE '' END AS flags FROM {documents}"
+SCORED = "SELECT source AS run, doc_id % 3 AS supports, doc_id % 2 AS counters, n_chars > 2000 AS traced, doc_id % 7 < 3 AS searched, CASE WHEN doc_id % 5 = 0 THEN 'X' WHEN doc_id % 5 = 1 THEN 'A,X' ELSE '' END AS flags FROM {documents}"
 
 
-@query("run_metrics", f"SELECT run, count(*) AS findings, round(count(*) FILTER (supports > 0) / count(*), 6) AS evidence_coverage, round(count(*) FILTER (counters > 0) / count(*), 6) AS counter_coverage, round(avg(supports + counters), 6) AS mean_evidence, round(count(*) FILTER (traced) / count(*), 6) AS traced_rate, round(count(*) FILTER (flags <> '') / count(*), 6) AS flagged_rate FROM ({SCORED}) GROUP BY 1")
+@query("run_metrics", f"SELECT run, count(*) AS findings, round(count(*) FILTER (supports > 0) / count(*), 6) AS evidence_coverage, round(count(*) FILTER (searched) / count(*), 6) AS counter_coverage, round(avg(supports + counters), 6) AS mean_evidence, round(count(*) FILTER (traced) / count(*), 6) AS traced_rate, round(count(*) FILTER (flags <> '') / count(*), 6) AS flagged_rate, concat_ws(',', CASE WHEN count(*) FILTER (contains(flags, 'A')) > 0 THEN 'A=' || count(*) FILTER (contains(flags, 'A')) END, CASE WHEN count(*) FILTER (contains(flags, 'X')) > 0 THEN 'X=' || count(*) FILTER (contains(flags, 'X')) END) AS flag_counts FROM ({SCORED}) GROUP BY 1")
 def run_metrics(spark, sf_dir):
     return x.run_metrics(rows(spark, sf_dir, SCORED))
 

@@ -155,3 +155,10 @@ def test_confidence_counts_the_documents_of_the_pattern(spark):
     shown = spark.createDataFrame([("f", d) for d in (1, 2, 7, 8, 8)], "finding_id string, doc_id int")
     got = {r.finding_id: r.confidence for r in text.evidence_confidence(evidence, total, shown).collect()}
     assert got == {"f": round((0.35 * 0.7 + 0.25 * 2 / 8 + 0.2 * 1 / 5 + 0.2 * 4 / 5) * 0.9, 6), "g": round(0.35 + 0.25 / 8 + 0.2 / 5, 6)}
+
+
+def test_searches_count_without_counters_and_flags_by_code(spark):
+    rows = [("r", 1, 0, True, True, "B,A"), ("r", 0, 2, False, False, "A"), ("r", 0, 0, None, True, ""), (None, 1, 1, True, True, None)]
+    found = spark.createDataFrame(rows, "run string, supports int, counters int, searched boolean, traced boolean, flags string")
+    got = {r.run: (r.evidence_coverage, r.counter_coverage, r.mean_evidence, r.flagged_rate, r.flag_counts) for r in text.run_metrics(found).collect()}
+    assert got == {"r": (0.333333, 0.333333, 1.0, 0.666667, "A=2,B=1"), None: (1.0, 1.0, 2.0, 0.0, "")}

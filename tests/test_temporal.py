@@ -143,3 +143,22 @@ def test_thousands_of_pairs_equal_calls_of_each(spark, monkeypatch):
             assert (r.value, r.flag) == (None, "ZERO_VARIANCE")
         else:
             assert abs(r.value - np.corrcoef(x, y)[0, 1]) < 1e-9 and r.flag is None
+
+
+def test_cohorts_need_two_series_and_their_dimension(spark):
+    two = points(spark, [2, 4], "age=1,area=x").unionByName(points(spark, [5, None], "age=2,area=x"))
+    got = {(r.series[4], r.idx): (r.value, r.flag) for r in t.cohort_comparison(two, "age").collect()}
+    assert got == {("1", 0): (100.0, None), ("1", 1): (200.0, None), ("2", 0): (100.0, None), ("2", 1): (None, "MISSING_OR_GAP")}
+    assert {(r.value, r.flag) for r in t.cohort_comparison(two, "ag").collect()} == {(None, "NO_COHORT_DIMENSION")}
+    assert {(r.value, r.flag) for r in t.cohort_comparison(two.filter("series like '%=1,%'"), "age").collect()} == {(None, "TOO_FEW_SERIES")}
+
+
+def test_a_derived_artifact_is_named_by_its_whole_declaration(spark):
+    rows = points(spark, [1, 2, 3])
+    make = lambda spec: t.derived_artifact(rows, "a", "h", spec).first()
+    one = make({"operation": "rolling_mean", "width": 2})
+    assert one == make({"width": 2, "operation": "rolling_mean"}) and one.artifact_id != make({"operation": "rolling_mean", "width": 3}).artifact_id
+    assert one.artifact_id.startswith("derived:") and (one.results, one.first_idx, one.last_idx) == (3, 0, 2)
+    assert t.derived_artifact(rows.limit(0), "a", "h", {"operation": "yoy"}).collect() == []
+    sources = spark.createDataFrame([("d", ["old"]), ("e", None)], "dataset_id string, refs array<string>")
+    assert [r.refs for r in t.derived_provenance(sources, "a", {"operation": "rolling_mean", "width": 2}).orderBy("dataset_id").collect()] == [["old", *one.refs], one.refs]
