@@ -10,6 +10,17 @@ NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 NULLS = ("", "na", "null", "n/a")
 
 
+#: Characters with a capital, their capitals, and those that full case mapping makes longer, such as ß.
+_CAPITALS = {c: u for c in map(chr, range(0x80, 0x1F000)) if (u := c.upper() if len(c.upper()) == 1 else c.title() if len(c.title()) == 1 else c) != c} | {"ß": "ẞ"}
+_LONGER = "".join(c for c in map(chr, range(0x80, 0x1F000)) if len(c.upper()) > 1)
+
+
+def upper_each(text: str) -> str:
+    """SQL for ``text`` in capitals, character by character as DuckDB does it: ß becomes ẞ, not SS, and ﬁ stays."""
+    small, large = "".join(_CAPITALS), "".join(_CAPITALS.values())
+    return f"CASE WHEN {text} RLIKE '[{_LONGER}]' THEN translate({text}, 'abcdefghijklmnopqrstuvwxyz{small}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{large}') ELSE upper({text}) END"
+
+
 def is_blank(cell: Column) -> Column:
     """A cell without a value; a NULL counts."""
     return F.coalesce(F.lower(F.trim(cell)).isin(*NULLS), F.lit(True))

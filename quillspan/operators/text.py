@@ -156,8 +156,9 @@ def context_stats(docs: DataFrame, budget: int = BUDGET, limit: int = CHUNK) ->
 
 
 def folded(char: Column) -> Column:
-    """A text without white space and ignored characters, full-width folded, lower-cased."""
-    return F.lower(F.translate(F.regexp_replace(F.translate(char, IGNORED, ""), r"\s", ""), WIDE, NARROW))
+    """A text without white space and ignored characters, full-width folded, lower-cased character by character: full case
+    mapping would make two characters of İ and look at what follows Σ."""
+    return F.lower(F.translate(F.regexp_replace(F.translate(char, IGNORED, ""), r"\s", ""), WIDE + "İΣ", NARROW + "iσ"))
 
 
 def ground_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.functions.values import upper_each
 from quillspan.operators import text as x
 from quillspan.plans.registry import query, rows
 
@@ -82,6 +83,11 @@ QUOTES = """SELECT doc_id * 2 AS quote_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN
 UNION ALL SELECT doc_id * 2 + 1, doc_id, CASE WHEN lang = 'en' THEN upper(replace(substring(text, 21, 60), ' ', '')) ELSE replace(substring(text, 21, 60), ' ', '') END FROM {documents}"""
 
 
+#: The same rows in Spark, whose upper makes SS of ß.
+PRESSED = "replace(substring(text, 21, 60), ' ', '')"
+SPARK_QUOTES = QUOTES.replace(f"upper({PRESSED})", upper_each(PRESSED))
+
+
 def fold(text: str) -> str:
     """The operator's folding of a text in SQL."""
     quoted = [v.replace("'", "''") for v in (x.IGNORED, x.WIDE, x.NARROW)]
@@ -98,12 +104,12 @@ g AS (SELECT * FROM e UNION ALL SELECT quote_id, doc_id, chars[spot].i, chars[sp
 
 @query("ground_quotes", GROUNDED + "SELECT * FROM g")
 def ground_quotes(spark, sf_dir):
-    return x.ground_quotes(rows(spark, sf_dir, QUOTES), rows(spark, sf_dir, "SELECT doc_id, text FROM {documents}"))
+    return x.ground_quotes(rows(spark, sf_dir, SPARK_QUOTES), rows(spark, sf_dir, "SELECT doc_id, text FROM {documents}"))
 
 
 @query("grounding_rate", GROUNDED + f", n AS (SELECT count(*) AS c FROM ({QUOTES})), m AS (SELECT count(*) AS k FROM g) SELECT c AS candidates, k AS grounded, round((c - k) / c, 9) AS unsupported_rate FROM n, m")
 def grounding_rate(spark, sf_dir):
-    return x.grounding_rate(rows(spark, sf_dir, QUOTES), ground_quotes(spark, sf_dir))
+    return x.grounding_rate(rows(spark, sf_dir, SPARK_QUOTES), ground_quotes(spark, sf_dir))
 
 
 ECHOES = "SELECT doc_id AS id, text AS stated, CASE doc_id % 4 WHEN 0 THEN upper(text) WHEN 1 THEN concat(source, substring(text, 8)) WHEN 2 THEN 'ab' ELSE source END AS latent FROM {documents}"
@@ -112,7 +118,7 @@ ECHOES = "SELECT doc_id AS id, text AS stated, CASE doc_id % 4 WHEN 0 THEN upper
 @query("need_echo", f"""WITH f AS (SELECT id, {fold('stated')} AS a, {fold('latent')} AS b FROM ({ECHOES})), g AS (SELECT *, list_distinct(list_transform(generate_series(1, greatest(length(a) - 1, 1)), lambda i: substring(a, i, 2))) AS ga, list_distinct(list_transform(generate_series(1, greatest(length(b) - 1, 1)), lambda i: substring(b, i, 2))) AS gb FROM f)
 SELECT id, length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a) OR len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) >= 0.5) AS echo FROM g""")
 def need_echo(spark, sf_dir):
-    return x.need_echo(rows(spark, sf_dir, ECHOES))
+    return x.need_echo(rows(spark, sf_dir, ECHOES.replace("upper(text)", upper_each("text"))))
 
 
 TERMED = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '効 率とコ スパと安心' WHEN 1 THEN '満足感 text' ELSE source END AS text FROM {documents}"
