@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -48,7 +49,7 @@ class FirstOfId(StatefulProcessor):
 class Deltas(StatefulProcessor):
     """Compares the observations of a series, a key, with the latest earlier ones, and corrects the next later ones.
 
-    State: the sorted numbers of the buckets that hold observations, and each bucket's times and values in order. A batch
+    State: the sorted numbers of the buckets that hold observations, and each bucket's times, ids and values in order. A batch
     reads the buckets of its rows and their neighbours only.
     """
 
@@ -57,56 +58,67 @@ class Deltas(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.numbers = handle.getValueState("numbers", "buckets array<long>")
-        self.points = handle.getMapState("points", "bucket long", "at array<long>, value array<double>")
+        self.points = handle.getMapState("points", "bucket long", "at array<long>, id array<long>, value array<double>")
 
-    def _open(self, k: int) -> tuple[list[int], list[float]]:
+    def _open(self, k: int) -> tuple[list[tuple[int, int]], list[float]]:
         if k not in self.held:
             own = self.points.getValue((k,)) if k in self.known else None
-            self.held[k] = (list(own[0]), list(own[1])) if own else ([], [])
+            self.held[k] = (list(zip(own[0], own[1], strict=True)), list(own[2])) if own else ([], [])
         return self.held[k]
 
     def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
         stored = self.numbers.get()
         order = list(stored[0]) if stored else []
-        self.held: dict[int, tuple[list[int], list[float]]] = {}
+        self.held: dict[int, tuple[list[tuple[int, int]], list[float]]] = {}
         self.known, changed, step = set(order), set(), 0
 
-        def told(at: int, value: float, kind: str, earlier: float | None, restated: float | None = None) -> Row:
+        def told(spot: tuple[int, int], value: float, kind: str, earlier: float | None, restated: float | None = None) -> Row:
             nonlocal step
             step += 1
-            return Row(series=key[0], at=at, value=value, kind=kind, delta=None if earlier is None else round(value - earlier, 4), restated=None if restated is None else round(restated, 4), step=step)
+            return Row(series=key[0], at=spot[0], id=spot[1], value=value, kind=kind, delta=None if earlier is None else round(value - earlier, 4), restated=None if restated is None else round(restated, 4), step=step)
 
-        for at, value in sorted((r["at"], r["value"]) for r in rows):
-            k = at // self.width
+        fresh = sorted((r["at"], r["id"], r["value"]) for r in rows)
+        for k, own in groupby(fresh, key=lambda r: r[0] // self.width):
             place = bisect_left(order, k)
             here = place < len(order) and order[place] == k
             if not here and place == 0 and len(order) >= self.history:
-                yield told(at, value, "TOO_LATE", None)
+                for at, name, value in own:
+                    yield told((at, name), value, "TOO_LATE", None)
                 continue
-            times, values = self._open(k)
-            i = bisect_left(times, at)
-            earlier = values[i - 1] if i else self._open(order[place - 1])[1][-1] if place else None
-            if i < len(times) and times[i] == at:
-                yield told(at, value, "RESTATED", earlier, value - values[i])
-                values[i] = value
-            else:
-                yield told(at, value, "FIRST" if earlier is None else "DELTA", earlier)
-                times.insert(i, at)
-                values.insert(i, value)
-                if not here:
-                    order.insert(place, k)
+            if not here:
+                order.insert(place, k)
+            held, held_values = self._open(k)
+            before = self._open(order[place - 1])[1][-1] if place else None
+            after = self._open(order[place + 1]) if place + 1 < len(order) else None
+            # One pass merges the bucket's rows in order with those that it holds.
+            spots, values, i = [], [], 0
+            for at, name, value in own:
+                spot = (at, name)
+                end = bisect_right(held, spot, i)
+                spots += held[i:end]
+                values += held_values[i:end]
+                i = end
+                if spots and spots[-1] == spot:
+                    yield told(spot, value, "RESTATED", values[-2] if len(values) > 1 else before, value - values[-1])
+                    values[-1] = value
+                else:
+                    earlier = values[-1] if values else before
+                    yield told(spot, value, "FIRST" if earlier is None else "DELTA", earlier)
+                    spots.append(spot)
+                    values.append(value)
+                if i < len(held):
+                    yield told(held[i], held_values[i], "CORRECTED", value)
+                elif after:
+                    yield told(after[0][0], after[1][0], "CORRECTED", value)
+            self.held[k] = (spots + held[i:], values + held_values[i:])
             changed.add(k)
-            if i + 1 < len(times):
-                yield told(times[i + 1], values[i + 1], "CORRECTED", value)
-            elif place + 1 < len(order):
-                after = self._open(order[place + 1])
-                yield told(after[0][0], after[1][0], "CORRECTED", value)
         for k in order[: -self.history]:
             if k in self.known:
                 self.points.removeKey((k,))
         order = order[-self.history :]
         for k in changed & set(order):
-            self.points.updateValue((k,), self.held[k])
+            spots, values = self.held[k]
+            self.points.updateValue((k,), ([at for at, _ in spots], [name for _, name in spots], values))
         if changed:
             self.numbers.update((order,))
         self.held = {}
