@@ -20,7 +20,8 @@ def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more; SimHash with
+    BK-trees over all texts, then bands for the pairs beyond its radius."""
     return similar.keep_one(docs, width=5, threshold=0.8)
 
 

@@ -24,6 +24,8 @@ from quillspan.llm.components import connected_components
 
 #: Different fingerprints of a key beyond which its tree is dealt out to several tasks.
 SHARD = 20_000
+#: Pairs of a query and a node that a search holds at once.
+PAIRS = 200_000
 
 
 def fingerprint(words: list[bytes], width: int = 4) -> int:
@@ -94,7 +96,7 @@ class Forest:
             n = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), side="right") - low
             some = n > 0
             q, low, n = q[some], low[some], n[some]
-            for at in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000)) + 1) if len(q) else []:
+            for at in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1) if len(q) else []:
                 m = n[at]
                 down = np.repeat(low[at] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
                 todo.append((np.repeat(q[at], m), self.child[down]))

@@ -1,7 +1,8 @@
-"""Near-dedup by word-shingle similarity: MinHash bands, one representative a band, SimHash BK-trees for the rest.
+"""Near-dedup by word-shingle similarity: SimHash fingerprints of all texts in BK-trees, then MinHash bands for what they leave.
 
-Bit blocks can shard BK-trees only for a small radius, which few pairs at a Jaccard similarity of 0.8 are within. Here the
-texts that share a band of MinHash values meet. Each is first compared with one representative of its band, on the whole
+SimHashes of all texts are linked by the sharded BK-trees of ``simhash``, within ``NEAR`` bits, and each link is verified on the
+whole shingle sets. Bit blocks can shard BK-trees only for so small a radius, which few pairs at a Jaccard similarity of 0.8 are
+within, so texts that share a band of MinHash values meet too. Each is first compared with one representative of its band, on the whole
 shingle sets; those that are similar to it are joined and need no comparison among themselves, so a large group of copies
 costs one comparison a member. Only texts that their band's representative leaves search a BK-tree of the band's other
 texts, along the edges within a wide radius, and each pair found is verified. Large bands are dealt to several trees.
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import cut
 from quillspan.llm.components import connected_components
-from quillspan.llm.simhash import Forest, _settle
+from quillspan.llm.simhash import Forest, _settle, hamming_links
 
 #: At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**24, about 7 in 100,000.
 BANDS, ROWS = 24, 5
 #: Bits that SimHash fingerprints of such pairs differ by: 9.7 on average, 2.9 deviation.
 RADIUS = 24
+#: Bits within which the fingerprints of all texts are linked.
+NEAR = 4
 SHARD = 2000
 _A = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(8).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -65,9 +68,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _bands(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(shingle_set(t, width)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            keys, fps = [], []
+            for t in batch.column("text").cast(pa.binary()).to_pylist():
+                hashes = shingle_set(t, width)
+                keys.append(band_keys(hashes))
+                fps.append(sketch(hashes) if len(hashes) else None)
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            yield pa.record_batch([batch.column("u"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))], names=["u", "doc_id", "bands"])
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            signed = pa.array([None if f is None else f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())
+            yield pa.record_batch([batch.column("u"), batch.column("doc_id"), signed, bands], names=["u", "doc_id", "fp", "bands"])
 
     return run
 
@@ -164,17 +173,30 @@ def _links(threshold: float, radius: int):
     return run
 
 
+def _tree_pairs(found: DataFrame) -> DataFrame:
+    """(rep, u, n): texts of ``found`` (u, fp) beside one text of the fingerprints that BK-trees join to theirs, and how many
+    texts that one has beside it. Texts without words have no fingerprint."""
+    texts = found.filter("fp is not null").select("u", "fp").distinct()
+    unique = cut(texts.groupBy("fp").agg(F.min("u").alias("low")), "similar-fingerprints")
+    roots = cut(connected_components(hamming_links(unique.select("fp"), NEAR)), "similar-roots")
+    named = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = named.groupBy("root").agg(F.min("low").alias("rep"))
+    pairs = texts.join(named.select("fp", "root"), "fp").join(heads, "root").filter("u <> rep").select("rep", "u")
+    return pairs.join(pairs.groupBy("rep").agg(F.count("*").alias("n")), "rep")
+
+
 def _groups(docs: DataFrame, width: int, threshold: float, radius: int, shard: int) -> DataFrame:
     """(u, doc_id, root): ``u`` names a row's id and text, ``root`` its component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("u", F.xxhash64("doc_id", "text"))
-    found = cut(rows.mapInArrow(_bands(width), "u long, doc_id long, bands array<long>"), "similar-bands")
+    found = cut(rows.mapInArrow(_bands(width), "u long, doc_id long, fp long, bands array<long>"), "similar-bands")
+    by_tree = cut(_tree_pairs(found), "similar-trees")
     keyed = found.dropDuplicates(["u"]).select("u", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("u").alias("rep")).filter("n > 1")
     needed = cut(keyed.join(shared, "key").select("key", "u", "n", "rep"), "similar-shared")
-    sets = cut(rows.select("u", "text").join(needed.select("u").distinct(), "u", "left_semi").dropDuplicates(["u"]).mapInArrow(_sets(width), "u long, fp long, hashes binary"), "similar-sets")
+    sets = cut(rows.select("u", "text").join(needed.select("u").unionByName(by_tree.select("u")).unionByName(by_tree.select(F.col("rep").alias("u"))).distinct(), "u", "left_semi").dropDuplicates(["u"]).mapInArrow(_sets(width), "u long, fp long, hashes binary"), "similar-sets")
     # A representative of very many is copied to several keys, and each member meets one copy.
     parts = lambda n: F.ceil(F.col(n) / shard).cast("int")
-    pairs = needed.filter("u <> rep").groupBy("rep", "u").agg(F.max("n").alias("n"))
+    pairs = needed.filter("u <> rep").select("rep", "u", "n").unionByName(by_tree).groupBy("rep", "u").agg(F.max("n").alias("n"))
     members = pairs.select("rep", F.pmod(F.xxhash64("u"), parts("n")).cast("int").alias("salt"), F.lit(True).alias("member"), "u").join(sets, "u")
     heads = pairs.groupBy("rep").agg(F.max("n").alias("n")).select("rep", F.explode(F.sequence(F.lit(0), parts("n") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("rep").alias("u")).join(sets, "u")
     columns = ["rep", "salt", "member", "u", "hashes"]

@@ -69,3 +69,16 @@ def test_texts_that_share_a_passage_but_not_the_representative(spark, shard):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in similar.similar_components(docs, shard=shard).collect()}
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_fingerprints_of_all_texts_meet_in_trees(spark):
+    """SimHash with BK-trees finds a near copy on its own, and pairs of it that are not similar are not linked."""
+    rng = random.Random(3)
+    base = rng.choices([f"w{i}" for i in range(900)], k=900)
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(rng.choices(base, k=900)), "", None]
+    rows = [(i, i, None if not t else similar.sketch(similar.shingle_set(t, 5))) for i, t in enumerate(texts)]
+    signed = [(u, d, f if f is None or f < 2**63 else f - 2**64) for u, d, f in rows]
+    found = spark.createDataFrame(signed, "u long, doc_id long, fp long")
+    assert [tuple(r) for r in similar._tree_pairs(found).collect()] == [(0, 1, 1)]
+    same = spark.createDataFrame([(0, "a b c d e f"), (1, "A b c d e f"), (2, "a b c")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.similar_components(same).collect()} == {0: 0, 1: 0, 2: 2}
