@@ -138,22 +138,47 @@ def features(classes: np.ndarray, marks: np.ndarray, first: np.ndarray, none: in
     return outer, inner
 
 
+class Shares:
+    """Softmax over sums of rows of weights, in two buffers that every batch reuses."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, batch: int):
+        self.weights, self.bias = weights, bias
+        self.sums, self.row = (np.empty((batch, weights.shape[1]), np.float32) for _ in range(2))
+
+    def sums_of(self, rows: np.ndarray) -> np.ndarray:
+        """The sums for each token, less the largest of each; valid until the next call."""
+        z, row = self.sums[: len(rows)], self.row[: len(rows)]
+        np.take(self.weights, rows[:, 0], axis=0, out=z, mode="clip")
+        z += self.bias
+        for k in range(1, rows.shape[1]):
+            z += np.take(self.weights, rows[:, k], axis=0, out=row, mode="clip")
+        z -= z.max(1, keepdims=True)
+        return z
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The probabilities for each token; valid until the next call."""
+        z = self.sums_of(rows)
+        np.exp(z, out=z)
+        z /= np.einsum("ij->i", z)[:, None]
+        return z
+
+    def logs(self, rows: np.ndarray, gold: np.ndarray) -> np.ndarray:
+        """The log probability of each token's ``gold``."""
+        z = self.sums_of(rows)
+        own = z[np.arange(len(gold)), gold]
+        return own - np.log(np.einsum("ij->i", np.exp(z, out=z)))
+
+
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + bias
-    for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    z = Shares(weights, bias, len(rows)).sums_of(rows)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
 def gold_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray, batch: int = 2048) -> np.ndarray:
     """The log probability of each token's class, or unit in its class."""
-    found = np.empty(len(classes))
+    found, shares = np.empty(len(classes)), Shares(weights, bias, batch)
     for a in range(0, len(classes), batch):
-        own, gold = rows[a : a + batch], classes[a : a + batch]
-        z = log_softmax(weights, bias, own)
-        found[a : a + batch] = z[np.arange(len(gold)), gold]
+        found[a : a + batch] = shares.logs(rows[a : a + batch], classes[a : a + batch])
     return found
 
 
@@ -166,13 +191,13 @@ def row_sums(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.r_[start, len(flat)])
     by_size = np.argsort(-size, kind="stable")
     start, size = start[by_size], size[by_size]
-    sums = g[token[start]]
+    sums = np.take(g, token[start], axis=0)
     often = int(np.searchsorted(-size, -OFTEN, side="right"))
     for i in range(often):
-        sums[i] = g[token[start[i] : start[i] + size[i]]].sum(0)
+        sums[i] = np.take(g, token[start[i] : start[i] + size[i]], axis=0).sum(0)
     for k in range(1, int(size[often]) if often < len(size) else 1):
         upto = int(np.searchsorted(-size, -k, side="left"))
-        sums[often:upto] += g[token[start[often:upto] + k]]
+        sums[often:upto] += np.take(g, token[start[often:upto] + k], axis=0)
     return flat[start].astype(np.int64), sums
 
 
@@ -185,9 +210,10 @@ class Steps:
 
     def run(self, rows: np.ndarray, classes: np.ndarray, rate: float, batch: int = 4096, free: bool = True) -> None:
         """``free``: the bias takes steps too."""
+        shares = Shares(self.weights, self.bias, batch)
         for a in range(0, len(classes), batch):
             own, gold = rows[a : a + batch], classes[a : a + batch]
-            g = np.exp(log_softmax(self.weights, self.bias, own))
+            g = shares.of(own)
             g[np.arange(len(gold)), gold] -= 1
             used, step = row_sums(own, g)
             step /= np.float32(32)

@@ -394,3 +394,15 @@ def test_learning_from_few_windows_of_many_languages(spark):
     assert all(r.lang_pred == langs[r.doc_id] for r in got)
     again = langid.learn(docs)
     assert (model.weights == again.weights).all()  # a task that runs again makes the same steps
+
+
+def test_softmax_buffers_hold_one_batch_and_give_the_plain_softmax():
+    rng = np.random.default_rng(3)
+    weights, bias, rows, gold = rng.normal(0, 3, (50, 7)).astype(np.float32), rng.normal(0, 1, 7).astype(np.float32), rng.integers(0, 50, (23, 4)), rng.integers(0, 7, 23)
+    z = weights[rows].astype(np.float64).sum(1) + bias
+    plain = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    shares = lm.Shares(weights, bias, 10)
+    for a in range(0, 23, 10):
+        np.testing.assert_allclose(shares.of(rows[a : a + 10]), plain[a : a + 10], rtol=1e-4, atol=1e-7)
+    assert shares.sums.shape == shares.row.shape == (10, 7)
+    np.testing.assert_allclose(lm.gold_logs(weights, bias, rows, gold, batch=10), np.log(plain[np.arange(23), gold]), rtol=1e-4, atol=1e-5)
