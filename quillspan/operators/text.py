@@ -158,7 +158,8 @@ def context_stats(docs: DataFrame, budget: int = BUDGET, limit: int = CHUNK) ->
 def folded(char: Column) -> Column:
     """A text without white space and ignored characters, full-width folded, lower-cased character by character: full case
     mapping would make two characters of İ and look at what follows Σ."""
-    return F.lower(F.translate(F.regexp_replace(F.translate(char, IGNORED, ""), r"\s", ""), WIDE + "İΣ", NARROW + "iσ"))
+    wide = {w: n for w, n in zip(WIDE + "İΣ", NARROW + "iσ") if w not in IGNORED}
+    return F.lower(F.translate(char, "".join(wide) + IGNORED + " \t\n\x0b\f\r", "".join(wide.values())))
 
 
 def ground_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -190,13 +191,17 @@ def need_echo(pairs: DataFrame) -> DataFrame:
     """Pairs (id, stated, latent) with echo: one folded text holds the other, or their character pairs' Jaccard index is 0.5
     or more; texts under four characters never echo."""
     rows = pairs.select("id", folded(F.col("stated")).alias("a"), folded(F.col("latent")).alias("b"))
-    rows = rows.select("id", "a", "b", F.split("a", "").alias("ca"), F.split("b", "").alias("cb"))  # so no place is searched for twice
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat(F.get(c, i - 1), F.coalesce(F.get(c, i), F.lit("")))))
-    rows = rows.select("id", "a", "b", grams(F.col("ca")).alias("ga"), grams(F.col("cb")).alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    jaccard = F.try_divide(both, F.size("ga") + F.size("gb") - both)
+    # Pairs that start at even places and at odd ones; an exact search for them costs no function a character.
+    every = lambda c: F.regexp_extract_all(c, F.lit("(?s)(..)"), F.lit(1))
+    grams = lambda c: F.array_distinct(F.concat(every(c), every(F.substring(c, 2, 2**31 - 1))))
     enough = (F.char_length("a") >= ECHO_CHARS) & (F.char_length("b") >= ECHO_CHARS)
-    return rows.select("id", (enough & (F.contains("a", F.col("b")) | F.contains("b", F.col("a")) | (jaccard >= ECHO))).alias("echo"))
+    inside = F.contains("a", F.col("b")) | F.contains("b", F.col("a"))
+    rows = rows.select("id", F.when(~enough, False).when(inside, True).alias("known"), "a", "b")
+    open_ = lambda c: F.when(F.col("known").isNull(), grams(F.col(c)))
+    rows = rows.select("id", "known", open_("a").alias("ga"), open_("b").alias("gb"))
+    rows = rows.select("id", "known", "ga", "gb", F.size(F.array_intersect("ga", "gb")).alias("both"))
+    jaccard = F.try_divide("both", F.size("ga") + F.size("gb") - F.col("both"))
+    return rows.select("id", F.coalesce("known", jaccard >= ECHO).alias("echo"))
 
 
 def generic_terms(texts: DataFrame, terms: tuple[str, ...] = GENERIC) -> DataFrame:

@@ -162,3 +162,10 @@ def test_searches_count_without_counters_and_flags_by_code(spark):
     found = spark.createDataFrame(rows, "run string, supports int, counters int, searched boolean, traced boolean, flags string")
     got = {r.run: (r.evidence_coverage, r.counter_coverage, r.mean_evidence, r.flagged_rate, r.flag_counts) for r in text.run_metrics(found).collect()}
     assert got == {"r": (0.333333, 0.333333, 1.0, 0.666667, "A=2,B=1"), None: (1.0, 1.0, 2.0, 0.0, "")}
+
+
+def test_echo_takes_pairs_of_characters_without_a_function_a_character(spark):
+    pairs = [("odd", "abcde", "xbcdeabc", True), ("even", "abcdef", "uvabcwxy", False), ("line", "ab cd", "b cdab", True), ("astral", "a😀b😀c", "😀b😀cz", True), ("short", "abc", "abc", False), ("wide", "ＡＢ ＣＤ", "ab\ncd", True), ("none", None, "abcd", None)]
+    rows = text.need_echo(spark.createDataFrame([p[:3] for p in pairs], "id string, stated string, latent string"))
+    assert {r.id: r.echo for r in rows.collect()} == {p[0]: p[3] for p in pairs}
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
