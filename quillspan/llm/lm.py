@@ -127,13 +127,16 @@ def features(classes: np.ndarray, marks: np.ndarray, first: np.ndarray, none: in
     mask = np.uint64((1 << BITS) - 1)
 
     def row(kind: int, *x: np.ndarray) -> np.ndarray:
-        h = np.full(n, kind * 0x9E3779B9 + 1, np.uint64)
+        h = np.full(len(x[0]), kind * 0x9E3779B9 + 1, np.uint64)
         for v in x:
             h = (h ^ v.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return (h & mask).astype(np.int64)
 
-    outer = np.stack([row(1, c1), row(2, c1, c2), row(3, c2), row(4, c3), row(5, w1), row(6, w2)], 1)
+    every = np.arange(none + 1)  # rows of classes and of pairs of them come from tables
+    of_one = lambda kind, c: row(kind, every)[c]
+    of_two = row(2, np.repeat(every, none + 1), np.tile(every, none + 1))[c1 * (none + 1) + c2]
+    outer = np.stack([of_one(1, c1), of_two, of_one(3, c2), of_one(4, c3), row(5, w1), row(6, w2)], 1)
     inner = np.stack([classes, *(none + row(kind, classes, *x) for kind, *x in ((11, w1), (12, w2), (14, c1, c2)))], 1)
     return outer, inner
 
@@ -251,21 +254,34 @@ def _parts(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterato
 
 
 def _codes(model: Model):
-    """Each text's tokens as numbers of four bytes: the id of a frequent word, or -2 less the unit of another."""
+    """A row for each text, with a number: its tokens as numbers of four bytes, the id of a frequent word or -2 less the unit of
+    another, and these other words for the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _parts(batches):
+        rid = TaskContext.get().partitionId() << 33
+        for batch, texts in _parts(batches):
             words, first = _tokens(texts)
             ids, units = model.units(words)
             marks = np.where(ids >= 0, ids, -2 - units).astype("<i4")
-            ends = np.r_[first, len(words)].astype(np.int32) * 4
-            yield pa.record_batch([pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(marks)])], names=["marks"])
+            ends = np.r_[first, len(words)].astype(np.int32)
+            rest = np.flatnonzero(ids < 0)
+            cuts = np.searchsorted(rest, ends).astype(np.int32)
+            columns = [
+                pa.array(rid + np.arange(len(texts))),
+                batch.column("doc_id"),
+                batch.column("held_out"),
+                pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends * 4), pa.py_buffer(marks)]),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array([words[i] for i in rest.tolist()], pa.binary())),
+            ]
+            rid += len(texts)
+            yield pa.record_batch(columns, names=["rid", "doc_id", "held_out", "marks", "rest"])
 
     return run
 
 
-def _coded(batches: Iterator[pa.RecordBatch], unit_of: np.ndarray, tokens: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(marks, units, where texts start) of slices of batches of about so many tokens."""
+def _coded(batches: Iterator[pa.RecordBatch], unit_of: np.ndarray, tokens: int = 200_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, marks, units, where texts start) of slices of batches of about so many tokens."""
+    known = np.r_[unit_of, 0]
     for batch in batches:
         texts = batch.column("marks").to_pylist()
         a = size = 0
@@ -274,7 +290,7 @@ def _coded(batches: Iterator[pa.RecordBatch], unit_of: np.ndarray, tokens: int =
             if size >= tokens or i + 1 == len(texts):
                 marks = np.frombuffer(b"".join(texts[a : i + 1]), "<i4").astype(np.int64)
                 sizes = np.array([len(x) // 4 for x in texts[a : i + 1]])
-                yield marks, np.where(marks >= 0, unit_of[np.maximum(marks, 0)], -2 - marks), np.cumsum(sizes) - sizes
+                yield batch.slice(a, i + 1 - a), marks, np.where(marks >= 0, known[np.maximum(marks, -1)], -2 - marks), np.cumsum(sizes) - sizes
                 a, size = i + 1, 0
 
 
@@ -283,7 +299,7 @@ def _neighbours(unit_of: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((OWN + ENDINGS) * 2 * NEIGHBOURS, np.int64)
-        for _, unit, _ in _coded(batches, unit_of):
+        for _, _, unit, _ in _coded(batches, unit_of):
             beside = (unit * 2654435761 >> 7) % NEIGHBOURS
             total += np.bincount(unit[:-1] * 2 * NEIGHBOURS + beside[1:], minlength=len(total))
             total += np.bincount(unit[1:] * 2 * NEIGHBOURS + NEIGHBOURS + beside[:-1], minlength=len(total))
@@ -321,7 +337,7 @@ def _changes(model: Model, rate: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, within, n = Steps(weights, bias), Steps(inner, np.zeros(MEMBERS, np.float32)), 0
-        for marks, units, first in _coded(batches, unit_of):
+        for _, marks, units, first in _coded(batches, unit_of):
             classes = unit_class[units]
             outer_rows, inner_rows = features(classes, marks, first, len(bias))
             steps.run(outer_rows, classes, rate)
@@ -370,7 +386,13 @@ def train(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds:
 
     ``fitted``: for trials, about how many texts the classes and the softmax learn from; without it, from all.
     """
-    counts = cut(word_counts(docs), "lm-counts")
+    return _learned(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), top, fitted, rounds)[:2]
+
+
+def _learned(rows: DataFrame, top: int, fitted: int | None, rounds: int) -> tuple[Model, DataFrame, DataFrame]:
+    """A model from the rows (doc_id, held_out, text) that are not held out, the counts of their words, and all rows' codes:
+    each text is cut into tokens once to count, of the rows learned from, and once for its codes."""
+    counts = cut(word_counts(rows.filter("not held_out")), "lm-counts")
     tokens, words = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     known = frequent(counts, top)
     ids = {w: i for i, (w, _) in enumerate(known)}
@@ -379,13 +401,15 @@ def train(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds:
     classes, members = classes_of(np.zeros(units, np.int64), np.zeros(units))
     c = int(classes.max()) + 1
     model = Model(ids, np.array([n for _, n in known], np.int64), unit_of, classes, members, np.zeros(units), np.zeros(units), np.zeros((1 << BITS, c), np.float32), np.zeros(c, np.float32), np.zeros((c + (1 << BITS), MEMBERS), np.float32), tokens, words)
-    rows = ids and counts.filter(F.col("word") == F.lit(END)).select("n").first()[0]
-    if not rows:
-        return model, counts
+    every = cut(rows.mapInArrow(_codes(model), "rid long, doc_id long, held_out boolean, marks binary, rest array<binary>"), "lm-codes", compression="zstd")
+    ends = ids and counts.filter(F.col("word") == F.lit(END)).select("n").first()[0]
+    if not ends:
+        return model, counts, every
+    codes = every.filter("not held_out")
     if fitted is not None:
         draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("fit")), F.lit(1_000_000))
-        docs = docs.filter(draw < 1 + fitted * 1_000_000 // rows)
-    codes = cut(docs.select("text").mapInArrow(_codes(model), "marks binary"), "lm-codes", compression="zstd")
+        codes = codes.filter(draw < 1 + fitted * 1_000_000 // ends)
+    codes = codes.select("marks")
     cells = codes.mapInArrow(_neighbours(model.unit_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(units * 2 * NEIGHBOURS)
     table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
@@ -403,14 +427,13 @@ def train(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds:
     model.inner[:c] -= np.log(np.exp(model.inner[:c].astype(np.float64)).sum(1, keepdims=True)).astype(np.float32)
     for k in range(rounds):
         fit_round(codes, model, 0.1 / (1 + k))
-    return model, counts
+    return model, counts, every
 
 
 def _scores(model: Model):
-    """A text's sums over what all tasks know; its other words follow for the join, without their log10(c + 0.5)."""
+    """A text's sums over what all tasks know; its other words' log10(c + 0.5) come by the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 33
         n = np.r_[model.n, 0]
         whole = np.log10(model.tokens + 0.5 * (model.words + 1))
         share = np.r_[np.log10(model.n + 0.5), 0.0]  # the last is that of words to be joined
@@ -418,26 +441,18 @@ def _scores(model: Model):
         part = np.log10(model.unit_n + 0.5 * (model.unit_v + 1))
         part[:OWN] = 0.0
         none = np.zeros(MEMBERS, np.float32)
-        for batch, texts in _parts(batches, 500_000):
-            words, first = _tokens(texts)
-            ids, units = model.units(words)
-            outer, inner = model.rows(units, np.where(ids >= 0, ids, -2 - units), first)
+        for rows, marks, units, first in _coded(batches, model.unit_of):
+            ids = np.maximum(marks, -1)
+            outer, inner = model.rows(units, marks, first)
             logs = gold_logs(model.weights, model.bias, outer, model.unit_class[units]) + gold_logs(model.inner, none, inner, model.unit_member[units])
-            end = np.r_[first[1:], len(words)]
-            rest = np.flatnonzero(ids < 0)
-            cuts = np.searchsorted(rest, np.r_[first, len(words)]).astype(np.int32)
             columns = [
-                pa.array(rid + np.arange(len(texts))),
-                batch.column("doc_id"),
-                batch.column("held_out"),
-                pa.array(end - first),
+                *(rows.column(c) for c in ("rid", "doc_id", "held_out")),
+                pa.array(np.diff(np.r_[first, len(marks)])),
                 pa.array(np.add.reduceat((ids >= 0) & (n[ids] > 0), first, dtype=np.int64)),
                 pa.array(np.add.reduceat(share[ids] - whole, first)),
                 pa.array(np.add.reduceat(in_unit[ids] + logs / np.log(10) - part[units], first)),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array([words[i] for i in rest.tolist()], pa.binary())),
             ]
-            rid += len(texts)
-            yield pa.record_batch(columns, names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "sum", "rest"])
+            yield pa.record_batch(columns, names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "sum"])
 
     return run
 
@@ -451,12 +466,12 @@ def score(docs: DataFrame, *, top: int = TOP, fitted: int | None = None, rounds:
     score is log10 of the model's probability of the text and its end, base_score that of its tokens' smoothed shares.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
-    model, counts = train(rows.filter("not held_out"), top=top, fitted=fitted, rounds=rounds)
-    found = cut(rows.mapInArrow(_scores(model), "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, sum double, rest array<binary>"), "lm-scores", compression="zstd")
-    rest = found.select("rid", F.explode("rest").alias("word")).join(counts, "word", "left")
+    model, counts, codes = _learned(rows, top, fitted, rounds)
+    found = cut(codes.drop("rest").mapInArrow(_scores(model), "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, sum double"), "lm-scores", compression="zstd")
+    rest = codes.select("rid", F.explode("rest").alias("word")).join(counts, "word", "left")
     sums = rest.groupBy("rid").agg(F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.5))).alias("more"), F.count("n").alias("more_known"))
     zero = F.lit(0)
-    return found.drop("rest").join(sums, "rid", "left").select(
+    return found.join(sums, "rid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -9,6 +9,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,3 +407,14 @@ def test_softmax_buffers_hold_one_batch_and_give_the_plain_softmax():
         np.testing.assert_allclose(shares.of(rows[a : a + 10]), plain[a : a + 10], rtol=1e-4, atol=1e-7)
     assert shares.sums.shape == shares.row.shape == (10, 7)
     np.testing.assert_allclose(lm.gold_logs(weights, bias, rows, gold, batch=10), np.log(plain[np.arange(23), gold]), rtol=1e-4, atol=1e-5)
+
+
+def test_scores_come_from_codes_without_texts(spark):
+    docs = spark.createDataFrame([(i, i % 5 == 1, None if not i else f"some words {i}") for i in range(40)], "doc_id long, held_out boolean, text string").coalesce(1)
+    model, _, codes = lm._learned(docs, 5, None, 1)
+    found = codes.orderBy("doc_id").toArrow().combine_chunks().to_batches()
+    assert [w for w in found[0].column("rest").to_pylist() if w][:1] and len(found[0]) == 40
+    scored = pa.Table.from_batches(lm._scores(model)(iter([found[0].drop_columns(["rest"])])))
+    want = {r.doc_id: (r.held_out, r.n_tokens) for r in lm._learned(docs, 5, None, 1)[2].selectExpr("doc_id", "held_out", "octet_length(marks) div 4 as n_tokens").collect()}
+    assert {r["doc_id"]: (r["held_out"], r["n_tokens"]) for r in scored.to_pylist()} == want
+    assert want[0] == (False, 1) and want[6] == (True, 4)
