@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 LONG = 256
 #: Characters that are cut at once, and different matches that a worker remembers.
-CHUNK, REMEMBERED = 1_000_000, 400_000
+CHUNK, REMEMBERED = 250_000, 100_000
 NONE = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE = range(4)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from quillspan.functions.shared import shared_path
 #: The ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 SLICES, GROUP = 16, 32  # slices of a model's weights; tasks whose weights are averaged first
+#: Bytes of a column, at most about, that a task makes Python objects of at once.
+HELD = 4_000_000
 PART = "slice int, grp int, weight double, part binary"
 
 
@@ -27,6 +30,17 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of ``column``, so that what a task makes of a slice does not grow with the
+    rows of a batch. A batch without rows is a slice."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+        at = [0, *ends.tolist(), len(batch)]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def shards(spark: SparkSession) -> int:
     """How many parts a salted key is dealt to: four for each shuffle partition, so that parts even out."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

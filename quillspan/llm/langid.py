@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import PART as MODEL
-from quillspan.llm.common import averaged, cut, fold, sliced
+from quillspan.llm.common import averaged, cut, fold, held, sliced
 
 #: Labelled windows a language and in all to learn from, at most about, and words of a window.
 WINDOWS, MOST, WINDOW = 1000, 40_000, 120
@@ -356,7 +356,7 @@ def keep_known(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held(batches):
             found = _judged(crf, batch)
             yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in found], pa.bool_()))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import cut
+from quillspan.llm.common import cut, held
 from quillspan.llm.components import connected_components
 from quillspan.llm.simhash import Forest, _settle, hamming_links
 
@@ -67,7 +67,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _bands(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held(batches):
             keys, fps = [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingle_set(t, width)
@@ -83,7 +83,7 @@ def _bands(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held(batches):
             found = [shingle_set(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             fps = np.array([sketch(h) for h in found], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("u"), pa.array(fps), pa.array([h.tobytes() for h in found], pa.binary())], names=["u", "fp", "hashes"])
@@ -97,7 +97,7 @@ def _against_first(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: np.ndarray | None = None
-        for batch in batches:
+        for batch in held(batches, "hashes"):
             rep, u, same = [], [], []
             for own, member, name, raw in zip(*(batch.column(c).to_pylist() for c in ("rep", "member", "u", "hashes")), strict=True):
                 hashes = np.frombuffer(raw, np.uint64)
@@ -156,7 +156,7 @@ def _links(threshold: float, radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
-        for batch in batches:
+        for batch in held(batches, "hashes"):
             a_all, b_all = [], []
             for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "asks", "same", "u", "fp", "hashes")), strict=True):
                 if row[0] != cell:

@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.llm import similar
+from quillspan.llm.common import held
 
 
 @pytest.mark.parametrize("shard", [1, 4, 2000])
@@ -82,3 +84,12 @@ def test_fingerprints_of_all_texts_meet_in_trees(spark):
     assert [tuple(r) for r in similar._tree_pairs(found).collect()] == [(0, 1, 1)]
     same = spark.createDataFrame([(0, "a b c d e f"), (1, "A b c d e f"), (2, "a b c")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in similar.similar_components(same).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_tasks_take_bounded_slices_of_batches():
+    texts = ["w " * 700_000, None, "", "a b " * 1_000_000, "x", "y z " * 900_000]
+    batch = pa.record_batch([pa.array(range(6)), pa.array(range(6)), pa.array(texts)], names=["u", "doc_id", "text"])
+    parts = list(held(iter([batch, batch.slice(0, 0)]), most=2_000_000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and [len(p) for p in parts] == [4, 2, 0]
+    found = list(similar._bands(5)(iter([batch])))
+    assert len(found) > 1 and [u for b in found for u in b.column("u").to_pylist()] == list(range(6))
