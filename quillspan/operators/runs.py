@@ -65,8 +65,13 @@ def config_field_diff(pairs: DataFrame) -> DataFrame:
     order of keys never counts; absent is empty: id, field, a_value, b_value. See ``flat_fields``."""
     sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("json")) for c in ("a", "b")])
     flat = flat_fields(pairs.select("id", F.explode(sides).alias("own")).select("id", "own.side", "own.json"), ["id", "side"], "json")
+    return _differing(flat, "id")
+
+
+def _differing(flat: DataFrame, *keys: str) -> DataFrame:
+    """The fields of sides a and b (keys, side, field, value) that differ; absent is empty."""
     value = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("value"))), F.lit("")).alias(f"{side}_value")
-    return flat.groupBy("id", "field").agg(value("a"), value("b")).filter("a_value <> b_value")
+    return flat.groupBy(*keys, "field").agg(value("a"), value("b")).filter("a_value <> b_value")
 
 
 def numeric_metrics(runs: DataFrame) -> DataFrame:
@@ -233,8 +238,13 @@ def evidence_events(iterations: DataFrame, declared: DataFrame, added: DataFrame
 
 def instrument_changes(configs: DataFrame) -> DataFrame:
     """Fields that changed between consecutive iterations' configurations (run, seq, config JSON)."""
-    rows = configs.withColumn("a", F.lag("config").over(Window.partitionBy("run").orderBy("seq"))).filter("a is not null").withColumn("id", F.struct("run", "seq"))
-    return config_field_diff(rows.select("id", "a", F.col("config").alias("b"))).select("id.run", "id.seq", "field", "a_value", "b_value")
+    order = Window.partitionBy("run").orderBy("seq")
+    rows = configs.select("run", "seq", "config", F.lead(F.struct("seq")).over(order).alias("next"), F.lag(F.col("config").isNotNull(), 1, False).over(order).alias("follows"))
+    # Each configuration is opened once: it is the later side of its own step and the earlier side of the next.
+    flat = flat_fields(rows, ["run", "seq", "next", "follows"], "config")
+    now = flat.filter("follows").select("run", "seq", F.lit("b").alias("side"), "field", "value")
+    before = flat.filter("next is not null").select("run", F.col("next.seq").alias("seq"), F.lit("a").alias("side"), "field", "value")
+    return _differing(now.unionByName(before), "run", "seq")
 
 
 def change_attribution(changes: DataFrame, evidence: DataFrame, instruments: DataFrame) -> DataFrame:

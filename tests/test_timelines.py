@@ -43,6 +43,15 @@ def test_objects_of_any_depth(spark):
     assert runs.config_field_diff(spark.createDataFrame([], PAIR)).count() == 0
 
 
+def test_each_configuration_is_opened_once(spark, monkeypatch):
+    configs = [("r", 1, '{"a": {"b": "1"}, "c": 2}'), ("r", 3, '{"a": {"b": "2"}, "c": 2}'), ("r", 4, None), ("r", 6, '{"c": 3}'), ("r", 7, '{"c": 3, "d": "x"}'), ("s", 1, '{"c": 9}'), (None, 1, '{"c": 1}'), (None, 2, "{}")]
+    opened, written = [], runs.written
+    monkeypatch.setattr(runs, "written", lambda df, name: opened.append(written(df, name)) or opened[-1])
+    got = {tuple(r) for r in runs.instrument_changes(spark.createDataFrame(configs, "run string, seq int, config string")).collect()}
+    assert got == {("r", 3, "a.b", "1", "2"), ("r", 4, "a.b", "2", ""), ("r", 4, "c", "2", ""), ("r", 7, "d", "", "x"), (None, 2, "c", "1", "")}
+    assert [level.count() for level in opened] == [9, 2]
+
+
 def test_numbers_of_metrics(spark):
     frame = spark.createDataFrame([("r", '{"n": 3, "rate": -0.25, "big": 1e30, "text": "4", "on": true, "none": null, "deep": {"x": 1}, "list": [1]}'), ("s", "no json"), ("t", None)], "run string, metrics string")
     assert {(r.run, r.metric): r.value for r in runs.numeric_metrics(frame).collect()} == {("r", "n"): 3.0, ("r", "rate"): -0.25, ("r", "big"): 1e30}
