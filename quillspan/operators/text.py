@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions.places import placed
+from quillspan.functions.shared import written
 
 CHUNK, BUDGET, SEPARATOR = 8000, 64_000, 2
 #: White space at the ends of a text, that beyond ASCII too.
@@ -129,10 +130,11 @@ def context_stats(docs: DataFrame, budget: int = BUDGET, limit: int = CHUNK) ->
     name = F.coalesce("project", F.lit("")).alias("name")
     known = docs.select(F.struct(F.col("project").isNull().alias("none"), name).alias("project"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     before = known.groupBy("project").agg(F.count("*").alias("before_documents"), F.sum(F.char_length("text")).alias("before_chars"))
-    cut = split_passages(known, limit).join(known.select("doc_id", "project"), "doc_id")
+    # Texts are split once; what comes after reads each step's rows, and the passages only as far as they stay.
+    cut = written(split_passages(known, limit).join(known.select("doc_id", "project"), "doc_id"), "context-passages")
     heard = drop_noise(cut)
-    clean = dedupe_passages(heard, "project")
-    packs = placed(_packs(clean, limit), ["project"], [F.col("doc_id")], ["pack"], "ord")
+    clean = written(dedupe_passages(heard, "project"), "context-clean")
+    packs = written(placed(_packs(clean, limit), ["project"], [F.col("doc_id")], ["pack"], "ord"), "context-packs")
     kept = budget_passages(packs, budget).join(packs.withColumn("ord", F.col("ord").cast("long")), ["project", "ord"])
     after = kept.groupBy("project").agg(F.count_distinct("doc_id").alias("after_documents"), F.sum("chars").alias("after_chars"), F.count("*").alias("kept"))
     count = lambda rows, name: rows.groupBy("project").agg(F.count("*").alias(name))

@@ -142,6 +142,14 @@ def test_context_is_counted_by_whole_documents_and_reasons(spark):
     assert text.context_stats(rows.limit(0)).collect() == []
 
 
+def test_a_contexts_texts_are_split_once(spark, monkeypatch):
+    seen, written = [], text.written
+    monkeypatch.setattr(text, "written", lambda df, name: seen.append(name) or written(df, name))
+    rows = spark.createDataFrame([("p", 1, "alpha\n\nbeta"), ("p", 2, "a limitation")], "project string, doc_id long, text string")
+    plan = text.context_stats(rows, 30, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert seen == ["context-passages", "context-clean", "context-packs"] and "posexplode" not in plan
+
+
 def test_only_needs_are_judged_as_needs(spark):
     rows = [(1, "NEEDS", "s"), (2, "GENERAL", "s"), (3, "NEEDS", "　"), (4, None, "s"), (5, "NEEDS", None)]
     findings = spark.createDataFrame([(i, p, s, True, "t", "e", "x", 3) for i, p, s in rows], "id int, profile string, stated string, echo boolean, term string, expectation string, surprising string, competing int")
