@@ -1,11 +1,15 @@
 """Keyed state of streams: late and restated observations, ids of earlier batches, batches that run again."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.streaming import jobs
+from quillspan.streaming.state import Deltas
 
 POINT = "series string, t long, value double"
 
@@ -80,3 +84,35 @@ def test_ids_of_earlier_batches_are_rejected(spark, tmp_path):
     assert {(r.batch, r.n) for r in read("valid").collect()} == {(0, 1), (0, 3), (1, 6), (1, 7), (1, 8), (2, 11)}
     assert {(r.batch, r.n): r.reason for r in read("rejects").collect()} == {(0, 2): "duplicate id", (0, 4): "bad row", (1, 5): "duplicate id", (1, 9): "bad row", (2, 10): "duplicate id"}
     assert {(r.batch, r["read"], r.skipped) for r in read("receipts").collect()} == {(0, 4, 2), (1, 5, 2), (2, 2, 1)}
+
+
+def test_a_long_series_is_told_in_frames(tmp_path):
+    """A task holds a series' new rows as numbers and gives rows piece by piece: the memory of 400,000 observations, and of as many
+    more between them, is bounded."""
+    state = {}
+
+    class Kept:
+        def __init__(self, name):
+            self.name = name
+
+        get = lambda self: state.get(self.name)
+        update = lambda self, value: state.update({self.name: value})
+        getValue = lambda self, k: state[self.name, k]
+        updateValue = lambda self, k, value: state.update({(self.name, k): value})
+        removeKey = lambda self, k: state.pop((self.name, k))
+
+    class Handle:
+        getValueState = getMapState = lambda self, name, *schema: Kept(name)
+
+    own, n = Deltas(10_000_000, 4_000), 400_000
+    own.init(Handle())
+    for part in (0, 1):
+        frames = (pd.DataFrame({"series": "a", "at": np.arange(i, i + 10_000) * 200 + part, "id": 0, "value": 1.0}) for i in range(0, n, 10_000))
+        tracemalloc.start()
+        rows = largest = 0
+        for frame in own.handleInputRows(("a",), frames, None):
+            rows, largest = rows + len(frame), max(largest, len(frame))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == (n if not part else 2 * n - 1) and largest <= 100_000 and peak < 160 * n
+    assert own.numbers.get() == (list(range(8)),)
